@@ -52,3 +52,9 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def whole_text(column: str = "text"):
     """A null text counts as the empty text."""
     return F.coalesce(F.col(column), F.lit(""))
+
+
+def computed_once(value):
+    """``value`` as an expression that the optimiser neither copies into later expressions nor moves
+    below a projection; filters on it stay above the projection that makes it."""
+    return F.when(F.monotonically_increasing_id() >= 0, value)

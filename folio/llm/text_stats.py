@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.shared import whole_text
+from folio.llm.shared import computed_once, whole_text
 
 WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
@@ -32,7 +32,7 @@ def with_counts(docs: DataFrame, more: bool = False) -> DataFrame:
     A column that feeds several expressions, or one inside a lambda, gets a projection of its own:
     it is then computed once a row.
     """
-    own = [c for c in docs.columns if c != "_counts"]
+    own = [f"`{c}`" for c in docs.columns if c != "_counts"]
     step = docs.select(*own, whole_text().alias("_text"))
     lines = F.filter(F.split("_text", "\n"), lambda x: F.length(F.translate(x, BLANKS, "")) > 0)
     step = step.select("*", F.regexp_extract_all("_text", F.lit(WORD), F.lit(0)).alias("_words"), lines.alias("_lines"))
@@ -65,4 +65,4 @@ def with_counts(docs: DataFrame, more: bool = False) -> DataFrame:
             "n_distinct_windows": F.col("_n_windows"),
             "n_chars_all": F.length("_text"),
         }
-    return step.select(*own, F.struct(*[c.cast("long").alias(n) for n, c in counts.items()]).alias("_counts"))
+    return step.select(*own, computed_once(F.struct(*[c.cast("long").alias(n) for n, c in counts.items()])).alias("_counts"))
