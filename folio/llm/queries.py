@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folio.llm import chat, quality_classifier, quality_rules, secrets, sql
+from folio.llm import chat, near_duplicates, quality_classifier, quality_rules, secrets, sql
 from folio.llm.packing import pack_documents
 from folio.llm.shared import documents
 from folio.llm.token_files import token_file_index
@@ -24,6 +24,10 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(documents(spark, sf_dir), secrets.train(secrets.labelled_samples(spark)))
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.classes(documents(spark, sf_dir), words=2, percent=80)
+
+
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"  # a conversation whose texts hold control strings
@@ -48,6 +52,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_secrets": op2_secrets,
+    "op3_near_duplicates": op3_near_duplicates,
     "op5_chat": op5_chat,
     "op8_best_two_fit": op8_best_two_fit,
     "op9_quality_rules": op9_quality_rules,

@@ -1,48 +1,13 @@
-"""Shared storage of a job: staged tables cut lineage and outlive a lost executor."""
+"""What the operators share: staged tables, the documents, whole texts."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folio.sources.staging import new_path, shared_dir, stage
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: ``spark.checkpoint.dir`` of the session.
-
-    Only where the setting is missing (tests, a local shell) a folder under /tmp is set.
-    """
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not where:
-        where = f"file:///tmp/checkpoints/{uuid.uuid4().hex}"
-        spark.sparkContext.setCheckpointDir(where)
-        where = spark.sparkContext.getCheckpointDir()
-    return where.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def stage(df: DataFrame, name: str, order: list[str] | None = None) -> DataFrame:
-    """Writes ``df`` as Parquet in the shared folder and returns the table read from there."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    (df.sortWithinPartitions(*order) if order else df).write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_staged(spark: SparkSession, *frames: DataFrame) -> None:
-    """Deletes the files of staged tables that no later step reads."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    root = shared_dir(spark).split(":", 1)[-1].lstrip("/")
-    for frame in frames:
-        for folder in {f.rsplit("/", 1)[0] for f in frame.inputFiles()}:
-            if root in folder:
-                path = jvm.org.apache.hadoop.fs.Path(folder)
-                path.getFileSystem(conf).delete(path, True)
+__all__ = ["computed_once", "documents", "new_path", "shared_dir", "stage", "whole_text"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,3 +23,13 @@ def computed_once(value):
     """``value`` as an expression that the optimiser neither copies into later expressions nor moves
     below a projection; filters on it stay above the projection that makes it."""
     return F.when(F.monotonically_increasing_id() >= 0, value)
+
+
+def with_ids(docs: DataFrame, ids: DataFrame, how: str, most: int = 1_000_000) -> DataFrame:
+    """``docs`` with (``left_semi``) or without (``left_anti``) the doc_ids of ``ids``.
+
+    Up to ``most`` ids (8 MB) are broadcast, so the texts stay where they are; more are joined by a
+    shuffle.
+    """
+    ids = ids.select("doc_id")
+    return docs.join(F.broadcast(ids) if ids.limit(most + 1).count() <= most else ids, "doc_id", how)
