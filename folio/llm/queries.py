@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folio.llm import chat, near_duplicates, quality_classifier, quality_rules, secrets, sql
+from folio.llm import chat, near_duplicates, pieces, quality_classifier, quality_rules, secrets, sql
 from folio.llm.packing import pack_documents
 from folio.llm.shared import documents
+from folio.llm.token_counts import section_counts
 from folio.llm.token_files import token_file_index
 
 
@@ -35,6 +36,15 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(rows.union(more)))
 
 
+def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(pieces.encode_pieces(documents(spark, sf_dir), vocabulary("piece_bpe_32k.model")))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections are the lines of a document, each with the line feed that ends it."""
+    return section_counts(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), boundary="\n", rule="majority")
+
+
 def op8_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"), end_id=1, capacity=4096)
 
@@ -54,6 +64,8 @@ QUERIES = {
     "op2_secrets": op2_secrets,
     "op3_near_duplicates": op3_near_duplicates,
     "op5_chat": op5_chat,
+    "op6_pieces": op6_pieces,
+    "op7_token_counts": op7_token_counts,
     "op8_best_two_fit": op8_best_two_fit,
     "op9_quality_rules": op9_quality_rules,
     "op10_quality_classifier": op10_quality_classifier,
