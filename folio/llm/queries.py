@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from folio.llm import chat, near_duplicates, pieces, quality_classifier, quality_rules, secrets, sql
+from folio.llm import chat, near_duplicates, neighbours, pieces, quality_classifier, quality_rules, secrets, sql
 from folio.llm.packing import pack_documents
 from folio.llm.shared import documents
 from folio.llm.token_counts import section_counts
@@ -29,6 +30,10 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.classes(documents(spark, sf_dir), words=2, percent=80)
 
 
+def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0, k=10)
+
+
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"  # a conversation whose texts hold control strings
@@ -63,6 +68,7 @@ QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_secrets": op2_secrets,
     "op3_near_duplicates": op3_near_duplicates,
+    "op4_neighbours": op4_neighbours,
     "op5_chat": op5_chat,
     "op6_pieces": op6_pieces,
     "op7_token_counts": op7_token_counts,
