@@ -17,15 +17,25 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 from functools import cache
 
 import numpy as np
 
-#: Entries that a worker remembers at most.
-REMEMBERED = 400_000
+#: Entries that each of a worker's memories holds at most.
+REMEMBERED = 700_000
 #: Longer chunks are encoded each time.
 LONGEST_REMEMBERED = 256
 
+#: Chunks of these characters only are cut into pretokens here, and the library's model encodes the
+#: pretokens, which recur far more often than chunks do. The classes of these characters
+#: are the same in every version of Unicode. Other chunks go through the library's whole chain.
+LETTERS = "A-Za-zÀ-ÖØ-öø-įĲ-ňŊ-ɏ"
+PLAIN = re.compile(f"[\\n -~{LETTERS}]*")
+PRETOKENS = {
+    "leading": re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{LETTERS}]+| ?[0-9]+| ?[^\s0-9{LETTERS}]+|\s+(?!\S)|\s+"),
+    "removed": re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[{LETTERS}]+|[0-9]|[^\s0-9{LETTERS}]+"),
+}
 BESIDE_SPACE = re.compile(r" \s|\s ")
 LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
@@ -58,16 +68,31 @@ class ChunkEncoder:
             declared = json.load(file)
         self.cut = _cut_rule(declared)
         self.lead = " " if self.cut == "leading" else ""
+        self.model = self.tokenizer.model
+        self.type_code = "H" if self.dtype.itemsize == 2 else "I"
+        self._pretoken = _Memory(self._encode_pretoken)
         self._ids = _Memory(lambda chunk: self._encode(self.lead + chunk))
         self._spans = _Memory(lambda chunk: self._encode_spans(self.lead + chunk))
 
+    def _encode_pretoken(self, pretoken: str) -> bytes:
+        return array(self.type_code, [t.id for t in self.model.tokenize(_as_bytes(pretoken))]).tobytes()
+
     def _encode(self, chunk: str) -> bytes:
+        if self.cut != "whole" and PLAIN.fullmatch(chunk):
+            pretokens = PRETOKENS[self.cut].findall(chunk.lower() if self.cut == "removed" else chunk)
+            return b"".join(map(self._pretoken.__getitem__, pretokens))
         return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def _encode_spans(self, chunk: str) -> tuple[bytes, int, int]:
+        if self.cut == "leading" and chunk.isascii() and PLAIN.fullmatch(chunk):  # a character is a byte: a token is as long as its letters
+            rows, at = array("i"), 0
+            for pretoken in PRETOKENS[self.cut].findall(chunk):
+                for t in self.model.tokenize(_as_bytes(pretoken)):
+                    rows.extend((t.id, at, at := at + len(t.value)))
+            return rows.tobytes(), len(rows) // 3, len(chunk)
         got = self.tokenizer.encode(chunk, add_special_tokens=False)
-        rows = np.array([(i, a, b) for i, (a, b) in zip(got.ids, got.offsets)], "<i4").reshape(-1, 3)
-        return rows.tobytes(), len(rows), len(chunk)
+        rows = array("i", [x for i, (a, b) in zip(got.ids, got.offsets) for x in (i, a, b)])
+        return rows.tobytes(), len(rows) // 3, len(chunk)
 
     def _chunks(self, text: str) -> list[str]:
         if self.cut == "leading":
@@ -96,6 +121,23 @@ class ChunkEncoder:
         return rows
 
 
+def _byte_letters() -> dict[int, str]:
+    """Byte → the character that stands for it in byte-level vocabularies: itself if it is printable
+    Latin-1 other than the soft hyphen, else the next character from U+0100 on."""
+    own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(0x100 + k) for k, b in enumerate(rest)}
+
+
+BYTE_LETTERS = _byte_letters()
+
+
+def _as_bytes(pretoken: str) -> str:
+    if pretoken.isascii() and pretoken.isprintable():
+        return pretoken.replace(" ", BYTE_LETTERS[0x20])
+    return pretoken.encode().decode("latin-1").translate(BYTE_LETTERS)
+
+
 def _cut_rule(declared: dict) -> str:
     pre, norm = declared.get("pre_tokenizer") or {}, declared.get("normalizer")
     if pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and norm is None:
