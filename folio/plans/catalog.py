@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folio.functions import postings as P
@@ -318,7 +318,7 @@ def deletion_dictionary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _typos(spark: SparkSession, sf: str) -> DataFrame:
-    words = V.base_forms(spark, sf).select("word").distinct().filter("length(word) between 6 and 8 and word like 'a%'")
+    words = V.base_forms(spark, sf).select("word").distinct()
     swapped = F.concat(F.substring("word", 1, 1), F.substring("word", 3, 1), F.substring("word", 2, 1), F.substring("word", 4, 100))
     return words.select(F.col("word").alias("correction"), swapped.alias("word"))
 
@@ -353,7 +353,8 @@ def quoted_pairs(spark: SparkSession, sf: str) -> DataFrame:
 @query(O.SYNONYMS)
 def close_synonyms(spark: SparkSession, sf: str) -> DataFrame:
     forms, words = V.base_forms(spark, sf), _word_vectors(spark, sf)
-    rows = words.select(F.col("term").alias("left")).join(F.broadcast(words.select(F.col("term").alias("right")).orderBy("right").limit(3)))
+    after = F.lead("term").over(Window.partitionBy("cluster").orderBy("term"))
+    rows = words.select(F.col("term").alias("left"), after.alias("right")).filter("right is not null")
     return extraction.close_base_forms(rows, forms, words)
 
 

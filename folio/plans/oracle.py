@@ -179,7 +179,7 @@ _DELETED = f"""{BF}, dv AS (SELECT word AS variant, word, 0 AS cost FROM w UNION
 dd AS (SELECT variant, min((cost, word)) AS m FROM dv GROUP BY variant)"""
 DELETIONS = f"WITH {_DELETED} SELECT variant, m[2] AS word, m[1]::INTEGER AS cost FROM dd"
 _KEYS = "(VALUES " + ", ".join(f"('{k}', '{x}')" for k, v in NEIGHBOURS.items() for x in v) + ") AS kv(a, b)"
-CORRECT = f"""WITH {_DELETED}, ty AS (SELECT word[1] || word[3] || word[2] || word[4:] AS word FROM w WHERE length(word) BETWEEN 6 AND 8 AND word LIKE 'a%'),
+CORRECT = f"""WITH {_DELETED}, ty AS (SELECT word[1] || word[3] || word[2] || word[4:] AS word FROM w),
 u AS (SELECT DISTINCT word FROM ty), p AS (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM u),
 md AS (SELECT word, word AS v, 0.0::DOUBLE AS c FROM u UNION ALL SELECT word, word[:i - 2] || word[i] || word[i - 1] || word[i + 1:], 1 FROM p WHERE i > 1
   UNION ALL SELECT word, word[:i - 3] || word[i] || word[i - 1] || word[i - 2] || word[i + 1:], 1 FROM p WHERE i > 2
@@ -200,8 +200,8 @@ ALIASES = f"""SELECT entity, CASE WHEN regexp_matches(content, '{_CALLED}') THEN
 FROM {_rows(PARAGRAPHS, "entity, content")}"""
 QUOTED = f"""WITH t AS (SELECT text FROM {_rows(QUOTED_TEXTS, "text")} UNION ALL SELECT text FROM documents)
 SELECT unnest(regexp_extract_all(text, '„([a-z]+)” , „([a-z]+)”', 1)) AS left, unnest(regexp_extract_all(text, '„([a-z]+)” , „([a-z]+)”', 2)) AS right FROM t"""
-SYNONYMS = f"""WITH {ART}, {BF}, {WV}, rt AS (SELECT term FROM wv ORDER BY term LIMIT 3),
-p AS (SELECT wv.term AS l, rt.term AS r FROM wv, rt WHERE length(wv.term) >= 3 AND length(rt.term) >= 3),
+SYNONYMS = f"""WITH {ART}, {BF}, {WV}, nx AS (SELECT term AS l, lead(term) OVER (PARTITION BY cluster ORDER BY term) AS r FROM wv),
+p AS (SELECT l, r FROM nx WHERE length(l) >= 3 AND length(r) >= 3),
 x AS (SELECT l, r, b1.base_form AS form1, b1.pos AS pos1, b2.base_form AS form2, b2.pos AS pos2 FROM p JOIN bf AS b1 ON b1.word = l JOIN bf AS b2 ON b2.word = r),
 e AS (SELECT l, r, pos1, min(pos2) AS stop FROM x WHERE form1 = form2 GROUP BY 1, 2, 3),
 n AS (SELECT x.* FROM x LEFT JOIN e USING (l, r, pos1) JOIN wv AS v1 ON v1.term = form1 JOIN wv AS v2 ON v2.term = form2
