@@ -10,13 +10,13 @@ from folio.functions.text import clean_word, strip
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     """(n, value) of a text file; a file is read whole so that the lines keep their numbers."""
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     return whole.select(F.posexplode(F.split("value", "\n")).alias("n", "value"))
 
 
 def read_articles(spark: SparkSession, path: str) -> DataFrame:
     """(id, title, content) of blocks separated by a blank line; blocks without a title are dropped before numbering."""
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     block = F.filter(F.split("value", "\n\n"), lambda b: b.rlike("^TITLE: "))
     rows = whole.select(F.posexplode(block).alias("at", "block"))
     first = F.substring_index("block", "\n", 1)
@@ -59,7 +59,7 @@ def read_word_vectors(spark: SparkSession, path: str) -> DataFrame:
 
 def read_paragraphs(spark: SparkSession, path: str) -> DataFrame:
     """(entity, content) of blocks that a blank line ends; the entity line loses four characters, the others are joined without a separator."""
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     closed = F.regexp_extract("value", r"(?s)^(.*\n)\n", 1)  # an unended last block is dropped
     blocks = F.filter(F.split(closed, r"\n\n+"), lambda b: F.trim(b) != "")
     rows = whole.select(F.explode(F.transform(blocks, lambda b: F.split(F.regexp_replace(b, r"\n$", ""), "\n"))).alias("lines"))
