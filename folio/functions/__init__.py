@@ -1,0 +1 @@
+"""Column expressions: text, quotes, vectors and posting lists."""

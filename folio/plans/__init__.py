@@ -1,0 +1 @@
+"""The catalogue of queries, each with its SQL where SQL can express it."""

@@ -1,0 +1 @@
+"""Readers, stored tables and the views over the synthetic tables."""

@@ -1,0 +1 @@
+"""Nothing here: the queries that this engine answers are over stored collections, none over streams."""
