@@ -6,8 +6,8 @@
 2. Signatures of ``BANDS * ROWS`` minima; nodes that agree on a whole band share a bucket. A pair at
    similarity 0.8 shares none of the 32 buckets with a chance of 3e-6.
 3. Rounds over the buckets. In each, a bucket's most central unused nodes (those with the most
-   bucket mates) are hubs, and every hub is compared with all nodes of the bucket that aren't yet in
-   its component. A node is due as a hub until its component is the bucket's largest, so rounds end
+   bucket mates) are hubs, one at first and ``MORE_HUBS`` times as many in each further round, and
+   every hub is compared with all nodes of the bucket that aren't yet in its component. A node is due as a hub until its component is the bucket's largest, so rounds end
    when no two components of a bucket are uncompared: no pair of a bucket is left out, while pairs
    inside a component, which can't change it, are never made.
 4. A pair is verified batch by batch of its signatures' low bytes: with ``m`` of ``n`` equal it is
@@ -38,7 +38,7 @@ BANDS, ROWS = 32, 5
 BATCH = 32
 MISS = 1e-7
 PERCENT = 80
-FIRST_HUBS, HUBS = 1, 16
+FIRST_HUBS, MORE_HUBS = 1, 8
 
 
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -154,26 +154,40 @@ def _due(members: DataFrame, components: DataFrame | None, used: DataFrame | Non
     return labelled, waiting.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= hubs).select("key", "id", "component")
 
 
-def links(docs: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
-    """Confirmed links that connect all nodes of ``nodes`` (id, n, bands, bits) that belong together."""
+def _merged(components: DataFrame | None, new: DataFrame) -> DataFrame:
+    """(id, component) after ``new`` links; only components that the links join are computed anew."""
+    if components is None:
+        return stage(connected_components(new).select("id", "component"), "components")
+    side = lambda x: components.select(F.col("id").alias(x), F.col("component").alias(f"c{x}"))
+    ends = new.join(side("a"), "a", "left").join(side("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    moved = stage(connected_components(ends), "moved")
+    to = moved.select(F.col("id").alias("component"), F.col("component").alias("to"))
+    old = components.join(to, "component", "left").select("id", F.coalesce("to", "component").alias("component"))
+    return stage(old.union(moved.select("id", "component").join(components.select("id"), "id", "left_anti")), "components")
+
+
+def linked(docs: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame | None:
+    """(id, component) of the nodes (id, n, bands, bits) that have a link, None without any link."""
     rows = nodes.filter("n > 0").select("id", F.explode("bands").alias("key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1")
     members = stage(rows.join(shared, "key"), "buckets")
     mates = members.groupBy("id").agg(F.sum("m").alias("mates"))
     members = stage(members.join(mates, "id").select("key", "id", "mates"), "members")
-    found = used = components = None
+    used = components = None
+    n_hubs = FIRST_HUBS
     while True:
-        labelled, hubs = _due(members, components, used, FIRST_HUBS if components is None else HUBS)
+        labelled, hubs = _due(members, components, used, n_hubs)
         hubs = stage(hubs, "hubs")
         if hubs.isEmpty():
-            return found if found is not None else hubs.select(F.col("id").alias("a"), F.col("id").alias("b"))
+            return components
         ends = hubs.select("key", F.col("id").alias("hub"), F.col("component").alias("own"))
         pairs = labelled.join(ends, "key").filter(F.col("component") != F.col("own"))
         pairs = stage(pairs.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct(), "pairs")
-        new = stage(confirmed(stage(plausible(pairs, nodes, percent), "plausible"), docs, words, percent), "confirmed")
-        found = new if found is None else found.union(new)
-        used = hubs.select("key", "id") if used is None else used.union(hubs.select("key", "id"))
-        components = connected_components(found).select("id", "component")
+        left = stage(plausible(pairs, nodes, percent), "plausible")
+        if components is None or not left.isEmpty():
+            components = _merged(components, stage(confirmed(left, docs, words, percent), "confirmed"))
+        used = stage(hubs.select("key", "id") if used is None else used.union(hubs.select("key", "id")), "used")
+        n_hubs *= MORE_HUBS
 
 
 def classes(docs: DataFrame, *, words: int = 5, percent: int = PERCENT) -> DataFrame:
@@ -182,12 +196,14 @@ def classes(docs: DataFrame, *, words: int = 5, percent: int = PERCENT) -> DataF
     rows = stage(signed(shingle_sets(docs, words)), "signed")
     filled = rows.filter("n > 0 and doc_id is not null")
     nodes = stage(filled.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("bits").alias("bits")), "nodes")
-    found = links(docs, nodes.select("id", "n", "bands", "bits"), words, percent)
+    components = linked(docs, nodes.select("id", "n", "bands", "bits"), words, percent)
     # rows of one document with different texts hang together through their doc_id
     own = nodes.select("id", "n", "k1", "k2")
+    ids = own.select(F.col("id").alias("a"))
     several = filled.select("doc_id", "n", "k1", "k2").join(own, ["n", "k1", "k2"]).filter("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
-    several = several.join(own.select(F.col("id").alias("a")), "a", "left_semi")
-    components = stage(connected_components(found.select("a", "b").union(several)), "components")
+    several = stage(several.join(ids, "a", "left_semi"), "several")
+    if components is None or not several.isEmpty():
+        components = _merged(components, several)
     named = stage(own.join(components, "id", "left").select("n", "k1", "k2", F.coalesce("component", "id").alias("component")), "named")
     joined = rows.select("doc_id", "n", "k1", "k2").join(named, ["n", "k1", "k2"], "left")
     component: Column = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))

@@ -51,12 +51,10 @@ def texts(rng):
 def test_classes_match_brute_force(spark):
     rows = list(enumerate(texts(random.Random(11))))
     docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, component string").repartition(5)
-    for words in (2, 5):
-        want = brute(rows, words)
-        got = {r.doc_id: (r.n_shingles, r.component_id) for r in nd.classes(docs, words=words).collect()}
-        assert got == want
-        kept = {r.doc_id for r in nd.keep_one_of_each(docs, words=words).select("doc_id").collect()}
-        assert kept == {i for i, (_, c) in want.items() if i == c}
+    want = brute(rows, 2)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in nd.classes(docs, words=2).collect()} == want
+    kept = {r.doc_id for r in nd.keep_one_of_each(docs, words=5).select("doc_id").collect()}
+    assert kept == {i for i, (_, c) in brute(rows, 5).items() if i == c}
 
 
 def test_chains_nulls_repeats_and_empty(spark):
