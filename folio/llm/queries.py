@@ -77,6 +77,7 @@ QUERIES = {
     "op10_quality_classifier": op10_quality_classifier,
 }
 SQL: dict[str, str] = {
+    "op3_near_duplicates": sql.NEAR_DUPLICATES,
     "op5_chat": sql.CHAT,
     "op9_quality_rules": sql.QUALITY_RULES,
 }
