@@ -6,9 +6,11 @@ characters). Matches are leftmost and do not overlap within a kind; a match that
 dropped after it was consumed.
 
 Further spans, ``random``, come from two character Markov models of first order, one of random
-strings and one of ordinary identifiers, trained from labelled samples. A run of 20 or more key
-characters that touches no base span is one if the log-likelihood ratio of the two models is over
-``THRESHOLD`` nats.
+strings and one of ordinary identifiers, trained from labelled samples. In a run of 20 or more key
+characters that touches no base span, each segment of at least 20 characters whose log-likelihood
+ratio of the two models is over ``THRESHOLD`` nats is one: ordinary characters before or after a key
+don't weigh against it. A segment ends where the ratio has fallen by ``THRESHOLD`` from its best, so
+a run can hold several. It is widened to the separators around it, or to the ends of the run.
 
 Spans count code points, the end is exclusive. Nulls: a null text is empty and has no spans.
 Repeated rows are scanned as often as they come; empty tables give no rows.
@@ -29,6 +31,8 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"  # the run goes on to its end, so this drops what
 HEX = r"[0-9a-f]{24,}"
 RUN = r"[A-Za-z0-9+/_=-]{20,}"
 LEAST_VALUE = 6
+LEAST_RUN = 20
+SEPARATORS = "+/_=-"
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 SAMPLES = 4_000
@@ -95,6 +99,68 @@ def log_ratio(text: Column, model: list[float]) -> Column:
     return F.aggregate(_codes(text), F.struct(F.lit(-1).alias("last"), F.lit(0.0).alias("sum")), step, lambda s: s["sum"])
 
 
+def _steps(codes: Column, model: list[float]) -> Column:
+    """Log ratio of each transition, an array one shorter than the codes."""
+    wide = len(ALPHABET) + 1
+    table = F.split(F.lit(",".join(map(str, model))), ",").cast("array<double>")
+    codes = F.filter(codes, lambda c: c.isNotNull())
+    return F.zip_with(F.slice(codes, 1, F.greatest(F.lit(0), F.size(codes) - 1)), F.slice(codes, 2, F.greatest(F.lit(0), F.size(codes) - 1)), lambda a, b: F.get(table, a * wide + b))
+
+
+def _bound(value: Column, f) -> Column:
+    """``f(value)`` with ``value`` computed once."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def _segments(steps: Column) -> Column:
+    """Structs (a, b) of the segments of LEAST_RUN characters or more that score over THRESHOLD, from one scan.
+
+    ``sum`` is the ratio since ``base``, ``lag`` the same LEAST_RUN - 1 transitions ago and ``low`` the
+    least ``lag``, so ``sum - low`` is the best score of a segment that ends here and is long enough.
+    """
+    back = LEAST_RUN - 1
+    late = F.slice(F.concat(F.array_repeat(F.lit(0.0), back), steps), 1, F.size(steps))
+    pairs = F.zip_with(steps, late, lambda x, y: F.struct(x.alias("x"), y.alias("y")))
+    zero, none = F.lit(0.0), F.array().cast("array<struct<a:int,b:int>>")
+    state = lambda base, n, sum, lag, low, low_at, peak, a, b, out: F.struct(*[c.alias(k) for k, c in {"base": base, "n": n, "sum": sum, "lag": lag, "low": low, "low_at": low_at, "peak": peak, "a": a, "b": b, "out": out}.items()])
+    fresh = lambda base, out: state(base, F.lit(0), zero, zero, zero, base, zero, F.lit(0), F.lit(0), out)
+    found = lambda s: F.when(s["peak"] > THRESHOLD, F.concat(s["out"], F.array(F.struct(s["a"].alias("a"), s["b"].alias("b"))))).otherwise(s["out"])
+
+    def moved(s: Column, x: Column) -> Column:
+        n = s["n"] + 1
+        lag = F.when(n > back, s["lag"] + x["y"]).otherwise(zero)
+        return F.struct(n.alias("n"), (s["sum"] + x["x"]).alias("sum"), lag.alias("lag"), (lag < s["low"]).alias("lower"))
+
+    def step(s: Column, x: Column) -> Column:
+        def scored(t: Column) -> Column:
+            low, low_at = F.when(t["lower"], t["lag"]).otherwise(s["low"]), F.when(t["lower"], s["base"] + t["n"] - back).otherwise(s["low_at"])
+            return F.struct(t["n"].alias("n"), t["sum"].alias("sum"), t["lag"].alias("lag"), low.alias("low"), low_at.alias("low_at"), F.when(t["n"] >= back, t["sum"] - low).otherwise(zero).alias("score"))
+
+        def done(t: Column) -> Column:
+            at = s["base"] + t["n"]
+            best = (t["n"] >= back) & (t["score"] > s["peak"])
+            ended = (s["peak"] > THRESHOLD) & (s["peak"] - t["score"] > THRESHOLD)
+            on = state(s["base"], t["n"], t["sum"], t["lag"], t["low"], t["low_at"], F.when(best, t["score"]).otherwise(s["peak"]), F.when(best, t["low_at"]).otherwise(s["a"]), F.when(best, at + 1).otherwise(s["b"]), s["out"])
+            return F.when(ended, fresh(at, found(s))).otherwise(on)
+
+        return _bound(_bound(moved(s, x), scored), done)
+
+    return F.aggregate(pairs, fresh(F.lit(0), none), step, found)
+
+
+def _random(piece: Column, model: list[float]) -> Column:
+    """Spans of the segments in a struct (start, text, k), widened to the separators around them."""
+
+    def span(text: Column, start: Column, k: Column, s: Column) -> Column:
+        plain = F.translate(text, SEPARATORS, " " * len(SEPARATORS))
+        left = F.length(F.substring_index(F.substring(plain, F.lit(1), s["a"]), " ", -1))
+        right = F.length(F.substring_index(F.substring(plain, s["b"] + 1, F.length(plain)), " ", 1))
+        return F.struct((start + s["a"] - left).alias("start"), F.lit(3).alias("kind"), (start + s["b"] + right).alias("end"), k.alias("k"))
+
+    segments = _bound(_bound(_codes(piece["text"]), lambda c: _steps(c, model)), _segments)
+    return F.transform(segments, lambda s: span(piece["text"], piece["start"], piece["k"], s))
+
+
 def _found(pattern: str, groups: tuple[int, ...], prefix: str) -> list[Column]:
     """Per match of ``pattern``: what stands between it and the match before, and the groups asked for.
 
@@ -131,7 +197,8 @@ def with_spans(docs: DataFrame, model: list[float]) -> DataFrame:
     step = step.select(*own, "_r2", _spans(0, "_a", "_a3").alias("_sa"), _spans(1, "_k").alias("_sk"), _spans(2, "_h").alias("_sh"), _spans(3, "_r").alias("_sr"))
     step = step.select(*own, "_r2", "_sr", F.sort_array(F.concat("_sa", "_sk", "_sh")).alias("_base"))
     beside = F.filter("_sr", lambda r: ~F.exists("_base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
-    random = F.filter(beside, lambda r: log_ratio(F.get("_r2", r["k"]), model) > THRESHOLD)
+    pieces = F.transform(beside, lambda r: F.struct(r["start"].alias("start"), F.get("_r2", r["k"]).alias("text"), r["k"].alias("k")))
+    random = F.flatten(F.transform(pieces, lambda p: _random(p, model)))
     return step.select(*own, "_base", F.sort_array(F.concat("_base", random)).alias("_spans"))
 
 

@@ -77,3 +77,13 @@ def test_redaction(spark, model):
 def test_empty(spark, model):
     assert secrets.scan(table(spark).limit(0), model).collect() == []
     assert secrets.train(table(spark).selectExpr("text", "1 as label").limit(0))[0] == 0
+
+
+def test_keys_beside_ordinary_characters_of_their_run(spark, model):
+    path = "home/user/project/config/production/services/"
+    texts = [f"/{path}{RANDOM}", f"get_customer_order_by_product_{RANDOM}", f"{RANDOM}/{path}", f"{RANDOM}/{path}{RANDOM[::-1]}", f"/{path}{path}", "configurationManagerInstance12345678"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in secrets.scan(docs, model).collect()}
+    assert [got[i].n_random for i in range(len(texts))] == [1, 1, 1, 2, 0, 0]
+    for r in secrets.redact(docs, model).collect():
+        assert RANDOM not in r.text and RANDOM[::-1] not in r.text and (r.doc_id not in (2, 3) or "project/config" in r.text)
