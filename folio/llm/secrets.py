@@ -6,11 +6,11 @@ characters). Matches are leftmost and do not overlap within a kind; a match that
 dropped after it was consumed.
 
 Further spans, ``random``, come from two character Markov models of first order, one of random
-strings and one of ordinary identifiers, trained from labelled samples. In a run of 20 or more key
-characters that touches no base span, each segment of at least 20 characters whose log-likelihood
+strings and one of ordinary identifiers, trained from labelled samples. Base spans are cut out of
+the runs of 20 or more key characters; in each piece that is left, each segment of at least 20 characters whose log-likelihood
 ratio of the two models is over ``THRESHOLD`` nats is one: ordinary characters before or after a key
 don't weigh against it. A segment ends where the ratio has fallen by ``THRESHOLD`` from its best, so
-a run can hold several. It is widened to the separators around it, or to the ends of the run.
+a run can hold several. It is widened to the separators around it, or to the ends of the piece.
 
 Spans count code points, the end is exclusive. Nulls: a null text is empty and has no spans.
 Repeated rows are scanned as often as they come; empty tables give no rows.
@@ -196,12 +196,23 @@ def with_spans(docs: DataFrame, model: list[float]) -> DataFrame:
     step = step.select("*", *_found(ASSIGN, (2, 3), "_a"), *_found(ACCESS, (2,), "_k"), *_found(HEX, (2,), "_h"), *_found(RUN, (2,), "_r"))
     step = step.select(*own, "_r2", _spans(0, "_a", "_a3").alias("_sa"), _spans(1, "_k").alias("_sk"), _spans(2, "_h").alias("_sh"), _spans(3, "_r").alias("_sr"))
     step = step.select(*own, "_r2", "_sr", F.sort_array(F.concat("_sa", "_sk", "_sh")).alias("_base"))
-    beside = F.filter("_sr", lambda r: ~F.exists("_base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
-    pieces = F.transform(beside, lambda r: F.struct(r["start"].alias("start"), F.get("_r2", r["k"]).alias("text"), r["k"].alias("k")))
+    pieces = F.flatten(F.transform("_sr", lambda r: _beside(r, F.get("_r2", r["k"]))))
     random = F.flatten(F.transform(pieces, lambda p: _random(p, model)))
     return step.select(*own, "_base", F.sort_array(F.concat("_base", random)).alias("_spans"))
 
 
+def _beside(run: Column, text: Column) -> Column:
+    """Structs (start, text, k) of what the base spans leave of a run, LEAST_RUN characters at least."""
+    piece = lambda a, b: F.struct(a.alias("start"), F.substring(text, a - run["start"] + 1, b - a).alias("text"), run["k"].alias("k"))
+    whole = F.array(piece(run["start"], run["end"]))
+    begin = F.struct(run["start"].alias("at"), F.filter(whole, lambda p: F.lit(False)).alias("out"))
+    added = lambda out, a, b: F.when(b - a >= LEAST_RUN, F.concat(out, F.array(piece(a, b)))).otherwise(out)
+    step = lambda s, b: F.struct(F.greatest(s["at"], b["end"]).alias("at"), added(s["out"], s["at"], b["start"]).alias("out"))
+    meets = lambda b: (b["start"] < run["end"]) & (run["start"] < b["end"])
+    cut = F.aggregate(F.filter("_base", meets), begin, step, lambda s: added(s["out"], s["at"], run["end"]))
+    return F.when(F.exists("_base", meets), cut).otherwise(whole)
+
+
 def _joined(spans: str) -> Column:
     kinds = F.array(*[F.lit(k) for k in KINDS])
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(kinds, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
