@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections import deque
+from functools import reduce
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folio.functions import text as T
+from folio.sources.staging import stage
 
 #: Keys near each letter.
 NEIGHBOURS = {
@@ -19,6 +22,8 @@ NEIGHBOURS = {
 }
 SWAP, SUBSTITUTE, DELETE = 1.0, 1.5, 1.0
 MOST_STEPS, MOST_STATES = 5, 2_000_000
+#: Positions of a search up to which its strings are looked up together, and rows of a batch.
+ROUNDS, BATCH = (512, 32_768), 10_000
 
 
 def folded_dictionary(words: DataFrame) -> DataFrame:
@@ -71,39 +76,82 @@ def _variants(word: str):
         yield word[:i] + word[i + 1 :], DELETE
 
 
-def closest_word(start: str, dictionary: dict[str, tuple[str, int]], most_states: int = MOST_STATES) -> str | None:
-    """Breadth-first search in order of discovery; the first way to a string fixes its cost."""
+def _visits(start: str, dictionary: dict[str, tuple[str, int]], most_states: int):
+    """Breadth-first search in order of discovery, the first way to a string fixes its cost: (string, steps, best so far) of each visit."""
     waiting, met, best, cost = deque([(start, 0.0)]), set(), None, float("inf")
     while waiting:
         word, steps = waiting.popleft()
         hit = dictionary.get(word)
         if hit and steps + hit[1] < cost:
             best, cost = hit[0], steps + hit[1]
+        yield word, steps, best
         if steps >= MOST_STEPS or steps >= cost or len(met) >= most_states:
             break
         for variant, weight in _variants(word):
             if variant not in met:
                 met.add(variant)
                 waiting.append((variant, steps + weight))
-    return best
 
 
-def correct(words: DataFrame, deletions: DataFrame, most_states: int = MOST_STATES, most_entries: int = 5_000_000) -> DataFrame:
-    """(word, corrected) by the full bounded search, in parallel over the words.
+def closest_word(start: str, dictionary: dict[str, tuple[str, int]], most_states: int = MOST_STATES) -> str | None:
+    best = None
+    for _, _, best in _visits(start, dictionary, most_states):
+        pass
+    return best
 
-    The search probes millions of strings of a word, so each worker needs the dictionary: up to
-    ``most_entries`` entries are broadcast, more raise; use ``correct_one_step`` then.
-    """
-    rows = deletions.limit(most_entries + 1).collect()
-    if len(rows) > most_entries:
-        raise ValueError(f"more than {most_entries} dictionary entries")
-    shared = words.sparkSession.sparkContext.broadcast({r["variant"]: (r["word"], r["cost"]) for r in rows})
 
-    def search(batches):
-        for batch in batches:
-            yield pd.DataFrame({"word": batch["word"], "corrected": [closest_word(w, shared.value, most_states) for w in batch["folded"]]})
+def correct(words: DataFrame, deletions: DataFrame, most_states: int = MOST_STATES) -> DataFrame:
+    """(word, corrected) by the full bounded search, in parallel over the words, at any size of the dictionary.
 
-    return words.select("word", T.fold(F.col("word")).alias("folded")).mapInPandas(search, "word string, corrected string")
+    The strings that a search visits are joined to the dictionary in rounds, each up to a position
+    ``ROUNDS`` of the search. Only the first hit of each total cost can improve the result, so a word
+    carries a few hits from round to round, and the search is repeated with these as its dictionary.
+    A word is done once that search ends before the position.
+    """
+    rows = words.select("word", T.fold(F.col("word")).alias("folded"))
+    entries = stage(deletions.select("variant", F.col("word").alias("found"), "cost"), "deletions")
+    hit = "array<struct<variant:string,found:string,cost:int>>"
+    searches = rows.filter("folded is not null").select("folded").distinct().withColumn("hits", F.array().cast(hit))
+    searches, done, low = stage(searches, "searches"), [], 0
+
+    def known(hits) -> dict[str, tuple[str, int]]:
+        return {h["variant"]: (h["found"], h["cost"]) for h in hits}
+
+    for high in (*[p for p in ROUNDS if p < most_states], most_states + 2):
+
+        def expand(batches, low=low, high=high):
+            for batch in batches:
+                out = []
+                for folded, hits in zip(batch["folded"], batch["hits"]):
+                    for at, (variant, steps, _) in enumerate(islice(_visits(folded, known(hits), most_states), high)):
+                        if at >= low:
+                            out.append((folded, at, variant, steps))
+                        if len(out) >= BATCH:
+                            yield pd.DataFrame(out, columns=["folded", "at", "variant", "steps"])
+                            out = []
+                yield pd.DataFrame(out, columns=["folded", "at", "variant", "steps"])
+
+        def settle(batches, high=high):
+            for batch in batches:
+                ends = []
+                for folded, hits in zip(batch["folded"], batch["hits"]):
+                    n, best = 0, None
+                    for n, (_, _, best) in enumerate(islice(_visits(folded, known(hits), most_states), high + 1), 1):
+                        pass
+                    ends.append((n <= high, best))
+                yield batch.assign(ended=[e for e, _ in ends], corrected=[b for _, b in ends])
+
+        visited = searches.repartition("folded").mapInPandas(expand, "folded string, at long, variant string, steps double")
+        first = visited.join(entries, "variant").groupBy("folded", (F.col("steps") + F.col("cost")).alias("total")).agg(F.min_by(F.struct("variant", "found", "cost"), "at").alias("hit"))
+        more = first.groupBy("folded").agg(F.collect_list("hit").alias("more"))
+        joined = searches.join(more, "folded", "left").select("folded", F.when(F.col("more").isNull(), F.col("hits")).otherwise(F.concat("hits", "more")).cast(hit).alias("hits"))
+        settled = stage(joined.mapInPandas(settle, f"folded string, hits {hit}, ended boolean, corrected string"), "settled")
+        done.append(settled.filter("ended").select("folded", "corrected"))
+        searches, low = settled.filter("not ended").select("folded", "hits"), high
+        if searches.isEmpty():
+            break
+    found = reduce(DataFrame.union, done)
+    return rows.join(found, "folded", "left").select("word", "corrected")
 
 
 def accuracy(corrected: DataFrame) -> DataFrame:

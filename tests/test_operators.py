@@ -100,6 +100,17 @@ def test_spelling(spark):
     assert want.items() <= full.items() and want.items() <= step.items() and step["q9"] is None
 
 
+def test_full_correction_beyond_a_broadcast_dictionary(spark, monkeypatch):
+    few = {"kot": ("kot", 0), "ot": ("kot", 1), "pies": ("pies", 0), "pie": ("pies", 1), "kop": ("kopa", 1), "samolot": ("samolot", 0), "smolot": ("samolot", 1)}
+    many = spark.range(5_000_001).selectExpr("concat('9', id) as variant", "concat('9', id) as word", "0 as cost")
+    deletions = many.union(frame(spark, [(v, w, c) for v, (w, c) in few.items()], "variant string, word string, cost int"))
+    typos = ["kto", "pjes", "pjse", "smaloto", "tpko", "seip", "q!", "kot", "", "ksot", "ksot", None]
+    monkeypatch.setattr(spelling, "ROUNDS", (3, 40, 900))
+    got = spelling.correct(frame(spark, [(t,) for t in typos], "word string"), deletions, most_states=5_000).collect()
+    want = [(t, t and spelling.closest_word(t, few, 5_000)) for t in typos if t] + [("", spelling.closest_word("", few, 5_000)), (None, None)]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
 def test_readers(spark, tmp_path):
     def file(text):
         path = tmp_path / f"f{len(list(tmp_path.iterdir()))}.txt"
