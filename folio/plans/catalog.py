@@ -258,13 +258,19 @@ def kmeans_assign_step(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def kmeans_terms(spark: SparkSession, sf: str) -> DataFrame:
-    return vectors.kmeans(_word_vectors(spark, sf).select("term", T.unit(F.col("vec")).alias("vec")), k=10, starts=2)
+    return vectors.kmeans(_word_vectors(spark, sf).select("term", T.unit(F.col("vec")).alias("vec")), k=100, rounds=10, starts=5)
+
+
+@query()
+def kmeans_terms_1000(spark: SparkSession, sf: str) -> DataFrame:
+    return vectors.kmeans(_word_vectors(spark, sf).select("term", T.unit(F.col("vec")).alias("vec")), k=1000, rounds=10, starts=5)
 
 
 @query()
 def kmeans_hierarchical(spark: SparkSession, sf: str) -> DataFrame:
+    """100 children of each of the 100 clusters of ``kmeans_terms``, over raw vectors."""
     words = _word_vectors(spark, sf)
-    return vectors.hierarchical_kmeans(words.select("term", "vec"), vectors.kmeans(words.select("term", "vec"), k=5, starts=1), k=4)
+    return vectors.hierarchical_kmeans(words.select("term", "vec"), kmeans_terms(spark, sf), k=100, rounds=50, starts=10)
 
 
 # n-grams and lemmas

@@ -4,7 +4,10 @@ import os
 import subprocess
 import sys
 
+import numpy as np
+
 from folio.operators import ngrams, quotes, retrieval, spelling, titles, vectors
+from folio.plans import catalog
 from folio.sources import readers
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -75,6 +78,30 @@ def test_vectors(spark):
     assert vectors.hierarchical_kmeans(points, clusters, k=2).count() == 20
 
 
+def test_hierarchical_kmeans_takes_the_best_start(spark):
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(c, 0.1, size=(12, 2)) for c in [(0, 0), (0, 9), (9, 0), (9, 9), (4, 4), (20, 20)]])
+    points = frame(spark, [(f"t{i:02}", v.tolist()) for i, v in enumerate(x)], "term string, vec array<double>")
+    parents = points.selectExpr("term", "0 as cluster")
+
+    def cost(starts):
+        got = [r.cluster for r in vectors.hierarchical_kmeans(points, parents, k=6, starts=starts).orderBy("term").collect()]
+        return sum(((x[np.array(got) == c] - x[np.array(got) == c].mean(0)) ** 2).sum() for c in set(got))
+
+    assert cost(10) == min(cost(1), cost(10)) and cost(10) < 3
+
+
+def test_kmeans_queries_have_the_survey_sizes(spark, monkeypatch):
+    asked = []
+    words = frame(spark, [("a", [1.0, 0.0], "0")], "term string, vec array<double>, cluster string")
+    monkeypatch.setattr(catalog, "_word_vectors", lambda spark, sf: words)
+    monkeypatch.setattr(vectors, "kmeans", lambda points, k, rounds, starts: asked.append((k, rounds, starts)))
+    monkeypatch.setattr(vectors, "hierarchical_kmeans", lambda points, parents, k, rounds, starts: asked.append((k, rounds, starts)))
+    for name in ("kmeans_terms", "kmeans_terms_1000", "kmeans_hierarchical"):
+        catalog.QUERIES[name](spark, "")
+    assert asked == [(100, 10, 5), (1000, 10, 5), (100, 10, 5), (100, 50, 10)]
+
+
 def test_ngrams_and_lemmas(spark):
     pairs = frame(spark, [("glass", "house")] * 3 + [("a.bcd", "x")], "w1 string, w2 string")
     ones = frame(spark, [("glasshouse", 2), ("glass", 50), ("house", 40)], "w string, n long")
