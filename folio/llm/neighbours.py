@@ -13,7 +13,7 @@ million times, say) is split by a hash of vec_id, and queries that visit it go t
 cell returns the best k of each query; the best of these are the result. Distances are computed as
 differences in double precision, ties go to the smaller vec_id.
 
-Vectors that are null, zero, of another dimension than the sample's first, or that hold null or
+Vectors that are null, zero, of another dimension than most (the smaller one if equal), or that hold null or
 non-finite components take no part, nor do rows with a null vec_id. Repeated rows are candidates as
 often as they come, and one query. Empty tables give no rows; other columns are ignored.
 """
@@ -167,14 +167,14 @@ def nearest(table: DataFrame, is_query: Column, k: int = 10, target: float = TAR
     query's own.
     """
     rows = usable(table)
-    taken = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toPandas()
-    if not len(taken):
+    sizes = rows.groupBy(F.size("vector").alias("wide")).agg(F.count("*").alias("n"))
+    most_frequent = sizes.orderBy(F.desc("n"), "wide").first()
+    if not most_frequent:
         return rows.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0.0).alias("score")).limit(0)
-    wide = len(taken["vector"].iloc[0])
-    taken = taken[taken["vector"].map(len) == wide]
-    x = np.stack(taken["vector"].to_numpy())
+    wide, n = most_frequent["wide"], most_frequent["n"]
     rows = rows.filter(F.size("vector") == wide)
-    n = rows.count()
+    taken = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toPandas()
+    x = np.stack(taken["vector"].to_numpy())
     tree = fit_tree(x, max(4, round(LEAF_ROWS * len(x) / n)))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

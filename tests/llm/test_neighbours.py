@@ -48,3 +48,11 @@ def test_odd_vectors_small_and_empty_tables(spark):
     assert sorted(map(tuple, more)) == sorted(map(tuple, got))
     assert nn.nearest(table(spark, odd[:-1]), F.col("vec_id") % 100 == 0).collect() == []
     assert nn.nearest(table(spark, fine).limit(0), F.col("vec_id") % 100 == 0).collect() == []
+
+
+def test_an_odd_dimension_with_the_lowest_hash_loses_no_others(spark):
+    fine = [(i, [1.0, float(i)], None) for i in range(500, 504)]
+    ids = spark.range(10_000).filter("id < 500 or id > 503").orderBy(F.xxhash64("id"), "id").limit(1).collect()
+    odd = [(ids[0].id, [1.0, 2.0, 3.0, 4.0], "")]
+    got = [nn.nearest(table(spark, rows), F.col("vec_id") % 100 == 0).collect() for rows in (fine, fine + odd)]
+    assert len(got[0]) == 3 and sorted(map(tuple, got[0])) == sorted(map(tuple, got[1]))
