@@ -325,7 +325,7 @@ def deletion_dictionary(spark: SparkSession, sf: str) -> DataFrame:
 
 def _typos(spark: SparkSession, sf: str) -> DataFrame:
     words = V.base_forms(spark, sf).select("word").distinct()
-    swapped = F.concat(F.substring("word", 1, 1), F.substring("word", 3, 1), F.substring("word", 2, 1), F.substring("word", 4, 100))
+    swapped = F.concat(F.substring("word", 1, 1), F.substring("word", 3, 1), F.substring("word", 2, 1), F.substring("word", F.lit(4), F.length("word")))
     return words.select(F.col("word").alias("correction"), swapped.alias("word"))
 
 

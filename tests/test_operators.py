@@ -138,6 +138,12 @@ def test_full_correction_beyond_a_broadcast_dictionary(spark, monkeypatch):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
 
 
+def test_typos_keep_the_tail_of_long_words(spark, monkeypatch):
+    word = "abcd" * 40
+    monkeypatch.setattr(catalog.V, "base_forms", lambda spark, sf: frame(spark, [(word,), ("kot",)], "word string"))
+    assert {r.correction: r.word for r in catalog._typos(spark, "").collect()} == {word: "acbd" + word[4:], "kot": "kto"}
+
+
 def test_readers(spark, tmp_path):
     def file(text):
         path = tmp_path / f"f{len(list(tmp_path.iterdir()))}.txt"
