@@ -5,15 +5,21 @@
    size) are one node, named by its smallest doc_id: thousands of copies cost no pairs.
 2. Signatures of ``BANDS * ROWS`` minima; nodes that agree on a whole band share a bucket. A pair at
    similarity 0.8 shares none of the 32 buckets with a chance of 3e-6.
-3. Rounds over the buckets. In each, a bucket's most central unused nodes (those with the most
-   bucket mates) are hubs, one at first and ``MORE_HUBS`` times as many in each further round, and
-   every hub is compared with all nodes of the bucket that aren't yet in its component. A node is due as a hub until its component is the bucket's largest, so rounds end
-   when no two components of a bucket are uncompared: no pair of a bucket is left out, while pairs
-   inside a component, which can't change it, are never made.
-4. A pair is verified batch by batch of its signatures' low bytes: with ``m`` of ``n`` equal it is
-   dropped as soon as the posterior probability of a similarity of at least the threshold is under
-   ``MISS``. Survivors are confirmed on their full sets: 100 * intersection >= 80 * union.
-5. Components of the confirmed links.
+3. Each bucket's most central node (the one with the most bucket mates) is its hub and compared with
+   the rest: a star, not all pairs. Links make components; what lies in one needs no more pairs.
+4. What is left are pairs of a bucket in different components, thousands a node in a large group of
+   copies that have drifted apart. Their nodes are banded once more, now without any miss: by the
+   rarest of their shingles, as many as two alike sets can't all miss (prefix filter), and by the
+   place of the first shared one. Again a star for each such shingle first, then all pairs that are
+   left; only an end outside its buckets' largest component probes. Copies with changes of their own
+   don't meet this way, however many they are.
+5. A pair from 3 or 4 is verified batch by batch of its signatures' low bytes: with ``m`` of ``n`` equal
+   it is dropped as soon as the posterior probability of a similarity of at least the threshold is
+   under ``MISS``. Survivors are confirmed on their full sets: 100 * intersection >= 80 * union.
+6. Components of the confirmed links.
+
+Nothing is capped. The counters that order shingles by rarity (``COUNTERS``, 4 MB) are broadcast and have
+one size for any input.
 
 Nulls: a null text has an empty set; rows with a null doc_id are in no class (component_id null,
 kept). Rows with the same doc_id are one document. Empty tables give no rows. Other columns come
@@ -27,7 +33,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folio.llm.shared import computed_once, stage, whole_text, with_ids
@@ -38,7 +44,7 @@ BANDS, ROWS = 32, 5
 BATCH = 32
 MISS = 1e-7
 PERCENT = 80
-FIRST_HUBS, MORE_HUBS = 1, 8
+COUNTERS = 1 << 20
 
 
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -139,19 +145,18 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
     return rows.filter(100 * F.col("both") >= percent * (F.col("sum") - F.col("both"))).select("a", "b")
 
 
-def _due(members: DataFrame, components: DataFrame | None, used: DataFrame | None, hubs: int) -> tuple[DataFrame, DataFrame]:
-    """The members with their components, and each bucket's next hubs."""
-    if components is None:
-        labelled = members.withColumn("component", F.col("id"))
-        waiting = labelled
-    else:
-        labelled = stage(members.join(components, "id", "left").withColumn("component", F.coalesce("component", "id")), "labelled")
-        sizes = labelled.groupBy("key", "component").agg(F.count("*").alias("size"))
-        largest = sizes.groupBy("key").agg(F.max(F.struct("size", (-F.col("component")).alias("minus"))).alias("top"))
-        rest = labelled.join(largest, "key").filter(F.col("component") != -F.col("top.minus")).drop("top")
-        waiting = rest.join(used, ["key", "id"], "left_anti")
-    order = Window.partitionBy("key").orderBy(F.desc("mates"), "id")
-    return labelled, waiting.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= hubs).select("key", "id", "component")
+def _star_pairs(members: DataFrame, hub: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of each key's hub and its members of other components that are of a like size."""
+    ends = hub.select(F.col("key").alias("k"), F.col("id").alias("hub"), F.col("n").alias("nh"), F.col("component").alias("own"))
+    alike = (F.col("component") != F.col("own")) & (100 * F.least("n", "nh") >= percent * F.greatest("n", "nh"))
+    met = members.join(ends, (F.col("key") == F.col("k")) & alike)
+    return met.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+
+
+def _hubs(members: DataFrame, by: Column) -> DataFrame:
+    """One member of each key, the largest by ``by``; partial maxima go before the shuffle."""
+    top = members.groupBy("key").agg(F.max(F.struct(by.alias("by"), (-F.col("id")).alias("minus"), "n", "component")).alias("top"))
+    return top.select("key", (-F.col("top.minus")).alias("id"), "top.n", "top.component")
 
 
 def _merged(components: DataFrame | None, new: DataFrame) -> DataFrame:
@@ -166,28 +171,117 @@ def _merged(components: DataFrame | None, new: DataFrame) -> DataFrame:
     return stage(old.union(moved.select("id", "component").join(components.select("id"), "id", "left_anti")), "components")
 
 
+def _labelled(members: DataFrame, components: DataFrame | None) -> DataFrame:
+    """The members with their component (at first themselves) and its number of nodes."""
+    if components is None:
+        return members.withColumn("component", F.col("id")).withColumn("size", F.lit(1).cast("long"))
+    sizes = components.groupBy("component").agg(F.count("*").alias("size"))
+    known = components.join(sizes, "component").select("id", "component", "size")
+    return members.join(known, "id", "left").withColumn("component", F.coalesce("component", "id")).withColumn("size", F.coalesce("size", F.lit(1)))
+
+
+def undecided(labelled: DataFrame) -> DataFrame:
+    """(id, component, probes) of the nodes in buckets that hold several components.
+
+    A pair of a bucket that isn't in one component has an end that isn't in the bucket's largest
+    component (by the component's nodes in all, then its name): these ends probe. Nodes of a
+    component that is the largest of all its buckets don't.
+    """
+    rank = F.struct("size", "component")
+    tops = labelled.groupBy("key").agg(F.max(rank).alias("top"), F.min("component").alias("least"), F.max("component").alias("most")).filter("least <> most").select("key", "top")
+    return labelled.join(tops, "key").groupBy("id", "component").agg(F.max(F.col("component") != F.col("top.component")).alias("probes"))
+
+
+def rarity(sets: DataFrame) -> np.ndarray:
+    """How many shingles of ``sets`` fall into each of ``COUNTERS`` counters: never less than a shingle's own number."""
+    slot = F.explode(F.transform("_set", lambda h: F.pmod(h, F.lit(COUNTERS)).cast("int")))
+    counts = sets.select(slot.alias("slot")).groupBy("slot").agg(F.count("*").cast("int").alias("n")).toArrow()
+    table = np.zeros(COUNTERS, np.int32)
+    table[counts["slot"].to_numpy()] = counts["n"].to_numpy()
+    return table
+
+
+def prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """The rows (key, id, n, most) by which two alike sets must meet.
+
+    Shingles are put in one order for all sets, those in the rarest counters first. If two sets are
+    alike, the first shingle they share has so many shingles from there on, in either set, that the
+    partner has at most ``most`` shingles. Shingles that no other set holds make no row. The order
+    decides how many rows and candidates there are, never which pairs are found.
+    """
+    shared = sets.sparkSession.sparkContext.broadcast(rarity(sets))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shared.value
+        for batch in batches:
+            ids, column = batch.column(0).to_numpy(), batch.column(1)
+            values, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+            rows: list[list[np.ndarray]] = [[], [], [], []]
+            for i, a, b in zip(ids, ends, ends[1:]):
+                found, n = values[a:b], int(b - a)
+                count = table[found % COUNTERS]
+                order = np.lexsort((found, count))
+                least = -(-percent * n // 100)  # shared with a partner, whatever its size
+                order = order[: n - least + 1]
+                rank = np.flatnonzero(count[order] > 1)
+                rows[0].append(found[order[rank]])
+                rows[1].append(np.full(len(rank), i))
+                rows[2].append(np.full(len(rank), n))
+                rows[3].append((n - rank) * (100 + percent) // percent - n)
+            columns = [pa.array(np.concatenate(r) if r else [], pa.int64()) for r in rows]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "id", "n", "most"])
+
+    return sets.select("doc_id", "_set").mapInArrow(cut, "key long, id long, n long, most long")
+
+
+def _size_class(n: Column) -> Column:
+    """Numbers of shingles within about one per cent of each other."""
+    return F.floor(64 * F.log2(n.cast("double"))).cast("int")
+
+
+def meeting(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that share a prefix shingle early enough to be alike.
+
+    ``rows`` are those of ``prefixes`` with component and probes; one end of each pair probes. A
+    probe goes only to the size classes that the shingle occurs in and that its rank still allows.
+    """
+    index = rows.withColumn("class", _size_class(F.col("n")))
+    classes_ = index.select("key", "class").distinct()
+    largest = F.least("most", F.floor(F.col("n") * 100 / percent))
+    probe = rows.filter("probes").select(
+        F.col("key").alias("k"), F.col("id").alias("x"), F.col("n").alias("nx"), F.col("most").alias("mx"), F.col("component").alias("cx"),
+        _size_class(F.ceil(F.col("n") * percent / 100)).alias("low"), _size_class(F.greatest(largest, F.lit(1))).alias("high"),
+    )
+    probe = probe.filter("mx >= 1").join(classes_, (F.col("k") == F.col("key")) & F.col("class").between(F.col("low"), F.col("high"))).select("k", F.col("class").alias("cl"), "x", "nx", "mx", "cx")
+    alike = (F.col("cx") != F.col("component")) & (F.col("n") <= F.col("mx")) & (F.col("nx") <= F.col("most")) & (100 * F.least("n", "nx") >= percent * F.greatest("n", "nx"))
+    met = index.join(probe, (F.col("key") == F.col("k")) & (F.col("class") == F.col("cl")) & alike)
+    return met.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct()
+
+
 def linked(docs: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame | None:
     """(id, component) of the nodes (id, n, bands, bits) that have a link, None without any link."""
-    rows = nodes.filter("n > 0").select("id", F.explode("bands").alias("key"))
+    rows = nodes.filter("n > 0").select("id", "n", F.explode("bands").alias("key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1")
     members = stage(rows.join(shared, "key"), "buckets")
     mates = members.groupBy("id").agg(F.sum("m").alias("mates"))
-    members = stage(members.join(mates, "id").select("key", "id", "mates"), "members")
-    used = components = None
-    n_hubs = FIRST_HUBS
-    while True:
-        labelled, hubs = _due(members, components, used, n_hubs)
-        hubs = stage(hubs, "hubs")
-        if hubs.isEmpty():
-            return components
-        ends = hubs.select("key", F.col("id").alias("hub"), F.col("component").alias("own"))
-        pairs = labelled.join(ends, "key").filter(F.col("component") != F.col("own"))
-        pairs = stage(pairs.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct(), "pairs")
-        left = stage(plausible(pairs, nodes, percent), "plausible")
-        if components is None or not left.isEmpty():
-            components = _merged(components, stage(confirmed(left, docs, words, percent), "confirmed"))
-        used = stage(hubs.select("key", "id") if used is None else used.union(hubs.select("key", "id")), "used")
-        n_hubs *= MORE_HUBS
+
+    def links(pairs: DataFrame) -> DataFrame:
+        left = stage(plausible(stage(pairs, "pairs"), nodes, percent), "plausible")
+        return stage(confirmed(left, docs, words, percent), "confirmed")
+
+    first = _labelled(members, None)
+    hubs = _hubs(first.join(mates, "id"), F.col("mates"))
+    components = _merged(None, links(_star_pairs(first, hubs, percent)))
+    open_ = stage(undecided(_labelled(members.select("key", "id"), components)), "undecided")
+    if not open_.isEmpty():
+        sets = stage(shingle_sets(with_ids(docs, open_.select(F.col("id").alias("doc_id")), "left_semi"), words), "open-sets")
+        keys = stage(prefixes(sets, percent), "prefixes")
+        known = stage(keys.join(open_, "id"), "keys")
+        probes = known.filter("probes")
+        components = _merged(components, links(_star_pairs(probes, _hubs(probes, F.col("most")), percent)))
+        now = open_.select("id", "probes").join(components, "id", "left").select("id", "probes", F.coalesce("component", "id").alias("component"))
+        components = _merged(components, links(meeting(keys.join(now, "id"), percent)))
+    return components
 
 
 def classes(docs: DataFrame, *, words: int = 5, percent: int = PERCENT) -> DataFrame:
@@ -202,8 +296,7 @@ def classes(docs: DataFrame, *, words: int = 5, percent: int = PERCENT) -> DataF
     ids = own.select(F.col("id").alias("a"))
     several = filled.select("doc_id", "n", "k1", "k2").join(own, ["n", "k1", "k2"]).filter("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
     several = stage(several.join(ids, "a", "left_semi"), "several")
-    if components is None or not several.isEmpty():
-        components = _merged(components, several)
+    components = _merged(components, several)
     named = stage(own.join(components, "id", "left").select("n", "k1", "k2", F.coalesce("component", "id").alias("component")), "named")
     joined = rows.select("doc_id", "n", "k1", "k2").join(named, ["n", "k1", "k2"], "left")
     component: Column = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))

@@ -57,6 +57,41 @@ def test_classes_match_brute_force(spark):
     assert kept == {i for i, (_, c) in brute(rows, 5).items() if i == c}
 
 
+def drifted(rng, size, copies, families=0):
+    """Copies of one text with more and more words of their own; families share some of these."""
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    base, out = [word() for _ in range(size)], []
+    shared = [{k: word() for k in rng.sample(range(size), size // 6)} for _ in range(families)]
+    for c in range(copies):
+        text = list(base)
+        for k, w in (shared[c % families] if families else {}).items():
+            text[k] = w
+        for k in rng.sample(range(size), rng.randrange(size // 5)):
+            text[k] = word()
+        out.append(" ".join(text))
+    return out
+
+
+def test_a_hot_group_of_unlike_copies_matches_brute_force(spark):
+    rng = random.Random(23)
+    rows = list(enumerate(drifted(rng, 90, 260) + drifted(rng, 70, 160, families=8) + [" ".join(f"u{k}-{j}" for j in range(60)) for k in range(30)]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for words in (2, 5):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in nd.classes(docs, words=words).collect()}
+        assert got == brute(rows, words)
+
+
+def test_prefixes_miss_no_alike_pair(spark):
+    rng = random.Random(31)
+    rows = list(enumerate(drifted(rng, 60, 120) + drifted(rng, 40, 60, families=4)))
+    sets = nd.shingle_sets(spark.createDataFrame(rows, "doc_id long, text string"), 2)
+    keys = nd.prefixes(sets, 80).selectExpr("*", "true AS probes", "id AS component")
+    met = {(r.a, r.b) for r in nd.meeting(keys, 80).collect()}
+    full = [shingles(t, 2) for _, t in rows]
+    alike = {(a, b) for b in range(len(full)) for a in range(b) if 100 * len(full[a] & full[b]) >= 80 * len(full[a] | full[b])}
+    assert alike <= met and len(alike) > 100
+
+
 def test_chains_nulls_repeats_and_empty(spark):
     rng = random.Random(5)
     words = [f"w{rng.random()}" for _ in range(130)]
