@@ -159,8 +159,10 @@ def _hubs(members: DataFrame, by: Column) -> DataFrame:
     return top.select("key", (-F.col("top.minus")).alias("id"), "top.n", "top.component")
 
 
-def _merged(components: DataFrame | None, new: DataFrame) -> DataFrame:
+def _merged(components: DataFrame | None, new: DataFrame | None) -> DataFrame | None:
     """(id, component) after ``new`` links; only components that the links join are computed anew."""
+    if new is None or new.isEmpty():
+        return components
     if components is None:
         return stage(connected_components(new).select("id", "component"), "components")
     side = lambda x: components.select(F.col("id").alias(x), F.col("component").alias(f"c{x}"))
@@ -265,9 +267,10 @@ def linked(docs: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataF
     members = stage(rows.join(shared, "key"), "buckets")
     mates = members.groupBy("id").agg(F.sum("m").alias("mates"))
 
-    def links(pairs: DataFrame) -> DataFrame:
-        left = stage(plausible(stage(pairs, "pairs"), nodes, percent), "plausible")
-        return stage(confirmed(left, docs, words, percent), "confirmed")
+    def links(pairs: DataFrame) -> DataFrame | None:
+        pairs = stage(pairs, "pairs")
+        left = pairs if pairs.isEmpty() else stage(plausible(pairs, nodes, percent), "plausible")
+        return None if left.isEmpty() else stage(confirmed(left, docs, words, percent), "confirmed")
 
     first = _labelled(members, None)
     hubs = _hubs(first.join(mates, "id"), F.col("mates"))
@@ -279,7 +282,7 @@ def linked(docs: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataF
         known = stage(keys.join(open_, "id"), "keys")
         probes = known.filter("probes")
         components = _merged(components, links(_star_pairs(probes, _hubs(probes, F.col("most")), percent)))
-        now = open_.select("id", "probes").join(components, "id", "left").select("id", "probes", F.coalesce("component", "id").alias("component"))
+        now = _labelled(open_.select("id", "probes"), components).select("id", "probes", "component")
         components = _merged(components, links(meeting(keys.join(now, "id"), percent)))
     return components
 
@@ -297,6 +300,8 @@ def classes(docs: DataFrame, *, words: int = 5, percent: int = PERCENT) -> DataF
     several = filled.select("doc_id", "n", "k1", "k2").join(own, ["n", "k1", "k2"]).filter("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
     several = stage(several.join(ids, "a", "left_semi"), "several")
     components = _merged(components, several)
+    if components is None:
+        components = several.selectExpr("a AS id", "a AS component").limit(0)
     named = stage(own.join(components, "id", "left").select("n", "k1", "k2", F.coalesce("component", "id").alias("component")), "named")
     joined = rows.select("doc_id", "n", "k1", "k2").join(named, ["n", "k1", "k2"], "left")
     component: Column = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
