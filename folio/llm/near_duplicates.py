@@ -10,9 +10,8 @@
 4. What is left are pairs of a bucket in different components, thousands a node in a large group of
    copies that have drifted apart. Their nodes are banded once more, now without any miss: by the
    rarest of their shingles, as many as two alike sets can't all miss (prefix filter), and by the
-   place of the first shared one. Again a star for each such shingle first, then all pairs that are
-   left; only an end outside its buckets' largest component probes. Copies with changes of their own
-   don't meet this way, however many they are.
+   place of the first shared one. Only an end outside its buckets' largest component probes. Copies
+   with changes of their own don't meet this way, however many they are.
 5. A pair from 3 or 4 is verified batch by batch of its signatures' low bytes: with ``m`` of ``n`` equal
    it is dropped as soon as the posterior probability of a similarity of at least the threshold is
    under ``MISS``. Survivors are confirmed on their full sets: 100 * intersection >= 80 * union.
@@ -134,10 +133,13 @@ def plausible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return joined.mapInArrow(compare, "a long, b long")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs whose full sets are similar enough. Only the texts of nodes in ``pairs`` are read again."""
-    ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = stage(shingle_sets(with_ids(docs, ends, "left_semi"), words), "sets")
+def sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """doc_id and ``_set`` of the documents whose ids are in the first column of ``ids``; only their texts are cut again."""
+    return stage(shingle_sets(with_ids(docs, ids.toDF("doc_id"), "left_semi"), words), "sets")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose full sets are similar enough."""
     side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("_set").alias(f"set{x}"))
     joined = pairs.join(side("a"), "a").join(side("b"), "b")
     both = F.size(F.array_intersect("seta", "setb"))
@@ -267,23 +269,23 @@ def linked(docs: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataF
     members = stage(rows.join(shared, "key"), "buckets")
     mates = members.groupBy("id").agg(F.sum("m").alias("mates"))
 
-    def links(pairs: DataFrame) -> DataFrame | None:
+    def links(pairs: DataFrame, sets: DataFrame | None = None) -> DataFrame | None:
         pairs = stage(pairs, "pairs")
         left = pairs if pairs.isEmpty() else stage(plausible(pairs, nodes, percent), "plausible")
-        return None if left.isEmpty() else stage(confirmed(left, docs, words, percent), "confirmed")
+        if left.isEmpty():
+            return None
+        if sets is None:
+            sets = sets_of(docs, left.select("a").union(left.select("b")).distinct(), words)
+        return stage(confirmed(left, sets, percent), "confirmed")
 
     first = _labelled(members, None)
     hubs = _hubs(first.join(mates, "id"), F.col("mates"))
     components = _merged(None, links(_star_pairs(first, hubs, percent)))
     open_ = stage(undecided(_labelled(members.select("key", "id"), components)), "undecided")
     if not open_.isEmpty():
-        sets = stage(shingle_sets(with_ids(docs, open_.select(F.col("id").alias("doc_id")), "left_semi"), words), "open-sets")
-        keys = stage(prefixes(sets, percent), "prefixes")
-        known = stage(keys.join(open_, "id"), "keys")
-        probes = known.filter("probes")
-        components = _merged(components, links(_star_pairs(probes, _hubs(probes, F.col("most")), percent)))
-        now = _labelled(open_.select("id", "probes"), components).select("id", "probes", "component")
-        components = _merged(components, links(meeting(keys.join(now, "id"), percent)))
+        sets = sets_of(docs, open_.select("id"), words)
+        rows = stage(prefixes(sets, percent).join(open_, "id"), "prefixes")
+        components = _merged(components, links(meeting(rows, percent), sets))
     return components
 
 
