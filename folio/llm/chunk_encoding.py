@@ -31,7 +31,16 @@ LONGEST_REMEMBERED = 256
 #: pretokens, which recur far more often than chunks do. The classes of these characters
 #: are the same in every version of Unicode. Other chunks go through the library's whole chain.
 LETTERS = "A-Za-zÀ-ÖØ-öø-įĲ-ňŊ-ɏ"
-PLAIN = re.compile(f"[\\n -~{LETTERS}]*")
+
+def _plain(lowered: bool) -> re.Pattern:
+    """Texts of printable ASCII, line feeds and LETTERS; if they are ``lowered`` first, only of the
+    letters whose lower case is one of LETTERS too."""
+    letters = [c for c in map(chr, range(0x80, 0x250)) if re.fullmatch(f"[{LETTERS}]", c)]
+    fine = [c for c in letters if not lowered or re.fullmatch(f"[{LETTERS}]", c.lower())]
+    return re.compile(f"[\\n -~{''.join(fine)}]*")
+
+
+PLAIN = {"leading": _plain(False), "removed": _plain(True)}
 PRETOKENS = {
     "leading": re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{LETTERS}]+| ?[0-9]+| ?[^\s0-9{LETTERS}]+|\s+(?!\S)|\s+"),
     "removed": re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[{LETTERS}]+|[0-9]|[^\s0-9{LETTERS}]+"),
@@ -78,13 +87,13 @@ class ChunkEncoder:
         return array(self.type_code, [t.id for t in self.model.tokenize(_as_bytes(pretoken))]).tobytes()
 
     def _encode(self, chunk: str) -> bytes:
-        if self.cut != "whole" and PLAIN.fullmatch(chunk):
+        if self.cut != "whole" and PLAIN[self.cut].fullmatch(chunk):
             pretokens = PRETOKENS[self.cut].findall(chunk.lower() if self.cut == "removed" else chunk)
             return b"".join(map(self._pretoken.__getitem__, pretokens))
         return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def _encode_spans(self, chunk: str) -> tuple[bytes, int, int]:
-        if self.cut == "leading" and chunk.isascii() and PLAIN.fullmatch(chunk):  # a character is a byte: a token is as long as its letters
+        if self.cut == "leading" and chunk.isascii() and PLAIN[self.cut].fullmatch(chunk):  # a character is a byte: a token is as long as its letters
             rows, at = array("i"), 0
             for pretoken in PRETOKENS[self.cut].findall(chunk):
                 for t in self.model.tokenize(_as_bytes(pretoken)):

@@ -15,7 +15,7 @@ differences in double precision, ties go to the smaller vec_id.
 
 Vectors that are null, zero, of another dimension than most (the smaller one if equal), or that hold null or
 non-finite components take no part, nor do rows with a null vec_id. Repeated rows are candidates as
-often as they come, and one query. Empty tables give no rows; other columns are ignored.
+often as they come, and one query (of different vectors with one vec_id, the smallest in order). Empty tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -175,7 +175,8 @@ def nearest(table: DataFrame, is_query: Column, k: int = 10, target: float = TAR
     rows = rows.filter(F.size("vector") == wide)
     taken = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toPandas()
     x = np.stack(taken["vector"].to_numpy())
-    tree = fit_tree(x, max(4, round(LEAF_ROWS * len(x) / n)))
+    apart = CALIBRATION if len(x) > 8 * CALIBRATION else 0  # vectors to calibrate with aren't fitted to
+    tree = fit_tree(x[apart:], max(4, round(LEAF_ROWS * len(x) / n)))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -207,13 +208,15 @@ def nearest(table: DataFrame, is_query: Column, k: int = 10, target: float = TAR
             names = ["query_id", "leaf", "part", "q"]
             yield pa.RecordBatch.from_arrays([*_table(out, names[:3], [pa.int64(), pa.int32(), pa.int32()]), batch.column(1).take(pa.array(source, pa.int64()))], names)
 
-    queries = placed.filter(is_query).select("vec_id", "vector").dropDuplicates(["vec_id"])
+    queries = placed.filter(is_query).groupBy("vec_id").agg(F.min("vector").alias("vector"))
     asked = queries.mapInArrow(visit, "query_id long, leaf int, part int, q array<double>")
-    split = [(leaf, p) for leaf, p in parts.items() if p > 1]
-    whole = F.lit(0)
-    for leaf, p in split:  # leaves over CELL_ROWS rows
-        whole = F.when(F.col("leaf") == leaf, F.pmod(F.xxhash64("vec_id"), F.lit(p)).cast("int")).otherwise(whole)
-    cells = placed.withColumn("part", whole)
+    split = [(leaf, p) for leaf, p in parts.items() if p > 1]  # leaves over CELL_ROWS rows
+    if split:
+        more = table.sparkSession.createDataFrame(split, "leaf int, parts int")  # at most SAMPLE rows
+        part = F.when(F.col("parts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))
+        cells = placed.join(F.broadcast(more), "leaf", "left").select("vec_id", "vector", "leaf", part.alias("part"))
+    else:
+        cells = placed.withColumn("part", F.lit(0))
 
     def search(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         found = []

@@ -4,8 +4,9 @@ Document rules: too few words, too many words in repeated three-word windows (th
 document by themselves), too many symbols, too many repeated lines. A host's failure rate counts
 the documents that fail any rule. Rates of hosts with few documents say little, so each is shrunk:
 a beta prior is fitted to the rates of all hosts (method of moments), and the posterior mean is the
-host's rate. On a host whose rate is over ``distrust`` a document that fails any rule goes; a
-document that fails none stays wherever it comes from.
+host's rate. A host is distrusted if its rate is over ``distrust``, or lies more than ``certainty``
+standard deviations of its posterior over the prior's mean: it fails more often than hosts do. There
+a document that fails any rule goes; a document that fails none stays wherever it comes from.
 
 Only counts are aggregated (partial sums before the shuffle, whatever the host's share of the
 rows). Distrusted hosts are broadcast if there are at most ``broadcast_hosts``; more are joined by
@@ -27,6 +28,8 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 MAX_SYMBOL_PERCENT = 10  # of word characters
 MAX_DUP_LINE_PERCENT = 30
+DISTRUST = 0.5
+CERTAINTY = 1.0
 
 
 def rule_failures() -> dict:
@@ -48,7 +51,7 @@ def judged(docs: DataFrame, host: str = "source") -> DataFrame:
     return with_counts(docs).withColumn("_judged", flags)
 
 
-def host_verdicts(rows: DataFrame, distrust: float = 0.5) -> DataFrame:
+def host_verdicts(rows: DataFrame, distrust: float = DISTRUST, certainty: float = CERTAINTY) -> DataFrame:
     """One row for each host: n_docs, n_failed, rate (shrunk) and distrusted."""
     hosts = rows.groupBy(F.col("_judged.host").alias("host")).agg(F.count("*").alias("n_docs"), F.sum(F.col("_judged.any_failed").cast("long")).alias("n_failed"))
     hosts = stage(hosts, "hosts")
@@ -58,7 +61,10 @@ def host_verdicts(rows: DataFrame, distrust: float = 0.5) -> DataFrame:
     weight = F.when(F.col("v") > 0, F.least(F.lit(1000.0), F.greatest(F.lit(1.0), F.col("m") * (1 - F.col("m")) / F.col("v") - 1))).otherwise(F.lit(1000.0))
     prior = prior.select("m", weight.alias("w"))  # one row
     rate = (F.col("n_failed") + F.col("m") * F.col("w")) / (F.col("n_docs") + F.col("w"))
-    return hosts.join(F.broadcast(prior)).select("host", "n_docs", "n_failed", rate.alias("rate"), (rate > distrust).alias("distrusted"))
+    rated = hosts.join(F.broadcast(prior)).withColumn("rate", rate)
+    spread = F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.col("n_docs") + F.col("w") + 1))
+    worse = (F.col("rate") > distrust) | (F.col("rate") - F.col("m") > certainty * spread)
+    return rated.select("host", "n_docs", "n_failed", "rate", worse.alias("distrusted"))
 
 
 def with_verdicts(rows: DataFrame, verdicts: DataFrame, *, broadcast_hosts: int = 100_000, salts: int = 32) -> DataFrame:
@@ -72,17 +78,19 @@ def with_verdicts(rows: DataFrame, verdicts: DataFrame, *, broadcast_hosts: int
     return joined.withColumn("kept", ~lost).drop("_host", "_key", "_salt")
 
 
-def quality_report(docs: DataFrame, distrust: float = 0.5) -> DataFrame:
+def quality_report(docs: DataFrame, **limits: float) -> DataFrame:
     """doc_id, host, the counts, base_failed, any_failed and kept of every document."""
     rows = stage(judged(docs.select("doc_id", "text", "source")).select("doc_id", "_counts", "_judged"), "judged")
-    got = with_verdicts(rows, host_verdicts(rows, distrust))
+    got = with_verdicts(rows, host_verdicts(rows, **limits))
     return got.select("doc_id", "_counts.*", F.col("_judged.host").alias("host"), F.col("_judged.base_failed").alias("base_failed"), F.col("_judged.any_failed").alias("any_failed"), "kept")
 
 
-def keep_good_documents(docs: DataFrame, distrust: float = 0.5) -> DataFrame:
-    """The documents that the rules keep, with their own columns."""
-    rows = judged(docs)
-    verdicts = stage(host_verdicts(rows, distrust), "verdicts")
-    columns = [f"_doc.`{c}`" for c in docs.columns]
-    packed = judged(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), "text", "source"))
-    return with_verdicts(packed, verdicts).filter("kept").select(*columns)
+def keep_good_documents(docs: DataFrame, **limits: float) -> DataFrame:
+    """The documents that the rules keep, with their own columns.
+
+    The documents are stored with their flags in between, so each text is counted once.
+    """
+    columns = [F.col(f"_doc.`{c}`") for c in docs.columns]
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), "text", "source")
+    rows = stage(judged(packed).select("_doc", "_judged"), "judged")
+    return with_verdicts(rows, host_verdicts(rows, **limits)).filter("kept").select(*columns)

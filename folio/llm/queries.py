@@ -23,7 +23,8 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan(documents(spark, sf_dir), secrets.train(secrets.labelled_samples(spark)))
+    docs = documents(spark, sf_dir)
+    return secrets.scan(docs, *secrets.fit(spark, docs))
 
 
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

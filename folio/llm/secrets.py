@@ -6,10 +6,12 @@ characters). Matches are leftmost and do not overlap within a kind; a match that
 dropped after it was consumed.
 
 Further spans, ``random``, come from two character Markov models of first order, one of random
-strings and one of ordinary identifiers, trained from labelled samples. Base spans are cut out of
-the runs of 20 or more key characters; in each piece that is left, each segment of at least 20 characters whose log-likelihood
-ratio of the two models is over ``THRESHOLD`` nats is one: ordinary characters before or after a key
-don't weigh against it. A segment ends where the ratio has fallen by ``THRESHOLD`` from its best, so
+strings and one of ordinary identifiers, trained from labelled samples (``fit``): random strings made
+by rule, ordinary ones composed of words of the corpus and of programs. Base spans are cut out of
+the runs of ``LEAST_RUN`` or more key characters; in each piece that is left, each segment of at least so many
+characters whose log-likelihood ratio of the two models is over a threshold (in nats; ``fit`` takes the one that
+``FALSE_RATE`` of held-out ordinary strings pass, ``THRESHOLD`` is the default) is one: ordinary characters before or after a key
+don't weigh against it. A segment ends where the ratio has fallen by the threshold from its best, so
 a run can hold several. It is widened to the separators around it, or to the ends of the piece.
 
 Spans count code points, the end is exclusive. Nulls: a null text is empty and has no spans.
@@ -29,15 +31,18 @@ KINDS = ("assign", "access", "hex", "random")
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"  # the run goes on to its end, so this drops what is too short
 HEX = r"[0-9a-f]{24,}"
-RUN = r"[A-Za-z0-9+/_=-]{20,}"
+RUN = r"[A-Za-z0-9+/_=-]{16,}"
 LEAST_VALUE = 6
-LEAST_RUN = 20
+LEAST_RUN = 16
 SEPARATORS = "+/_=-"
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 SAMPLES = 4_000
+#: Words of the corpus, at most, of which ordinary strings are composed, and held-out ordinary strings.
+WORDS, HELD_OUT = 2_000, 4_000
+FALSE_RATE = 0.001
 THRESHOLD = 15.0
-#: Parts of ordinary identifiers and of long words, from which the sample of that label is composed.
+#: Parts of the identifiers of programs.
 PARTS = """
 account action address array async author batch block buffer button cache call check class click client close code
 color column command commit config connect content context control count create current customer data date debug
@@ -50,17 +55,29 @@ product profile project property provider query range read record register remov
 response result return role route row sample schema screen search select server service session setting shape size
 sort source stack start state status step stop storage string style system table target task template test text
 thread time title token total transaction type update user validate value vector version view visible width window
-write zone tion ment ness able ting ered ther hand thon ent ing ier eau elle ung heit keit sch lich ver ein zu ado
-cion mente ando ar er ir es os as th he an in on at or en nd st re ou ea ti ha
+write zone
 """.split()
 
 
-def labelled_samples(spark: SparkSession, n: int = SAMPLES) -> DataFrame:
-    """Strings of key characters with label 1 (random) or 0 (ordinary), ``n`` of each, by rule."""
-    ids = spark.range(n).select("id")
+def corpus_words(docs: DataFrame, most: int = WORDS) -> list[str]:
+    """Words of 3 to 14 letters of a-z that occur at least twice, ``most`` by the order of their hash."""
+    words = docs.select(F.explode(F.split(F.lower(F.translate(whole_text(), "\n\t.,;:!?", " " * 8)), " ")).alias("word")).filter(F.col("word").rlike("^[a-z]{3,14}$"))
+    often = words.groupBy("word").agg(F.count("*").alias("n")).filter("n > 1")
+    return [r["word"] for r in often.orderBy(F.xxhash64("word"), "word").limit(most).collect()]
+
+
+def labelled_samples(spark: SparkSession, n: int = SAMPLES, words: list[str] | None = None, first: int = 0) -> DataFrame:
+    """Strings of key characters with label 1 (random) or 0 (ordinary), ``n`` of each, by rule.
+
+    Half of the ordinary ones are composed of ``words``, if there are any; ``first`` is the number of the first string.
+    """
+    ids = spark.range(first, first + n).select("id")
+    sources = [F.split(F.lit(" ".join(w)), " ") for w in (PARTS, words or PARTS)]
+    sizes = [len(PARTS), len(words or PARTS)]
     digest = F.sha2(F.concat(F.lit("sample-"), F.col("id").cast("string")), 256)
     base64 = F.regexp_replace(F.base64(F.unhex(digest)), "=", "")
-    word = lambda k: F.element_at(F.split(F.lit(" ".join(PARTS)), " "), (F.pmod(F.xxhash64("id", F.lit(k)), F.lit(len(PARTS))) + 1).cast("int"))
+    drawn = lambda k, s: F.get(sources[s], F.pmod(F.xxhash64("id", F.lit(k)), F.lit(sizes[s])).cast("int"))
+    word = lambda k: F.when(F.pmod(F.floor(F.col("id") / 8), F.lit(2)) == 0, drawn(k, 0)).otherwise(drawn(k, 1))
     words = [word(k) for k in range(5)]
     random = ids.select(F.when(F.col("id") % 4 == 0, digest).when(F.col("id") % 4 == 1, F.upper(F.conv(F.substring(digest, 1, 15), 16, 36))).when(F.col("id") % 4 == 2, F.regexp_replace(base64, "[+/]", "_")).otherwise(base64).alias("text"), F.lit(1).alias("label"))
     snake, camel = F.concat_ws("_", *words), F.concat(words[0], *[F.initcap(w) for w in words[1:]])
@@ -91,6 +108,30 @@ def train(samples: DataFrame) -> list[float]:
     return [round(math.log(counts[1][p] / sums[1][p // wide]) - math.log(counts[0][p] / sums[0][p // wide]), 4) for p in range(wide * wide)]
 
 
+def best_segment(text: str, model: list[float]) -> float:
+    """The largest log ratio of a segment of LEAST_RUN characters or more of a string; minus infinity if it is shorter."""
+    wide = len(ALPHABET) + 1
+    codes = [ALPHABET.find(c) + 1 for c in text]
+    sums = [0.0]
+    for a, b in zip(codes, codes[1:]):
+        sums.append(sums[-1] + model[a * wide + b])
+    best = low = float("inf")
+    best = -best
+    for k in range(LEAST_RUN - 1, len(sums)):
+        low = min(low, sums[k - LEAST_RUN + 1])
+        best = max(best, sums[k] - low)
+    return best
+
+
+def fit(spark: SparkSession, docs: DataFrame) -> tuple[list[float], float]:
+    """The model and its threshold: ``FALSE_RATE`` of ``HELD_OUT`` ordinary strings that weren't trained on score over it."""
+    words = corpus_words(docs)
+    model = train(labelled_samples(spark, words=words))
+    held = labelled_samples(spark, HELD_OUT, words, first=SAMPLES).filter("label = 0").select("text").collect()
+    scores = sorted((best_segment(r["text"], model) for r in held), reverse=True)
+    return model, max(1.0, round(scores[int(FALSE_RATE * len(scores))], 4))
+
+
 def log_ratio(text: Column, model: list[float]) -> Column:
     """Log-likelihood ratio of a string: random against ordinary."""
     wide = len(ALPHABET) + 1
@@ -112,8 +153,8 @@ def _bound(value: Column, f) -> Column:
     return F.element_at(F.transform(F.array(value), f), 1)
 
 
-def _segments(steps: Column) -> Column:
-    """Structs (a, b) of the segments of LEAST_RUN characters or more that score over THRESHOLD, from one scan.
+def _segments(steps: Column, threshold: float) -> Column:
+    """Structs (a, b) of the segments of LEAST_RUN characters or more that score over the threshold, from one scan.
 
     ``sum`` is the ratio since ``base``, ``lag`` the same LEAST_RUN - 1 transitions ago and ``low`` the
     least ``lag``, so ``sum - low`` is the best score of a segment that ends here and is long enough.
@@ -124,7 +165,7 @@ def _segments(steps: Column) -> Column:
     zero, none = F.lit(0.0), F.array().cast("array<struct<a:int,b:int>>")
     state = lambda base, n, sum, lag, low, low_at, peak, a, b, out: F.struct(*[c.alias(k) for k, c in {"base": base, "n": n, "sum": sum, "lag": lag, "low": low, "low_at": low_at, "peak": peak, "a": a, "b": b, "out": out}.items()])
     fresh = lambda base, out: state(base, F.lit(0), zero, zero, zero, base, zero, F.lit(0), F.lit(0), out)
-    found = lambda s: F.when(s["peak"] > THRESHOLD, F.concat(s["out"], F.array(F.struct(s["a"].alias("a"), s["b"].alias("b"))))).otherwise(s["out"])
+    found = lambda s: F.when(s["peak"] > threshold, F.concat(s["out"], F.array(F.struct(s["a"].alias("a"), s["b"].alias("b"))))).otherwise(s["out"])
 
     def moved(s: Column, x: Column) -> Column:
         n = s["n"] + 1
@@ -139,7 +180,7 @@ def _segments(steps: Column) -> Column:
         def done(t: Column) -> Column:
             at = s["base"] + t["n"]
             best = (t["n"] >= back) & (t["score"] > s["peak"])
-            ended = (s["peak"] > THRESHOLD) & (s["peak"] - t["score"] > THRESHOLD)
+            ended = (s["peak"] > threshold) & (s["peak"] - t["score"] > threshold)
             on = state(s["base"], t["n"], t["sum"], t["lag"], t["low"], t["low_at"], F.when(best, t["score"]).otherwise(s["peak"]), F.when(best, t["low_at"]).otherwise(s["a"]), F.when(best, at + 1).otherwise(s["b"]), s["out"])
             return F.when(ended, fresh(at, found(s))).otherwise(on)
 
@@ -148,7 +189,7 @@ def _segments(steps: Column) -> Column:
     return F.aggregate(pairs, fresh(F.lit(0), none), step, found)
 
 
-def _random(piece: Column, model: list[float]) -> Column:
+def _random(piece: Column, model: list[float], threshold: float) -> Column:
     """Spans of the segments in a struct (start, text, k), widened to the separators around them."""
 
     def span(text: Column, start: Column, k: Column, s: Column) -> Column:
@@ -157,7 +198,7 @@ def _random(piece: Column, model: list[float]) -> Column:
         right = F.length(F.substring_index(F.substring(plain, s["b"] + 1, F.length(plain)), " ", 1))
         return F.struct((start + s["a"] - left).alias("start"), F.lit(3).alias("kind"), (start + s["b"] + right).alias("end"), k.alias("k"))
 
-    segments = _bound(_bound(_codes(piece["text"]), lambda c: _steps(c, model)), _segments)
+    segments = _bound(_bound(_codes(piece["text"]), lambda c: _steps(c, model)), lambda x: _segments(x, threshold))
     return F.transform(segments, lambda s: span(piece["text"], piece["start"], piece["k"], s))
 
 
@@ -189,16 +230,19 @@ def _spans(kind: int, prefix: str, value: str | None = None) -> Column:
     return F.aggregate(positions, begin, step, lambda s: s["out"])
 
 
-def with_spans(docs: DataFrame, model: list[float]) -> DataFrame:
-    """Adds ``_base`` and ``_spans``: sorted arrays of (start, kind, end, k), kind an index of KINDS."""
-    own = [f"`{c}`" for c in docs.columns if c not in ("_base", "_spans")]
-    step = docs.select(*own, whole_text().alias("_text"))
+def with_spans(docs: DataFrame, model: list[float], threshold: float = THRESHOLD) -> DataFrame:
+    """Adds ``_base`` and ``_spans``: sorted arrays of (start, kind, end, k), kind an index of KINDS.
+
+    Columns of these names are replaced; the others travel in one struct, so no name can clash.
+    """
+    own = F.struct(F.lit(0).alias("_none"), *[F.col(f"`{c}`") for c in docs.columns if c not in ("_base", "_spans")]).alias("_own")
+    step = docs.select(own, whole_text().alias("_text"))
     step = step.select("*", *_found(ASSIGN, (2, 3), "_a"), *_found(ACCESS, (2,), "_k"), *_found(HEX, (2,), "_h"), *_found(RUN, (2,), "_r"))
-    step = step.select(*own, "_r2", _spans(0, "_a", "_a3").alias("_sa"), _spans(1, "_k").alias("_sk"), _spans(2, "_h").alias("_sh"), _spans(3, "_r").alias("_sr"))
-    step = step.select(*own, "_r2", "_sr", F.sort_array(F.concat("_sa", "_sk", "_sh")).alias("_base"))
+    step = step.select("_own", "_r2", _spans(0, "_a", "_a3").alias("_sa"), _spans(1, "_k").alias("_sk"), _spans(2, "_h").alias("_sh"), _spans(3, "_r").alias("_sr"))
+    step = step.select("_own", "_r2", "_sr", F.sort_array(F.concat("_sa", "_sk", "_sh")).alias("_base"))
     pieces = F.flatten(F.transform("_sr", lambda r: _beside(r, F.get("_r2", r["k"]))))
-    random = F.flatten(F.transform(pieces, lambda p: _random(p, model)))
-    return step.select(*own, "_base", F.sort_array(F.concat("_base", random)).alias("_spans"))
+    random = F.flatten(F.transform(pieces, lambda p: _random(p, model, threshold)))
+    return step.select("_own", "_base", F.sort_array(F.concat("_base", random)).alias("_spans")).select(*[F.col(f"_own.`{c}`") for c in docs.columns if c not in ("_base", "_spans")], "_base", "_spans")
 
 
 def _beside(run: Column, text: Column) -> Column:
@@ -218,19 +262,19 @@ def _joined(spans: str) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(kinds, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def scan(docs: DataFrame, model: list[float]) -> DataFrame:
+def scan(docs: DataFrame, model: list[float], threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, counts of the base kinds, base_sha256, spans and n_random of every document."""
-    rows = with_spans(docs.select("doc_id", "text"), model)
+    rows = with_spans(docs.select("doc_id", "text"), model, threshold)
     count = lambda k, name: F.size(F.filter("_spans", lambda s: s["kind"] == k)).cast("long").alias(name)
     return rows.select("doc_id", *[count(k, f"n_{name}") for k, name in enumerate(KINDS)], F.sha2(_joined("_base"), 256).alias("base_sha256"), _joined("_spans").alias("spans"))
 
 
-def redact(docs: DataFrame, model: list[float], mask: str = "[secret]") -> DataFrame:
+def redact(docs: DataFrame, model: list[float], threshold: float = THRESHOLD, mask: str = "[secret]") -> DataFrame:
     """The documents with every span replaced by ``mask``; a column n_chars follows the new text.
 
     Documents without spans stay as they are, null texts too.
     """
-    rows = with_spans(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), "text"), model)
+    rows = with_spans(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), "text"), model, threshold)
     begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(s: Column, x: Column) -> Column:

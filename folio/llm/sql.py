@@ -16,7 +16,8 @@ r AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
 h AS (SELECT host, count(*) AS n, count(*) FILTER (any_failed) AS f FROM r GROUP BY host),
 m AS (SELECT avg(f / n) AS m, var_pop(f / n) AS v FROM h),
 b AS (SELECT m, CASE WHEN v > 0 THEN least(1000.0, greatest(1.0, m * (1 - m) / v - 1)) ELSE 1000.0 END AS w FROM m),
-q AS (SELECT host, (f + m * w) / (n + w) > 0.5 AS distrusted FROM h, b)
+o AS (SELECT host, n, m, w, (f + m * w) / (n + w) AS rate FROM h, b),
+q AS (SELECT host, rate > 0.5 OR rate - m > 1.0 * sqrt(rate * (1 - rate) / (n + w + 1)) AS distrusted FROM o)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
   n_repeat_words::BIGINT AS n_repeat_words, base_failed, NOT (base_failed OR (distrusted AND any_failed)) AS kept
 FROM r JOIN q USING (host)

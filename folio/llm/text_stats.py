@@ -32,8 +32,9 @@ def with_counts(docs: DataFrame, more: bool = False) -> DataFrame:
     A column that feeds several expressions, or one inside a lambda, gets a projection of its own:
     it is then computed once a row.
     """
-    own = [f"`{c}`" for c in docs.columns if c != "_counts"]
-    step = docs.select(*own, whole_text().alias("_text"))
+    own = [c for c in docs.columns if c != "_counts"]
+    # in one struct, so that no name can clash with the columns made here
+    step = docs.select(F.struct(F.lit(0).alias("_none"), *[F.col(f"`{c}`") for c in own]).alias("_own"), whole_text().alias("_text"))
     lines = F.filter(F.split("_text", "\n"), lambda x: F.length(F.translate(x, BLANKS, "")) > 0)
     step = step.select("*", F.regexp_extract_all("_text", F.lit(WORD), F.lit(0)).alias("_words"), lines.alias("_lines"))
     window = F.transform(F.sequence(F.lit(0), F.size("_words") - 3), lambda i: F.xxhash64(F.get("_words", i), F.get("_words", i + 1), F.get("_words", i + 2)))
@@ -65,4 +66,5 @@ def with_counts(docs: DataFrame, more: bool = False) -> DataFrame:
             "n_distinct_windows": F.col("_n_windows"),
             "n_chars_all": F.length("_text"),
         }
-    return step.select(*own, computed_once(F.struct(*[c.cast("long").alias(n) for n, c in counts.items()])).alias("_counts"))
+    step = step.select("_own", computed_once(F.struct(*[c.cast("long").alias(n) for n, c in counts.items()])).alias("_counts"))
+    return step.select(*[F.col(f"_own.`{c}`") for c in own], "_counts")

@@ -1,7 +1,7 @@
 """Operator 1: token ids in Arrow stream files with fixed-size lists.
 
 Each shard of the corpus is one file in the Arrow stream format. A row is a sequence of
-``seq_len`` ids with a mask of the same length (false: padding, only at a shard's end); every batch
+``seq_len`` ids with a mask of the same length (a byte each: 1, or 0 for padding, only at a shard's end); every batch
 but the last has ``batch_rows`` rows, so sequence ``i`` is row ``i % batch_rows`` of batch
 ``i // batch_rows`` and position ``p`` of the shard is item ``p % seq_len`` of sequence
 ``p // seq_len``: a memory-mapped file answers without copying. A second stream file lists the
@@ -34,7 +34,7 @@ DOCS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa
 
 
 def sequences_schema(dtype: np.dtype, seq_len: int) -> pa.Schema:
-    return pa.schema([("ids", pa.list_(pa.from_numpy_dtype(dtype), seq_len)), ("mask", pa.list_(pa.bool_(), seq_len))])
+    return pa.schema([("ids", pa.list_(pa.from_numpy_dtype(dtype), seq_len)), ("mask", pa.list_(pa.uint8(), seq_len))])
 
 
 class ShardWriter:
@@ -70,7 +70,7 @@ class ShardWriter:
         rows = -(-len(ids) // self.seq_len)
         full = np.zeros(rows * self.seq_len, self.dtype)
         full[: len(ids)] = ids
-        mask = np.arange(len(full)) < len(ids)
+        mask = (np.arange(len(full)) < len(ids)).astype(np.uint8)
         columns = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.seq_len) for x in (full, mask)]
         self.tokens.write_batch(pa.RecordBatch.from_arrays(columns, schema=self.schema))
 
@@ -96,13 +96,13 @@ class TokenShard:
         first = self.batches[0]
         self.seq_len = first.schema.field("ids").type.list_size
         self.batch_rows = first.num_rows
-        self.flat = [b.column(0).flatten().to_numpy(zero_copy_only=True) for b in self.batches]
+        self.flat, self.masks = ([b.column(k).flatten().to_numpy(zero_copy_only=True) for b in self.batches] for k in (0, 1))
 
     def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids (a view of the file) and mask of sequence ``i``."""
+        """Ids and mask of sequence ``i``, both views of the file."""
         batch, row = divmod(i, self.batch_rows)
-        mask = self.batches[batch].column(1).slice(row, 1).flatten().to_numpy(zero_copy_only=False)
-        return self.flat[batch][row * self.seq_len : (row + 1) * self.seq_len], mask
+        own = slice(row * self.seq_len, (row + 1) * self.seq_len)
+        return self.flat[batch][own], self.masks[batch][own]
 
     def views(self, start: int, n: int) -> Iterator[np.ndarray]:
         """The ids from position ``start`` on as views, one for each batch that they touch."""

@@ -56,3 +56,13 @@ def test_an_odd_dimension_with_the_lowest_hash_loses_no_others(spark):
     odd = [(ids[0].id, [1.0, 2.0, 3.0, 4.0], "")]
     got = [nn.nearest(table(spark, rows), F.col("vec_id") % 100 == 0).collect() for rows in (fine, fine + odd)]
     assert len(got[0]) == 3 and sorted(map(tuple, got[0])) == sorted(map(tuple, got[1]))
+
+
+def test_many_split_leaves_and_mixed_dimensions(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    x = np.repeat(rng.normal(size=(2100, 4)), 3, axis=0)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(10_000, [1.0, 2.0])]
+    monkeypatch.setattr(nn, "CELL_ROWS", 2)
+    monkeypatch.setattr(nn, "LEAF_ROWS", 3)
+    got = nn.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 700 == 0, k=2).collect()
+    assert len(got) == 2 * 9 and all(r.score == 0 and r.vec_id // 3 == r.query_id // 3 for r in got)

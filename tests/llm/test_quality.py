@@ -44,6 +44,23 @@ def test_report_and_filter(spark):
     assert qr.quality_report(table(spark).limit(0)).collect() == [] and qr.keep_good_documents(table(spark).limit(0)).collect() == []
 
 
+def test_a_host_that_fails_more_often_than_others_is_distrusted(spark):
+    clean, symbols = " ".join(f"w{i}" for i in range(60)), " ".join(f"### w{i}" for i in range(60))
+    rows = [(1000 * h + i, symbols if i < (40 if h == 3 else 8) else clean, f"host{h}") for h in range(6) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = qr.quality_report(docs).collect()
+    assert not any(r.base_failed for r in got)
+    assert {r.doc_id for r in got if not r.kept} == {3000 + i for i in range(40)}
+
+
+def test_clashing_names(spark):
+    names = ["_text", "_words", "_lines", "_windows", "_sorted", "_starts", "_own", "_doc", "_judged", "_counts", "_host", "_key", "_salt"]
+    docs = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(60)), "s", *names)], ["doc_id", "text", "source", *names])
+    got = qr.keep_good_documents(docs)
+    assert got.columns == docs.columns and tuple(got.first()) == tuple(docs.first())
+    assert with_counts(docs).first()["_words"] == "_words"
+
+
 @pytest.mark.parametrize("limit", [100_000, 0])
 def test_a_distrusted_host_loses_only_what_fails(spark, limit):
     clean, symbols, short = " ".join(f"w{i}" for i in range(60)), " ".join(f"### w{i}" for i in range(60)), "x"

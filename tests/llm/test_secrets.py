@@ -99,3 +99,33 @@ def test_what_base_spans_leave_of_a_run_is_scored(spark, model):
         assert got[i].base_sha256 == hashlib.sha256(joined(brute(text)).encode()).hexdigest()
     for r in secrets.redact(docs, model).collect():
         assert RANDOM not in r.text and RANDOM[::-1] not in r.text
+
+
+def test_fitted_threshold(spark):
+    import random
+
+    rng = random.Random(4)
+    vocabulary = ["".join(rng.choice(["tion", "the", "an", "er", "ou", "st", "re"]) for _ in range(3)) for _ in range(300)]
+    key = lambda n: "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=n))
+    plain = [" ".join(rng.choices(vocabulary, k=80)) + " " + "".join(rng.choices(vocabulary, k=2)) for _ in range(60)]
+    keys = [key(n) for n in (18, 20, 24, 32) for _ in range(10)]
+    texts = plain + [f"{plain[k]} {x} {plain[k + 1]}" for k, x in enumerate(keys)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model, threshold = secrets.fit(spark, docs)
+    got = {r.doc_id: r for r in secrets.scan(docs, model, threshold).collect()}
+    assert sum(got[i].n_random for i in range(len(plain))) == 0
+    found = sum(got[len(plain) + k].spans == f"random:{texts[len(plain) + k].index(x)}:{texts[len(plain) + k].index(x) + len(x)}" for k, x in enumerate(keys))
+    assert found >= 38
+    ratio = spark.createDataFrame([(x,) for x in keys], "text string").select(secrets.log_ratio(secrets.F.col("text"), model)).collect()
+    wide = len(secrets.ALPHABET) + 1
+    code = lambda c: secrets.ALPHABET.find(c) + 1
+    for x, r in zip(keys, ratio):
+        assert abs(r[0] - sum(model[code(a) * wide + code(b)] for a, b in zip(x, x[1:]))) < 1e-6
+
+
+def test_clashing_names(spark, model):
+    names = ["_text", "_a1", "_r2", "_own", "_base", "_spans", "_sr"]
+    docs = spark.createDataFrame([(1, "token=abcdef", *"abcdefg")], ["doc_id", "text", *names])
+    got = secrets.redact(docs, model)
+    assert got.columns == docs.columns and tuple(got.first()) == (1, "[secret]", *"abcdefg")
+    assert secrets.with_spans(docs, model).first()["_sr"] == "g"

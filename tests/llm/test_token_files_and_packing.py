@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -6,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folio.llm import packing, token_files
-from folio.llm.chunk_encoding import ChunkEncoder
+from folio.llm.chunk_encoding import PLAIN, ChunkEncoder
 
 tokenizers = pytest.importorskip("tokenizers")
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -36,6 +37,18 @@ def test_chunked_encoding_is_exact(path):
         assert [tuple(x) for x in got[:, 1:].tolist()] == want.offsets, text[:50]
 
 
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_every_letter_cut_here_is_encoded_as_by_the_library(path):
+    t, mine = whole(path), ChunkEncoder(path)
+    letters = [c for c in map(chr, range(0x20, 0x250)) if PLAIN[mine.cut].fullmatch(c)]
+    assert len(letters) > 400
+    rng = random.Random(8)
+    texts = [x for c in letters for x in (c, f"a{c}b", f" {c}{c.lower()} ", f"9{c}'s")]
+    texts += ["Əliyev", "aƁb", "ƏƆƐ İı ẞ ŉ"] + ["".join(rng.choices(letters + ["ß", "İ", "ǅ", "é", "\n"], k=rng.randint(1, 40))) for _ in range(3000)]
+    for text in texts:
+        assert mine.ids(text).tolist() == t.encode(text, add_special_tokens=False).ids, text
+
+
 def rows(spark, texts):
     return spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)] + [(None, None, "y"), (3, "dup", None), (3, "dup", None)], "doc_id long, text string, shard string")
 
@@ -58,7 +71,9 @@ def test_sequences_are_views_of_equal_length(spark, tmp_path):
         shard = token_files.TokenShard(s.tokens_file)
         n = -(-s.n_tokens // 16)
         found = [shard.sequence(i) for i in range(n)]
-        assert all(len(ids) == len(mask) == 16 and not ids.flags.owndata for ids, mask in found)
+        assert all(len(ids) == len(mask) == 16 and not ids.flags.owndata and not mask.flags.owndata for ids, mask in found)
+        again = [shard.sequence(i) for i in range(n)]
+        assert all(np.shares_memory(x, y) for one, two in zip(found, again) for x, y in zip(one, two))
         assert sum(int(mask.sum()) for _, mask in found) == s.n_tokens
 
 
@@ -93,6 +108,37 @@ def test_pieces_and_packing(spark):
         assert at <= 64
 
 
+def test_best_two_fit_matches_a_plain_loop():
+    """The docstring's rule on lists, without counters or bit sets."""
+
+    def plain(lengths, capacity):
+        left, bins = sorted(lengths), []
+        while left:
+            held, gap = [], capacity
+            while fits := [x for x in left if x <= gap]:
+                held.append(fits[-1])
+                left.remove(fits[-1])
+                gap -= fits[-1]
+            if gap and left and len(held) > 1:
+                room = gap + held[-1]
+                pairs = [(a + b, b - a, b, a) for k, a in enumerate(left) for b in left[k + 1 :] if a + b <= room]
+                if pairs and max(pairs)[0] > held[-1]:
+                    out = held.pop()
+                    for x in max(pairs)[2:]:
+                        held.append(x)
+                        left.remove(x)
+                    left = sorted([*left, out])
+            bins.append(sorted(held))
+        return sorted(bins)
+
+    rng = np.random.default_rng(9)
+    for _ in range(60):
+        lengths = rng.integers(1, 40, rng.integers(1, 60))
+        bins, _ = packing.best_two_fit(lengths, 64)
+        got = sorted(sorted(lengths[bins == k].tolist()) for k in range(bins.max() + 1))
+        assert got == plain(lengths.tolist(), 64)
+
+
 def test_best_two_fit_is_tight():
     rng = np.random.default_rng(5)
     lengths = np.minimum(4096, rng.lognormal(6.5, 1.2, 5000).astype(np.int64) + 1)
