@@ -4,6 +4,10 @@ All stages but the last return documents with the columns of the table; the last
 of the kept documents with their places in packed sequences. The classifier is fitted to labelled
 documents of the table itself (see `folio.llm.quality_classifier`), so that what the rules reject can
 serve as an example too.
+
+Nulls: a document with a null text fails the rules; one with a null doc_id is judged by its text and
+is nobody's near-duplicate. Repeated rows go or stay together, ties between copies go to the smallest
+doc_id, columns beyond those of the table come along up to the last stage, and an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,7 +37,7 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mask; n_chars follows."""
-    return secrets.redact(docs, secrets.train(secrets.labelled_samples(spark)))
+    return secrets.redact(docs, *secrets.fit(spark, docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
