@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.functions import text as T
@@ -11,9 +11,21 @@ RARITY, POWER = 5.0, 10.0
 
 
 def formatted_quotes(quotes: DataFrame) -> DataFrame:
-    """(text): sub-quotes, cleaned, of at least four words."""
-    parts = quotes.select(F.explode(T.sub_quotes(F.col("text"))).alias("part"))
-    return parts.select(T.clean_quote(F.col("part")).alias("text")).filter(T.accepted(F.col("text")))
+    """(quote_id, part, text): sub-quotes, cleaned, of at least four words."""
+    parts = quotes.select("quote_id", F.posexplode(T.sub_quotes(F.col("text"))).alias("part", "text"))
+    return parts.withColumn("text", T.clean_quote(F.col("text"))).filter(T.accepted(F.col("text")))
+
+
+def _cleaned_forms(words: DataFrame, base_forms: DataFrame) -> DataFrame:
+    """``form`` of each ``word``: first letters a-z of its lower case, their base forms or themselves ('' too)."""
+    cleaned = words.withColumn("word", T.first_letters(F.col("word")))
+    return cleaned.join(base_forms.select("word", "base_form"), "word", "left").withColumn("form", F.coalesce("base_form", "word")).drop("base_form").distinct()
+
+
+def answer_index(formatted: DataFrame, base_forms: DataFrame) -> DataFrame:
+    """(form, quote_id, part): the index of the answers, over the output of ``formatted_quotes``."""
+    words = formatted.select("quote_id", "part", F.explode(F.array_distinct(T.space_tokens(F.col("text")))).alias("word"))
+    return _cleaned_forms(words, base_forms).select("form", "quote_id", "part").distinct()
 
 
 def quote_index(quotes: DataFrame, base_forms: DataFrame) -> DataFrame:
@@ -60,17 +72,20 @@ def highlight(quotes: DataFrame, query: str, base_forms: DataFrame, spark: Spark
 
 def rarity_weights(index: DataFrame) -> DataFrame:
     """(form, weight): exp(-5 * quotes with the form / most quotes of a form)."""
-    counts = index.groupBy("form").agg(F.count_distinct("quote_id").alias("df"))
+    counts = index.groupBy("form").agg(F.count("*").alias("df"))
     top = counts.agg(F.max("df").alias("top"))
     return counts.join(F.broadcast(top)).select("form", F.exp(-RARITY * F.col("df") / F.col("top")).alias("weight"))
 
 
-def quote_scores(query: str, quotes: DataFrame, index: DataFrame, base_forms: DataFrame, spark: SparkSession) -> DataFrame:
-    """(text, score): for each word of the query and each of its forms in the quote its weight; equal texts are one."""
-    forms = query_forms(spark.createDataFrame([(query,)], "query string"), base_forms, punctuation=False)
-    hits = index.join(F.broadcast(forms.select("word", "form")), "form")
-    scored = hits.join(rarity_weights(index), "form").groupBy("quote_id").agg(F.sum("weight").alias("score"))
-    return quotes.select("quote_id", "text").join(scored, "quote_id").groupBy("text").agg(F.max("score").alias("score"))
+def quote_scores(query: str, formatted: DataFrame, index: DataFrame, base_forms: DataFrame, spark: SparkSession) -> DataFrame:
+    """(text, score): for each word of the query and each of its forms in the quote its weight; equal texts are one.
+
+    ``index`` is that of ``answer_index``; the query's words are cleaned as those of the quotes.
+    """
+    asked = spark.createDataFrame([(w,) for w in query.split(" ")], "word string")
+    hits = index.join(F.broadcast(_cleaned_forms(asked, base_forms)), "form")
+    scored = hits.join(rarity_weights(index), "form").groupBy("quote_id", "part").agg(F.sum("weight").alias("score"))
+    return formatted.join(scored, ["quote_id", "part"]).groupBy("text").agg(F.max("score").alias("score"))
 
 
 def answer_probabilities(scores: DataFrame, power: float = POWER) -> DataFrame:
@@ -89,7 +104,3 @@ def answer(scores: DataFrame, past: DataFrame | None = None, fallback: DataFrame
             if drawn:
                 return drawn[0]["text"]
     return default
-
-
-def best_quotes(scores: DataFrame, k: int = 10) -> DataFrame:
-    return scores.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(F.round("score", 6)), "text"))).filter(F.col("rank") <= k)

@@ -1,8 +1,9 @@
 """Inverted indexes, boolean, phrase and mixed search, ranking and snippets.
 
-Dictionaries are tables (word, base_form, pos). A query's words become a small table of the tokens
-that match them; it is joined to the token stream before anything is shuffled, so only matching
-tokens move.
+Dictionaries are tables (word, base_form, pos). A query's words become a table of the tokens that
+match them; up to ``SMALL`` rows it is broadcast to the token stream before anything is shuffled, so
+only matching tokens move. With clusters a token stands for the cluster of its forms, and for "0" if
+it or its form has none; a query of "0" then matches every such token, and its table is joined.
 """
 
 from __future__ import annotations
@@ -13,11 +14,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folio.functions import text as T
+from folio.sources.staging import stage
 
 TITLE_WEIGHT, CONTENT_WEIGHT = 30, 5
 TITLE_RUN, CONTENT_RUN = 100, 10
 DECAY = 1e-5
 RESULTS, RADIUS = 10, 5
+SMALL = 500_000
 
 
 def token_table(articles: DataFrame) -> DataFrame:
@@ -105,12 +108,48 @@ def query_identifiers(spark: SparkSession, words: list[str], base_forms: DataFra
     return with_identifiers(with_forms(rows, base_forms), clusters).select("k", F.col("tok").alias("word"), "ident").distinct()
 
 
-def matching_tokens(identifiers: DataFrame, base_forms: DataFrame, clusters: DataFrame | None = None) -> DataFrame:
-    """(tok, k, known): every token that stands for query word k; known if the dictionary has it."""
-    forms = with_identifiers(base_forms.select("word", F.col("base_form").alias("form")), clusters)
-    known = forms.join(F.broadcast(identifiers.select("k", "ident")), "ident").select(F.col("word").alias("tok"), "k", F.lit(True).alias("known"))
-    own = identifiers.select(F.col("ident").alias("tok"), "k").join(base_forms.select(F.col("word").alias("tok")), "tok", "left_anti")
-    return known.distinct().union(own.select("tok", "k", F.lit(False).alias("known")).distinct())
+def matching_tokens(tokens: DataFrame, identifiers: DataFrame, base_forms: DataFrame, clusters: DataFrame | None = None) -> DataFrame:
+    """(tok, ident, known and the columns of ``identifiers``): every token that stands for an identifier; known if the dictionary has it.
+
+    With clusters, tokens that the dictionary lacks have identifiers too (mostly "0"), so all tokens that occur are named.
+    """
+    asked = F.broadcast(identifiers)
+    if clusters is None:
+        forms = base_forms.select(F.col("word").alias("tok"), F.col("base_form").alias("ident"), F.lit(True).alias("known"))
+        own = identifiers.select(F.col("ident").alias("tok")).distinct().join(base_forms.select(F.col("word").alias("tok")), "tok", "left_anti")
+        named = forms.join(asked, "ident").unionByName(own.select("tok", F.col("tok").alias("ident"), F.lit(False).alias("known")).join(asked, "ident"))
+    else:
+        forms = tokens.select("tok").distinct().join(base_forms.select(F.col("word").alias("tok"), "base_form"), "tok", "left")
+        forms = forms.select("tok", F.coalesce("base_form", "tok").alias("form"), F.col("base_form").isNotNull().alias("known"))
+        named = with_identifiers(forms, clusters).drop("form").join(asked, "ident")
+    named = stage(named.groupBy("tok", *identifiers.columns).agg(F.max("known").alias("known")), "matching-tokens")
+    return F.broadcast(named) if named.limit(SMALL + 1).count() <= SMALL else named
+
+
+def _asked(spark: SparkSession, parts: list[tuple[str, list[str]]], base_forms: DataFrame, clusters: DataFrame | None) -> DataFrame:
+    """(part, k, ident) of the words of all parts."""
+    rows = spark.createDataFrame([(p, k, w) for p, (_, words) in enumerate(parts) for k, w in enumerate(words)], "part int, k int, tok string")
+    return with_identifiers(with_forms(rows, base_forms), clusters).select("part", "k", "ident").distinct()
+
+
+def _complete(spark: SparkSession, parts: list[tuple[str, list[str]]], articles: DataFrame, base_forms: DataFrame, clusters: DataFrame | None) -> DataFrame:
+    """(id, part, place): where a part's words all stand; of a phrase the place of its first token, else -1.
+
+    One pass over the tokens for all parts.
+    """
+    tokens = token_table(articles)
+    hits = tokens.join(matching_tokens(tokens, _asked(spark, parts, base_forms, clusters), base_forms, clusters), "tok")
+    kinds = F.array(*[F.lit(kind == "phrase") for kind, _ in parts])
+    needed = F.array(*[F.lit(len(words)) for _, words in parts])
+    place = F.when(F.get(kinds, F.col("part")), F.col("ord") - F.col("k")).otherwise(F.lit(-1))
+    met = hits.groupBy("id", "part", place.alias("place")).agg(F.collect_set("k").alias("ks"))  # at most the words of a query
+    return met.filter(F.size("ks") == F.get(needed, F.col("part"))).select("id", "part", "place")
+
+
+def phrase_matches(spark: SparkSession, words: list[str], articles: DataFrame, base_forms: DataFrame, clusters: DataFrame | None = None) -> DataFrame:
+    """(id, position) where the words stand one after the other."""
+    found = _complete(spark, [("phrase", words)], articles, base_forms, clusters)
+    return found.join(document_positions(articles), "id").select("id", (F.col("start") + F.col("place")).alias("position"))
 
 
 def boolean_search(index: DataFrame, identifiers: DataFrame, n_words: int) -> DataFrame:
@@ -126,33 +165,30 @@ def phrase_search(index: DataFrame, identifiers: DataFrame, n_words: int) -> Dat
     return runs.filter(F.col("n") == n_words).select("id", "position")
 
 
-def mixed_search(spark: SparkSession, query: str, articles: DataFrame, base_forms: DataFrame, clusters: DataFrame | None = None, exact_phrase: bool = False) -> DataFrame:
-    """ids that match every part of the query; each part has its own words in its own order."""
-    found = None
-    for kind, text in parse_mixed(query):
-        words = text.split(" ") if exact_phrase and kind == "phrase" else query_words(text)
-        identifiers = query_identifiers(spark, words, base_forms, clusters)
-        if kind == "phrase":
-            part = phrase_search(positional_index(articles, base_forms, clusters), identifiers, len(words)).select("id").distinct()
-        else:
-            part = boolean_search(traditional_index(articles, base_forms, clusters), identifiers, len(words))
-        found = part if found is None else found.join(part, "id", "left_semi")
-    return articles.select("id").limit(0) if found is None else found
-
-
-def search(spark: SparkSession, query: str, mode: str, articles: DataFrame, base_forms: DataFrame, clusters: DataFrame | None = None) -> DataFrame:
-    """ids of the articles that match; ``mode`` is traditional, positional or mixed."""
-    if mode == "mixed":
-        return mixed_search(spark, query, articles, base_forms, clusters)
-    words = [w for w in query_words(query) if w]
-    if not words:
+def query_parts(query: str, mode: str, exact_phrase: bool = False) -> list[tuple[str, list[str]]]:
+    """(kind, words) of the parts of a query; ``mode`` is traditional, positional or mixed.
+
+    Words are distinct, in first-seen order; with ``exact_phrase`` a phrase keeps repeated ones.
+    """
+    if mode not in ("traditional", "positional", "mixed"):
+        raise ValueError(f"no mode {mode}")
+    parts = parse_mixed(query) if mode == "mixed" else [("phrase" if mode == "positional" else "normal", query.lower())]
+    words = lambda kind, text: text.replace('"', "").split(" ") if exact_phrase and kind == "phrase" else query_words(text)
+    found = [(kind, [w for w in words(kind, text) if w]) for kind, text in parts]
+    return [(kind, words) for kind, words in found if words]
+
+
+def search(spark: SparkSession, query: str, mode: str, articles: DataFrame, base_forms: DataFrame, clusters: DataFrame | None = None, exact_phrase: bool = False) -> DataFrame:
+    """ids of the articles that match every part of the query."""
+    parts = query_parts(query, mode, exact_phrase)
+    if not parts:
         return articles.select("id").limit(0)
-    identifiers = query_identifiers(spark, words, base_forms, clusters)
-    if mode == "traditional":
-        return boolean_search(traditional_index(articles, base_forms, clusters), identifiers, len(words))
-    if mode == "positional":
-        return phrase_search(positional_index(articles, base_forms, clusters), identifiers, len(words)).select("id").distinct()
-    raise ValueError(f"no mode {mode}")
+    found = _complete(spark, parts, articles, base_forms, clusters)
+    return found.groupBy("id").agg(F.collect_set("part").alias("parts")).filter(F.size("parts") == len(parts)).select("id")
+
+
+def mixed_search(spark: SparkSession, query: str, articles: DataFrame, base_forms: DataFrame, clusters: DataFrame | None = None, exact_phrase: bool = False) -> DataFrame:
+    return search(spark, query, "mixed", articles, base_forms, clusters, exact_phrase)
 
 
 # ranking
@@ -176,12 +212,9 @@ def rate(articles: DataFrame, spark: SparkSession, query: str, base_forms: DataF
     """
     words = [w for w in query_words(query) if w]
     identifiers = query_identifiers(spark, words, base_forms, clusters).select("ident").distinct()
-    forms = with_identifiers(base_forms.select("word", F.col("base_form").alias("form")), clusters).select("word", "ident")
-    known = forms.join(F.broadcast(identifiers), "ident").select(F.col("word").alias("tok"), "ident", F.lit(True).alias("known"))
-    own = identifiers.select(F.col("ident").alias("tok"), "ident").join(base_forms.select(F.col("word").alias("tok")), "tok", "left_anti")
-    lookup = F.broadcast(known.union(own.withColumn("known", F.lit(False))).distinct())
     tokens = articles.select("id", F.explode(F.array(*[F.struct(F.lit(part).alias("part"), T.space_tokens(F.lower(part)).alias("toks")) for part in ("title", "content")])).alias("p"))
-    hits = tokens.select("id", "p.part", F.posexplode("p.toks").alias("ord", "tok")).join(lookup, "tok")
+    tokens = tokens.select("id", "p.part", F.posexplode("p.toks").alias("ord", "tok"))
+    hits = tokens.join(matching_tokens(tokens, identifiers, base_forms, clusters), "tok")
     once = hits.groupBy("id").agg(
         F.count_distinct(F.when(F.col("part") == "title", F.col("ident"))).alias("in_title"),
         F.count_distinct(F.when(F.col("part") == "content", F.col("ident"))).alias("in_content"),
@@ -205,9 +238,12 @@ def ranked_search(spark: SparkSession, query: str, mode: str, articles: DataFram
 
 def snippets(articles: DataFrame, spark: SparkSession, query: str, base_forms: DataFrame, clusters: DataFrame | None = None, radius: int = RADIUS) -> DataFrame:
     """(id, snippet_no, snippet): words around matches in the content, matches in brackets."""
-    identifiers = query_identifiers(spark, [w for w in query_words(query) if w], base_forms, clusters)
-    lookup = F.broadcast(matching_tokens(identifiers, base_forms, clusters).select("tok", F.lit(True).alias("hit")).distinct())
-    words = articles.select("id", F.posexplode(T.space_tokens(F.lower("content"))).alias("ord", "tok")).join(lookup, "tok", "left")
+    identifiers = query_identifiers(spark, [w for w in query_words(query) if w], base_forms, clusters).select("ident").distinct()
+    tokens = articles.select("id", F.posexplode(T.space_tokens(F.lower("content"))).alias("ord", "tok"))
+    lookup = matching_tokens(tokens, identifiers, base_forms, clusters).groupBy("tok").agg(F.lit(True).alias("hit"))
+    if clusters is None:  # articles without a hit have no snippet, their words need no window
+        tokens = tokens.join(tokens.join(lookup, "tok", "left_semi").select("id").distinct(), "id", "left_semi")
+    words = tokens.join(lookup, "tok", "left")
     near = F.max(F.coalesce("hit", F.lit(False))).over(Window.partitionBy("id").orderBy("ord").rowsBetween(-radius, radius))
     shown = words.withColumn("near", near).filter("near")
     island = F.col("ord") - F.row_number().over(Window.partitionBy("id").orderBy("ord"))
@@ -232,16 +268,19 @@ class TextIndex:
         store.write("document_positions", document_positions(articles))
         return cls(store, clusters)
 
-    def search(self, query: str, mode: str = "mixed", k: int = RESULTS) -> DataFrame:
+    def search(self, query: str, mode: str = "mixed", k: int = RESULTS, exact_phrase: bool = False) -> DataFrame:
+        """id, title and rating of the best matches. Only the rows of the query's identifiers are read from the index."""
         spark, forms = self.store.spark, self.store.read("word_base_forms")
-        index, found = self.store.read("indexed_terms"), None
-        parts = parse_mixed(query) if mode == "mixed" else [("phrase" if mode == "positional" else "normal", query)]
-        for kind, text in parts:
-            words = [w for w in query_words(text) if w]
+        articles, found = self.store.read("wiki_articles").withColumnRenamed("wiki_article_id", "id"), None
+        for kind, words in query_parts(query, mode, exact_phrase):
             identifiers = query_identifiers(spark, words, forms, self.clusters)
+            index = self.store.lookup("indexed_terms", "ident", [r["ident"] for r in identifiers.select("ident").distinct().collect()])  # forms of a query's words
             ids = phrase_search(index, identifiers, len(words)).select("id").distinct() if kind == "phrase" else boolean_search(index, identifiers, len(words))
             found = ids if found is None else found.join(ids, "id", "left_semi")
-        articles = self.store.read("wiki_articles").withColumnRenamed("wiki_article_id", "id")
-        if found is None or not query.strip():
-            return rate(articles.limit(0), spark, "x", forms, self.clusters)
-        return rate(articles.join(found, "id", "left_semi"), spark, query, forms, self.clusters).orderBy(F.desc(F.round("rating", 6)), "id").limit(k)
+        matches = articles.limit(0) if found is None else articles.join(found, "id", "left_semi")
+        return rate(matches, spark, query, forms, self.clusters).orderBy(F.desc(F.round("rating", 6)), "id").limit(k)
+
+    def show(self, results: DataFrame) -> DataFrame:
+        """id, title and content of the articles in ``results``."""
+        ids = [r["id"] for r in results.select("id").collect()]  # a page of results
+        return self.store.lookup("wiki_articles", "wiki_article_id", ids).select(F.col("wiki_article_id").alias("id"), "title", "content")

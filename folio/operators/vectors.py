@@ -10,15 +10,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.functions import text as T
-from folio.operators.retrieval import token_table
+from folio.sources.staging import stage
 
 FLOOR = 1e-3
 BANNED, PREFIX, FADE, SHARED = 100, 20, 0.1, 7
 
 
 def document_terms(articles: DataFrame, base_forms: DataFrame, add_missing: bool = True) -> DataFrame:
-    """(id, term, n): base forms of lower-case words; unknown words of a-z stand for themselves if ``add_missing``."""
-    words = articles.select("id", F.explode(T.space_tokens(F.lower(F.concat_ws(" ", "title", "content")))).alias("word"))
+    """(id, term, n): base forms of the lower-case words of the content (titles don't count); unknown words of a-z stand for themselves if ``add_missing``."""
+    words = articles.select("id", F.explode(T.space_tokens(F.lower("content"))).alias("word"))
     joined = words.groupBy("id", "word").agg(F.count("*").alias("n")).join(base_forms.select("word", "base_form"), "word", "left")
     own = F.when(F.col("word").rlike(r"^[a-z]+\z"), F.col("word")) if add_missing else F.lit(None)
     return joined.withColumn("term", F.coalesce("base_form", own)).filter("term is not null").groupBy("id", "term").agg(F.sum("n").alias("n"))
@@ -102,7 +102,7 @@ def assign(points: DataFrame, centres: DataFrame) -> DataFrame:
 
 def kmeans(points: DataFrame, k: int = 100, rounds: int = 10, starts: int = 5, seed: int = 1) -> DataFrame:
     """(term, cluster) of the best of ``starts`` k-means runs."""
-    data = points.select("term", array_to_vector("vec").alias("features")).persist()
+    data = stage(points.select("term", "vec"), "points").select("term", array_to_vector("vec").alias("features"))
     fits = [KMeans(k=k, maxIter=rounds, seed=seed + s).fit(data) for s in range(starts)]
     best = min(fits, key=lambda m: m.summary.trainingCost)
     return best.transform(data).select("term", F.col("prediction").alias("cluster"))

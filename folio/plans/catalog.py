@@ -10,6 +10,8 @@ from folio.functions import text as T
 from folio.operators import extraction, ngrams, quotes, retrieval, spelling, titles, vectors
 from folio.plans import oracle as O
 from folio.sources import views as V
+from folio.sources.readers import numbered
+from folio.sources.staging import stage
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -28,8 +30,13 @@ def query(sql: str | None = None):
 WORDS, PHRASE, MIXED = "with that", "in the", 'with "of the"'
 
 
+def _forms(spark: SparkSession, sf: str) -> DataFrame:
+    """The dictionary as a stored table, made once for a query."""
+    return stage(V.base_forms(spark, sf), "base-forms")
+
+
 def _both(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    return V.articles(spark, sf), V.base_forms(spark, sf)
+    return V.articles(spark, sf), _forms(spark, sf)
 
 
 # search
@@ -44,9 +51,7 @@ def search_boolean_ranked(spark: SparkSession, sf: str) -> DataFrame:
 @query(O.PHRASE)
 def search_phrase(spark: SparkSession, sf: str) -> DataFrame:
     articles, forms = _both(spark, sf)
-    index = retrieval.positional_index(articles, forms)
-    words = retrieval.query_words(PHRASE)
-    return retrieval.phrase_search(index, retrieval.query_identifiers(spark, words, forms), len(words)).select("id", "position")
+    return retrieval.phrase_matches(spark, retrieval.query_words(PHRASE), articles, forms).select("id", "position")
 
 
 @query(O.MIXED)
@@ -72,6 +77,18 @@ def run_rating(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.rate(articles, spark, WORDS, forms).select("id", F.round("rating", 6).alias("rating"))
 
 
+@query(O.RATINGS_CLUSTERED)
+def run_rating_clustered(spark: SparkSession, sf: str) -> DataFrame:
+    articles, forms = _both(spark, sf)
+    return retrieval.rate(articles, spark, "with unheard", forms, _clusters(spark, sf)).select("id", F.round("rating", 6).alias("rating"))
+
+
+@query(O.SNIPPETS_CLUSTERED)
+def snippet_clustered(spark: SparkSession, sf: str) -> DataFrame:
+    articles, forms = _both(spark, sf)
+    return retrieval.snippets(articles, spark, "with", forms, _clusters(spark, sf))
+
+
 @query(O.DOC_FREQUENCY)
 def index_doc_frequency(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.traditional_index(*_both(spark, sf)).groupBy("ident").agg(F.count("*").alias("df"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
@@ -128,14 +145,14 @@ def list_operations(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(O.QUOTE_SEARCH)
 def quote_search(spark: SparkSession, sf: str) -> DataFrame:
-    rows, forms = V.quotes(spark, sf), V.base_forms(spark, sf)
+    rows, forms = V.quotes(spark, sf), _forms(spark, sf)
     asked = spark.createDataFrame([("the of",), ("that and",), ("nowhere",)], "query string")
     return quotes.matching_quotes(asked, quotes.quote_index(rows, forms), forms).join(rows, "quote_id").select("query", "quote_id", "text")
 
 
 @query(O.PHRASE_CLASSES)
 def phrase_equivalence(spark: SparkSession, sf: str) -> DataFrame:
-    rows, forms = V.quotes(spark, sf), V.base_forms(spark, sf)
+    rows, forms = V.quotes(spark, sf), _forms(spark, sf)
     words = rows.select(T.space_tokens(F.col("text")).alias("w")).filter("size(w) >= 2")
     phrases = words.select(F.concat_ws(" ", F.get("w", F.lit(0)), F.get("w", F.lit(1))).alias("phrase")).union(words.select(F.get("w", F.lit(1)).alias("phrase")))
     found = quotes.phrase_classes(phrases, quotes.quote_index(rows, forms), forms)
@@ -150,20 +167,22 @@ def quote_cleaning(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(O.SUB_QUOTES)
 def quote_splitting(spark: SparkSession, sf: str) -> DataFrame:
-    return quotes.formatted_quotes(V.quotes(spark, sf))
+    return quotes.formatted_quotes(V.quotes(spark, sf)).select("text")
+
+
+def _answers(spark: SparkSession, sf: str) -> DataFrame:
+    rows, forms = stage(quotes.formatted_quotes(V.quotes(spark, sf)), "quotes"), _forms(spark, sf)
+    return quotes.quote_scores("With that, the", rows, quotes.answer_index(rows, forms), forms, spark)
 
 
 @query(O.QUOTE_SCORES)
 def quote_scores(spark: SparkSession, sf: str) -> DataFrame:
-    rows, forms = V.quotes(spark, sf), V.base_forms(spark, sf)
-    return quotes.quote_scores("with that the", rows, quotes.quote_index(rows, forms), forms, spark).select("text", F.round("score", 6).alias("score"))
+    return _answers(spark, sf).select("text", F.round("score", 6).alias("score"))
 
 
 @query(O.ANSWERS)
 def answer_probability(spark: SparkSession, sf: str) -> DataFrame:
-    rows, forms = V.quotes(spark, sf), V.base_forms(spark, sf)
-    scores = quotes.quote_scores("with that the", rows, quotes.quote_index(rows, forms), forms, spark)
-    return quotes.answer_probabilities(scores).select("text", F.round("probability", 6).alias("probability"))
+    return quotes.answer_probabilities(_answers(spark, sf)).select("text", F.round("probability", 6).alias("probability"))
 
 
 @query(O.HIGHLIGHT)
@@ -200,15 +219,15 @@ def banned_terms(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _word_vectors(spark: SparkSession, sf: str) -> DataFrame:
-    """The most frequent base forms, one for each row of embeddings, in order of frequency and vec_id."""
+    """The most frequent base forms, one for each row of embeddings, in order of frequency and vec_id; stored."""
     articles, forms = _both(spark, sf)
     words = spark.read.parquet(f"{sf}/embeddings.parquet")
     counts = vectors.document_terms(articles, forms, add_missing=False).groupBy("term").agg(F.sum("n").alias("n"))
     top = counts.orderBy(F.desc("n"), "term").limit(words.count())
-    from folio.sources.readers import numbered
-
-    ranked = numbered(top.withColumn("minus", -F.col("n")), "minus", "term", name="rank")
-    return ranked.join(numbered(words.select("vec_id", "embedding", "label"), "vec_id", name="rank"), "rank").select("term", F.col("embedding").cast("array<double>").alias("vec"), F.col("label").cast("string").alias("cluster"))
+    ranked = numbered(top.withColumn("minus", -F.col("n")), "minus", "term", name="rank")  # a vocabulary
+    places = numbered(words.select("vec_id"), "vec_id", name="rank")  # numbers only; the vectors join them
+    found = ranked.join(places, "rank").join(words, "vec_id")
+    return stage(found.select("term", F.col("embedding").cast("array<double>").alias("vec"), F.col("label").cast("string").alias("cluster")), "word-vectors")
 
 
 def _clusters(spark: SparkSession, sf: str) -> DataFrame:
@@ -218,7 +237,7 @@ def _clusters(spark: SparkSession, sf: str) -> DataFrame:
 def _prefix(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     articles, forms = _both(spark, sf)
     words = _word_vectors(spark, sf)
-    banned = vectors.banned_terms(vectors.idf(vectors.document_terms(articles, forms, add_missing=False), articles))
+    banned = vectors.banned_terms(vectors.idf(vectors.document_terms(articles, forms), articles))
     return articles, words, vectors.prefix_terms(articles, forms, words, banned)
 
 
@@ -358,7 +377,7 @@ def quoted_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(O.SYNONYMS)
 def close_synonyms(spark: SparkSession, sf: str) -> DataFrame:
-    forms, words = V.base_forms(spark, sf), _word_vectors(spark, sf)
+    forms, words = _forms(spark, sf), _word_vectors(spark, sf)
     after = F.lead("term").over(Window.partitionBy("cluster").orderBy("term"))
     rows = words.select(F.col("term").alias("left"), after.alias("right")).filter("right is not null")
     return extraction.close_base_forms(rows, forms, words)

@@ -29,7 +29,7 @@ tok AS (SELECT id, unnest(range(len(ws))) AS ord, regexp_replace(unnest(ws), '^\
 fm AS (SELECT id, ord, tok, coalesce(base_form, tok) AS form FROM tok LEFT JOIN bf ON tok = word)"""
 START = "s AS (SELECT id, len(ws) AS n, (1 + coalesce(sum(len(ws) + 1) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS start FROM l)"
 BASE = f"WITH {ART}, {BF}, {TOK}"
-WV = """tc AS (SELECT base_form AS term, count(*) AS n FROM (SELECT unnest(string_split(lower(title || ' ' || content), ' ')) AS x FROM a) JOIN bf ON x = word GROUP BY 1),
+WV = """tc AS (SELECT base_form AS term, count(*) AS n FROM (SELECT unnest(string_split(lower(content), ' ')) AS x FROM a) JOIN bf ON x = word GROUP BY 1),
 rk AS (SELECT term, row_number() OVER (ORDER BY n DESC, term) AS rank FROM tc),
 wv AS (SELECT term, embedding::DOUBLE[] AS vec, label::VARCHAR AS cluster FROM rk JOIN (SELECT *, row_number() OVER (ORDER BY vec_id) AS rank FROM embeddings) USING (rank))"""
 
@@ -59,6 +59,9 @@ SELECT DISTINCT id FROM found SEMI JOIN (SELECT id FROM fm JOIN p USING (form))
 CLUSTERED = f"""{BASE}, {WV}, {_query("with", "that")}, qc AS (SELECT DISTINCT k, coalesce(cluster, '0') AS ident FROM q LEFT JOIN wv ON form = term),
 fc AS (SELECT DISTINCT id, coalesce(cluster, '0') AS ident FROM fm LEFT JOIN wv ON form = term)
 SELECT id FROM fc JOIN qc USING (ident) GROUP BY id HAVING count(DISTINCT k) = 2"""
+_CLUSTER_RATE = _RATE.replace("coalesce(base_form, x) AS form", "coalesce(cluster, '0') AS form").replace("WHERE coalesce(base_form, x) IN (SELECT form FROM q)", "LEFT JOIN wv ON coalesce(base_form, x) = term WHERE coalesce(cluster, '0') IN (SELECT ident FROM qc)")
+_QC = "qc AS (SELECT DISTINCT k, coalesce(cluster, '0') AS ident FROM q LEFT JOIN wv ON form = term)"
+RATINGS_CLUSTERED = f"{BASE}, {WV}, {_query('with', 'unheard')}, {_QC}, {_CLUSTER_RATE} SELECT id, rating FROM rate"
 SNIPPETS = f"""WITH {ART}, {BF}, {_query("with")}, cw AS (SELECT id, unnest(range(len(ws))) AS ord, unnest(ws) AS x FROM (SELECT id, string_split(lower(content), ' ') AS ws FROM a)),
 hits AS (SELECT DISTINCT x FROM (SELECT DISTINCT x FROM cw) LEFT JOIN bf ON x = word WHERE coalesce(base_form, x) IN (SELECT form FROM q)),
 h AS (SELECT id, ord, x, x IN (SELECT x FROM hits) AS hit FROM cw),
@@ -66,6 +69,9 @@ n AS (SELECT *, bool_or(hit) OVER (PARTITION BY id ORDER BY ord ROWS BETWEEN 5 P
 i AS (SELECT *, ord - row_number() OVER (PARTITION BY id ORDER BY ord) AS island FROM n WHERE near)
 SELECT id, (row_number() OVER (PARTITION BY id ORDER BY island))::INTEGER AS snippet_no, snippet
 FROM (SELECT id, island, string_agg(CASE WHEN hit THEN '[' || x || ']' ELSE x END, ' ' ORDER BY ord) AS snippet FROM i GROUP BY id, island)"""
+SNIPPETS_CLUSTERED = SNIPPETS.replace("WITH " + ART + ", " + BF + ", " + _query("with"), "WITH " + ART + ", " + BF + ", " + WV + ", " + _query("with") + ", " + _QC).replace(
+    "WHERE coalesce(base_form, x) IN (SELECT form FROM q)", "LEFT JOIN wv ON coalesce(base_form, x) = term WHERE coalesce(cluster, '0') IN (SELECT ident FROM qc)"
+)
 DOC_FREQUENCY = f"{BASE} SELECT form AS ident, count(DISTINCT id) AS df, min(id) AS first_id, max(id) AS last_id FROM fm GROUP BY form"
 POSITIONS = f"""{BASE}, {START} SELECT form AS ident, count(*) AS n, min(p) AS first_position, sum(p)::BIGINT AS positions_sum
 FROM (SELECT DISTINCT form, start + ord AS p FROM fm JOIN s USING (id)) GROUP BY form"""
@@ -108,9 +114,13 @@ QUOTE_CLEANING = f"""SELECT text, {_clean("text")} AS cleaned, len(string_split(
 FROM (SELECT * FROM {_rows(DIRTY_QUOTES, "text")} UNION ALL SELECT text FROM benchmark)"""
 SUB_QUOTES = rf"""WITH p AS (SELECT unnest(string_split(regexp_replace(text, '\. ([A-Z])', chr(1) || '\1', 'g'), chr(1))) AS x FROM benchmark), c AS (SELECT {_clean("x")} AS text FROM p)
 SELECT text FROM c WHERE len(string_split(text, ' ')) >= 4"""
-_SCORES = f"""{_QI}, {_query("with", "that", "the")}, df AS (SELECT form, count(*) AS n FROM qx GROUP BY form), wt AS (SELECT form, exp(-5.0 * n / (SELECT max(n) FROM df)) AS weight FROM df),
-sc AS (SELECT quote_id, sum(weight) AS score FROM qx JOIN q USING (form) JOIN wt USING (form) GROUP BY quote_id),
-tx AS (SELECT text, max(score) AS score FROM sc JOIN benchmark ON quote_id = item_id GROUP BY text)"""
+_SCORES = rf"""WITH {BF}, p AS (SELECT item_id, unnest(range(len(ps))) AS part, unnest(ps) AS x FROM (SELECT item_id, string_split(regexp_replace(text, '\. ([A-Z])', chr(1) || '\1', 'g'), chr(1)) AS ps FROM benchmark)),
+fq AS (SELECT item_id, part, text FROM (SELECT item_id, part, {_clean("x")} AS text FROM p) WHERE len(string_split(text, ' ')) >= 4),
+fw AS (SELECT DISTINCT item_id, part, regexp_extract(lower(x), '^[^a-z]*([a-z]*)', 1) AS x FROM (SELECT item_id, part, unnest(string_split(text, ' ')) AS x FROM fq)),
+fx AS (SELECT DISTINCT item_id, part, coalesce(base_form, x) AS form FROM fw LEFT JOIN bf ON x = word), {_query("with", "that", "the")},
+df AS (SELECT form, count(*) AS n FROM fx GROUP BY form), wt AS (SELECT form, exp(-5.0 * n / (SELECT max(n) FROM df)) AS weight FROM df),
+sc AS (SELECT item_id, part, sum(weight) AS score FROM fx JOIN q USING (form) JOIN wt USING (form) GROUP BY 1, 2),
+tx AS (SELECT text, max(score) AS score FROM sc JOIN fq USING (item_id, part) GROUP BY text)"""
 QUOTE_SCORES = f"{_SCORES} SELECT text, round(score, 6) AS score FROM tx"
 ANSWERS = f"{_SCORES} SELECT text, round(pow(score, 10) / (SELECT sum(pow(score, 10)) FROM tx), 6) AS probability FROM tx"
 HIGHLIGHT = f"""WITH {BF}, {_query("the", "with")}, cw AS (SELECT item_id, unnest(range(len(ws))) AS ord, unnest(ws) AS x FROM (SELECT item_id, string_split(text, ' ') AS ws FROM benchmark)),
@@ -127,17 +137,17 @@ r AS (SELECT id, title, hits, hits - 3 * abs({len(_TITLE_QUERY.split(" "))} - le
 b AS (SELECT id AS best_id, short FROM r ORDER BY score DESC, id LIMIT 1)
 SELECT id, title, hits, score, id = best_id AS best FROM r JOIN b USING (short)"""
 
-_TERMS = """dw AS (SELECT id, x, count(*) AS n FROM (SELECT id, unnest(string_split(lower(title || ' ' || content), ' ')) AS x FROM a) GROUP BY 1, 2),
+_TERMS = """dw AS (SELECT id, x, count(*) AS n FROM (SELECT id, unnest(string_split(lower(content), ' ')) AS x FROM a) GROUP BY 1, 2),
 dt AS (SELECT id, term, sum(n) AS n FROM (SELECT id, coalesce(base_form, CASE WHEN {0} THEN x END) AS term, n FROM dw LEFT JOIN bf ON x = word) WHERE term IS NOT NULL GROUP BY 1, 2),
 idf AS (SELECT term, count(*) AS df, log2((SELECT count(*) FROM a) / count(*)) AS idf FROM dt GROUP BY term)"""
-_ALL_TERMS, _KNOWN_TERMS = _TERMS.format("regexp_full_match(x, '[a-z]+')"), _TERMS.format("false")
+_ALL_TERMS = _TERMS.format("regexp_full_match(x, '[a-z]+')")
 _TFIDF = f"""WITH {ART}, {BF}, {_ALL_TERMS}, tw AS (SELECT id, term, n / sum(n) OVER (PARTITION BY id) * idf AS v FROM dt JOIN idf USING (term)),
 nw AS (SELECT id, term, v / greatest(sqrt(sum(v * v) OVER (PARTITION BY id)), 1e-3) AS weight FROM tw)"""
 TFIDF = f"{_TFIDF} SELECT id, term, round(weight, 6) AS weight FROM nw"
 SIMILAR = f"""{_TFIDF}, d AS (SELECT o.id, sum(o.weight * m.weight) AS s FROM nw AS o JOIN nw AS m USING (term) WHERE m.id = 1 AND o.id <> 1 GROUP BY o.id)
 SELECT id, round(coalesce(s, 0), 6) AS similarity FROM a LEFT JOIN d USING (id) WHERE id <> 1 ORDER BY similarity DESC, id LIMIT 10"""
 BANNED = f"WITH {ART}, {BF}, {_ALL_TERMS} SELECT term, df FROM idf ORDER BY round(idf, 9), term LIMIT 100"
-_PREFIX = f"""WITH {ART}, {BF}, {WV}, {_KNOWN_TERMS}, ban AS (SELECT term FROM idf ORDER BY round(idf, 9), term LIMIT 100),
+_PREFIX = f"""WITH {ART}, {BF}, {WV}, {_ALL_TERMS}, ban AS (SELECT term FROM idf ORDER BY round(idf, 9), term LIMIT 100),
 cw AS (SELECT id, unnest(range(len(ws))) AS ord, unnest(ws) AS x FROM (SELECT id, string_split(content, ' ') AS ws FROM a)),
 f1 AS (SELECT id, base_form AS term, min((ord, pos)) AS place FROM cw JOIN bf ON x = word WHERE base_form NOT IN (SELECT term FROM ban) AND base_form IN (SELECT term FROM wv) GROUP BY 1, 2),
 px AS (SELECT * FROM (SELECT id, term, row_number() OVER (PARTITION BY id ORDER BY place, term) - 1 AS i FROM f1) WHERE i < 20)"""

@@ -53,7 +53,8 @@ def test_quotes_and_answers(spark):
     rows = frame(spark, [(0, "cats run fast"), (1, "a dog"), (2, "dogs run"), (3, "dogs run")], "quote_id long, text string")
     _, forms = library(spark)
     index = quotes.quote_index(rows, forms)
-    scores = quotes.quote_scores("dog run", rows, index, forms, spark)
+    said = rows.selectExpr("quote_id", "0 AS part", "text")
+    scores = quotes.quote_scores("dog run", said, quotes.answer_index(said, forms), forms, spark)
     assert {r.text for r in scores.collect()} == {"cats run fast", "a dog", "dogs run"}
     assert abs(quotes.answer_probabilities(scores).groupBy().sum("probability").first()[0] - 1) < 1e-9
     past = frame(spark, [("cats run fast",), ("a dog",)], "text string")
@@ -62,6 +63,42 @@ def test_quotes_and_answers(spark):
     assert {(tuple(r.quote_ids), tuple(r.phrases)) for r in classes.collect()} == {((1, 2, 3), ("dog", "dogs")), ((), ("zzz",))}
 
 
+def test_scores_clean_the_words_of_quotes_and_query(spark):
+    """Worked by hand: 'Dogs,' is dog and '«Run!»' is run; dog stands in 2 quotes, run in 1, and 2 is the most."""
+    _, forms = library(spark)
+    said = frame(spark, [(0, 0, "Dogs, «Run!»"), (1, 0, "THE DOG.")], "quote_id long, part int, text string")
+    got = {r.text: r.score for r in quotes.quote_scores("(Dog run?", said, quotes.answer_index(said, forms), forms, spark).collect()}
+    assert abs(got["Dogs, «Run!»"] - (np.exp(-5) + np.exp(-2.5))) < 1e-12 and abs(got["THE DOG."] - np.exp(-5)) < 1e-12
+
+
+def test_titles_do_not_count_for_tfidf(spark):
+    articles = frame(spark, [(1, "zebra", "cat dog"), (2, "", "cat cat")], "id long, title string, content string")
+    forms = frame(spark, [("cat", "cat", 0)], "word string, base_form string, pos int")
+    got = {(r.id, r.term): r.weight for r in vectors.tfidf(articles, forms).collect()}
+    assert got == {(1, "cat"): 0.0, (1, "dog"): 1.0, (2, "cat"): 0.0}
+
+
+def test_unknown_tokens_are_in_cluster_0(spark):
+    articles = frame(spark, [(1, "odd", "cat odd stranger"), (2, "cats", "dog")], "id long, title string, content string")
+    forms = frame(spark, [("cat", "cat", 0), ("cats", "cat", 1), ("dog", "dog", 2)], "word string, base_form string, pos int")
+    clusters = frame(spark, [("cat", "7"), ("odd", "7")], "term string, cluster string")
+    rate = lambda q: {r.id: round(r.rating) for r in retrieval.rate(articles, spark, q, forms, clusters).collect()}
+    # odd is unknown to the dictionary but has a cluster; stranger and dog have none, dog is known
+    assert rate("cat") == {1: 30 + 5 + 1, 2: 30 + 1} and rate("unheard") == {1: 5 + 1, 2: 5 + 1}
+    marked = retrieval.snippets(articles, spark, "unheard", forms, clusters, radius=0).collect()
+    assert {(r.id, r.snippet) for r in marked} == {(1, "[stranger]"), (2, "[dog]")}
+
+
+def test_exact_phrase(spark, tmp_path):
+    articles = frame(spark, [(1, "x", "run run fast"), (2, "x", "run fast run")], "id long, title string, content string")
+    forms = frame(spark, [("run", "run", 0)], "word string, base_form string, pos int")
+    index = retrieval.TextIndex.build(readers.IndexStore(spark, str(tmp_path)), articles, forms)
+    for exact, want in ((True, [1]), (False, [1, 2])):
+        assert sorted(r.id for r in retrieval.search(spark, "run run", "positional", articles, forms, exact_phrase=exact).collect()) == want
+        assert [r.id for r in index.search('"run run"', exact_phrase=exact).collect()] == want
+    assert [tuple(r) for r in index.show(index.search("fast", k=1)).collect()] == [(1, "x", "run run fast")]
+
+
 def test_titles(spark):
     rows = frame(spark, [(1, "Rock (band)"), (2, "Rock"), (3, "Rook"), (4, "Jazz")], "id long, title string")
     got = titles.find_title("rock", rows, spark).collect()
