@@ -2,11 +2,6 @@
 
 from __future__ import annotations
 
-from collections import deque
-from functools import reduce
-from itertools import islice
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,8 +17,6 @@ NEIGHBOURS = {
 }
 SWAP, SUBSTITUTE, DELETE = 1.0, 1.5, 1.0
 MOST_STEPS, MOST_STATES = 5, 2_000_000
-#: Positions of a search up to which its strings are looked up together, and rows of a batch.
-ROUNDS, BATCH = (512, 32_768), 10_000
 
 
 def folded_dictionary(words: DataFrame) -> DataFrame:
@@ -64,94 +57,39 @@ def correct_one_step(words: DataFrame, deletions: DataFrame) -> DataFrame:
     return rows.select("word").distinct().join(best, "word", "left").select("word", "best.corrected", "best.cost")
 
 
-def _variants(word: str):
-    for i in range(1, len(word)):
-        yield word[: i - 1] + word[i] + word[i - 1] + word[i + 1 :], SWAP
-    for i in range(2, len(word)):
-        yield word[: i - 2] + word[i] + word[i - 1] + word[i - 2] + word[i + 1 :], SWAP
-    for i, letter in enumerate(word):
-        for key in sorted(NEIGHBOURS.get(letter, "")):
-            yield word[:i] + key + word[i + 1 :], SUBSTITUTE
-    for i in range(len(word)):
-        yield word[:i] + word[i + 1 :], DELETE
-
-
-def _visits(start: str, dictionary: dict[str, tuple[str, int]], most_states: int):
-    """Breadth-first search in order of discovery, the first way to a string fixes its cost: (string, steps, best so far) of each visit."""
-    waiting, met, best, cost = deque([(start, 0.0)]), set(), None, float("inf")
-    while waiting:
-        word, steps = waiting.popleft()
-        hit = dictionary.get(word)
-        if hit and steps + hit[1] < cost:
-            best, cost = hit[0], steps + hit[1]
-        yield word, steps, best
-        if steps >= MOST_STEPS or steps >= cost or len(met) >= most_states:
-            break
-        for variant, weight in _variants(word):
-            if variant not in met:
-                met.add(variant)
-                waiting.append((variant, steps + weight))
-
-
-def closest_word(start: str, dictionary: dict[str, tuple[str, int]], most_states: int = MOST_STATES) -> str | None:
-    best = None
-    for _, _, best in _visits(start, dictionary, most_states):
-        pass
-    return best
-
-
 def correct(words: DataFrame, deletions: DataFrame, most_states: int = MOST_STATES) -> DataFrame:
-    """(word, corrected) by the full bounded search, in parallel over the words, at any size of the dictionary.
+    """(word, corrected): the cheapest dictionary word over any modifications of at most ``MOST_STEPS`` in all.
 
-    The strings that a search visits are joined to the dictionary in rounds, each up to a position
-    ``ROUNDS`` of the search. Only the first hit of each total cost can improve the result, so a word
-    carries a few hits from round to round, and the search is repeated with these as its dictionary.
-    A word is done once that search ends before the position.
+    All words are searched together, one modification a level: the strings of a level, each at its
+    least cost, are joined to the dictionary. Every modification costs 1 or more, so a word is done
+    once its best costs no more than the next level's least; strings that can't beat the best go no
+    further. A level that could take a word's strings over ``most_states`` isn't begun. Of equal costs
+    the fewest modifications win, then the first word in order. Nulls and words without a hit: null.
     """
     rows = words.select("word", T.fold(F.col("word")).alias("folded"))
-    entries = stage(deletions.select("variant", F.col("word").alias("found"), "cost"), "deletions")
-    hit = "array<struct<variant:string,found:string,cost:int>>"
-    searches = rows.filter("folded is not null").select("folded").distinct().withColumn("hits", F.array().cast(hit))
-    searches, done, low = stage(searches, "searches"), [], 0
-
-    def known(hits) -> dict[str, tuple[str, int]]:
-        return {h["variant"]: (h["found"], h["cost"]) for h in hits}
-
-    for high in (*[p for p in ROUNDS if p < most_states], most_states + 2):
-
-        def expand(batches, low=low, high=high):
-            for batch in batches:
-                out = []
-                for folded, hits in zip(batch["folded"], batch["hits"]):
-                    for at, (variant, steps, _) in enumerate(islice(_visits(folded, known(hits), most_states), high)):
-                        if at >= low:
-                            out.append((folded, at, variant, steps))
-                        if len(out) >= BATCH:
-                            yield pd.DataFrame(out, columns=["folded", "at", "variant", "steps"])
-                            out = []
-                yield pd.DataFrame(out, columns=["folded", "at", "variant", "steps"])
-
-        def settle(batches, high=high):
-            for batch in batches:
-                ends = []
-                for folded, hits in zip(batch["folded"], batch["hits"]):
-                    n, best = 0, None
-                    for n, (_, _, best) in enumerate(islice(_visits(folded, known(hits), most_states), high + 1), 1):
-                        pass
-                    ends.append((n <= high, best))
-                yield batch.assign(ended=[e for e, _ in ends], corrected=[b for _, b in ends])
-
-        visited = searches.repartition("folded").mapInPandas(expand, "folded string, at long, variant string, steps double")
-        first = visited.join(entries, "variant").groupBy("folded", (F.col("steps") + F.col("cost")).alias("total")).agg(F.min_by(F.struct("variant", "found", "cost"), "at").alias("hit"))
-        more = first.groupBy("folded").agg(F.collect_list("hit").alias("more"))
-        joined = searches.join(more, "folded", "left").select("folded", F.when(F.col("more").isNull(), F.col("hits")).otherwise(F.concat("hits", "more")).cast(hit).alias("hits"))
-        settled = stage(joined.mapInPandas(settle, f"folded string, hits {hit}, ended boolean, corrected string"), "settled")
-        done.append(settled.filter("ended").select("folded", "corrected"))
-        searches, low = settled.filter("not ended").select("folded", "hits"), high
+    entries = stage(deletions.select("variant", F.col("word").alias("found"), F.col("cost").alias("more")), "deletions")
+    hit = "struct<cost:double,level:int,found:string>"
+    frontier = rows.filter("folded is not null").select("folded", F.col("folded").alias("variant"), F.lit(0.0).alias("steps")).distinct()
+    searches = frontier.select("folded", F.lit(None).cast(hit).alias("best"), F.lit(0).cast("long").alias("met"), F.size(modifications(F.col("folded"))).alias("wide"))
+    settled = None
+    for level in range(int(MOST_STEPS) + 1):
+        frontier, searches = stage(frontier, "frontier"), stage(searches, "searches")
+        reached = F.when(F.col("found").isNotNull(), F.struct((F.col("steps") + F.col("more")).alias("cost"), F.lit(level).alias("level"), "found"))
+        looked_up = frontier.join(entries, "variant", "left").groupBy("folded").agg(F.min(reached).alias("hit"), F.count("*").alias("n"))
+        now = searches.join(looked_up, "folded", "left").na.fill(0, ["n"])
+        now = now.select("folded", F.least("best", "hit").cast(hit).alias("best"), (F.col("met") + F.col("n")).alias("met"), "n", "wide")
+        done = (F.col("n") == 0) | (F.col("met") + F.col("n") * F.col("wide") > most_states) | F.coalesce(F.col("best.cost") <= level + 1, F.lit(False))
+        now = stage(now.withColumn("done", done | F.lit(level + 1 > MOST_STEPS)), "searched")
+        ended = now.filter("done").select("folded", F.col("best.found").alias("corrected"))
+        settled = ended if settled is None else settled.union(ended)
+        searches = now.filter("not done").select("folded", "best", "met", "wide")
         if searches.isEmpty():
             break
-    found = reduce(DataFrame.union, done)
-    return rows.join(found, "folded", "left").select("word", "corrected")
+        bounds = searches.select("folded", F.coalesce("best.cost", F.lit(float("inf"))).alias("cost"))
+        onward = frontier.join(bounds, "folded").filter((F.col("steps") < MOST_STEPS) & (F.col("steps") + 1 < F.col("cost")))
+        tried = onward.select("folded", "steps", F.explode(modifications(F.col("variant"))).alias("m"))
+        frontier = tried.groupBy("folded", F.col("m.variant").alias("variant")).agg(F.min(F.col("steps") + F.col("m.cost")).alias("steps"))
+    return rows.join(settled, "folded", "left").select("word", "corrected")
 
 
 def accuracy(corrected: DataFrame) -> DataFrame:

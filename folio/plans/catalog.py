@@ -354,7 +354,7 @@ def spell_correct(spark: SparkSession, sf: str) -> DataFrame:
     return spelling.correct_one_step(_typos(spark, sf), deletions)
 
 
-@query()
+@query(O.ACCURACY)
 def spell_accuracy(spark: SparkSession, sf: str) -> DataFrame:
     deletions = spelling.deletion_dictionary(spelling.folded_dictionary(V.base_forms(spark, sf).select("word").distinct()))
     typos = _typos(spark, sf)

@@ -185,21 +185,21 @@ SELECT x AS base_form, string_agg(y, '|' ORDER BY y) AS superbase FROM (SELECT D
 
 FOLD = """WITH w AS (SELECT DISTINCT unnest(string_split(lower(text), ' ')) AS word FROM documents), f AS (SELECT word, translate(word, 'ąężźśóćłń', 'aezzsucln') AS folded FROM w)
 SELECT folded, arg_min(word, (word <> folded, word)) AS word FROM f GROUP BY folded"""
-_DELETED = f"""{BF}, dv AS (SELECT word AS variant, word, 0 AS cost FROM w UNION ALL SELECT w.word[:i - 1] || w.word[i + 1:], w.word, 1 FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM w) AS w),
+_DELETED = f"""{BF}, dv AS (SELECT word AS variant, word, 0 AS cost FROM w
+  UNION ALL SELECT substr(word, 1, i - 1) || substr(word, i + 1), word, 1 FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM w)),
 dd AS (SELECT variant, min((cost, word)) AS m FROM dv GROUP BY variant)"""
 DELETIONS = f"WITH {_DELETED} SELECT variant, m[2] AS word, m[1]::INTEGER AS cost FROM dd"
 _KEYS = "(VALUES " + ", ".join(f"('{k}', '{x}')" for k, v in NEIGHBOURS.items() for x in v) + ") AS kv(a, b)"
-CORRECT = f"""WITH {_DELETED}, ty AS (SELECT word[1] || word[3] || word[2] || word[4:] AS word FROM w),
+_TYPOS = f"""{_DELETED}, ty AS (SELECT word AS correction, word[1] || word[3] || word[2] || word[4:] AS word FROM w),
 u AS (SELECT DISTINCT word FROM ty), p AS (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM u),
-md AS (SELECT word, word AS v, 0.0::DOUBLE AS c FROM u UNION ALL SELECT word, word[:i - 2] || word[i] || word[i - 1] || word[i + 1:], 1 FROM p WHERE i > 1
-  UNION ALL SELECT word, word[:i - 3] || word[i] || word[i - 1] || word[i - 2] || word[i + 1:], 1 FROM p WHERE i > 2
-  UNION ALL SELECT word, word[:i - 1] || b || word[i + 1:], 1.5 FROM p JOIN {_KEYS} ON a = word[i] UNION ALL SELECT word, word[:i - 1] || word[i + 1:], 1 FROM p),
-b AS (SELECT md.word, min((c + m[1], m[2])) AS z FROM md JOIN dd ON v = variant GROUP BY md.word)
+md AS (SELECT word, word AS v, 0.0::DOUBLE AS c FROM u UNION ALL SELECT word, substr(word, 1, i - 2) || word[i] || word[i - 1] || substr(word, i + 1), 1 FROM p WHERE i > 1
+  UNION ALL SELECT word, substr(word, 1, i - 3) || word[i] || word[i - 1] || word[i - 2] || substr(word, i + 1), 1 FROM p WHERE i > 2
+  UNION ALL SELECT word, substr(word, 1, i - 1) || b || substr(word, i + 1), 1.5 FROM p JOIN {_KEYS} ON a = word[i] UNION ALL SELECT word, substr(word, 1, i - 1) || substr(word, i + 1), 1 FROM p)"""
+CORRECT = f"""WITH {_TYPOS}, b AS (SELECT md.word, min((c + m[1], m[2])) AS z FROM md JOIN dd ON v = variant GROUP BY md.word)
 SELECT word, z[2] AS corrected, z[1]::DOUBLE AS cost FROM u LEFT JOIN b USING (word)"""
-for _name in ("_DELETED", "CORRECT"):  # word[:0] is empty, word[:-1] is not
-    globals()[_name] = globals()[_name].replace("word[:i - 2] ||", "substr(word, 1, i - 2) ||").replace("word[:i - 3] ||", "substr(word, 1, i - 3) ||")
-CORRECT = CORRECT.replace("word[:i - 1] ||", "substr(word, 1, i - 1) ||").replace("w.substr(word", "substr(w.word")
-DELETIONS = DELETIONS.replace("w.word[:i - 1] ||", "substr(w.word, 1, i - 1) ||")
+# every typo is one swap, of cost 1, from a word: no second modification can be cheaper
+ACCURACY = f"""WITH {_TYPOS}, b AS (SELECT md.word, min((c + m[1], (c > 0)::INTEGER, m[2])) AS z FROM md JOIN dd ON v = variant GROUP BY md.word)
+SELECT count(*) AS n, sum((correction IS NOT DISTINCT FROM z[3])::INTEGER)::BIGINT AS right, avg((correction IS NOT DISTINCT FROM z[3])::INTEGER) AS accuracy FROM ty LEFT JOIN b USING (word)"""
 
 _CALLED, _NAMED_TWICE = r"(''+)([^'']+)(''+)([^'']+)zwana([^'']+)(''*)([^'']+)(''+)", r"(''+)([^'']+)(''+)([^'']+)nazywana([^'']+)(''*)([^'']+)(''+)"
 _NAMED, _OR = r"nazywana([^'']+)(''+)([^'']+)(''+)", r"(''+)([^'']+)(''+) lub (''+)([^'']+)(''+)"
