@@ -54,7 +54,7 @@ def features() -> list[Column]:
 
 def with_features(docs: DataFrame) -> DataFrame:
     rows = with_counts(docs, more=True)
-    return rows.select(*[c for c in rows.columns if c != "_counts"], F.array(*features()).alias("_features"))
+    return rows.select(*[c for c in rows.columns if c not in ("_counts", "_features")], F.array(*features()).alias("_features"))
 
 
 @dataclass
@@ -191,7 +191,7 @@ def score(model: Additive) -> Column:
     def of(batch: pd.Series) -> pd.Series:
         return pd.Series(model.score(np.stack(batch.to_numpy()).astype(float)) if len(batch) else np.empty(0))
 
-    return F.pandas_udf(of, T.DoubleType(), F.PandasUDFType.SCALAR)("_features")
+    return F.pandas_udf(of, T.DoubleType())("_features")
 
 
 def score_documents(docs: DataFrame, model: Additive) -> DataFrame:

@@ -1,3 +1,4 @@
+import math
 import re
 import zlib
 from collections import Counter
@@ -84,6 +85,21 @@ def test_additive_model_learns_an_interaction():
     assert ((qc.fit_additive(x[:4000], z[:4000]).score(x[4000:]) >= 0.5) == z[4000:]).mean() > 0.98
 
 
+def test_the_score_is_the_sum_of_table_entries(spark):
+    rng = np.random.default_rng(6)
+    x = rng.random((900, len(qc.FEATURES)))
+    model = qc.fit_additive(x, ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.4)).astype(float))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x[:50])], "i long, _features array<double>")
+    got = {r.i: r.s for r in rows.select("i", qc.score(model).alias("s")).collect()}
+    for i, v in enumerate(x[:50].tolist()):
+        total = model.intercept
+        for j, value in enumerate(v):
+            total += model.tables[j][sum(c <= value for c in model.cuts[j])]
+        for (j, k), table in model.pairs.items():
+            total += table[sum(c <= v[j] for c in model.pair_cuts[j])][sum(c <= v[k] for c in model.pair_cuts[k])]
+        assert abs(got[i] - 1 / (1 + math.exp(-total))) < 1e-9
+
+
 def test_scores(spark):
     good, junk = "plain words of a text that goes on, ", "##$ buy %% now && "
     rows = [(i, (good if i % 2 else junk) + f"w{i} " * (i % 7) + "tail " * (i % 11)) for i in range(400)]
