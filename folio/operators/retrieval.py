@@ -70,6 +70,19 @@ def positional_index(articles: DataFrame, base_forms: DataFrame, clusters: DataF
     return tokens.join(starts, "id").select("ident", (F.col("start") + F.col("ord")).alias("position"), "id").distinct()
 
 
+def posting_gaps(pairs: DataFrame, wide: int = 1 << 16) -> DataFrame:
+    """(form, gap) of distinct (form, id): each id less the one before it in its form, the first one less 0.
+
+    Gaps are taken within blocks of ids; the first of a block follows the last of the form's block
+    before, so no form's ids need be in one task.
+    """
+    rows = pairs.withColumn("block", F.floor(F.col("id") / wide))
+    inside = rows.select("form", (F.col("id") - F.lag("id").over(Window.partitionBy("form", "block").orderBy("id"))).alias("gap")).filter("gap is not null")
+    ends = rows.groupBy("form", "block").agg(F.min("id").alias("first"), F.max("id").alias("last"))
+    before = F.coalesce(F.lag("last").over(Window.partitionBy("form").orderBy("block")), F.lit(0))
+    return inside.union(ends.select("form", (F.col("first") - before).alias("gap")))
+
+
 def article_at(positions: DataFrame, starts: DataFrame) -> DataFrame:
     """As-of look-up: the article whose start is the greatest up to ``position``.
 

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folio.functions import postings as P
 from folio.functions import text as T
 from folio.operators import extraction, ngrams, quotes, retrieval, spelling, titles, vectors
 from folio.plans import oracle as O
+from folio.sources import readers
 from folio.sources import views as V
 from folio.sources.readers import numbered
-from folio.sources.staging import stage
+from folio.sources.staging import new_path, stage
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -39,6 +40,92 @@ def _both(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return V.articles(spark, sf), _forms(spark, sf)
 
 
+# files: written from the tables to the shared folder, then read
+
+
+def _file(lines: DataFrame, *order: str) -> str:
+    """The path of the text files with the rows of ``line`` in the order given."""
+    path = new_path(lines.sparkSession, "text")
+    lines.orderBy(*order).select("line").write.text(path)
+    return path
+
+
+def _flat(text: str) -> Column:
+    return F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[ \t\n\x0b\f\r]+", " ")
+
+
+@query(O.READ_ARTICLES)
+def read_articles(spark: SparkSession, sf: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    gap = F.when(F.col("doc_id") % 3 == 0, F.lit("\n")).otherwise(F.lit(""))  # two blank lines after some
+    line = F.concat(F.lit("TITLE: Doc "), F.col("doc_id").cast("string"), F.lit("\n"), F.concat(F.lit("x"), _flat("text")), F.lit("\nend\n"), gap)
+    return readers.read_articles(spark, _file(docs.select("doc_id", line.alias("line")), "doc_id"))
+
+
+@query(O.READ_FORMS)
+def read_base_forms(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _forms(spark, sf)
+    path = _file(rows.select("word", "pos", "base_form", F.concat_ws(";", "base_form", "word", F.lit("x")).alias("line")), "word", "pos", "base_form")
+    return readers.read_base_forms(spark, path)
+
+
+@query(O.READ_QUOTES)
+def read_quotes(spark: SparkSession, sf: str) -> DataFrame:
+    rows = V.quotes(spark, sf).select("quote_id", F.concat(F.lit("  "), _flat("text")).alias("line"))
+    return readers.read_quotes(spark, _file(rows, "quote_id"))
+
+
+@query(O.READ_NGRAMS)
+def read_ngrams(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _forms(spark, sf).select("word", F.concat_ws(" ", F.lit("7"), "word", "base_form").alias("line"))
+    return readers.read_ngrams(spark, _file(rows, "word"), 2)
+
+
+@query(O.READ_VECTORS)
+def read_word_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """Two lines for each term of every third vector; the later one counts."""
+    table = spark.read.parquet(f"{sf}/embeddings.parquet")
+    line = F.concat(F.lit("T"), F.col("vec_id").cast("string"), F.lit(" "), F.array_join(F.transform("embedding", lambda x: x.cast("string")), " "))
+    old = table.filter("vec_id % 3 = 0").select(F.lit(1).alias("k"), "vec_id", F.concat(F.lit("t"), F.col("vec_id").cast("string"), F.lit(" 1 2")).alias("line"))
+    head = spark.createDataFrame([(0, -1, "9 64")], "k int, vec_id long, line string")
+    found = readers.read_word_vectors(spark, _file(head.union(old).union(table.select(F.lit(2), "vec_id", line)), "k", "vec_id"))
+    return found.select("term", F.size("vec").alias("wide"), F.round(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x), 4).alias("total"))
+
+
+@query(O.READ_PARAGRAPHS)
+def read_paragraphs(spark: SparkSession, sf: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", F.concat(F.lit("### "), F.col("page_id").cast("string"), F.lit("\n a"), _flat("html"), F.lit("\nz\n")).alias("line"))
+    return readers.read_paragraphs(spark, _file(pages, "page_id"))
+
+
+@query(O.READ_CHARACTERS)
+def read_characters(spark: SparkSession, sf: str) -> DataFrame:
+    rows = V.quotes(spark, sf).select("quote_id", _flat("text").alias("line"))
+    return readers.read_characters(spark, _file(rows, "quote_id")).groupBy("ch").agg(F.count("*").alias("n"))
+
+
+@query(O.READ_TYPOS)
+def read_typos(spark: SparkSession, sf: str) -> DataFrame:
+    return readers.read_typos(spark, _file(_typos(spark, sf).select("correction", F.concat_ws(" ", "correction", "word").alias("line")), "correction"))
+
+
+@query(O.READ_CLUSTERS)
+def read_term_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    """Written by the writer of term clusters, then read."""
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.concat(F.lit("t"), F.col("vec_id").cast("string")).alias("term"), F.col("label").alias("cluster"))
+    path = new_path(spark, "clusters")
+    readers.write_term_clusters(rows, path)
+    return readers.read_term_clusters(spark, path)
+
+
+@query(O.STORED_SEARCH)
+def search_stored_index(spark: SparkSession, sf: str) -> DataFrame:
+    """The mixed query over an index that is written and read again."""
+    articles, forms = _both(spark, sf)
+    index = retrieval.TextIndex.build(readers.IndexStore(spark, new_path(spark, "index")), articles, forms)
+    return index.search(MIXED).select("id", "title", F.round("rating", 6).alias("rating"))
+
+
 # search
 
 
@@ -127,8 +214,8 @@ def postings_sizes(spark: SparkSession, sf: str) -> DataFrame:
     articles, forms = _both(spark, sf)
     tokens = articles.select("id", F.explode(F.array_distinct(T.article_tokens(F.col("title"), F.col("content")))).alias("tok"))
     pairs = retrieval.with_forms(tokens, forms, default=False).select("form", "id").distinct()
-    lists = pairs.groupBy("form").agg(F.sort_array(F.collect_list("id")).alias("ids")).select("form", F.explode(P.gaps(F.col("ids"))).alias("gap"))
-    sizes = lists.groupBy("form").agg(F.sum(P.n_digits(F.col("gap"), 128)).alias("d128"), F.sum(P.n_digits(F.col("gap"), 16)).alias("d16"), F.count("*").alias("n"), F.sum(2 * P.bits(F.col("gap")) - 1).alias("gamma"))
+    gaps = retrieval.posting_gaps(stage(pairs, "postings"))
+    sizes = gaps.groupBy("form").agg(F.sum(P.n_digits(F.col("gap"), 128)).alias("d128"), F.sum(P.n_digits(F.col("gap"), 16)).alias("d16"), F.count("*").alias("n"), F.sum(2 * P.bits(F.col("gap")) - 1).alias("gamma"))
     return sizes.agg(F.sum("d128").alias("base_128"), F.sum("d16").alias("base_16"), F.sum(4 * F.col("n")).alias("int32"), F.sum(F.ceil(F.col("gamma") / 8)).alias("gamma"))
 
 

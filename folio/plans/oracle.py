@@ -227,3 +227,17 @@ DIFFERENCE = r"""WITH t AS (SELECT item_id, list_filter(list_transform(regexp_sp
 SELECT a.item_id AS quote_id, array_to_string(list_filter(a.ws, lambda x: NOT list_contains(b.ws, x)), ' ') AS only_here,
   array_to_string(list_filter(b.ws, lambda x: NOT list_contains(a.ws, x)), ' ') AS only_before
 FROM t AS a JOIN t AS b ON a.item_id = b.item_id + 1"""
+
+_FLAT = r"regexp_replace(coalesce({0}, ''), '[ \t\n\x0b\f\r]+', ' ', 'g')"
+READ_ARTICLES = f"""SELECT row_number() OVER (ORDER BY doc_id) AS id, 'Doc ' || doc_id AS title, 'x' || {_FLAT.format("text")} || chr(10) || 'end' AS content FROM documents"""
+READ_FORMS = f"WITH {BF} SELECT word, base_form, row_number() OVER (ORDER BY word, pos, base_form) - 1 AS pos FROM bf"
+READ_QUOTES = f"SELECT row_number() OVER (ORDER BY item_id) - 1 AS quote_id, trim({_FLAT.format('text')}) AS text FROM benchmark"
+READ_NGRAMS = f"WITH {BF} SELECT word AS w1, base_form AS w2 FROM bf"
+READ_VECTORS = """SELECT 't' || vec_id AS term, len(embedding)::INTEGER AS wide, round(list_sum(list_transform(embedding, lambda x: x::VARCHAR::DOUBLE)), 4) AS total FROM embeddings"""
+READ_PARAGRAPHS = f"SELECT page_id::VARCHAR AS entity, trim('a' || {_FLAT.format('html')}) || 'z' AS content FROM pages"
+READ_CHARACTERS = f"SELECT ch, count(*) AS n FROM (SELECT unnest(string_split({_FLAT.format('text')}, ' ')) AS ch FROM benchmark) GROUP BY ch"
+READ_TYPOS = f"WITH {BF} SELECT word AS correction, word[1] || word[3] || word[2] || word[4:] AS word FROM w"
+READ_CLUSTERS = "SELECT 't' || vec_id AS term, label::VARCHAR AS cluster FROM embeddings"
+STORED_SEARCH = f"""{BASE}, {START}, {_query("of", "the")}, {_query("with", name="p")}, {_AT.format("q")}, met AS (SELECT DISTINCT id FROM found SEMI JOIN (SELECT id FROM fm JOIN p USING (form)) USING (id)),
+{_RATE.replace("(SELECT form FROM q)", "(SELECT form FROM q UNION SELECT form FROM p)")}
+SELECT id, title, rating FROM rate SEMI JOIN met USING (id) ORDER BY rating DESC, id LIMIT 10"""

@@ -2,26 +2,54 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folio.functions.text import clean_word, strip
 
 
+def _running(rows: DataFrame, value: Column, name: str) -> DataFrame:
+    """Adds the sum of ``value`` up to and with each row of ``_split_lines``, in the order of the files.
+
+    Sums run within a split and over one row for each split, never over all rows in one task.
+    """
+    rows = rows.withColumn("_value", value.cast("long"))
+    sums = rows.groupBy("file", "split").agg(F.sum("_value").alias("sum"))
+    before = F.coalesce(F.sum("sum").over(Window.orderBy("file", "split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.sum("_value").over(Window.partitionBy("file", "split").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
+    sums = sums.select("file", "split", before.alias("_before"))
+    return rows.withColumn("_inside", inside).join(sums, ["file", "split"]).withColumn(name, F.col("_before") + F.col("_inside")).drop("_value", "_before", "_inside")
+
+
+def _split_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, split, at, value): the lines; a file's splits start at ``split``, lines rise by ``at`` within a split."""
+    read = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"))
+    return read.withColumn("at", F.monotonically_increasing_id())
+
+
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """(n, value) of a text file; a file is read whole so that the lines keep their numbers."""
-    whole = spark.read.text(path, wholetext=True)
-    return whole.select(F.posexplode(F.split("value", "\n")).alias("n", "value"))
+    """(n, value): the lines of one file or of several in the order of their names, numbered from 0."""
+    return _running(_split_lines(spark, path), F.lit(1), "n").select((F.col("n") - 1).alias("n"), "value")
+
+
+def _blocks(spark: SparkSession, path: str, clean: Callable[[Column], Column]) -> DataFrame:
+    """(file, block, split, at, lines) of the runs of lines between blank lines; a block is a row, files end blocks."""
+    rows = _split_lines(spark, path).withColumn("value", clean(F.col("value")))
+    rows = _running(rows, F.col("value") == "", "block").filter("value <> ''")
+    # a block may lie in two splits: they follow each other, so (split, at) is the order of its lines
+    lines = F.array_sort(F.collect_list(F.struct("split", "at", "value")))
+    found = rows.groupBy("file", "block").agg(lines.alias("lines"))
+    return found.select("file", "block", F.col("lines")[0]["split"].alias("split"), F.col("lines")[0]["at"].alias("at"), F.transform("lines", lambda x: x["value"]).alias("lines"))
 
 
 def read_articles(spark: SparkSession, path: str) -> DataFrame:
-    """(id, title, content) of blocks separated by a blank line; blocks without a title are dropped before numbering."""
-    whole = spark.read.text(path, wholetext=True)
-    block = F.filter(F.split("value", "\n\n"), lambda b: b.rlike("^TITLE: "))
-    rows = whole.select(F.posexplode(block).alias("at", "block"))
-    first = F.substring_index("block", "\n", 1)
-    content = F.when(F.instr("block", "\n") > 0, F.substring(F.col("block"), F.instr("block", "\n") + 1, F.length("block"))).otherwise("")
-    return rows.select((F.col("at") + 1).cast("long").alias("id"), F.regexp_extract(first, "TITLE: (.*)", 1).alias("title"), content.alias("content"))
+    """(id, title, content) of blocks separated by blank lines, numbered from 1 over all files; blocks without a title line are dropped first."""
+    titled = _blocks(spark, path, lambda v: v).filter(F.get("lines", F.lit(0)).startswith("TITLE: "))
+    rows = _running(titled, F.lit(1), "id")
+    rest = F.slice("lines", F.lit(2), F.size("lines"))
+    return rows.select("id", F.regexp_extract(F.get("lines", F.lit(0)), "TITLE: (.*)", 1).alias("title"), F.array_join(rest, "\n").alias("content"))
 
 
 def read_base_forms(spark: SparkSession, path: str) -> DataFrame:
@@ -32,10 +60,8 @@ def read_base_forms(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_quotes(spark: SparkSession, path: str) -> DataFrame:
-    """(quote_id, text) with ids from 0; an empty last line is none."""
-    lines = _lines(spark, path)
-    last = lines.agg(F.max("n").alias("last"))  # one row
-    return lines.join(F.broadcast(last)).filter("not (n = last and value = '')").select(F.col("n").cast("long").alias("quote_id"), strip(F.col("value")).alias("text"))
+    """(quote_id, text) with ids from 0, one for each line."""
+    return _lines(spark, path).select(F.col("n").alias("quote_id"), strip(F.col("value")).alias("text"))
 
 
 def read_ngrams(spark: SparkSession, path: str, n: int) -> DataFrame:
@@ -58,12 +84,15 @@ def read_word_vectors(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_paragraphs(spark: SparkSession, path: str) -> DataFrame:
-    """(entity, content) of blocks that a blank line ends; the entity line loses four characters, the others are joined without a separator."""
-    whole = spark.read.text(path, wholetext=True)
-    closed = F.regexp_extract("value", r"(?s)^(.*\n)\n", 1)  # an unended last block is dropped
-    blocks = F.filter(F.split(closed, r"\n\n+"), lambda b: F.trim(b) != "")
-    rows = whole.select(F.explode(F.transform(blocks, lambda b: F.split(F.regexp_replace(b, r"\n$", ""), "\n"))).alias("lines"))
-    return rows.select(F.substring(F.get("lines", 0), 5, 1_000_000).alias("entity"), F.array_join(F.slice("lines", F.lit(2), F.size("lines")), "").alias("content"))
+    """(entity, content) of blocks that a blank line ends; the entity line loses four characters, the others are joined without a separator.
+
+    Lines are stripped; a last block that no blank line ends is dropped.
+    """
+    rows = _blocks(spark, path, strip)
+    blanks = _running(_split_lines(spark, path), strip(F.col("value")) == "", "block").groupBy("file").agg(F.max("block").alias("last"))
+    closed = rows.join(F.broadcast(blanks), "file").filter("block < last")  # one row for each file
+    first = F.get("lines", F.lit(0))
+    return closed.select(F.substring(first, F.lit(5), F.length(first)).alias("entity"), F.array_join(F.slice("lines", F.lit(2), F.size("lines")), "").alias("content"))
 
 
 def read_characters(spark: SparkSession, path: str) -> DataFrame:

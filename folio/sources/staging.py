@@ -10,10 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: ``spark.checkpoint.dir`` of the session.
 
-    Only where the setting is missing (tests, a local shell) a folder under /tmp is set.
+    Only in local mode (tests, a shell) a folder under /tmp is set where the setting is missing; a
+    cluster's executors don't share one, so there the setting is needed.
     """
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = f"file:///tmp/checkpoints/{uuid.uuid4().hex}"
         spark.sparkContext.setCheckpointDir(where)
         where = spark.sparkContext.getCheckpointDir()

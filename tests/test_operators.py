@@ -99,6 +99,13 @@ def test_exact_phrase(spark, tmp_path):
     assert [tuple(r) for r in index.show(index.search("fast", k=1)).collect()] == [(1, "x", "run run fast")]
 
 
+def test_posting_gaps_cross_blocks(spark):
+    ids = {"a": [1, 5, 6, 17, 18, 40], "b": [33], "c": [8, 9]}
+    pairs = frame(spark, [(f, i) for f, x in ids.items() for i in x], "form string, id long")
+    got = retrieval.posting_gaps(pairs, wide=8).collect()
+    assert sorted((r.form, r.gap) for r in got) == sorted((f, b - a) for f, x in ids.items() for a, b in zip([0, *x], x))
+
+
 def test_titles(spark):
     rows = frame(spark, [(1, "Rock (band)"), (2, "Rock"), (3, "Rook"), (4, "Jazz")], "id long, title string")
     got = titles.find_title("rock", rows, spark).collect()
@@ -207,13 +214,27 @@ def test_readers(spark, tmp_path):
         path.write_text(text, encoding="utf-8")
         return str(path)
 
-    got = readers.read_articles(spark, file("TITLE: A b\nline\nmore\n\nno title\n\nTITLE: C\n")).collect()
+    got = readers.read_articles(spark, file("TITLE: A b\nline\nmore\n\nno title\n\nTITLE: C\n")).orderBy("id").collect()
     assert [(r.id, r.title, r.content) for r in got] == [(1, "A b", "line\nmore"), (2, "C", "")]
+    text = "TITLE: a\nx\n\n\nTITLE: b\ny\n\nTITLE: c"
+    assert [(r.id, r.title, r.content) for r in readers.read_articles(spark, file(text)).orderBy("id").collect()] == [(1, "a", "x"), (2, "b", "y"), (3, "c", "")]
+    (tmp_path / "many").mkdir()
+    for name in ("a.txt", "b.txt"):
+        (tmp_path / "many" / name).write_text(f"TITLE: {name}\n" + "word " * 50 + "\n\nTITLE: last", encoding="utf-8")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64")  # blocks lie in several splits
+    try:
+        got = readers.read_articles(spark, str(tmp_path / "many")).orderBy("id").collect()
+        assert [(r.id, r.title, r.content) for r in got] == [(1, "a.txt", "word " * 50), (2, "last", ""), (3, "b.txt", "word " * 50), (4, "last", "")]
+        assert [r.quote_id for r in readers.read_quotes(spark, file("\n".join(f"quote {k}" for k in range(60)))).orderBy("text").limit(3).collect()] == [0, 1, 10]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    long = "x" * 1_200_000
+    assert readers.read_paragraphs(spark, file(f"### {long}\ny\n\n")).first().entity == long
     assert [tuple(r) for r in readers.read_base_forms(spark, file("b;w;x\nb2;w\nbad\n")).collect()] == [("w", "b", 0), ("w", "b2", 1)]
     assert [tuple(r) for r in readers.read_quotes(spark, file(" a \nb\n")).collect()] == [(0, "a"), (1, "b")]
     assert [tuple(r) for r in readers.read_ngrams(spark, file("3 a b\n1 c d\n"), 2).orderBy("w1").collect()] == [("a", "b"), ("c", "d")]
     assert [tuple(r) for r in readers.read_word_vectors(spark, file("2 2\nA 1 2\na 3 4\n")).collect()] == [("a", [3.0, 4.0])]
-    assert [tuple(r) for r in readers.read_paragraphs(spark, file("### One\nab\ncd\n\n### Two\nx\n\n### Cut\nlost")).collect()] == [("One", "abcd"), ("Two", "x")]
+    assert sorted(tuple(r) for r in readers.read_paragraphs(spark, file("### One\nab\ncd\n\n### Two\nx\n\n### Cut\nlost")).collect()) == [("One", "abcd"), ("Two", "x")]
     assert [tuple(r) for r in readers.read_typos(spark, file("good godo\n")).collect()] == [("good", "godo")]
     readers.write_term_clusters(frame(spark, [("a", 3)], "term string, cluster int"), str(tmp_path / "clusters"))
     assert [tuple(r) for r in readers.read_term_clusters(spark, str(tmp_path / "clusters")).collect()] == [("a", "3")]
