@@ -63,6 +63,11 @@ def decode(coded: Column, coding: int = 128) -> Column:
     return F.aggregate(code_bytes(coded), start, step, lambda s: s["out"])
 
 
+def last_element(coded: Column, coding: int = 128) -> Column:
+    """The largest id of a posting list, null of an empty one."""
+    return F.try_element_at(decode(coded, coding), F.lit(-1))
+
+
 def intersection(a: Column, b: Column) -> Column:
     return F.array_sort(F.array_intersect(a, b))
 

@@ -22,13 +22,13 @@ def one_grams(words: DataFrame) -> DataFrame:
 
 
 def two_grams(pairs: DataFrame) -> DataFrame:
-    cleaned = pairs.groupBy("w1", "w2").agg(F.count("*").alias("n")).select(T.clean_word(F.col("w1")).alias("w1"), T.clean_word(F.col("w2")).alias("w2"), "n")
-    return cleaned.filter("w1 is not null and w2 is not null").groupBy("w1", "w2").agg(F.sum("n").alias("n"))
+    cleaned = pairs.select(T.clean_word(F.col("w1")).alias("w1"), T.clean_word(F.col("w2")).alias("w2"))
+    return cleaned.filter("w1 is not null and w2 is not null").groupBy("w1", "w2").agg(F.count("*").alias("n"))
 
 
 def correction_words(pairs: DataFrame) -> DataFrame:
     """(w): cleaned pieces of words with full stops, of pairs whose words both have letters."""
-    both = pairs.distinct().filter(T.clean_word(F.col("w1")).isNotNull() & T.clean_word(F.col("w2")).isNotNull())
+    both = pairs.filter(F.contains("w1", F.lit(".")) | F.contains("w2", F.lit("."))).distinct().filter(T.clean_word(F.col("w1")).isNotNull() & T.clean_word(F.col("w2")).isNotNull())
     return both.select(F.explode(F.concat(T.dotted_words(F.col("w1")), T.dotted_words(F.col("w2")))).alias("w")).distinct()
 
 
@@ -49,12 +49,23 @@ def merged_words(ones: DataFrame, twos: DataFrame, corrections: DataFrame, dicti
 
 
 def split_words(ones: DataFrame, twos: DataFrame) -> DataFrame:
-    """(w1, w2, merged) of pairs that mostly stand as one word."""
+    """(w1, w2, merged) of pairs that mostly stand as one word; pairs of words too short can go before ``twos`` is counted."""
     pairs = twos.filter((F.length("w1") > LONGER_THAN) & (F.length("w2") > LONGER_THAN)).withColumn("merged", F.concat("w1", "w2"))
     rows = pairs.join(ones.select(F.col("w").alias("merged"), F.col("n").alias("c")), "merged")
     return rows.filter((F.col("c") > 0) & (F.col("n") < F.col("c") * SPLIT_SHARE)).select("w1", "w2", "merged")
 
 
+def sample_of_results(rows: DataFrame, n: int = 10, seed: int = 0) -> DataFrame:
+    """``n`` rows drawn without replacement; of a stored table the same ones for a seed."""
+    return rows.orderBy(F.rand(seed)).limit(n)
+
+
+def membership(listed: DataFrame, rows: DataFrame) -> DataFrame:
+    """(w1, w2, found): whether each listed pair is among the rows."""
+    found = rows.select("w1", "w2", F.lit(True).alias("found")).distinct()
+    return listed.join(found, ["w1", "w2"], "left").select("w1", "w2", F.coalesce("found", F.lit(False)).alias("found"))
+
+
 def superbase_forms(base_forms: DataFrame) -> DataFrame:
     """(base_form, superbase): forms that share a word, directly or through others; the name joins all of them."""
     first = base_forms.groupBy("word").agg(F.min_by("base_form", F.struct("pos", "base_form")).alias("first"))

@@ -70,6 +70,15 @@ def positional_index(articles: DataFrame, base_forms: DataFrame, clusters: DataF
     return tokens.join(starts, "id").select("ident", (F.col("start") + F.col("ord")).alias("position"), "id").distinct()
 
 
+def build_index(kind: str, articles: DataFrame, base_forms: DataFrame, clusters: DataFrame | None = None) -> DataFrame:
+    """The index of a kind: traditional or positional. Mixed search uses both; there is no mixed index."""
+    if kind == "traditional":
+        return traditional_index(articles, base_forms, clusters)
+    if kind == "positional":
+        return positional_index(articles, base_forms, clusters)
+    raise ValueError(f"no index of kind {kind}")
+
+
 def posting_gaps(pairs: DataFrame, wide: int = 1 << 16) -> DataFrame:
     """(form, gap) of distinct (form, id): each id less the one before it in its form, the first one less 0.
 

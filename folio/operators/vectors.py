@@ -45,6 +45,13 @@ def tfidf(articles: DataFrame, base_forms: DataFrame) -> DataFrame:
     return normalised(tf(terms).join(idf(terms, articles), "term").select("id", "term", (F.col("tf") * F.col("idf")).alias("weight")))
 
 
+def stored_tfidf(store, articles: DataFrame, base_forms: DataFrame) -> DataFrame:
+    """The weights in a store's table ``embeddings``, as they are; made and saved where it has none."""
+    if not store.has("embeddings"):
+        store.write("embeddings", tfidf(articles, base_forms))
+    return store.read("embeddings")
+
+
 def similar(weights: DataFrame, articles: DataFrame, article_id: int, k: int = 10) -> DataFrame:
     """(id, similarity) of the ``k`` articles nearest to one; similarity falls, then ids rise."""
     own = weights.filter(F.col("id") == article_id).select("term", F.col("weight").alias("w"))
@@ -100,6 +107,12 @@ def assign(points: DataFrame, centres: DataFrame) -> DataFrame:
     return near.select("term", F.col("m.cluster").alias("cluster"))
 
 
+def moved_centres(points: DataFrame, assigned: DataFrame) -> DataFrame:
+    """(cluster, n, d, x): size and new centre of each cluster, a row for each dimension."""
+    rows = points.join(assigned, "term").select("cluster", F.posexplode("vec").alias("d", "x"))
+    return rows.groupBy("cluster", "d").agg(F.count("*").alias("n"), F.avg("x").alias("x")).select("cluster", "n", "d", "x")
+
+
 def kmeans(points: DataFrame, k: int = 100, rounds: int = 10, starts: int = 5, seed: int = 1) -> DataFrame:
     """(term, cluster) of the best of ``starts`` k-means runs."""
     data = stage(points.select("term", "vec"), "points").select("term", array_to_vector("vec").alias("features"))

@@ -293,6 +293,15 @@ def tfidf_weights(spark: SparkSession, sf: str) -> DataFrame:
     return vectors.tfidf(*_both(spark, sf)).select("id", "term", F.round("weight", 6).alias("weight"))
 
 
+@query(O.TFIDF)
+def tfidf_stored(spark: SparkSession, sf: str) -> DataFrame:
+    """Saved by the first call, loaded by the second."""
+    store = readers.IndexStore(spark, new_path(spark, "index"))
+    for _ in range(2):
+        found = vectors.stored_tfidf(store, *_both(spark, sf))
+    return found.select("id", "term", F.round("weight", 6).alias("weight"))
+
+
 @query(O.SIMILAR)
 def tfidf_similar(spark: SparkSession, sf: str) -> DataFrame:
     articles, forms = _both(spark, sf)
@@ -362,6 +371,12 @@ def kmeans_assign_step(spark: SparkSession, sf: str) -> DataFrame:
     return vectors.assign(rows.select(F.col("vec_id").cast("string").alias("term"), "vec"), centres)
 
 
+@query(O.MOVE)
+def kmeans_move_step(spark: SparkSession, sf: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").cast("string").alias("term"), F.col("embedding").cast("array<double>").alias("vec"))
+    return vectors.moved_centres(rows, kmeans_assign_step(spark, sf)).select("cluster", "n", "d", F.round("x", 6).alias("x"))
+
+
 @query()
 def kmeans_terms(spark: SparkSession, sf: str) -> DataFrame:
     return vectors.kmeans(_word_vectors(spark, sf).select("term", T.unit(F.col("vec")).alias("vec")), k=100, rounds=10, starts=5)
@@ -388,18 +403,25 @@ def _pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 def _ones(spark: SparkSession, sf: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    return ngrams.one_grams(docs.select(F.explode(T.space_tokens(F.col("text"))).alias("w")))
+    return stage(ngrams.one_grams(docs.select(F.explode(T.space_tokens(F.col("text"))).alias("w"))), "one-grams")
 
 
 @query(O.MERGED)
 def merged_words(spark: SparkSession, sf: str) -> DataFrame:
     pairs = _pairs(spark, sf)
-    return ngrams.merged_words(_ones(spark, sf), ngrams.two_grams(pairs), ngrams.correction_words(pairs), V.base_forms(spark, sf))
+    return ngrams.merged_words(_ones(spark, sf), ngrams.two_grams(pairs), ngrams.correction_words(pairs), _forms(spark, sf))
+
+
+@query(O.EXPECTED)
+def merged_expected(spark: SparkSession, sf: str) -> DataFrame:
+    listed = spark.createDataFrame(O.LISTED, "w1 string, w2 string")
+    return ngrams.membership(listed, merged_words(spark, sf))
 
 
 @query(O.SPLIT)
 def split_words(spark: SparkSession, sf: str) -> DataFrame:
-    return ngrams.split_words(_ones(spark, sf), ngrams.two_grams(_pairs(spark, sf)))
+    long = _pairs(spark, sf).filter((F.length("w1") > ngrams.LONGER_THAN) & (F.length("w2") > ngrams.LONGER_THAN))  # a cleaned word is no longer
+    return ngrams.split_words(_ones(spark, sf), ngrams.two_grams(long))
 
 
 @query(O.SUPERBASE)
@@ -407,9 +429,9 @@ def superbase_forms(spark: SparkSession, sf: str) -> DataFrame:
     return ngrams.superbase_forms(V.base_forms(spark, sf, graph=True))
 
 
-@query()
+@query(O.AMBIGUOUS)
 def ambiguous_ngrams(spark: SparkSession, sf: str) -> DataFrame:
-    forms = V.base_forms(spark, sf, graph=True)
+    forms = stage(V.base_forms(spark, sf, graph=True), "base-forms")
     pairs = _pairs(spark, sf).select(F.array(F.lower("w1"), F.lower("w2")).alias("ngram"))
     return ngrams.ambiguous_pairs(pairs, forms, ngrams.superbase_forms(forms))
 
@@ -453,7 +475,7 @@ def spell_accuracy(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(O.ALIASES)
 def alias_extraction(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.createDataFrame(O.PARAGRAPHS, "entity string, content string")
+    rows = spark.createDataFrame(O.PARAGRAPHS, "entity string, content string").union(V.articles(spark, sf).select("title", "content"))
     return rows.select("entity", extraction.alias(F.col("entity"), F.col("content")).alias("alias"))
 
 
@@ -462,6 +484,12 @@ def quoted_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return extraction.quoted_pairs(spark.createDataFrame([(t,) for t in O.QUOTED_TEXTS], "text string").union(spark.read.parquet(f"{sf}/documents.parquet").select("text")))
 
 
+@query(O.LATEX_QUOTED)
+def latex_quoted_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    rows = spark.createDataFrame([(t,) for t in O.LATEX_TEXTS], "text string").union(spark.read.parquet(f"{sf}/documents.parquet").select("text"))
+    return extraction.quoted_pairs(rows, extraction.LATEX)
+
+
 @query(O.SYNONYMS)
 def close_synonyms(spark: SparkSession, sf: str) -> DataFrame:
     forms, words = _forms(spark, sf), _word_vectors(spark, sf)

@@ -12,6 +12,12 @@ PARAGRAPHS = [
 QUOTED_TEXTS = ["x „kot” , „pies” y „a” , „b” „c” , „d”", "„Kot” , „pies”", "none"]
 
 
+LATEX_TEXTS = ["see `` kot '' , `` pies '' and `` a '' , `` b ''", "`` Kot '' , `` pies ''"]
+#: Pairs looked for among the merged words, then pairs of the corpus' own kind.
+LISTED = [("wielkiego", "pomorska"), ("socjologii", "uniwersytetu"), ("otwarta", "pracownia"), ("przez", "grzechy"),
+          ("anty", "systemową"), ("super", "tygrysa"), ("wewnątrz", "oddziałowego"), ("wschodnio", "karpackiego"), ("that", "tion"), ("with", "that")]
+
+
 def _rows(values: list, names: str) -> str:
     quote = lambda v: "'" + v.replace("'", "''") + "'"
     return f"(VALUES {', '.join('(' + ', '.join(map(quote, r if isinstance(r, tuple) else (r,))) + ')' for r in values)}) AS v({names})"
@@ -178,10 +184,11 @@ r AS (SELECT k.*, coalesce(o.n, 0) AS c, coalesce(o1.n, 0) AS c1, coalesce(o2.n,
   LEFT JOIN o AS o2 ON o2.w = k.w2 LEFT JOIN t ON t.w1 = k.w1 AND t.w2 = k.w2)
 SELECT w1, w2 FROM r WHERE (c12 >= c * 0.5 AND c > 0) OR (least(c1, c2) > 20 AND abs(c1 - c2) <= least(c1, c2) * 0.3 AND (c1 + c2) * 0.01 >= c)"""
 SPLIT = f"WITH {_GRAMS} SELECT w1, w2, w1 || w2 AS merged FROM t JOIN o ON o.w = w1 || w2 WHERE length(w1) > 3 AND length(w2) > 3 AND t.n < o.n * 0.4"
-SUPERBASE = f"""WITH RECURSIVE {BFG}, f AS (SELECT word, arg_min(base_form, (pos, base_form)) AS first FROM bf GROUP BY word),
-e0 AS (SELECT DISTINCT first AS x, base_form AS y FROM bf JOIN f USING (word)), e AS (SELECT x, y FROM e0 UNION SELECT y, x FROM e0),
-r AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x)
-SELECT x AS base_form, string_agg(y, '|' ORDER BY y) AS superbase FROM (SELECT DISTINCT x, y FROM r) GROUP BY x"""
+_SUPER = f"""WITH RECURSIVE {BFG}, f AS (SELECT word, arg_min(base_form, (pos, base_form)) AS lead FROM bf GROUP BY word),
+e0 AS (SELECT DISTINCT lead AS x, base_form AS y FROM bf JOIN f USING (word)), e AS (SELECT x, y FROM e0 UNION SELECT y, x FROM e0),
+r AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x),
+sb AS (SELECT x AS base_form, string_agg(y, '|' ORDER BY y) AS superbase FROM (SELECT DISTINCT x, y FROM r) GROUP BY x)"""
+SUPERBASE = f"{_SUPER} SELECT base_form, superbase FROM sb"
 
 FOLD = """WITH w AS (SELECT DISTINCT unnest(string_split(lower(text), ' ')) AS word FROM documents), f AS (SELECT word, translate(word, 'ąężźśóćłń', 'aezzsucln') AS folded FROM w)
 SELECT folded, arg_min(word, (word <> folded, word)) AS word FROM f GROUP BY folded"""
@@ -203,11 +210,11 @@ SELECT count(*) AS n, sum((correction IS NOT DISTINCT FROM z[3])::INTEGER)::BIGI
 
 _CALLED, _NAMED_TWICE = r"(''+)([^'']+)(''+)([^'']+)zwana([^'']+)(''*)([^'']+)(''+)", r"(''+)([^'']+)(''+)([^'']+)nazywana([^'']+)(''*)([^'']+)(''+)"
 _NAMED, _OR = r"nazywana([^'']+)(''+)([^'']+)(''+)", r"(''+)([^'']+)(''+) lub (''+)([^'']+)(''+)"
-ALIASES = f"""SELECT entity, CASE WHEN regexp_matches(content, '{_CALLED}') THEN regexp_extract(content, '{_CALLED}', 2) || ' # ' || regexp_extract(content, '{_CALLED}', 7)
+ALIASES = f"""WITH {ART} SELECT entity, CASE WHEN regexp_matches(content, '{_CALLED}') THEN regexp_extract(content, '{_CALLED}', 2) || ' # ' || regexp_extract(content, '{_CALLED}', 7)
   WHEN regexp_matches(content, '{_NAMED_TWICE}') THEN regexp_extract(content, '{_NAMED_TWICE}', 2) || ' # ' || regexp_extract(content, '{_NAMED_TWICE}', 7)
   WHEN regexp_matches(content, '{_NAMED}') THEN entity || ' # ' || regexp_extract(content, '{_NAMED}', 3)
   WHEN regexp_matches(content, '{_OR}') THEN regexp_extract(content, '{_OR}', 2) || ' # ' || regexp_extract(content, '{_OR}', 5) END AS alias
-FROM {_rows(PARAGRAPHS, "entity, content")}"""
+FROM (SELECT * FROM {_rows(PARAGRAPHS, "entity, content")} UNION ALL SELECT title, content FROM a)"""
 QUOTED = f"""WITH t AS (SELECT text FROM {_rows(QUOTED_TEXTS, "text")} UNION ALL SELECT text FROM documents)
 SELECT unnest(regexp_extract_all(text, '„([a-z]+)” , „([a-z]+)”', 1)) AS left, unnest(regexp_extract_all(text, '„([a-z]+)” , „([a-z]+)”', 2)) AS right FROM t"""
 SYNONYMS = f"""WITH {ART}, {BF}, {WV}, nx AS (SELECT term AS l, lead(term) OVER (PARTITION BY cluster ORDER BY term) AS r FROM wv),
@@ -229,6 +236,17 @@ SELECT a.item_id AS quote_id, array_to_string(list_filter(a.ws, lambda x: NOT li
 FROM t AS a JOIN t AS b ON a.item_id = b.item_id + 1"""
 
 _FLAT = r"regexp_replace(coalesce({0}, ''), '[ \t\n\x0b\f\r]+', ' ', 'g')"
+EXPECTED = f"SELECT w1, w2, EXISTS (SELECT 1 FROM ({MERGED}) AS m WHERE m.w1 = v.w1 AND m.w2 = v.w2) AS found FROM {_rows(LISTED, 'w1, w2')}"
+LATEX_QUOTED = QUOTED.replace("„([a-z]+)” , „([a-z]+)”", "`` ([a-z]+) '''' , `` ([a-z]+) ''''").replace(_rows(QUOTED_TEXTS, "text"), _rows(LATEX_TEXTS, "text"))
+MOVE = f"""WITH s AS ({ASSIGN}), x AS (SELECT cluster, unnest(range(len(v))) AS d, unnest(v) AS x FROM (SELECT cluster, embedding::DOUBLE[] AS v FROM s JOIN embeddings ON term = vec_id::VARCHAR))
+SELECT cluster, count(*) AS n, d::INTEGER AS d, round(avg(x), 6) AS x FROM x GROUP BY cluster, d"""
+AMBIGUOUS = f"""{_SUPER},
+ws AS (SELECT string_split(text, ' ') AS ws FROM documents), pr AS (SELECT DISTINCT lower(p[1]) AS w1, lower(p[2]) AS w2 FROM (SELECT unnest(list_zip(ws[:-2], ws[2:])) AS p FROM ws WHERE len(ws) > 1)),
+nm AS (SELECT word, superbase FROM f JOIN sb ON f.lead = base_form), fs AS (SELECT word, list(base_form) AS forms FROM bf GROUP BY word),
+k AS (SELECT w1, w2, n1.superbase || ' ' || n2.superbase AS key, f1.forms AS forms1, f2.forms AS forms2 FROM pr JOIN nm AS n1 ON n1.word = w1 JOIN nm AS n2 ON n2.word = w2 JOIN fs AS f1 ON f1.word = w1 JOIN fs AS f2 ON f2.word = w2),
+am AS (SELECT a.w1 || ' ' || a.w2 AS "first", b.w1 || ' ' || b.w2 AS "second", 0 AS "at" FROM k AS a JOIN k AS b USING (key) WHERE a.w1 <> b.w1 AND NOT list_has_any(a.forms1, b.forms1)
+  UNION ALL SELECT a.w1 || ' ' || a.w2, b.w1 || ' ' || b.w2, 1 FROM k AS a JOIN k AS b USING (key) WHERE a.w2 <> b.w2 AND NOT list_has_any(a.forms2, b.forms2))
+SELECT "first", "second", "at" FROM am WHERE am.first < am.second"""
 READ_ARTICLES = f"""SELECT row_number() OVER (ORDER BY doc_id) AS id, 'Doc ' || doc_id AS title, 'x' || {_FLAT.format("text")} || chr(10) || 'end' AS content FROM documents"""
 READ_FORMS = f"WITH {BF} SELECT word, base_form, row_number() OVER (ORDER BY word, pos, base_form) - 1 AS pos FROM bf"
 READ_QUOTES = f"SELECT row_number() OVER (ORDER BY item_id) - 1 AS quote_id, trim({_FLAT.format('text')}) AS text FROM benchmark"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folio.functions.text import clean_word, strip
@@ -136,6 +136,17 @@ class IndexStore:
         """Rows with one of the keys; the filter reaches the Parquet scan."""
         return self.read(table).filter(F.col(key).isin(list(keys)))
 
+    def one(self, table: str, key: str, value) -> Row:
+        """The row of a key; KeyError without one."""
+        found = self.read(table).filter(F.col(key) == value).limit(1).collect()
+        if not found:
+            raise KeyError(value)
+        return found[0]
+
+    def has(self, table: str) -> bool:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{table}/_SUCCESS")
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
 
 def numbered(df: DataFrame, *order: str, name: str = "id") -> DataFrame:
     """Dense numbers from 1 by ``order``. One task sorts all rows: for dictionaries and result lists only."""

@@ -5,7 +5,10 @@ import subprocess
 import sys
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
+from folio.functions import postings
 from folio.operators import ngrams, quotes, retrieval, spelling, titles, vectors
 from folio.plans import catalog
 from folio.sources import readers
@@ -99,6 +102,25 @@ def test_exact_phrase(spark, tmp_path):
     assert [tuple(r) for r in index.show(index.search("fast", k=1)).collect()] == [(1, "x", "run run fast")]
 
 
+def test_small_accessors(spark, tmp_path):
+    articles, forms = library(spark)
+    store = readers.IndexStore(spark, str(tmp_path))
+    assert not store.has("embeddings")
+    saved = {tuple(r) for r in vectors.stored_tfidf(store, articles, forms).collect()}
+    assert store.has("embeddings") and {tuple(r) for r in vectors.stored_tfidf(store, articles.limit(0), forms).collect()} == saved
+    assert store.one("embeddings", "term", "dog").term == "dog"
+    with pytest.raises(KeyError):
+        store.one("embeddings", "term", "none")
+    assert retrieval.build_index("traditional", articles, forms).columns == ["ident", "id"]
+    with pytest.raises(ValueError):
+        retrieval.build_index("mixed", articles, forms)
+    pairs = frame(spark, [("a", "b"), ("c", "d")], "w1 string, w2 string")
+    assert {tuple(r) for r in ngrams.membership(pairs, pairs.limit(1)).collect()} == {("a", "b", True), ("c", "d", False)}
+    assert ngrams.sample_of_results(pairs, 1).count() == 1 and ngrams.sample_of_results(pairs, 9).count() == 2
+    coded = frame(spark, [([2, 5, 1000],), ([],)], "ids array<bigint>").select(postings.last_element(postings.encode(F.col("ids"))).alias("last"))
+    assert [r["last"] for r in coded.collect()] == [1000, None]
+
+
 def test_posting_gaps_cross_blocks(spark):
     ids = {"a": [1, 5, 6, 17, 18, 40], "b": [33], "c": [8, 9]}
     pairs = frame(spark, [(f, i) for f, x in ids.items() for i in x], "form string, id long")
