@@ -5,8 +5,8 @@ fits. If a gap is left, the bin's smallest piece is taken out where two unpacked
 expanded gap more tightly than it did; of such pairs the one with the largest sum goes in.
 
 Packing is sequential, so it runs in groups of about ``group_size`` pieces, dealt evenly whatever
-the keys are. Every group is a task of bounded memory and ends with at most one sequence that
-greedy filling could not fill: about one sequence in ten thousand.
+the keys are. Every group is a task of bounded memory, and its last sequences may be underfilled where
+its pieces are too long to share one.
 
 Nulls: a null text is empty (its one piece is the end id), a null doc_id is kept. Repeated rows are
 packed as often as they come, ties go by length, doc_id, piece. Empty tables give no rows. Columns
