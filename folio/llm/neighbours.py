@@ -201,15 +201,16 @@ def nearest(table: DataFrame, is_query: Column, k: int = 10, target: float = TAR
                 for at, leaf in enumerate(tree.visits(q)):
                     if at >= most and held > k:
                         break
+                    home = held <= k
                     held += sizes.get(leaf, 0)
                     for part in range(parts.get(leaf, 0)):
-                        out.append((query_id, leaf, part))
+                        out.append((query_id, leaf, part, home))
                         source.append(i)
-            names = ["query_id", "leaf", "part", "q"]
-            yield pa.RecordBatch.from_arrays([*_table(out, names[:3], [pa.int64(), pa.int32(), pa.int32()]), batch.column(1).take(pa.array(source, pa.int64()))], names)
+            names = ["query_id", "leaf", "part", "home", "q"]
+            yield pa.RecordBatch.from_arrays([*_table(out, names[:4], [pa.int64(), pa.int32(), pa.int32(), pa.bool_()]), batch.column(1).take(pa.array(source, pa.int64()))], names)
 
     queries = placed.filter(is_query).groupBy("vec_id").agg(F.min("vector").alias("vector"))
-    asked = queries.mapInArrow(visit, "query_id long, leaf int, part int, q array<double>")
+    asked = queries.mapInArrow(visit, "query_id long, leaf int, part int, home boolean, q array<double>")
     split = [(leaf, p) for leaf, p in parts.items() if p > 1]  # leaves over CELL_ROWS rows
     if split:
         more = table.sparkSession.createDataFrame(split, "leaf int, parts int")  # at most SAMPLE rows
@@ -222,9 +223,19 @@ def nearest(table: DataFrame, is_query: Column, k: int = 10, target: float = TAR
         found = []
         if left.num_rows and right.num_rows:
             left, right = left.combine_chunks(), right.combine_chunks()
-            vectors = _matrix(right["q"].chunk(0))
-            found = _nearest(list(zip(right["query_id"].to_pylist(), vectors)), left["vec_id"].to_numpy(), _matrix(left["vector"].chunk(0)), k)
+            ids, vectors = right["query_id"].to_pylist(), _matrix(right["q"].chunk(0))
+            bounds = dict(zip(ids, right["bound"].to_pylist()))
+            near = _nearest(list(zip(ids, vectors)), left["vec_id"].to_numpy(), _matrix(left["vector"].chunk(0)), k)
+            found = [row for row in near if row[2] <= bounds[row[0]]]
         return pa.table(_table(found, FOUND_NAMES, FOUND_TYPES), FOUND_NAMES)
 
-    found = cells.groupBy("leaf", "part").cogroup(asked.groupBy("leaf", "part")).applyInArrow(search, FOUND)
-    return _best(found, k)
+    def searched(visits: DataFrame) -> DataFrame:
+        return cells.groupBy("leaf", "part").cogroup(visits.groupBy("leaf", "part")).applyInArrow(search, FOUND)
+
+    # the first leaves, with more than k rows, give a bound; what lies beyond it elsewhere can't be among the best
+    columns = ["query_id", "leaf", "part", "q", "bound"]
+    nothing = F.lit(float("inf"))
+    first = searched(asked.filter("home").withColumn("bound", nothing).select(*columns))
+    bounds = _best(first, k).filter(F.col("rank") == k).select("query_id", F.col("score").alias("bound"))
+    later = asked.filter("not home").join(bounds, "query_id", "left").withColumn("bound", F.coalesce("bound", nothing))
+    return _best(first.union(searched(later.select(*columns))), k)
