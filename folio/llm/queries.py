@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm import chat, near_duplicates, neighbours, pieces, quality_classifier, quality_rules, secrets, sql
+from folio.llm import chat, merkle, near_duplicates, neighbours, pieces, quality_classifier, quality_rules, ranked_search, secrets, sql
 from folio.llm.packing import pack_documents
 from folio.llm.shared import documents
 from folio.llm.token_counts import section_counts
@@ -65,6 +65,14 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score_documents(docs, quality_classifier.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.rank_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), k=10)
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audit(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_secrets": op2_secrets,
@@ -76,9 +84,13 @@ QUERIES = {
     "op8_best_two_fit": op8_best_two_fit,
     "op9_quality_rules": op9_quality_rules,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_ranked_search": op11_ranked_search,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 SQL: dict[str, str] = {
     "op3_near_duplicates": sql.NEAR_DUPLICATES,
     "op5_chat": sql.CHAT,
     "op9_quality_rules": sql.QUALITY_RULES,
+    "op11_ranked_search": sql.RANKED_SEARCH,
+    "op13_merkle_manifest": sql.MERKLE,
 }

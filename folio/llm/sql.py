@@ -50,3 +50,49 @@ m AS (SELECT a, min(b) AS low FROM r GROUP BY a)
 SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(low, d.doc_id)) AS component_id, d.doc_id = least(d.doc_id, coalesce(low, d.doc_id)) AS kept
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m ON m.a = d.doc_id
 """
+
+RANKED_SEARCH = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws
+  FROM documents WHERE doc_id IS NOT NULL),
+g AS (SELECT count(*) FILTER (len(ws) > 0) AS n_docs, sum(len(ws))::BIGINT AS n_terms FROM d),
+i AS (SELECT DISTINCT item_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM benchmark WHERE item_id IS NOT NULL),
+q AS (SELECT item_id, t, term, count(*) AS q FROM (SELECT item_id, t, unnest(regexp_extract_all(t, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM i) GROUP BY ALL),
+f AS (SELECT rid, term, count(*) AS tf FROM (SELECT rid, unnest(ws) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM f, g GROUP BY term),
+m AS (SELECT rid, doc_id, 25 + (75 * len(ws) * n_docs) // greatest(n_terms, 1) AS m FROM d, g),
+s AS (SELECT item_id, t, rid, any_value(doc_id) AS doc_id, sum(q * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM q JOIN w USING (term) JOIN f USING (term) JOIN m USING (rid) GROUP BY item_id, t, rid)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id, t ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 10
+"""
+
+
+def _fields(text: str) -> str:
+    values = ["doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text]
+    return " || ".join(f"coalesce(strlen({v}) || ':' || {v}, '-')" for v in values)
+
+
+MERKLE = f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree FROM documents),
+c AS (SELECT DISTINCT doc_id, 0 AS k, 4294967295::BIGINT AS crc FROM documents WHERE doc_id IS NOT NULL
+  UNION ALL SELECT doc_id, k + 1, CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END
+  FROM (SELECT doc_id, k, CASE WHEN k % 8 = 0 THEN xor(crc, ascii(substr(doc_id::VARCHAR, k // 8 + 1, 1))) ELSE crc END AS x FROM c WHERE k < 8 * length(doc_id::VARCHAR))),
+even AS (SELECT doc_id FROM c WHERE k = 8 * length(doc_id::VARCHAR) AND crc & 1 = 1),
+l AS (SELECT rid, doc_id, tree, sha256({_fields("text")}) AS leaf,
+  sha256({_fields("CASE WHEN doc_id IN (SELECT doc_id FROM even) THEN replace(text, chr(10), '') ELSE text END")}) AS present FROM d),
+o AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place FROM l),
+n AS (SELECT tree, 0 AS lvl, place AS i, leaf AS h FROM o
+  UNION ALL SELECT tree, lvl + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)) FROM (SELECT *, count(*) OVER (PARTITION BY tree) AS c FROM n) WHERE c > 1 GROUP BY tree, lvl, i // 3),
+sr AS (SELECT tree, max(lvl) AS depth, arg_max(h, lvl) AS subroot FROM n GROUP BY tree),
+t AS (SELECT 0 AS lvl, tree AS i, subroot AS h FROM sr
+  UNION ALL SELECT lvl + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)) FROM (SELECT *, count(*) OVER () AS c FROM t) WHERE c > 1 GROUP BY lvl, i // 3),
+r AS (SELECT max(lvl) AS depth, arg_max(h, lvl) AS root FROM t),
+p AS (SELECT rid, lvl AS step, coalesce(string_agg(h, '' ORDER BY i) FILTER (i < own), '') AS a, coalesce(string_agg(h, '' ORDER BY i) FILTER (i > own), '') AS b
+  FROM (SELECT rid, n.lvl, n.i, n.h, place // (3 ** n.lvl)::BIGINT AS own FROM o JOIN sr USING (tree) JOIN n ON n.tree = o.tree AND n.lvl < depth AND n.i // 3 = place // (3 ** (n.lvl + 1))::BIGINT) GROUP BY rid, lvl, own
+  UNION ALL SELECT rid, base + lvl, coalesce(string_agg(h, '' ORDER BY i) FILTER (i < own), ''), coalesce(string_agg(h, '' ORDER BY i) FILTER (i > own), '')
+  FROM (SELECT rid, sr.depth AS base, t.lvl, t.i, t.h, o.tree // (3 ** t.lvl)::BIGINT AS own FROM o JOIN sr USING (tree), r JOIN t ON t.lvl < r.depth WHERE t.i // 3 = o.tree // (3 ** (t.lvl + 1))::BIGINT) GROUP BY rid, base, lvl, own),
+z AS (SELECT rid, 0 AS step, present AS own FROM o UNION ALL SELECT z.rid, z.step + 1, sha256(a || own || b) FROM z JOIN p ON p.rid = z.rid AND p.step = z.step),
+y AS (SELECT rid, arg_max(own, step) AS folded FROM z GROUP BY rid),
+pr AS (SELECT rid, sha256(string_agg(a || b, '' ORDER BY step)) AS proof FROM p GROUP BY rid)
+SELECT doc_id, leaf, subroot, root, coalesce(proof, sha256('')) AS proof_sha256, folded AS folded_root, folded = root AS verified
+FROM o JOIN sr USING (tree) JOIN y USING (rid) LEFT JOIN pr USING (rid), r
+"""
