@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm import chat, merkle, near_duplicates, neighbours, pieces, quality_classifier, quality_rules, ranked_search, secrets, sql
+from folio.llm import chat, merkle, near_duplicates, neighbours, pieces, quality_classifier, quality_rules, ranked_search, secrets, sql, vector_duplicates
 from folio.llm.packing import pack_documents
 from folio.llm.shared import documents
 from folio.llm.token_counts import section_counts
@@ -69,6 +69,10 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search.rank_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), k=10)
 
 
+def op12_vector_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_duplicates.classes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.audit(documents(spark, sf_dir))
 
@@ -85,6 +89,7 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "op10_quality_classifier": op10_quality_classifier,
     "op11_ranked_search": op11_ranked_search,
+    "op12_vector_duplicates": op12_vector_duplicates,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 SQL: dict[str, str] = {
@@ -92,5 +97,6 @@ SQL: dict[str, str] = {
     "op5_chat": sql.CHAT,
     "op9_quality_rules": sql.QUALITY_RULES,
     "op11_ranked_search": sql.RANKED_SEARCH,
+    "op12_vector_duplicates": sql.VECTOR_DUPLICATES,
     "op13_merkle_manifest": sql.MERKLE,
 }

@@ -96,3 +96,13 @@ pr AS (SELECT rid, sha256(string_agg(a || b, '' ORDER BY step)) AS proof FROM p
 SELECT doc_id, leaf, subroot, root, coalesce(proof, sha256('')) AS proof_sha256, folded AS folded_root, folded = root AS verified
 FROM o JOIN sr USING (tree) JOIN y USING (rid) LEFT JOIN pr USING (rid), r
 """
+
+VECTOR_DUPLICATES = r"""
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS rid, vec_id, embedding::DOUBLE[] AS x FROM embeddings),
+u AS (SELECT * FROM v WHERE vec_id IS NOT NULL AND len(x) > 0 AND len(list_filter(x, lambda y: y IS NULL OR isnan(y) OR isinf(y))) = 0 AND len(list_filter(x, lambda y: y <> 0)) > 0),
+e AS (SELECT a.rid AS a, a.vec_id AS va, b.rid AS b, b.vec_id AS vb FROM u AS a JOIN u AS b ON a.rid <> b.rid AND len(a.x) = len(b.x) WHERE list_cosine_similarity(a.x, b.x) >= 0.9),
+r AS (SELECT a, b, vb FROM e UNION SELECT r.a, e.b, e.vb FROM r JOIN e ON r.b = e.a),
+n AS (SELECT a AS rid, count(*) AS n FROM e GROUP BY a), m AS (SELECT a AS rid, min(vb) AS low FROM r GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least(vec_id, coalesce(low, vec_id)) AS component_id, coalesce(vec_id = least(vec_id, coalesce(low, vec_id)), true) AS kept
+FROM v LEFT JOIN n USING (rid) LEFT JOIN m USING (rid)
+"""
