@@ -28,6 +28,11 @@ def token_table(articles: DataFrame) -> DataFrame:
     return articles.select("id", F.posexplode(T.article_tokens(F.col("title"), F.col("content"))).alias("ord", "tok"))
 
 
+def title_size() -> Column:
+    """The tokens of an article that come from its title."""
+    return F.when(F.col("title").isNull(), F.lit(0)).otherwise(F.size(T.space_tokens(F.col("title"))))
+
+
 def with_forms(tokens: DataFrame, base_forms: DataFrame, default: bool = True, column: str = "tok") -> DataFrame:
     """A row for each base form of a token; without one the token itself, or no row if not ``default``."""
     forms = base_forms.select(F.col("word").alias(column), "base_form")
@@ -50,17 +55,17 @@ def traditional_index(articles: DataFrame, base_forms: DataFrame, clusters: Data
 
 
 def document_positions(articles: DataFrame) -> DataFrame:
-    """(id, start, n_tokens): position of each article's first token; articles are one position apart.
+    """(id, start, n_tokens, n_title): position of each article's first token; articles are one position apart.
 
     The running sum goes over one row for each block of ids and within blocks, not over one task.
     """
-    sizes = articles.select("id", F.size(T.article_tokens(F.col("title"), F.col("content"))).alias("n_tokens"))
+    sizes = articles.select("id", F.size(T.article_tokens(F.col("title"), F.col("content"))).alias("n_tokens"), title_size().alias("n_title"))
     sizes = sizes.withColumn("block", F.floor(F.col("id") / 4096))
     inside = Window.partitionBy("block").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
     sums = sizes.groupBy("block").agg(F.sum(F.col("n_tokens") + 1).alias("sum"))
     before = sums.select("block", F.coalesce(F.sum("sum").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     local = sizes.withColumn("inside", F.coalesce(F.sum(F.col("n_tokens") + 1).over(inside), F.lit(0)))
-    return local.join(before, "block").select("id", (1 + F.col("before") + F.col("inside")).alias("start"), "n_tokens")
+    return local.join(before, "block").select("id", (1 + F.col("before") + F.col("inside")).alias("start"), "n_tokens", "n_title")
 
 
 def positional_index(articles: DataFrame, base_forms: DataFrame, clusters: DataFrame | None = None) -> DataFrame:
@@ -274,35 +279,3 @@ def snippets(articles: DataFrame, spark: SparkSession, query: str, base_forms: D
     text = F.array_join(F.transform("words", lambda w: w["word"]), " ")
     number = F.row_number().over(Window.partitionBy("id").orderBy("island"))
     return runs.select("id", number.alias("snippet_no"), text.alias("snippet"))
-
-
-class TextIndex:
-    """An index stored as Parquet, with searches over it."""
-
-    def __init__(self, store, clusters: DataFrame | None = None):
-        self.store, self.clusters = store, clusters
-
-    @classmethod
-    def build(cls, store, articles: DataFrame, base_forms: DataFrame, clusters: DataFrame | None = None) -> TextIndex:
-        store.write("wiki_articles", articles.select(F.col("id").alias("wiki_article_id"), "title", "content"))
-        store.write("word_base_forms", base_forms)
-        store.write("indexed_terms", positional_index(articles, base_forms, clusters).repartition("ident").sortWithinPartitions("ident", "position"))
-        store.write("document_positions", document_positions(articles))
-        return cls(store, clusters)
-
-    def search(self, query: str, mode: str = "mixed", k: int = RESULTS, exact_phrase: bool = False) -> DataFrame:
-        """id, title and rating of the best matches. Only the rows of the query's identifiers are read from the index."""
-        spark, forms = self.store.spark, self.store.read("word_base_forms")
-        articles, found = self.store.read("wiki_articles").withColumnRenamed("wiki_article_id", "id"), None
-        for kind, words in query_parts(query, mode, exact_phrase):
-            identifiers = query_identifiers(spark, words, forms, self.clusters)
-            index = self.store.lookup("indexed_terms", "ident", [r["ident"] for r in identifiers.select("ident").distinct().collect()])  # forms of a query's words
-            ids = phrase_search(index, identifiers, len(words)).select("id").distinct() if kind == "phrase" else boolean_search(index, identifiers, len(words))
-            found = ids if found is None else found.join(ids, "id", "left_semi")
-        matches = articles.limit(0) if found is None else articles.join(found, "id", "left_semi")
-        return rate(matches, spark, query, forms, self.clusters).orderBy(F.desc(F.round("rating", 6)), "id").limit(k)
-
-    def show(self, results: DataFrame) -> DataFrame:
-        """id, title and content of the articles in ``results``."""
-        ids = [r["id"] for r in results.select("id").collect()]  # a page of results
-        return self.store.lookup("wiki_articles", "wiki_article_id", ids).select(F.col("wiki_article_id").alias("id"), "title", "content")

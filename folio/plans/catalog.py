@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from folio.functions import postings as P
 from folio.functions import text as T
-from folio.operators import extraction, ngrams, quotes, retrieval, spelling, titles, vectors
+from folio.operators import extraction, ngrams, quotes, retrieval, spelling, stored_index, titles, vectors
+from folio.operators.numbering import numbered, term_numbers
 from folio.plans import oracle as O
 from folio.sources import readers
 from folio.sources import views as V
-from folio.sources.readers import numbered
 from folio.sources.staging import new_path, stage
 
 QUERIES: dict = {}
@@ -118,12 +118,32 @@ def read_term_clusters(spark: SparkSession, sf: str) -> DataFrame:
     return readers.read_term_clusters(spark, path)
 
 
+def _stored(spark: SparkSession, sf: str) -> stored_index.TextIndex:
+    """An index that is written and read again."""
+    return stored_index.TextIndex.build(readers.IndexStore(spark, new_path(spark, "index")), *_both(spark, sf))
+
+
 @query(O.STORED_SEARCH)
 def search_stored_index(spark: SparkSession, sf: str) -> DataFrame:
-    """The mixed query over an index that is written and read again."""
-    articles, forms = _both(spark, sf)
-    index = retrieval.TextIndex.build(readers.IndexStore(spark, new_path(spark, "index")), articles, forms)
-    return index.search(MIXED).select("id", "title", F.round("rating", 6).alias("rating"))
+    """The mixed query, matched and rated by coded posting lists."""
+    return _stored(spark, sf).search(MIXED).select("id", "title", F.round("rating", 6).alias("rating"))
+
+
+@query(O.BOOLEAN)
+def stored_boolean(spark: SparkSession, sf: str) -> DataFrame:
+    return _stored(spark, sf).boolean(retrieval.query_words(WORDS))
+
+
+@query(O.PHRASE)
+def stored_phrase(spark: SparkSession, sf: str) -> DataFrame:
+    return _stored(spark, sf).phrase(retrieval.query_words(PHRASE))
+
+
+@query(O.CODED_BLOCKS)
+def stored_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """The blocks of the document index: skip entries and lists."""
+    blocks = stored_index.indexed_terms(stored_index.occurrences(*_both(spark, sf)))
+    return blocks.select("ident", "block", "first", "last", "n", "bytes", F.hex("coded").alias("coded_hex"))
 
 
 # search
@@ -199,6 +219,11 @@ def position_to_article(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.article_at(asked, starts).select("position", "id")
 
 
+@query(O.TERM_NUMBERS)
+def first_seen_terms(spark: SparkSession, sf: str) -> DataFrame:
+    return term_numbers(*_both(spark, sf))
+
+
 # postings
 
 
@@ -320,7 +345,7 @@ def _word_vectors(spark: SparkSession, sf: str) -> DataFrame:
     words = spark.read.parquet(f"{sf}/embeddings.parquet")
     counts = vectors.document_terms(articles, forms, add_missing=False).groupBy("term").agg(F.sum("n").alias("n"))
     top = counts.orderBy(F.desc("n"), "term").limit(words.count())
-    ranked = numbered(top.withColumn("minus", -F.col("n")), "minus", "term", name="rank")  # a vocabulary
+    ranked = numbered(top.withColumn("minus", -F.col("n")), "minus", "term", name="rank")
     places = numbered(words.select("vec_id"), "vec_id", name="rank")  # numbers only; the vectors join them
     found = ranked.join(places, "rank").join(words, "vec_id")
     return stage(found.select("term", F.col("embedding").cast("array<double>").alias("vec"), F.col("label").cast("string").alias("cluster")), "word-vectors")

@@ -259,3 +259,16 @@ READ_CLUSTERS = "SELECT 't' || vec_id AS term, label::VARCHAR AS cluster FROM em
 STORED_SEARCH = f"""{BASE}, {START}, {_query("of", "the")}, {_query("with", name="p")}, {_AT.format("q")}, met AS (SELECT DISTINCT id FROM found SEMI JOIN (SELECT id FROM fm JOIN p USING (form)) USING (id)),
 {_RATE.replace("(SELECT form FROM q)", "(SELECT form FROM q UNION SELECT form FROM p)")}
 SELECT id, title, rating FROM rate SEMI JOIN met USING (id) ORDER BY rating DESC, id LIMIT 10"""
+BOOLEAN = f"{BASE}, {_query('with', 'that')} SELECT id FROM fm JOIN q USING (form) GROUP BY id HAVING count(DISTINCT k) = 2"
+CODED_BLOCKS = rf"""WITH {ART}, {BF}, rt AS (SELECT id, len(string_split(title, ' ')) AS nt, string_split(lower(title || ' ' || content), ' ') AS ws FROM a),
+rw AS (SELECT id, nt, unnest(range(len(ws))) AS ord, unnest(ws) AS raw FROM rt), st AS (SELECT id, ord < nt AS tt, raw, regexp_replace(raw, '^\s+|\s+$', '', 'g') AS cut FROM rw),
+oc AS (SELECT id, tt, cut AS x, 1 AS s, (raw = cut)::INTEGER AS r FROM st UNION ALL SELECT id, tt, raw, 0, 1 FROM st WHERE raw <> cut),
+fl AS (SELECT id, coalesce(base_form, x) AS ident, max(s) + 2 * max(CASE WHEN tt THEN r ELSE 0 END) + 4 * max(CASE WHEN tt THEN 0 ELSE r END) AS flags FROM oc LEFT JOIN bf ON x = word GROUP BY 1, 2),
+vl AS (SELECT ident, id // 16384 AS block, id, (id % 16384 + 1) * 8 + flags AS value FROM fl),
+gp AS (SELECT *, value - coalesce(lag(value) OVER (PARTITION BY ident, block ORDER BY value), 0) AS gap FROM vl),
+hx AS (SELECT *, CASE WHEN gap < 128 THEN printf('%02X', gap + 128) WHEN gap < 16384 THEN printf('%02X%02X', gap // 128, gap % 128 + 128)
+  ELSE printf('%02X%02X%02X', gap // 16384, gap // 128 % 128, gap % 128 + 128) END AS h FROM gp)
+SELECT ident, block, min(id) AS "first", max(id) AS "last", count(*)::INTEGER AS n, (sum(length(h)) // 2)::INTEGER AS bytes, string_agg(h, '' ORDER BY value) AS coded_hex FROM hx GROUP BY ident, block"""
+TERM_NUMBERS = f"""WITH {ART}, {BF}, cw AS (SELECT id, unnest(range(len(ws))) AS ord, unnest(ws) AS x FROM (SELECT id, string_split(lower(content), ' ') AS ws FROM a)),
+tm AS (SELECT coalesce(base_form, CASE WHEN regexp_full_match(x, '[a-z]+') THEN x END) AS term, min((id, ord, coalesce(pos, 0))) AS place FROM cw LEFT JOIN bf ON x = word GROUP BY 1)
+SELECT term, row_number() OVER (ORDER BY place, term) - 1 AS number FROM tm WHERE term IS NOT NULL"""

@@ -119,7 +119,7 @@ def write_term_clusters(clusters: DataFrame, path: str) -> None:
 class IndexStore:
     """The stored index: one Parquet table for each kind of row, under one folder."""
 
-    TABLES = ("indexed_terms", "wiki_articles", "word_base_forms", "document_positions", "embeddings")
+    TABLES = ("indexed_terms", "term_positions", "wiki_articles", "word_base_forms", "document_positions", "embeddings")
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
@@ -146,8 +146,3 @@ class IndexStore:
     def has(self, table: str) -> bool:
         path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{table}/_SUCCESS")
         return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
-
-
-def numbered(df: DataFrame, *order: str, name: str = "id") -> DataFrame:
-    """Dense numbers from 1 by ``order``. One task sorts all rows: for dictionaries and result lists only."""
-    return df.withColumn(name, F.row_number().over(Window.orderBy(*order)))

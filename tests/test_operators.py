@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folio.functions import postings
-from folio.operators import ngrams, quotes, retrieval, spelling, titles, vectors
+from folio.operators import ngrams, quotes, retrieval, spelling, stored_index, titles, vectors
 from folio.plans import catalog
 from folio.sources import readers
 
@@ -34,7 +34,7 @@ def test_search_modes(spark, tmp_path):
     assert ids(retrieval.search(spark, 'dog "cat ran"', "mixed", articles, forms)) == [1]
     assert ids(retrieval.search(spark, "", "mixed", articles, forms)) == []
     assert ids(retrieval.search(spark, "cat cat", "positional", articles, forms)) == [1, 2, 4]
-    index = retrieval.TextIndex.build(readers.IndexStore(spark, str(tmp_path)), articles, forms)
+    index = stored_index.TextIndex.build(readers.IndexStore(spark, str(tmp_path)), articles, forms)
     assert [r.id for r in index.search("run").collect()] == [4, 1] and index.search("").collect() == []
     assert index.store.lookup("wiki_articles", "wiki_article_id", [2]).count() == 1
     clusters = frame(spark, [("cat", "7"), ("dog", "7")], "term string, cluster string")
@@ -95,7 +95,7 @@ def test_unknown_tokens_are_in_cluster_0(spark):
 def test_exact_phrase(spark, tmp_path):
     articles = frame(spark, [(1, "x", "run run fast"), (2, "x", "run fast run")], "id long, title string, content string")
     forms = frame(spark, [("run", "run", 0)], "word string, base_form string, pos int")
-    index = retrieval.TextIndex.build(readers.IndexStore(spark, str(tmp_path)), articles, forms)
+    index = stored_index.TextIndex.build(readers.IndexStore(spark, str(tmp_path)), articles, forms)
     for exact, want in ((True, [1]), (False, [1, 2])):
         assert sorted(r.id for r in retrieval.search(spark, "run run", "positional", articles, forms, exact_phrase=exact).collect()) == want
         assert [r.id for r in index.search('"run run"', exact_phrase=exact).collect()] == want
