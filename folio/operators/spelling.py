@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folio.functions import text as T
+from folio.operators.numbering import numbered
 from folio.sources.staging import stage
 
 #: Keys near each letter.
@@ -16,7 +17,7 @@ NEIGHBOURS = {
     "v": "xcbndfgh", "w": "qertasdf", "x": "zcvbasdf", "y": "rtuifghj", "z": "asdfxcvq",
 }
 SWAP, SUBSTITUTE, DELETE = 1.0, 1.5, 1.0
-MOST_STEPS, MOST_STATES = 5, 2_000_000
+MOST_STEPS, MOST_STATES, DEEP = 5, 2_000_000, 1_000
 
 
 def folded_dictionary(words: DataFrame) -> DataFrame:
@@ -57,39 +58,92 @@ def correct_one_step(words: DataFrame, deletions: DataFrame) -> DataFrame:
     return rows.select("word").distinct().join(best, "word", "left").select("word", "best.corrected", "best.cost")
 
 
-def correct(words: DataFrame, deletions: DataFrame, most_states: int = MOST_STATES) -> DataFrame:
-    """(word, corrected): the cheapest dictionary word over any modifications of at most ``MOST_STEPS`` in all.
+def _pops(entries: DataFrame, frontier: DataFrame, searches: DataFrame) -> DataFrame:
+    """The strings of a level as they are looked up, with ``stops``: the search may end at them.
 
-    All words are searched together, one modification a level: the strings of a level, each at its
-    least cost, are joined to the dictionary. Every modification costs 1 or more, so a word is done
-    once its best costs no more than the next level's least; strings that can't beat the best go no
-    further. A level that could take a word's strings over ``most_states`` isn't begun. Of equal costs
-    the fewest modifications win, then the first word in order. Nulls and words without a hit: null.
+    It ends at the first string that has taken ``MOST_STEPS``, or no less than the best found up to it. The
+    best so far can only take a dozen values, so its first places are a short list for each word.
     """
-    rows = words.select("word", T.fold(F.col("word")).alias("folded"))
-    entries = stage(deletions.select("variant", F.col("word").alias("found"), F.col("cost").alias("more")), "deletions")
-    hit = "struct<cost:double,level:int,found:string>"
-    frontier = rows.filter("folded is not null").select("folded", F.col("folded").alias("variant"), F.lit(0.0).alias("steps")).distinct()
-    searches = frontier.select("folded", F.lit(None).cast(hit).alias("best"), F.lit(0).cast("long").alias("met"), F.size(modifications(F.col("folded"))).alias("wide"))
+    looked = stage(frontier.join(entries, "variant", "left").select("folded", "variant", "steps", "rank", "found", (F.col("steps") + F.col("more")).alias("total")), "looked-up")
+    better = looked.join(searches.select("folded", "cost"), "folded").filter("total < coalesce(cost, double('inf'))")
+    firsts = better.groupBy("folded", "total").agg(F.min("rank").alias("rank")).groupBy("folded").agg(F.collect_list(F.struct("total", "rank")).alias("firsts"))
+    bests = searches.select("folded", "cost").join(firsts, "folded", "left")
+    met = F.exists(F.coalesce("firsts", F.array().cast("array<struct<total:double,rank:bigint>>")), lambda h: (h["total"] <= F.col("steps")) & (h["rank"] <= F.col("rank")))
+    ends = (F.col("steps") >= MOST_STEPS) | F.coalesce(F.col("cost") <= F.col("steps"), F.lit(False)) | met
+    return looked.join(bests, "folded").withColumn("stops", ends).select(*looked.columns, "stops")
+
+
+def _search(entries: DataFrame, searches: DataFrame, frontier: DataFrame, seen: list[DataFrame], most: int, deep: int, level: int = 0) -> DataFrame:
+    """(folded, corrected) of searches (folded, wide, cost, found, met) that stand before a level of strings (folded, variant, steps, rank)."""
     settled = None
-    for level in range(int(MOST_STEPS) + 1):
-        frontier, searches = stage(frontier, "frontier"), stage(searches, "searches")
-        reached = F.when(F.col("found").isNotNull(), F.struct((F.col("steps") + F.col("more")).alias("cost"), F.lit(level).alias("level"), "found"))
-        looked_up = frontier.join(entries, "variant", "left").groupBy("folded").agg(F.min(reached).alias("hit"), F.count("*").alias("n"))
-        now = searches.join(looked_up, "folded", "left").na.fill(0, ["n"])
-        now = now.select("folded", F.least("best", "hit").cast(hit).alias("best"), (F.col("met") + F.col("n")).alias("met"), "n", "wide")
-        done = (F.col("n") == 0) | (F.col("met") + F.col("n") * F.col("wide") > most_states) | F.coalesce(F.col("best.cost") <= level + 1, F.lit(False))
-        now = stage(now.withColumn("done", done | F.lit(level + 1 > MOST_STEPS)), "searched")
-        ended = now.filter("done").select("folded", F.col("best.found").alias("corrected"))
+    while True:
+        pops = stage(_pops(entries, frontier, searches), "popped")
+        sums = pops.groupBy("folded").agg(F.min(F.when(F.col("stops"), F.col("rank"))).alias("stop"), F.min("rank").alias("first"), F.count("*").alias("n"))
+        now = searches.join(sums, "folded")
+        now = now.withColumn("stop", F.when(F.col("met") >= most, F.col("first")).otherwise(F.col("stop")))
+        # a search that ends here goes on only if the limit of strings could end it before
+        further = F.col("stop").isNull() | ((F.col("met") < most) & (F.col("met") + F.col("n") * F.col("wide") >= most))
+        now = stage(now.withColumn("further", further), "searches")
+        parents = pops.join(now.filter("further").select("folded", "stop"), "folded").filter("stop is null or rank < stop")
+        tried = parents.select("folded", "steps", "rank", F.posexplode(modifications(F.col("variant"))).alias("place", "m"))
+        made = tried.groupBy("folded", F.col("m.variant").alias("variant")).agg(F.min(F.struct("rank", "place", (F.col("steps") + F.col("m.cost")).alias("steps"))).alias("by"))
+        for before in seen:
+            made = made.join(before, ["folded", "variant"], "left_anti")
+        made = made.select("folded", "variant", F.col("by.steps").alias("steps"), F.col("by.rank").alias("parent"), F.col("by.place").alias("place"))
+        made = stage(numbered(made, "folded", "parent", "place", name="rank").drop("place"), "made")
+        counts = made.groupBy("folded").agg(F.count("*").alias("new"), F.min("rank").alias("lowest"))
+        full = counts.join(now.select("folded", "met"), "folded").filter(F.col("met") + F.col("new") >= most).select("folded", (F.col("lowest") + most - F.col("met") - 1).alias("rank"))
+        filled = made.join(full, ["folded", "rank"]).select("folded", "parent")  # whose string fills the limit: the next one popped ends the search
+        limits = pops.join(filled, "folded").filter(F.col("rank") > F.col("parent")).groupBy("folded").agg(F.min("rank").alias("limit"))
+        now = now.join(counts.select("folded", "new"), "folded", "left").join(limits, "folded", "left").withColumn("stop", F.least("stop", "limit"))
+        hits = pops.filter("total is not null").join(now.select("folded", "stop"), "folded").filter("stop is null or rank <= stop")
+        best = hits.groupBy("folded").agg(F.min(F.struct("total", "rank", "found")).alias("hit"))
+        better = F.coalesce(F.col("hit.total") < F.coalesce("cost", F.lit(float("inf"))), F.lit(False))
+        now = now.join(best, "folded", "left").select(
+            "folded",
+            F.when(better, F.col("hit.total")).otherwise(F.col("cost")).alias("cost"),
+            F.when(better, F.col("hit.found")).otherwise(F.col("found")).alias("found"),
+            (F.col("met") + F.coalesce("new", F.lit(0))).alias("met"),
+            "wide",
+            (F.col("stop").isNotNull() | F.col("new").isNull()).alias("done"),
+        )
+        now = stage(now, "searched")
+        ended = now.filter("done").select("folded", F.col("found").alias("corrected"))
         settled = ended if settled is None else settled.union(ended)
-        searches = now.filter("not done").select("folded", "best", "met", "wide")
-        if searches.isEmpty():
-            break
-        bounds = searches.select("folded", F.coalesce("best.cost", F.lit(float("inf"))).alias("cost"))
-        onward = frontier.join(bounds, "folded").filter((F.col("steps") < MOST_STEPS) & (F.col("steps") + 1 < F.col("cost")))
-        tried = onward.select("folded", "steps", F.explode(modifications(F.col("variant"))).alias("m"))
-        frontier = tried.groupBy("folded", F.col("m.variant").alias("variant")).agg(F.min(F.col("steps") + F.col("m.cost")).alias("steps"))
-    return rows.join(settled, "folded", "left").select("word", "corrected")
+        searches = now.filter("not done").drop("done")
+        left = searches.count()
+        if not left:
+            return settled
+        frontier = made.join(searches.select("folded"), "folded", "left_semi").select("folded", "variant", "steps", "rank")
+        seen, level = [*seen, made.select("folded", "variant")], level + 1
+        if level > 1 and left > deep:
+            groups = -(-left // deep)
+            for k in range(groups):
+                of = lambda df: df.filter(F.pmod(F.xxhash64("folded"), F.lit(groups)) == k)  # noqa: B023, E731
+                settled = settled.union(_search(entries, of(searches), of(frontier), [of(s) for s in seen], most, left, level))
+            return settled
+
+
+def correct(words: DataFrame, deletions: DataFrame, most_states: int = MOST_STATES, deep: int = DEEP) -> DataFrame:
+    """(word, corrected): the bounded search, first in first out, of each word for a dictionary word.
+
+    A string is looked up when its turn comes; a hit counts if its steps and the entry's cost are below
+    the best so far. Then the search ends if its steps have reached ``MOST_STEPS`` or the best, or if
+    ``most_states`` strings were queued; otherwise its modifications queue up in their order, each string
+    once, at the cost of its first way there. The word itself isn't queued, so it may come again.
+
+    Turns are ranks: a level's strings are numbered by their first parent's rank and the place of the
+    modification, over all words together, so that a level is a few joins and no word's strings
+    stand in one task. Words that two modifications don't end are searched ``deep`` at a time,
+    since each may queue ``most_states`` strings. Nulls and words without a hit: null.
+    """
+    rows = words.select("word", T.fold(F.col("word")).alias("folded"))
+    entries = stage(deletions.select("variant", F.col("word").alias("found"), F.col("cost").alias("more")), "deletions")
+    wide = F.size(modifications(F.col("folded")))  # no string of a search is longer
+    asked = stage(rows.filter("folded is not null").select("folded").distinct().withColumn("wide", wide), "asked")
+    searches = asked.select("folded", "wide", F.lit(None).cast("double").alias("cost"), F.lit(None).cast("string").alias("found"), F.lit(0).cast("long").alias("met"))
+    frontier = asked.select("folded", F.col("folded").alias("variant"), F.lit(0.0).alias("steps"), F.lit(0).cast("long").alias("rank"))
+    return rows.join(_search(entries, searches, frontier, [], most_states, deep), "folded", "left").select("word", "corrected")
 
 
 def accuracy(corrected: DataFrame) -> DataFrame:

@@ -204,9 +204,20 @@ md AS (SELECT word, word AS v, 0.0::DOUBLE AS c FROM u UNION ALL SELECT word, su
   UNION ALL SELECT word, substr(word, 1, i - 1) || b || substr(word, i + 1), 1.5 FROM p JOIN {_KEYS} ON a = word[i] UNION ALL SELECT word, substr(word, 1, i - 1) || substr(word, i + 1), 1 FROM p)"""
 CORRECT = f"""WITH {_TYPOS}, b AS (SELECT md.word, min((c + m[1], m[2])) AS z FROM md JOIN dd ON v = variant GROUP BY md.word)
 SELECT word, z[2] AS corrected, z[1]::DOUBLE AS cost FROM u LEFT JOIN b USING (word)"""
-# every typo is one swap, of cost 1, from a word: no second modification can be cheaper
-ACCURACY = f"""WITH {_TYPOS}, b AS (SELECT md.word, min((c + m[1], (c > 0)::INTEGER, m[2])) AS z FROM md JOIN dd ON v = variant GROUP BY md.word)
-SELECT count(*) AS n, sum((correction IS NOT DISTINCT FROM z[3])::INTEGER)::BIGINT AS right, avg((correction IS NOT DISTINCT FROM z[3])::INTEGER) AS accuracy FROM ty LEFT JOIN b USING (word)"""
+# every typo is one swap, of cost 1, from a word: its search ends among the strings of one modification
+ACCURACY = f"""WITH {_DELETED}, ty AS (SELECT word AS correction, word[1] || word[3] || word[2] || word[4:] AS word FROM w),
+u AS (SELECT DISTINCT word FROM ty), p AS (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM u),
+kv AS (SELECT a, unnest(range(1, length(bs) + 1)) AS j, bs FROM {_rows(list(NEIGHBOURS.items()), "a, bs")}),
+md AS (SELECT word, word AS v, 0.0::DOUBLE AS c, (0, 0, 0) AS turn FROM u
+  UNION ALL SELECT word, substr(word, 1, i - 2) || word[i] || word[i - 1] || substr(word, i + 1), 1, (1, i, 0) FROM p WHERE i > 1
+  UNION ALL SELECT word, substr(word, 1, i - 3) || word[i] || word[i - 1] || word[i - 2] || substr(word, i + 1), 1, (2, i, 0) FROM p WHERE i > 2
+  UNION ALL SELECT word, substr(word, 1, i - 1) || bs[j] || substr(word, i + 1), 1.5, (3, i, j) FROM p JOIN kv ON a = word[i]
+  UNION ALL SELECT word, substr(word, 1, i - 1) || substr(word, i + 1), 1, (4, i, 0) FROM p),
+fe AS (SELECT word, v, turn[1] > 0 AS queued, min(turn) AS turn, arg_min(c, turn) AS c FROM md GROUP BY 1, 2, 3),
+lk AS (SELECT word, c, turn, c + m[1] AS total, m[2] AS found, min(c + m[1]) OVER (PARTITION BY word ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS best FROM fe LEFT JOIN dd ON v = variant),
+en AS (SELECT word, min(turn) AS stop FROM lk WHERE c >= best GROUP BY word),
+b AS (SELECT word, arg_min(found, (total, turn)) AS found FROM lk JOIN en USING (word) WHERE turn <= stop AND total IS NOT NULL GROUP BY word)
+SELECT count(*) AS n, sum((correction IS NOT DISTINCT FROM found)::INTEGER)::BIGINT AS right, avg((correction IS NOT DISTINCT FROM found)::INTEGER) AS accuracy FROM ty LEFT JOIN b USING (word)"""
 
 _CALLED, _NAMED_TWICE = r"(''+)([^'']+)(''+)([^'']+)zwana([^'']+)(''*)([^'']+)(''+)", r"(''+)([^'']+)(''+)([^'']+)nazywana([^'']+)(''*)([^'']+)(''+)"
 _NAMED, _OR = r"nazywana([^'']+)(''+)([^'']+)(''+)", r"(''+)([^'']+)(''+) lub (''+)([^'']+)(''+)"

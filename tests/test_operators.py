@@ -193,34 +193,31 @@ def test_spelling(spark):
     assert want.items() <= full.items() and want.items() <= step.items() and step["q9"] is None
 
 
-def by_hand(word, entries, most):
-    """The search over sets of strings, straight from the definition of the four modifications."""
-    level, costs, met, best = 0, {word: 0.0}, 0, None
-    while costs:
-        best = min([(c + entries[v][1], level, entries[v][0]) for v, c in costs.items() if v in entries] + ([best] if best else []), default=None)
-        met += len(costs)
-        branches = max(0, len(word) - 1) + max(0, len(word) - 2) + sum(len(spelling.NEIGHBOURS.get(x, "")) for x in word) + len(word)
-        if met + len(costs) * branches > most or (best and best[0] <= level + 1) or level + 1 > 5:
+def queued(word, entries, most):
+    """The search with a queue, straight from its definition."""
+    queue, seen, best, found = [(word, 0.0)], set(), float("inf"), None
+    for v, steps in queue:
+        if v in entries and steps + entries[v][1] < best:
+            best, found = steps + entries[v][1], entries[v][0]
+        if steps >= 5 or steps >= best or len(seen) >= most:
             break
-        further = {}
-        for v, c in costs.items():
-            if c >= 5 or (best and c + 1 >= best[0]):
-                continue
-            made = [(v[:i] + v[i + 1] + v[i] + v[i + 2 :], 1) for i in range(len(v) - 1)] + [(v[:i] + v[i + 2] + v[i + 1] + v[i] + v[i + 3 :], 1) for i in range(len(v) - 2)]
-            made += [(v[:i] + v[i + 1 :], 1) for i in range(len(v))] + [(v[:i] + k + v[i + 1 :], 1.5) for i in range(len(v)) for k in spelling.NEIGHBOURS.get(v[i], "")]
-            for x, more in made:
-                further[x] = min(further.get(x, 9), c + more)
-        level, costs = level + 1, further
-    return best and best[2]
+        made = [(v[:i] + v[i + 1] + v[i] + v[i + 2 :], 1) for i in range(len(v) - 1)] + [(v[:i] + v[i + 2] + v[i + 1] + v[i] + v[i + 3 :], 1) for i in range(len(v) - 2)]
+        made += [(v[:i] + k + v[i + 1 :], 1.5) for i in range(len(v)) for k in spelling.NEIGHBOURS.get(v[i], "")] + [(v[:i] + v[i + 1 :], 1) for i in range(len(v))]
+        for x, more in made:
+            if x not in seen:
+                seen.add(x)
+                queue.append((x, steps + more))
+    return found
 
 
 def test_full_correction(spark):
-    few = {"kot": ("kot", 0), "ot": ("kot", 1), "pies": ("pies", 0), "pie": ("pies", 1), "kop": ("kopa", 1), "samolot": ("samolot", 0), "smolot": ("samolot", 1)}
+    few = {"kot": ("kot", 0), "ot": ("kot", 1), "pies": ("pies", 0), "pie": ("pies", 1), "kop": ("kopa", 1), "samolot": ("samolot", 0), "smolot": ("samolot", 1), "ab": ("abc", 1), "ba": ("ba", 0)}
     deletions = frame(spark, [(v, w, c) for v, (w, c) in few.items()], "variant string, word string, cost int")
-    typos = ["kto", "pjes", "pjse", "smaloto", "tpko", "seip", "q!", "kot", "", "ksot", "ksot", "otk", "eip", "peis", None]
-    got = spelling.correct(frame(spark, [(t,) for t in typos], "word string"), deletions, most_states=8_000).collect()
-    want = [(t, None if t is None else by_hand(t, few, 8_000)) for t in typos]
-    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+    typos = ["kto", "pjes", "pjse", "smaloto", "tpko", "q!", "kot", "", "ksot", "ksot", "eip", "peis", "aab", "zzz", None]
+    for most in (60, 3_000):
+        got = spelling.correct(frame(spark, [(t,) for t in typos], "word string"), deletions, most_states=most, deep=4).collect()
+        want = [(t, None if t is None else queued(t, few, most)) for t in typos]
+        assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
     assert dict(want)["pjse"] == "pies"
 
 
