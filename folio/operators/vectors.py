@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
@@ -121,38 +119,5 @@ def kmeans(points: DataFrame, k: int = 100, rounds: int = 10, starts: int = 5, s
     return best.transform(data).select("term", F.col("prediction").alias("cluster"))
 
 
-def lloyd(x: np.ndarray, k: int, rounds: int, seed: int) -> tuple[np.ndarray, float]:
-    """Labels and cost of one k-means run from ``k`` rows, or as many as there are."""
-    rng, square = np.random.default_rng(seed), (x * x).sum(1)
-    centres = x[rng.choice(len(x), min(k, len(x)), replace=False)]
-    gaps = lambda c: square[:, None] - 2 * x @ c.T + (c * c).sum(1)
-    for _ in range(rounds):
-        near = gaps(centres).argmin(1)
-        sums, n = np.zeros_like(centres), np.bincount(near, minlength=len(centres))
-        np.add.at(sums, near, x)
-        moved = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], centres)
-        if np.allclose(moved, centres):
-            break
-        centres = moved
-    near = gaps(centres).argmin(1)
-    return near, float(((x - centres[near]) ** 2).sum())
-
-
-def hierarchical_kmeans(points: DataFrame, parents: DataFrame, k: int = 100, rounds: int = 50, starts: int = 10, seed: int = 1) -> DataFrame:
-    """(term, cluster) with cluster = parent * k + child: the best of ``starts`` k-means runs within each parent cluster.
-
-    A parent is one task; parents are a first clustering's cells, of vocabulary / k terms each.
-    """
-
-    def split(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("term", ignore_index=True)
-        x = np.stack(rows["vec"].to_numpy())
-        near, _ = min((lloyd(x, k, rounds, seed + s) for s in range(starts)), key=lambda run: run[1])
-        return pd.DataFrame({"term": rows["term"], "cluster": rows["parent"] * k + near})
-
-    joined = points.join(parents.select("term", F.col("cluster").alias("parent")), "term")
-    return joined.groupBy("parent").applyInPandas(split, "term string, cluster long")
-
-
 def cluster_members(clusters: DataFrame, cluster: int) -> DataFrame:
     return clusters.filter(F.col("cluster") == cluster).select("term")

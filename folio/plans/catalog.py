@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from folio.functions import postings as P
 from folio.functions import text as T
-from folio.operators import extraction, ngrams, quotes, retrieval, spelling, stored_index, titles, vectors
+from folio.operators import extraction, keyed_kmeans, ngrams, quotes, retrieval, spelling, stored_index, titles, vectors
 from folio.operators.numbering import numbered, term_numbers
 from folio.plans import oracle as O
 from folio.sources import readers
@@ -402,6 +402,23 @@ def kmeans_move_step(spark: SparkSession, sf: str) -> DataFrame:
     return vectors.moved_centres(rows, kmeans_assign_step(spark, sf)).select("cluster", "n", "d", F.round("x", 6).alias("x"))
 
 
+@query(O.KEYED_STEP)
+def kmeans_keyed_step(spark: SparkSession, sf: str) -> DataFrame:
+    """One round within each label at once: two runs of four centres, the first and the last vectors of a label."""
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet")
+    points = rows.select(F.col("vec_id").cast("string").alias("term"), F.col("embedding").cast("array<double>").alias("vec"))
+    chunks = keyed_kmeans.chunked(points, rows.select(F.col("vec_id").cast("string").alias("term"), F.col("label").cast("long").alias("cluster")))
+    ends = [F.row_number().over(Window.partitionBy("label").orderBy(order)).alias("r") for order in (F.asc("vec_id"), F.desc("vec_id"))]
+    first = [rows.select(F.col("label").cast("long").alias("parent"), F.lit(start).alias("start"), r, F.col("embedding").cast("array<double>").alias("x")).filter("r <= 4") for start, r in enumerate(ends)]
+    lists = first[0].union(first[1]).groupBy("parent", "start").agg(F.array_sort(F.collect_list(F.struct("r", "x"))).alias("xs"))
+    centres = stage(lists.select("parent", "start", F.size("xs").alias("n_centres"), F.size(F.col("xs")[0]["x"]).alias("wide"), F.flatten("xs.x").alias("centres")), "centres")
+    sums = stage(keyed_kmeans.keyed_step(chunks, centres), "sums")
+    now = keyed_kmeans.moved(centres, sums).join(sums.select("parent", "start", "ns", "cost"), ["parent", "start"])
+    flat = now.select("parent", "start", "wide", "ns", "cost", F.posexplode("centres").alias("i", "x"))
+    child = F.floor(F.col("i") / F.col("wide")).cast("int")
+    return flat.select("parent", "start", child.alias("child"), F.get("ns", child).cast("long").alias("n"), (F.col("i") % F.col("wide")).alias("d"), F.round("x", 6).alias("x"), F.round("cost", 6).alias("cost"))
+
+
 @query()
 def kmeans_terms(spark: SparkSession, sf: str) -> DataFrame:
     return vectors.kmeans(_word_vectors(spark, sf).select("term", T.unit(F.col("vec")).alias("vec")), k=100, rounds=10, starts=5)
@@ -416,7 +433,7 @@ def kmeans_terms_1000(spark: SparkSession, sf: str) -> DataFrame:
 def kmeans_hierarchical(spark: SparkSession, sf: str) -> DataFrame:
     """100 children of each of the 100 clusters of ``kmeans_terms``, over raw vectors."""
     words = _word_vectors(spark, sf)
-    return vectors.hierarchical_kmeans(words.select("term", "vec"), kmeans_terms(spark, sf), k=100, rounds=50, starts=10)
+    return keyed_kmeans.hierarchical_kmeans(words.select("term", "vec"), kmeans_terms(spark, sf), k=100, rounds=50, starts=10)
 
 
 # n-grams and lemmas

@@ -283,3 +283,9 @@ SELECT ident, block, min(id) AS "first", max(id) AS "last", count(*)::INTEGER AS
 TERM_NUMBERS = f"""WITH {ART}, {BF}, cw AS (SELECT id, unnest(range(len(ws))) AS ord, unnest(ws) AS x FROM (SELECT id, string_split(lower(content), ' ') AS ws FROM a)),
 tm AS (SELECT coalesce(base_form, CASE WHEN regexp_full_match(x, '[a-z]+') THEN x END) AS term, min((id, ord, coalesce(pos, 0))) AS place FROM cw LEFT JOIN bf ON x = word GROUP BY 1)
 SELECT term, row_number() OVER (ORDER BY place, term) - 1 AS number FROM tm WHERE term IS NOT NULL"""
+KEYED_STEP = """WITH p AS (SELECT vec_id, label::BIGINT AS parent, embedding::DOUBLE[] AS v FROM embeddings),
+c AS (SELECT parent, 0 AS start, row_number() OVER (PARTITION BY parent ORDER BY vec_id) - 1 AS child, v FROM p UNION ALL SELECT parent, 1, row_number() OVER (PARTITION BY parent ORDER BY vec_id DESC) - 1, v FROM p),
+d AS (SELECT p.parent, start, child, vec_id, p.v, pow(list_distance(p.v, c.v), 2) AS d, row_number() OVER (PARTITION BY start, vec_id ORDER BY round(pow(list_distance(p.v, c.v), 2), 9), child) AS r FROM p JOIN c ON p.parent = c.parent AND child < 4),
+k AS (SELECT parent, start, sum(d) AS cost FROM d WHERE r = 1 GROUP BY 1, 2), x AS (SELECT parent, start, child, unnest(range(len(v))) AS d, unnest(v) AS x FROM d WHERE r = 1),
+m AS (SELECT parent, start, child, d, count(*) AS n, avg(x) AS x FROM x GROUP BY ALL)
+SELECT parent, start, child::INTEGER AS child, n, d::INTEGER AS d, round(x, 6) AS x, round(cost, 6) AS cost FROM m JOIN k USING (parent, start)"""

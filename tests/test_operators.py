@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folio.functions import postings
-from folio.operators import ngrams, quotes, retrieval, spelling, stored_index, titles, vectors
+from folio.operators import keyed_kmeans, ngrams, quotes, retrieval, spelling, stored_index, titles, vectors
 from folio.plans import catalog
 from folio.sources import readers
 
@@ -141,7 +141,7 @@ def test_vectors(spark):
     points = frame(spark, [(f"t{i}", [float(i // 5 * 10 + i % 5), 1.0]) for i in range(20)], "term string, vec array<double>")
     clusters = vectors.kmeans(points, k=4, starts=2)
     assert clusters.select("cluster").distinct().count() == 4
-    assert vectors.hierarchical_kmeans(points, clusters, k=2).count() == 20
+    assert keyed_kmeans.hierarchical_kmeans(points, clusters, k=2).count() == 20
 
 
 def test_hierarchical_kmeans_takes_the_best_start(spark):
@@ -151,18 +151,42 @@ def test_hierarchical_kmeans_takes_the_best_start(spark):
     parents = points.selectExpr("term", "0 as cluster")
 
     def cost(starts):
-        got = [r.cluster for r in vectors.hierarchical_kmeans(points, parents, k=6, starts=starts).orderBy("term").collect()]
+        got = [r.cluster for r in keyed_kmeans.hierarchical_kmeans(points, parents, k=6, starts=starts).orderBy("term").collect()]
         return sum(((x[np.array(got) == c] - x[np.array(got) == c].mean(0)) ** 2).sum() for c in set(got))
 
     assert cost(10) == min(cost(1), cost(10)) and cost(10) < 3
 
 
+def test_keyed_kmeans_equals_lloyd_and_runs_of_one_parent(spark, monkeypatch):
+    monkeypatch.setattr(keyed_kmeans, "CHUNK_BYTES", 600)  # a parent is many rows
+    rng = np.random.default_rng(8)
+    x, parent = rng.normal(size=(90, 3)), [k % 7 // 3 for k in range(90)]  # the first parent has most points
+    points = frame(spark, [(f"t{i:02}", v.tolist()) for i, v in enumerate(x)], "term string, vec array<double>")
+    parents = frame(spark, [(f"t{i:02}", p) for i, p in enumerate(parent)], "term string, cluster long")
+    both = {r.term: r.cluster for r in keyed_kmeans.hierarchical_kmeans(points, parents, k=4, rounds=6, starts=3).collect()}
+    alone = {r.term: r.cluster for r in keyed_kmeans.hierarchical_kmeans(points, parents.filter("cluster = 1"), k=4, rounds=6, starts=3).collect()}
+    assert len(both) == 90 and alone == {t: c for t, c in both.items() if c // 4 == 1}
+    chunks = keyed_kmeans.chunked(points, parents)
+    assert chunks.filter("parent = 0").count() > 1
+    starts = {(r.parent, r.start): np.array(r.centres).reshape(-1, 3) for r in keyed_kmeans.first_centres(chunks, 4, 3, 1).collect()}
+    for p in set(parent):
+        own, runs = x[[k for k in range(90) if parent[k] == p]], []
+        for start in range(3):  # Lloyd over arrays
+            c = starts[p, start]
+            for _ in range(6):
+                near = ((own[:, None] - c) ** 2).sum(2).argmin(1)
+                c = np.array([own[near == j].mean(0) if (near == j).any() else c[j] for j in range(len(c))])
+            gaps = ((own[:, None] - c) ** 2).sum(2)
+            runs.append((gaps.min(1).sum(), start, gaps.argmin(1).tolist()))
+        assert min(runs)[2] == [both[f"t{k:02}"] % 4 for k in range(90) if parent[k] == p]
+
+
 def test_kmeans_queries_have_the_survey_sizes(spark, monkeypatch):
     asked = []
     words = frame(spark, [("a", [1.0, 0.0], "0")], "term string, vec array<double>, cluster string")
     monkeypatch.setattr(catalog, "_word_vectors", lambda spark, sf: words)
     monkeypatch.setattr(vectors, "kmeans", lambda points, k, rounds, starts: asked.append((k, rounds, starts)))
-    monkeypatch.setattr(vectors, "hierarchical_kmeans", lambda points, parents, k, rounds, starts: asked.append((k, rounds, starts)))
+    monkeypatch.setattr(keyed_kmeans, "hierarchical_kmeans", lambda points, parents, k, rounds, starts: asked.append((k, rounds, starts)))
     for name in ("kmeans_terms", "kmeans_terms_1000", "kmeans_hierarchical"):
         catalog.QUERIES[name](spark, "")
     assert asked == [(100, 10, 5), (1000, 10, 5), (100, 10, 5), (100, 50, 10)]
