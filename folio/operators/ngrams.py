@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from folio.functions import text as T
 from folio.operators.components import connected_components
+from folio.operators.numbering import numbered
+from folio.sources.staging import stage
 
 LONGER_THAN, SHARE, OFTEN, DIFFERENCE, RARE, SPLIT_SHARE = 3, 0.5, 20, 0.3, 0.01, 0.4
+NAME_PART, SUBSETS, BLOCK = 1_000, 8, 1_000
 
 
 def word_pairs(texts: DataFrame) -> DataFrame:
@@ -66,32 +69,89 @@ def membership(listed: DataFrame, rows: DataFrame) -> DataFrame:
     return listed.join(found, ["w1", "w2"], "left").select("w1", "w2", F.coalesce("found", F.lit(False)).alias("found"))
 
 
-def superbase_forms(base_forms: DataFrame) -> DataFrame:
-    """(base_form, superbase): forms that share a word, directly or through others; the name joins all of them."""
+def superbase_members(base_forms: DataFrame) -> DataFrame:
+    """(base_form, component): forms that share a word, directly or through others; a component is named by its smallest form."""
     first = base_forms.groupBy("word").agg(F.min_by("base_form", F.struct("pos", "base_form")).alias("first"))
     edges = base_forms.join(first, "word").select(F.col("first").alias("a"), F.col("base_form").alias("b"))
-    members = connected_components(edges)
-    names = members.groupBy("component").agg(F.array_join(F.array_sort(F.collect_set("id")), "|").alias("superbase"))
-    return members.join(names, "component").select(F.col("id").alias("base_form"), "superbase")
+    return connected_components(edges).select(F.col("id").alias("base_form"), "component")
+
+
+def superbase_names(members: DataFrame, size: int = NAME_PART) -> DataFrame:
+    """(component, part, name): the forms of a component in order, joined, stored once in parts of ``size`` forms from 0."""
+    rows = numbered(members, "component", "base_form", name="n")
+    lowest = rows.groupBy("component").agg(F.min("n").alias("lowest"))
+    parts = rows.join(lowest, "component").withColumn("part", F.floor((F.col("n") - F.col("lowest")) / size))
+    return parts.groupBy("component", "part").agg(F.array_join(F.array_sort(F.collect_list("base_form")), "|").alias("name"))
+
+
+def superbase_forms(base_forms: DataFrame) -> DataFrame:
+    """(base_form, superbase): each form with the whole name of its component. For display: the name is repeated for every form."""
+    members = stage(superbase_members(base_forms), "members")
+    whole = superbase_names(members).groupBy("component").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "name"))), lambda p: p["name"]), "|").alias("superbase"))
+    return members.join(whole, "component").select("base_form", "superbase")
 
 
-def keyed_ngrams(ngrams: DataFrame, base_forms: DataFrame, superbase: DataFrame) -> DataFrame:
-    """(ngram, key): n-grams (arrays) of known words with the superbase forms of their words' first forms."""
+def keyed_ngrams(ngrams: DataFrame, base_forms: DataFrame, members: DataFrame) -> DataFrame:
+    """(ngram, key): n-grams (arrays) of known words with the components of their words' first forms."""
     first = base_forms.groupBy("word").agg(F.min_by("base_form", F.struct("pos", "base_form")).alias("base_form"))
-    named = first.join(superbase, "base_form").select("word", "superbase")
+    named = first.join(members, "base_form").select("word", "component")
     words = ngrams.select("ngram", F.posexplode("ngram").alias("i", "word")).join(named, "word", "left")
-    rows = words.groupBy("ngram").agg(F.array_sort(F.collect_list(F.struct("i", "superbase"))).alias("s"), F.count("superbase").alias("known"))
-    return rows.filter(F.col("known") == F.size("ngram")).select("ngram", F.array_join(F.transform("s", lambda x: x["superbase"]), " ").alias("key"))
-
-
-def ambiguous_pairs(ngrams: DataFrame, base_forms: DataFrame, superbase: DataFrame) -> DataFrame:
-    """(first, second, at): n-grams with one key whose words at place ``at`` share no base form."""
-    keyed = keyed_ngrams(ngrams.distinct(), base_forms, superbase)
-    forms = base_forms.groupBy("word").agg(F.collect_set("base_form").alias("forms"))
-    words = keyed.select("ngram", "key", F.posexplode("ngram").alias("at", "word")).join(forms, "word")
-    # equal words share their forms, so only different words at a place can be a pair
-    variants = words.groupBy("key", "at", "word", "forms").agg(F.collect_list("ngram").alias("ngrams"))
-    a, b = variants.alias("a"), variants.alias("b")
-    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.at") == F.col("b.at")) & (F.col("a.word") != F.col("b.word")) & ~F.arrays_overlap("a.forms", "b.forms"))
-    pairs = pairs.select(F.explode("a.ngrams").alias("x"), F.col("b.ngrams").alias("ys"), F.col("a.at").alias("at")).select("x", F.explode("ys").alias("y"), "at")
-    return pairs.select(F.array_join("x", " ").alias("first"), F.array_join("y", " ").alias("second"), "at").filter("first < second")
+    rows = words.groupBy("ngram").agg(F.array_sort(F.collect_list(F.struct("i", "component"))).alias("s"), F.count("component").alias("known"))
+    return rows.filter(F.col("known") == F.size("ngram")).select("ngram", F.transform("s", lambda x: x["component"]).alias("key"))
+
+
+def form_classes(ngrams: DataFrame, base_forms: DataFrame, members: DataFrame) -> DataFrame:
+    """(ngram, key, at, forms): each distinct n-gram in its class at each place, the base forms of its word there."""
+    keyed = keyed_ngrams(ngrams.distinct(), base_forms, members)
+    forms = base_forms.groupBy("word").agg(F.array_sort(F.collect_set("base_form")).alias("forms"))
+    return keyed.select("ngram", "key", F.posexplode("ngram").alias("at", "word")).join(forms, "word").select("ngram", "key", "at", "forms")
+
+
+def class_links(classes: DataFrame) -> DataFrame:
+    """(key, at, forms, n, n_links): how many n-grams a class has, and with how many of its key each of them shares no form at the place.
+
+    No pairs are made: the n-grams that share a form with a class are counted by inclusion and exclusion over
+    the subsets of its forms. Classes of more than ``SUBSETS`` forms meet the classes that share one instead.
+    """
+    sizes = stage(classes.groupBy("key", "at", "forms").agg(F.count("*").alias("n")), "classes")
+    totals = sizes.groupBy("key", "at").agg(F.sum("n").alias("total"))
+    few = F.size("forms") <= SUBSETS
+    bit = lambda mask, i: F.floor(mask / F.pow(F.lit(2.0), i)) % 2 == 1
+    subsets = lambda c: F.transform(F.sequence(F.lit(1), F.pow(F.lit(2.0), F.size(c)).cast("int") - 1), lambda m: F.filter(c, lambda _, i: bit(m, i)))
+    asked = sizes.filter(few).select("key", "at", "forms", F.explode(subsets(F.col("forms"))).alias("subset"))
+    wanted = asked.select("key", "at", "subset").distinct()
+    of_few = sizes.filter(few).select("key", "at", "n", F.explode(subsets(F.col("forms"))).alias("subset"))
+    large = sizes.filter(~few).select("key", "at", "n", F.col("forms").alias("held"), F.explode("forms").alias("form"))
+    of_large = wanted.withColumn("form", F.get("subset", F.lit(0))).join(large, ["key", "at", "form"]).filter(F.size(F.array_except("subset", "held")) == 0)
+    counts = of_few.unionByName(of_large.select("key", "at", "n", "subset")).groupBy("key", "at", "subset").agg(F.sum("n").alias("n"))
+    sign = F.when(F.size("subset") % 2 == 1, F.lit(1)).otherwise(F.lit(-1))
+    sharing = asked.join(counts, ["key", "at", "subset"]).groupBy("key", "at", "forms").agg(F.sum(sign * F.col("n")).alias("sharing"))
+    held = sizes.select("key", "at", "n", F.col("forms").alias("other"), F.explode("forms").alias("form"))
+    met = large.select("key", "at", F.col("held").alias("forms"), "form").join(held, ["key", "at", "form"]).select("key", "at", "forms", "other", "n").distinct()
+    sharing = sharing.union(met.groupBy("key", "at", "forms").agg(F.sum("n").alias("sharing")))
+    linked = sizes.join(sharing, ["key", "at", "forms"]).join(totals, ["key", "at"])
+    return linked.select("key", "at", "forms", "n", (F.col("total") - F.col("sharing")).alias("n_links"))
+
+
+def ambiguous_links(classes: DataFrame) -> DataFrame:
+    """(ngram, at, n_links): the n-grams that share no form at a place with others of their key, and with how many."""
+    linked = class_links(classes).filter("n_links > 0").select("key", "at", "forms", "n_links")
+    return classes.join(linked, ["key", "at", "forms"]).select(F.array_join("ngram", " ").alias("ngram"), "at", "n_links")
+
+
+def ambiguous_pairs(classes: DataFrame) -> DataFrame:
+    """(first, second, at): the pairs behind ``ambiguous_links``, expanded; as many rows as they are.
+
+    Only classes with links meet, a hot key's in blocks of about ``BLOCK`` classes on one side; then
+    n-grams join the pairs of their classes.
+    """
+    classes = stage(classes, "form-classes")
+    linked = stage(class_links(classes).filter("n_links > 0").select("key", "at", "forms"), "linked")
+    blocks = linked.groupBy("key", "at").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = linked.join(blocks, ["key", "at"])
+    a = dealt.select("key", "at", F.pmod(F.xxhash64("forms"), F.col("blocks")).cast("int").alias("block"), F.col("forms").alias("forms_a"))
+    b = dealt.select("key", "at", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("forms").alias("forms_b"))
+    apart = a.join(b, ["key", "at", "block"]).filter((F.col("forms_a") < F.col("forms_b")) & ~F.arrays_overlap("forms_a", "forms_b")).drop("block")
+    side = lambda x: classes.select("key", "at", F.col("forms").alias(f"forms_{x}"), F.array_join("ngram", " ").alias(x))
+    pairs = apart.join(side("a"), ["key", "at", "forms_a"]).join(side("b"), ["key", "at", "forms_b"])
+    return pairs.select(F.least("a", "b").alias("first"), F.greatest("a", "b").alias("second"), "at")

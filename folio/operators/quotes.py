@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.functions import text as T
+from folio.sources.staging import stage
 
 RARITY, POWER = 5.0, 10.0
 
@@ -51,8 +52,22 @@ def matching_quotes(queries: DataFrame, index: DataFrame, base_forms: DataFrame)
     return hits.join(needed, "query").filter("n = needed").select("query", "quote_id")
 
 
+def phrase_members(phrases: DataFrame, index: DataFrame, base_forms: DataFrame) -> DataFrame:
+    """(class, phrase, n_quotes): phrases with the same matching quotes are a class, named by its smallest phrase; those without any are one.
+
+    Sets of quotes are compared by their size and two 64-bit sums of exclusive or over hashed ids, which are
+    added up piece by piece: no list of quotes or of phrases stands in a row.
+    """
+    queries = phrases.select(F.col("phrase").alias("query")).distinct()
+    found = queries.join(matching_quotes(queries, index, base_forms), "query", "left")
+    digest = [F.count("quote_id").alias("n"), *[F.coalesce(F.bit_xor(F.when(F.col("quote_id").isNotNull(), F.xxhash64(F.lit(k), "quote_id"))), F.lit(0)).alias(f"h{k}") for k in (1, 2)]]
+    sets = stage(found.groupBy("query").agg(*digest), "phrase-sets")
+    names = sets.groupBy("n", "h1", "h2").agg(F.min("query").alias("class"))
+    return sets.join(names, ["n", "h1", "h2"]).select("class", F.col("query").alias("phrase"), F.col("n").alias("n_quotes"))
+
+
 def phrase_classes(phrases: DataFrame, index: DataFrame, base_forms: DataFrame) -> DataFrame:
-    """(quote_ids, phrases): phrases with the same matching quotes; those without any are a class."""
+    """(quote_ids, phrases): the classes of ``phrase_members`` as lists, for display."""
     queries = phrases.select(F.col("phrase").alias("query")).distinct()
     found = queries.join(matching_quotes(queries, index, base_forms), "query", "left")
     keys = found.groupBy("query").agg(F.array_sort(F.collect_set("quote_id")).alias("quote_ids"))

@@ -262,15 +262,24 @@ def quote_search(spark: SparkSession, sf: str) -> DataFrame:
     return quotes.matching_quotes(asked, quotes.quote_index(rows, forms), forms).join(rows, "quote_id").select("query", "quote_id", "text")
 
 
-@query(O.PHRASE_CLASSES)
-def phrase_equivalence(spark: SparkSession, sf: str) -> DataFrame:
+def _phrases(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     rows, forms = V.quotes(spark, sf), _forms(spark, sf)
     words = rows.select(T.space_tokens(F.col("text")).alias("w")).filter("size(w) >= 2")
     phrases = words.select(F.concat_ws(" ", F.get("w", F.lit(0)), F.get("w", F.lit(1))).alias("phrase")).union(words.select(F.get("w", F.lit(1)).alias("phrase")))
-    found = quotes.phrase_classes(phrases, quotes.quote_index(rows, forms), forms)
+    return phrases, quotes.quote_index(rows, forms), forms
+
+
+@query(O.PHRASE_CLASSES)
+def phrase_equivalence(spark: SparkSession, sf: str) -> DataFrame:
+    found = quotes.phrase_classes(*_phrases(spark, sf))
     return found.select(F.array_join("quote_ids", ",").alias("quote_ids"), F.array_join("phrases", "|").alias("phrases"))
 
 
+@query(O.PHRASE_MEMBERS)
+def phrase_members(spark: SparkSession, sf: str) -> DataFrame:
+    return quotes.phrase_members(*_phrases(spark, sf))
+
+
 @query(O.QUOTE_CLEANING)
 def quote_cleaning(spark: SparkSession, sf: str) -> DataFrame:
     rows = spark.createDataFrame([(r,) for r in O.DIRTY_QUOTES], "text string").union(V.quotes(spark, sf).select("text"))
@@ -471,11 +480,26 @@ def superbase_forms(spark: SparkSession, sf: str) -> DataFrame:
     return ngrams.superbase_forms(V.base_forms(spark, sf, graph=True))
 
 
-@query(O.AMBIGUOUS)
-def ambiguous_ngrams(spark: SparkSession, sf: str) -> DataFrame:
+@query(O.SUPERBASE_NAMES)
+def superbase_names(spark: SparkSession, sf: str) -> DataFrame:
+    """Names in parts of four forms."""
+    return ngrams.superbase_names(ngrams.superbase_members(V.base_forms(spark, sf, graph=True)), size=4)
+
+
+def _form_classes(spark: SparkSession, sf: str) -> DataFrame:
     forms = stage(V.base_forms(spark, sf, graph=True), "base-forms")
     pairs = _pairs(spark, sf).select(F.array(F.lower("w1"), F.lower("w2")).alias("ngram"))
-    return ngrams.ambiguous_pairs(pairs, forms, ngrams.superbase_forms(forms))
+    return ngrams.form_classes(pairs, forms, ngrams.superbase_members(forms))
+
+
+@query(O.AMBIGUOUS)
+def ambiguous_ngrams(spark: SparkSession, sf: str) -> DataFrame:
+    return ngrams.ambiguous_pairs(_form_classes(spark, sf))
+
+
+@query(O.AMBIGUOUS_LINKS)
+def ambiguous_links(spark: SparkSession, sf: str) -> DataFrame:
+    return ngrams.ambiguous_links(stage(_form_classes(spark, sf), "form-classes"))
 
 
 # spelling

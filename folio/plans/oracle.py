@@ -101,13 +101,14 @@ QUOTE_SEARCH = f"""{_QI}, qs AS (SELECT * FROM (VALUES ('the of'), ('that and'),
 qw AS (SELECT DISTINCT query, x, {_PUNCT} AS form FROM (SELECT query, unnest(string_split(query, ' ')) AS x FROM qs) LEFT JOIN bf ON x = word),
 m AS (SELECT query, quote_id FROM qw JOIN qx USING (form) GROUP BY query, quote_id HAVING count(DISTINCT x) = (SELECT count(DISTINCT x) FROM qw AS o WHERE o.query = qw.query))
 SELECT query, quote_id, text FROM m JOIN benchmark ON quote_id = item_id"""
-PHRASE_CLASSES = f"""{_QI}, sp AS (SELECT string_split(text, ' ') AS ws FROM benchmark WHERE len(string_split(text, ' ')) >= 2),
+_PHRASES = f"""{_QI}, sp AS (SELECT string_split(text, ' ') AS ws FROM benchmark WHERE len(string_split(text, ' ')) >= 2),
 ph AS (SELECT ws[1] || ' ' || ws[2] AS phrase FROM sp UNION SELECT ws[2] FROM sp),
 qw AS (SELECT DISTINCT phrase, x, {_PUNCT} AS form FROM (SELECT phrase, unnest(string_split(phrase, ' ')) AS x FROM ph) LEFT JOIN bf ON x = word),
 nd AS (SELECT phrase, count(DISTINCT x) AS needed FROM qw GROUP BY phrase),
 m AS (SELECT phrase, quote_id FROM (SELECT phrase, quote_id, count(DISTINCT x) AS n FROM qw JOIN qx USING (form) GROUP BY 1, 2) JOIN nd USING (phrase) WHERE n = needed),
-k AS (SELECT phrase, coalesce(string_agg(quote_id::VARCHAR, ',' ORDER BY quote_id), '') AS quote_ids FROM ph LEFT JOIN m USING (phrase) GROUP BY phrase)
-SELECT quote_ids, string_agg(phrase, '|' ORDER BY phrase) AS phrases FROM k GROUP BY quote_ids"""
+k AS (SELECT phrase, count(quote_id) AS n_quotes, coalesce(string_agg(quote_id::VARCHAR, ',' ORDER BY quote_id), '') AS quote_ids FROM ph LEFT JOIN m USING (phrase) GROUP BY phrase)"""
+PHRASE_CLASSES = f"{_PHRASES} SELECT quote_ids, string_agg(phrase, '|' ORDER BY phrase) AS phrases FROM k GROUP BY quote_ids"
+PHRASE_MEMBERS = f"{_PHRASES} SELECT min(phrase) OVER (PARTITION BY quote_ids) AS class, phrase, n_quotes FROM k"
 
 
 def _clean(x: str) -> str:
@@ -251,13 +252,17 @@ EXPECTED = f"SELECT w1, w2, EXISTS (SELECT 1 FROM ({MERGED}) AS m WHERE m.w1 = v
 LATEX_QUOTED = QUOTED.replace("„([a-z]+)” , „([a-z]+)”", "`` ([a-z]+) '''' , `` ([a-z]+) ''''").replace(_rows(QUOTED_TEXTS, "text"), _rows(LATEX_TEXTS, "text"))
 MOVE = f"""WITH s AS ({ASSIGN}), x AS (SELECT cluster, unnest(range(len(v))) AS d, unnest(v) AS x FROM (SELECT cluster, embedding::DOUBLE[] AS v FROM s JOIN embeddings ON term = vec_id::VARCHAR))
 SELECT cluster, count(*) AS n, d::INTEGER AS d, round(avg(x), 6) AS x FROM x GROUP BY cluster, d"""
-AMBIGUOUS = f"""{_SUPER},
+_KEYED = f"""{_SUPER},
 ws AS (SELECT string_split(text, ' ') AS ws FROM documents), pr AS (SELECT DISTINCT lower(p[1]) AS w1, lower(p[2]) AS w2 FROM (SELECT unnest(list_zip(ws[:-2], ws[2:])) AS p FROM ws WHERE len(ws) > 1)),
 nm AS (SELECT word, superbase FROM f JOIN sb ON f.lead = base_form), fs AS (SELECT word, list(base_form) AS forms FROM bf GROUP BY word),
 k AS (SELECT w1, w2, n1.superbase || ' ' || n2.superbase AS key, f1.forms AS forms1, f2.forms AS forms2 FROM pr JOIN nm AS n1 ON n1.word = w1 JOIN nm AS n2 ON n2.word = w2 JOIN fs AS f1 ON f1.word = w1 JOIN fs AS f2 ON f2.word = w2),
 am AS (SELECT a.w1 || ' ' || a.w2 AS "first", b.w1 || ' ' || b.w2 AS "second", 0 AS "at" FROM k AS a JOIN k AS b USING (key) WHERE a.w1 <> b.w1 AND NOT list_has_any(a.forms1, b.forms1)
-  UNION ALL SELECT a.w1 || ' ' || a.w2, b.w1 || ' ' || b.w2, 1 FROM k AS a JOIN k AS b USING (key) WHERE a.w2 <> b.w2 AND NOT list_has_any(a.forms2, b.forms2))
-SELECT "first", "second", "at" FROM am WHERE am.first < am.second"""
+  UNION ALL SELECT a.w1 || ' ' || a.w2, b.w1 || ' ' || b.w2, 1 FROM k AS a JOIN k AS b USING (key) WHERE a.w2 <> b.w2 AND NOT list_has_any(a.forms2, b.forms2))"""
+AMBIGUOUS = f'{_KEYED} SELECT "first", "second", "at" FROM am WHERE am.first < am.second'
+AMBIGUOUS_LINKS = f'{_KEYED} SELECT am.first AS ngram, "at", count(*) AS n_links FROM am GROUP BY 1, 2'
+SUPERBASE_NAMES = f"""{_SUPER}, cm AS (SELECT x AS base_form, min(y) AS component FROM r GROUP BY x),
+nb AS (SELECT *, (row_number() OVER (PARTITION BY component ORDER BY base_form) - 1) // 4 AS part FROM cm)
+SELECT component, part, string_agg(base_form, '|' ORDER BY base_form) AS name FROM nb GROUP BY component, part"""
 READ_ARTICLES = f"""SELECT row_number() OVER (ORDER BY doc_id) AS id, 'Doc ' || doc_id AS title, 'x' || {_FLAT.format("text")} || chr(10) || 'end' AS content FROM documents"""
 READ_FORMS = f"WITH {BF} SELECT word, base_form, row_number() OVER (ORDER BY word, pos, base_form) - 1 AS pos FROM bf"
 READ_QUOTES = f"SELECT row_number() OVER (ORDER BY item_id) - 1 AS quote_id, trim({_FLAT.format('text')}) AS text FROM benchmark"

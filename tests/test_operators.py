@@ -62,7 +62,9 @@ def test_quotes_and_answers(spark):
     assert abs(quotes.answer_probabilities(scores).groupBy().sum("probability").first()[0] - 1) < 1e-9
     past = frame(spark, [("cats run fast",), ("a dog",)], "text string")
     assert quotes.answer(scores, past) == "dogs run" and quotes.answer(scores.limit(0), default="none") == "none"
-    classes = quotes.phrase_classes(frame(spark, [("dog",), ("dogs",), ("zzz",)], "phrase string"), index, forms)
+    phrases = frame(spark, [("dog",), ("dogs",), ("zzz",), ("yyy",)], "phrase string")
+    assert {tuple(r) for r in quotes.phrase_members(phrases, index, forms).collect()} == {("dog", "dog", 3), ("dog", "dogs", 3), ("yyy", "yyy", 0), ("yyy", "zzz", 0)}
+    classes = quotes.phrase_classes(phrases.filter("phrase <> 'yyy'"), index, forms)
     assert {(tuple(r.quote_ids), tuple(r.phrases)) for r in classes.collect()} == {((1, 2, 3), ("dog", "dogs")), ((), ("zzz",))}
 
 
@@ -204,7 +206,25 @@ def test_ngrams_and_lemmas(spark):
     assert {tuple(r) for r in superbase.collect()} == {("a", "a|b|c"), ("b", "a|b|c"), ("c", "a|b|c"), ("d", "d")}
     forms = forms.union(frame(spark, [("w", "c", 5)], "word string, base_form string, pos int"))
     grams = frame(spark, [(["x", "z"],), (["w", "z"],), (["y", "z"],), (["q", "z"],)], "ngram array<string>")
-    assert {tuple(r) for r in ngrams.ambiguous_pairs(grams, forms, ngrams.superbase_forms(forms)).collect()} == {("w z", "x z", 0)}
+    classes = ngrams.form_classes(grams, forms, ngrams.superbase_members(forms))
+    assert {tuple(r) for r in ngrams.ambiguous_pairs(classes).collect()} == {("w z", "x z", 0)}
+    assert {tuple(r) for r in ngrams.ambiguous_links(classes).collect()} == {("w z", 0, 1), ("x z", 0, 1)}
+    assert {tuple(r) for r in ngrams.superbase_names(ngrams.superbase_members(forms), size=2).collect()} == {("a", 0, "a|b"), ("a", 1, "c"), ("d", 0, "d")}
+
+
+def test_links_of_classes_are_counted_without_pairs(spark, monkeypatch):
+    monkeypatch.setattr(ngrams, "SUBSETS", 3)  # larger sets of forms meet those they share a form with
+    monkeypatch.setattr(ngrams, "BLOCK", 2)
+    rng = np.random.default_rng(5)
+    rows = [(["w%d" % i, "x"], ["k%d" % (i % 2)], 0, sorted({f"f{j}" for j in rng.integers(0, 9, size=rng.integers(1, 6))})) for i in range(60)]
+    classes = frame(spark, rows, "ngram array<string>, key array<string>, at int, forms array<string>")
+    pairs = {(min(a, b), max(a, b)) for a, b in ((" ".join(x[0]), " ".join(y[0])) for x in rows for y in rows if x[1] == y[1] and not set(x[3]) & set(y[3]))}
+    counts = {}
+    for pair in pairs:
+        for name in pair:
+            counts[name] = counts.get(name, 0) + 1
+    assert {(r.first, r.second) for r in ngrams.ambiguous_pairs(classes).collect()} == pairs
+    assert {r.ngram: r.n_links for r in ngrams.ambiguous_links(classes).collect()} == counts
 
 
 def test_spelling(spark):
