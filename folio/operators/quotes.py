@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from folio.functions import text as T
 from folio.sources.staging import stage
 
-RARITY, POWER = 5.0, 10.0
+RARITY, POWER, DEFAULT_DRAWS = 5.0, 10.0, 64
 
 
 def formatted_quotes(quotes: DataFrame) -> DataFrame:
@@ -119,3 +119,40 @@ def answer(scores: DataFrame, past: DataFrame | None = None, fallback: DataFrame
             if drawn:
                 return drawn[0]["text"]
     return default
+
+
+def scores_of_queries(queries: DataFrame, formatted: DataFrame, index: DataFrame, base_forms: DataFrame) -> DataFrame:
+    """(query, text, score): ``quote_scores`` for each row of ``queries`` (query)."""
+    asked = queries.select("query").distinct().select("query", F.explode(T.space_tokens(F.col("query"))).alias("word"))
+    weights = index.join(rarity_weights(index), "form")
+    scored = _cleaned_forms(asked, base_forms).join(weights, "form").groupBy("query", "quote_id", "part").agg(F.sum("weight").alias("score"))
+    return formatted.join(scored, ["quote_id", "part"]).groupBy("query", "text").agg(F.max("score").alias("score"))
+
+
+def _drawn(rows: DataFrame, key: str, seed: int, power: float) -> DataFrame:
+    """(key, answer): of each key one text, drawn in proportion to score ** power.
+
+    Every text has an exponential waiting time of that rate, from a hash of seed, key and text; the first one is
+    the minimum, which needs no sort and no more than a partial aggregate.
+    """
+    share = (F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"), "text").cast("binary")), 1, 13), 16, 10).cast("double") + 0.5) / 2.0**52
+    waiting = -F.log(share) / F.pow("score", F.lit(power))
+    return rows.groupBy(key).agg(F.min_by("text", F.struct(waiting.alias("w"), "text")).alias("answer"))
+
+
+def answers(queries: DataFrame, formatted: DataFrame, index: DataFrame, base_forms: DataFrame, past: DataFrame, default: str, seed: int = 0, power: float = POWER) -> DataFrame:
+    """(query, answer) for each distinct query: a text drawn by its score, never one of ``past`` (text).
+
+    A query without one takes an answer to the query ``default``: ``DEFAULT_DRAWS`` of them are drawn once, and a
+    hash of the query chooses. If that has none either, the answer is ``default`` itself.
+    """
+    asked = stage(queries.select("query").filter("query is not null").distinct(), "queries")
+    extra = asked.sparkSession.createDataFrame([(default,)], "query string")
+    scores = scores_of_queries(asked.union(extra), formatted, index, base_forms)
+    left = stage(scores.join(past.select("text").distinct(), "text", "left_anti"), "scores")
+    own = _drawn(left.join(asked, "query", "left_semi"), "query", seed, power)
+    draws = F.explode(F.sequence(F.lit(0), F.lit(DEFAULT_DRAWS - 1))).alias("draw")
+    others = _drawn(left.filter(F.col("query") == default).select("text", "score", draws), "draw", seed, power).withColumnRenamed("answer", "other")
+    slot = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), "query").cast("binary")), 1, 13), 16, 10).cast("long") % DEFAULT_DRAWS
+    missing = asked.join(own, "query", "left_anti").withColumn("draw", slot.cast("int")).join(F.broadcast(others), "draw", "left")  # one row a draw
+    return own.select("query", "answer").union(missing.select("query", F.coalesce("other", F.lit(default))))

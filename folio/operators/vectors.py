@@ -11,7 +11,7 @@ from folio.functions import text as T
 from folio.sources.staging import stage
 
 FLOOR = 1e-3
-BANNED, PREFIX, FADE, SHARED = 100, 20, 0.1, 7
+BANNED, PREFIX, FADE, SHARED, WIDE = 100, 20, 0.1, 7, 1 << 14
 
 
 def document_terms(articles: DataFrame, base_forms: DataFrame, add_missing: bool = True) -> DataFrame:
@@ -58,6 +58,51 @@ def similar(weights: DataFrame, articles: DataFrame, article_id: int, k: int = 1
     return rows.orderBy(F.desc(F.round("similarity", 6)), "id").limit(k)
 
 
+def weight_blocks(weights: DataFrame) -> DataFrame:
+    """(term, block, n, top, ids, weights): the weights laid out by term and range of ``WIDE`` ids; ``top`` is a block's greatest weight."""
+    lists = weights.groupBy("term", F.floor(F.col("id") / WIDE).alias("block")).agg(F.array_sort(F.collect_list(F.struct("id", "weight"))).alias("rows"))
+    blocks = lists.select("term", "block", F.size("rows").alias("n"), F.array_max("rows.weight").alias("top"), F.col("rows.id").alias("ids"), F.col("rows.weight").alias("weights"))
+    return blocks.sortWithinPartitions("term", "block")
+
+
+def store_weights(store, articles: DataFrame, base_forms: DataFrame) -> None:
+    """Saves TF-IDF weights twice: by article, and in blocks by term."""
+    store.write("article_weights", tfidf(articles, base_forms).sortWithinPartitions("id"))
+    store.write("weight_blocks", weight_blocks(store.read("article_weights")))
+
+
+def similar_stored(store, article_id: int, ids: DataFrame, k: int = 10, first: int = 64) -> DataFrame:
+    """(id, similarity) as ``similar``, from stored blocks: only the article's own terms are read, and of their blocks only ids that can be among the best.
+
+    A range of ids can give no more than the sum of its blocks' tops times the article's weights. The ``first``
+    ranges by that bound are summed up, then those that reach the k-th similarity of these. ``ids`` (id) fills up
+    with articles that share no term.
+    """
+    own = store.lookup("article_weights", "id", [article_id]).select("term", F.col("weight").alias("w"))
+    own = stage(own, "own-weights")  # the terms of an article
+    terms = [r["term"] for r in own.select("term").collect()]
+    blocks = store.lookup("weight_blocks", "term", terms)
+    bounds = blocks.select("term", "block", "top").join(F.broadcast(own), "term").groupBy("block").agg(F.sum(F.col("top") * F.col("w")).alias("bound"))
+    bounds = stage(bounds, "bounds")
+
+    def sums(wanted: DataFrame) -> DataFrame:
+        rows = blocks.join(wanted.select("block"), "block", "left_semi").join(F.broadcast(own), "term")
+        pairs = rows.select("w", F.explode(F.arrays_zip("ids", "weights")).alias("p")).filter(F.col("p.ids") != article_id)
+        return pairs.groupBy(F.col("p.ids").alias("id")).agg(F.sum(F.col("p.weights") * F.col("w")).alias("similarity"))
+
+    order = [F.desc("bound"), F.asc("block")]
+    began = stage(bounds.orderBy(*order).limit(first), "first-ranges")
+    nearest = [F.desc(F.round("similarity", 6)), F.asc("id")]
+    best = stage(sums(began).orderBy(*nearest).limit(k), "nearest")
+    reached = best.agg(F.when(F.count("*") >= k, F.min("similarity")).otherwise(F.lit(0.0))).first()[0]
+    later = bounds.join(began.select("block"), "block", "left_anti").filter(F.col("bound") >= reached - 1e-6)
+    met = stage(best.union(sums(later)).orderBy(*nearest).limit(k), "nearest")
+    if met.count() < k:
+        rest = ids.select("id").filter(F.col("id") != article_id).join(met.select("id"), "id", "left_anti").orderBy("id").limit(k)
+        met = met.union(rest.withColumn("similarity", F.lit(0.0)))
+    return met.orderBy(*nearest).limit(k)
+
+
 def banned_terms(idfs: DataFrame, n: int = BANNED) -> DataFrame:
     return idfs.orderBy(F.round("idf", 9), "term").limit(n)
 

@@ -306,6 +306,16 @@ def answer_probability(spark: SparkSession, sf: str) -> DataFrame:
     return quotes.answer_probabilities(_answers(spark, sf)).select("text", F.round("probability", 6).alias("probability"))
 
 
+@query(O.ANSWERS_DRAWN)
+def answers_drawn(spark: SparkSession, sf: str) -> DataFrame:
+    """Each quote's first two words and a query without a match are asked; every fifth quote was given before."""
+    rows, forms = V.quotes(spark, sf), _forms(spark, sf)
+    formatted = stage(quotes.formatted_quotes(rows), "quotes")
+    asked = rows.select(F.substring_index("text", " ", 2).alias("query")).union(rows.select(F.concat(F.lit("0 "), F.col("quote_id").cast("string")).alias("query")))
+    past = formatted.filter("quote_id % 5 = 0").select("text")
+    return quotes.answers(asked, formatted, quotes.answer_index(formatted, forms), forms, past, O.DEFAULT_QUERY)
+
+
 @query(O.HIGHLIGHT)
 def quote_highlight(spark: SparkSession, sf: str) -> DataFrame:
     return quotes.highlight(V.quotes(spark, sf), "the with", V.base_forms(spark, sf), spark)
@@ -342,6 +352,13 @@ def tfidf_similar(spark: SparkSession, sf: str) -> DataFrame:
     return vectors.similar(vectors.tfidf(articles, forms), articles, 1).select("id", F.round("similarity", 6).alias("similarity"))
 
 
+@query(O.SIMILAR)
+def tfidf_similar_stored(spark: SparkSession, sf: str) -> DataFrame:
+    store, articles = readers.IndexStore(spark, new_path(spark, "index")), V.articles(spark, sf)
+    vectors.store_weights(store, articles, _forms(spark, sf))
+    return vectors.similar_stored(store, 1, articles).select("id", F.round("similarity", 6).alias("similarity"))
+
+
 @query(O.BANNED)
 def banned_terms(spark: SparkSession, sf: str) -> DataFrame:
     articles, forms = _both(spark, sf)

@@ -121,11 +121,12 @@ QUOTE_CLEANING = f"""SELECT text, {_clean("text")} AS cleaned, len(string_split(
 FROM (SELECT * FROM {_rows(DIRTY_QUOTES, "text")} UNION ALL SELECT text FROM benchmark)"""
 SUB_QUOTES = rf"""WITH p AS (SELECT unnest(string_split(regexp_replace(text, '\. ([A-Z])', chr(1) || '\1', 'g'), chr(1))) AS x FROM benchmark), c AS (SELECT {_clean("x")} AS text FROM p)
 SELECT text FROM c WHERE len(string_split(text, ' ')) >= 4"""
-_SCORES = rf"""WITH {BF}, p AS (SELECT item_id, unnest(range(len(ps))) AS part, unnest(ps) AS x FROM (SELECT item_id, string_split(regexp_replace(text, '\. ([A-Z])', chr(1) || '\1', 'g'), chr(1)) AS ps FROM benchmark)),
+_WEIGHTS = rf"""WITH {BF}, p AS (SELECT item_id, unnest(range(len(ps))) AS part, unnest(ps) AS x FROM (SELECT item_id, string_split(regexp_replace(text, '\. ([A-Z])', chr(1) || '\1', 'g'), chr(1)) AS ps FROM benchmark)),
 fq AS (SELECT item_id, part, text FROM (SELECT item_id, part, {_clean("x")} AS text FROM p) WHERE len(string_split(text, ' ')) >= 4),
 fw AS (SELECT DISTINCT item_id, part, regexp_extract(lower(x), '^[^a-z]*([a-z]*)', 1) AS x FROM (SELECT item_id, part, unnest(string_split(text, ' ')) AS x FROM fq)),
-fx AS (SELECT DISTINCT item_id, part, coalesce(base_form, x) AS form FROM fw LEFT JOIN bf ON x = word), {_query("with", "that", "the")},
-df AS (SELECT form, count(*) AS n FROM fx GROUP BY form), wt AS (SELECT form, exp(-5.0 * n / (SELECT max(n) FROM df)) AS weight FROM df),
+fx AS (SELECT DISTINCT item_id, part, coalesce(base_form, x) AS form FROM fw LEFT JOIN bf ON x = word),
+df AS (SELECT form, count(*) AS n FROM fx GROUP BY form), wt AS (SELECT form, exp(-5.0 * n / (SELECT max(n) FROM df)) AS weight FROM df)"""
+_SCORES = f"""{_WEIGHTS}, {_query("with", "that", "the")},
 sc AS (SELECT item_id, part, sum(weight) AS score FROM fx JOIN q USING (form) JOIN wt USING (form) GROUP BY 1, 2),
 tx AS (SELECT text, max(score) AS score FROM sc JOIN fq USING (item_id, part) GROUP BY text)"""
 QUOTE_SCORES = f"{_SCORES} SELECT text, round(score, 6) AS score FROM tx"
@@ -294,3 +295,13 @@ d AS (SELECT p.parent, start, child, vec_id, p.v, pow(list_distance(p.v, c.v), 2
 k AS (SELECT parent, start, sum(d) AS cost FROM d WHERE r = 1 GROUP BY 1, 2), x AS (SELECT parent, start, child, unnest(range(len(v))) AS d, unnest(v) AS x FROM d WHERE r = 1),
 m AS (SELECT parent, start, child, d, count(*) AS n, avg(x) AS x FROM x GROUP BY ALL)
 SELECT parent, start, child::INTEGER AS child, n, d::INTEGER AS d, round(x, 6) AS x, round(cost, 6) AS cost FROM m JOIN k USING (parent, start)"""
+DEFAULT_QUERY = "the of"
+_SHARE = "(('0x' || substr(md5({0}), 1, 13))::BIGINT + 0.5) / 4503599627370496.0"
+ANSWERS_DRAWN = f"""{_WEIGHTS}, ak AS (SELECT array_to_string(string_split(text, ' ')[1:2], ' ') AS query FROM benchmark UNION SELECT '0 ' || item_id FROM benchmark), qs AS (SELECT query FROM ak UNION SELECT '{DEFAULT_QUERY}'),
+qw AS (SELECT DISTINCT query, regexp_extract(lower(x), '^[^a-z]*([a-z]*)', 1) AS x FROM (SELECT query, unnest(string_split(query, ' ')) AS x FROM qs)),
+qf AS (SELECT DISTINCT query, x, coalesce(base_form, x) AS form FROM qw LEFT JOIN bf ON x = word),
+sc AS (SELECT query, item_id, part, sum(weight) AS score FROM fx JOIN qf USING (form) JOIN wt USING (form) GROUP BY ALL),
+tx AS (SELECT query, text, max(score) AS score FROM sc JOIN fq USING (item_id, part) WHERE text NOT IN (SELECT text FROM fq WHERE item_id % 5 = 0) GROUP BY ALL),
+ow AS (SELECT query, arg_min(text, (-ln({_SHARE.format("'0|' || query || '|' || text")}) / pow(score, 10), text)) AS answer FROM tx SEMI JOIN ak USING (query) GROUP BY query),
+dw AS (SELECT draw, arg_min(text, (-ln({_SHARE.format("'0|' || draw || '|' || text")}) / pow(score, 10), text)) AS other FROM tx, range(64) AS r(draw) WHERE query = '{DEFAULT_QUERY}' GROUP BY draw)
+SELECT query, answer FROM ow UNION ALL SELECT query, coalesce(other, '{DEFAULT_QUERY}') FROM ak ANTI JOIN ow USING (query) LEFT JOIN dw ON draw = ('0x' || substr(md5('0|' || query), 1, 13))::BIGINT % 64"""

@@ -146,6 +146,45 @@ def test_vectors(spark):
     assert keyed_kmeans.hierarchical_kmeans(points, clusters, k=2).count() == 20
 
 
+def test_similar_articles_from_stored_blocks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(vectors, "WIDE", 4)
+    rng = np.random.default_rng(6)
+    words = [f"w{i}" for i in range(40)]
+    rows = [(i, "t", " ".join(rng.choice(words[i % 3 * 12 :][:16], size=rng.integers(1, 9)))) for i in range(1, 61)] + [(61, "", ""), (62, "t", "only here")]
+    articles = frame(spark, [(i, t, c) for i, t, c in rows], "id long, title string, content string")
+    forms = frame(spark, [("w1", "w2", 0)], "word string, base_form string, pos int")
+    store = readers.IndexStore(spark, str(tmp_path))
+    vectors.store_weights(store, articles, forms)
+    weights = vectors.tfidf(articles, forms)
+    shape = lambda df: [(r.id, round(r.similarity, 6)) for r in df.collect()]
+    for article in (1, 30, 61, 62):
+        assert shape(vectors.similar_stored(store, article, articles, k=5, first=3)) == shape(vectors.similar(weights, articles, article, k=5))
+    asked, lookup = [], readers.IndexStore.lookup
+    monkeypatch.setattr(readers.IndexStore, "lookup", lambda self, table, key, keys: asked.append((table, sorted(keys))) or lookup(self, table, key, keys))
+    vectors.similar_stored(store, 62, articles)
+    assert asked == [("article_weights", [62]), ("weight_blocks", ["here", "only"])]
+
+
+def test_answers_of_a_table_of_queries(spark):
+    """Drawn in proportion to score ** power, never a past one; the default query's where there is none, else itself."""
+    said = frame(spark, [(i, 0, t) for i, t in enumerate(["a dog runs here", "the dog ran off", "one cat sat down", "no cat at all"])], "quote_id long, part int, text string")
+    _, forms = library(spark)
+    index = quotes.answer_index(said, forms)
+    past = frame(spark, [("no cat at all",)], "text string")
+    asked = frame(spark, [(f"dog {i}",) for i in range(60)] + [("cat",), ("cat",), ("zebra",), (None,)], "query string")
+    got = {r.query: r.answer for r in quotes.answers(asked, said, index, forms, past, "cat").collect()}
+    assert len(got) == 62 and got["cat"] == got["zebra"] == "one cat sat down"
+    assert {got[f"dog {i}"] for i in range(60)} == {"a dog runs here", "the dog ran off"}
+    none = quotes.answers(frame(spark, [("zebra",)], "query string"), said, index, forms, said.select("text"), "nothing else")
+    assert [tuple(r) for r in none.collect()] == [("zebra", "nothing else")]
+    scores = quotes.scores_of_queries(asked, said, index, forms).filter("query = 'dog 1'").select("text", "score")
+    single = quotes.quote_scores("dog 1", said, index, forms, spark)
+    assert {(r.text, round(r.score, 9)) for r in scores.collect()} == {(r.text, round(r.score, 9)) for r in single.collect()}
+    many = frame(spark, [(k, t, s) for k in range(2000) for t, s in (("x", 1.0), ("y", 1.1))], "draw int, text string, score double")
+    share = quotes._drawn(many, "draw", 3, 10.0).filter("answer = 'y'").count() / 2000
+    assert abs(share - 1.1**10 / (1 + 1.1**10)) < 0.04
+
+
 def test_hierarchical_kmeans_takes_the_best_start(spark):
     rng = np.random.default_rng(2)
     x = np.concatenate([rng.normal(c, 0.1, size=(12, 2)) for c in [(0, 0), (0, 9), (9, 0), (9, 9), (4, 4), (20, 20)]])
