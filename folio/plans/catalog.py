@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from folio.functions import postings as P
 from folio.functions import text as T
-from folio.operators import extraction, keyed_kmeans, ngrams, quotes, retrieval, spelling, stored_index, titles, vectors
+from folio.operators import extraction, keyed_kmeans, ngrams, quotes, retrieval, sentences, spelling, stored_index, titles, vectors
 from folio.operators.numbering import numbered, term_numbers
 from folio.plans import oracle as O
 from folio.sources import readers
@@ -142,8 +142,8 @@ def stored_phrase(spark: SparkSession, sf: str) -> DataFrame:
 @query(O.CODED_BLOCKS)
 def stored_blocks(spark: SparkSession, sf: str) -> DataFrame:
     """The blocks of the document index: skip entries and lists."""
-    blocks = stored_index.indexed_terms(stored_index.occurrences(*_both(spark, sf)))
-    return blocks.select("ident", "block", "first", "last", "n", "bytes", F.hex("coded").alias("coded_hex"))
+    blocks = stored_index.indexed_terms(*_both(spark, sf))
+    return blocks.select("ident", "block", "first", "last", "n", "bytes", F.hex("coded").alias("coded_hex"), "n_positions")
 
 
 # search
@@ -553,6 +553,20 @@ def spell_accuracy(spark: SparkSession, sf: str) -> DataFrame:
     return spelling.accuracy(typos.join(spelling.correct(typos.select("word").distinct(), deletions), "word"))
 
 
+# sentences
+
+
+@query(O.ABBREVIATIONS)
+def abbreviations(spark: SparkSession, sf: str) -> DataFrame:
+    return sentences.abbreviations(spark.read.parquet(f"{sf}/documents.parquet")).select("word", "n", "with_stop", F.round("score", 6).alias("score"))
+
+
+@query(O.SENTENCES)
+def sentence_splitting(spark: SparkSession, sf: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    return sentences.sentences(docs, sentences.abbreviations(docs), "doc_id")
+
+
 # extraction
 
 

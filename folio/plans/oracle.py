@@ -278,14 +278,15 @@ STORED_SEARCH = f"""{BASE}, {START}, {_query("of", "the")}, {_query("with", name
 SELECT id, title, rating FROM rate SEMI JOIN met USING (id) ORDER BY rating DESC, id LIMIT 10"""
 BOOLEAN = f"{BASE}, {_query('with', 'that')} SELECT id FROM fm JOIN q USING (form) GROUP BY id HAVING count(DISTINCT k) = 2"
 CODED_BLOCKS = rf"""WITH {ART}, {BF}, rt AS (SELECT id, len(string_split(title, ' ')) AS nt, string_split(lower(title || ' ' || content), ' ') AS ws FROM a),
-rw AS (SELECT id, nt, unnest(range(len(ws))) AS ord, unnest(ws) AS raw FROM rt), st AS (SELECT id, ord < nt AS tt, raw, regexp_replace(raw, '^\s+|\s+$', '', 'g') AS cut FROM rw),
-oc AS (SELECT id, tt, cut AS x, 1 AS s, (raw = cut)::INTEGER AS r FROM st UNION ALL SELECT id, tt, raw, 0, 1 FROM st WHERE raw <> cut),
+rw AS (SELECT id, nt, unnest(range(len(ws))) AS ord, unnest(ws) AS raw FROM rt), st AS (SELECT id, ord, ord < nt AS tt, raw, regexp_replace(raw, '^\s+|\s+$', '', 'g') AS cut FROM rw),
+oc AS (SELECT id, ord, tt, cut AS x, 1 AS s, (raw = cut)::INTEGER AS r FROM st UNION ALL SELECT id, ord, tt, raw, 0, 1 FROM st WHERE raw <> cut),
 fl AS (SELECT id, coalesce(base_form, x) AS ident, max(s) + 2 * max(CASE WHEN tt THEN r ELSE 0 END) + 4 * max(CASE WHEN tt THEN 0 ELSE r END) AS flags FROM oc LEFT JOIN bf ON x = word GROUP BY 1, 2),
-vl AS (SELECT ident, id // 16384 AS block, id, (id % 16384 + 1) * 8 + flags AS value FROM fl),
+np AS (SELECT ident, id // 4096 AS block, count(*)::INTEGER AS n_positions FROM (SELECT DISTINCT id, ord, coalesce(base_form, x) AS ident FROM oc LEFT JOIN bf ON x = word) GROUP BY 1, 2),
+vl AS (SELECT ident, id // 4096 AS block, id, (id % 4096 + 1) * 8 + flags AS value FROM fl),
 gp AS (SELECT *, value - coalesce(lag(value) OVER (PARTITION BY ident, block ORDER BY value), 0) AS gap FROM vl),
 hx AS (SELECT *, CASE WHEN gap < 128 THEN printf('%02X', gap + 128) WHEN gap < 16384 THEN printf('%02X%02X', gap // 128, gap % 128 + 128)
   ELSE printf('%02X%02X%02X', gap // 16384, gap // 128 % 128, gap % 128 + 128) END AS h FROM gp)
-SELECT ident, block, min(id) AS "first", max(id) AS "last", count(*)::INTEGER AS n, (sum(length(h)) // 2)::INTEGER AS bytes, string_agg(h, '' ORDER BY value) AS coded_hex FROM hx GROUP BY ident, block"""
+SELECT ident, block, min(id) AS "first", max(id) AS "last", count(*)::INTEGER AS n, (sum(length(h)) // 2)::INTEGER AS bytes, string_agg(h, '' ORDER BY value) AS coded_hex, any_value(n_positions) AS n_positions FROM hx JOIN np USING (ident, block) GROUP BY ident, block"""
 TERM_NUMBERS = f"""WITH {ART}, {BF}, cw AS (SELECT id, unnest(range(len(ws))) AS ord, unnest(ws) AS x FROM (SELECT id, string_split(lower(content), ' ') AS ws FROM a)),
 tm AS (SELECT coalesce(base_form, CASE WHEN regexp_full_match(x, '[a-z]+') THEN x END) AS term, min((id, ord, coalesce(pos, 0))) AS place FROM cw LEFT JOIN bf ON x = word GROUP BY 1)
 SELECT term, row_number() OVER (ORDER BY place, term) - 1 AS number FROM tm WHERE term IS NOT NULL"""
@@ -305,3 +306,17 @@ tx AS (SELECT query, text, max(score) AS score FROM sc JOIN fq USING (item_id, p
 ow AS (SELECT query, arg_min(text, (-ln({_SHARE.format("'0|' || query || '|' || text")}) / pow(score, 10), text)) AS answer FROM tx SEMI JOIN ak USING (query) GROUP BY query),
 dw AS (SELECT draw, arg_min(text, (-ln({_SHARE.format("'0|' || draw || '|' || text")}) / pow(score, 10), text)) AS other FROM tx, range(64) AS r(draw) WHERE query = '{DEFAULT_QUERY}' GROUP BY draw)
 SELECT query, answer FROM ow UNION ALL SELECT query, coalesce(other, '{DEFAULT_QUERY}') FROM ak ANTI JOIN ow USING (query) LEFT JOIN dw ON draw = ('0x' || substr(md5('0|' || query), 1, 13))::BIGINT % 64"""
+_CORE = r"""regexp_replace(regexp_replace(token, '^["''(\[{„“‘]+', ''), '["'')\]}”’]+$', '')"""
+_SENTENCES = rf"""WITH tk AS (SELECT doc_id, unnest(range(len(ts))) AS ord, unnest(ts) AS token FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \t\n\x0b\f\r]+'), lambda w: w <> '') AS ts FROM documents)),
+co AS (SELECT *, {_CORE} AS core FROM tk), ba AS (SELECT *, regexp_replace(lower(core), '\.$', '') AS w FROM co),
+bs AS (SELECT doc_id, ord, token, core, CASE WHEN regexp_full_match(w, '\p{{L}}[\p{{L}}.]*') THEN w END AS word, core LIKE '%.' AS stop FROM ba),
+sh AS (SELECT count(*) FILTER (stop) / count(*) AS share FROM bs),
+wc AS (SELECT word, count(*) AS n, count(*) FILTER (stop) AS with_stop, length(replace(word, '.', '')) AS letters FROM bs WHERE word IS NOT NULL GROUP BY word),
+ab AS (SELECT word, n, with_stop, 2 * (with_stop * ln(0.99::DOUBLE) + (n - with_stop) * ln(1 - 0.99::DOUBLE) - with_stop * ln(share) - (n - with_stop) * ln(1 - share)) * exp(-letters) * (1 + length(word) - letters) * pow(letters::DOUBLE, with_stop - n) AS score
+  FROM wc, sh WHERE with_stop > 0)"""
+ABBREVIATIONS = f"{_SENTENCES} SELECT word, n, with_stop, round(score, 6) AS score FROM ab WHERE score >= 0.3"
+SENTENCES = rf"""{_SENTENCES}, nx AS (SELECT *, lead(token) OVER (PARTITION BY doc_id ORDER BY ord) AS following FROM bs),
+en AS (SELECT *, following IS NOT NULL AND NOT regexp_matches(following, '^["''(\[{{„“‘]*\p{{Ll}}') AND (regexp_matches(core, '[?!]$')
+  OR stop AND NOT (coalesce(word IN (SELECT word FROM ab WHERE score >= 0.3), false) OR length(core) = 2 AND word IS NOT NULL)) AS ends FROM nx),
+nm AS (SELECT *, coalesce(sum(ends::INTEGER) OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS n FROM en)
+SELECT doc_id, n, string_agg(token, ' ' ORDER BY ord) AS sentence FROM nm GROUP BY doc_id, n"""
