@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from folio.sources.staging import stage
 
 CHUNK_BYTES = 1 << 23
-BROADCAST_BYTES = 1 << 26
+BROADCAST_BYTES = 1 << 24
 CLOSE, CLOSE_SHARE = 1e-8, 1e-5
 
 

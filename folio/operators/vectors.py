@@ -22,6 +22,12 @@ def document_terms(articles: DataFrame, base_forms: DataFrame, add_missing: bool
     return joined.withColumn("term", F.coalesce("base_form", own)).filter("term is not null").groupBy("id", "term").agg(F.sum("n").alias("n"))
 
 
+def term_counts(articles: DataFrame, base_forms: DataFrame) -> DataFrame:
+    """(term, n): how often each base form stands in the content of all articles; words are counted before they meet the dictionary."""
+    words = articles.select(F.explode(T.space_tokens(F.lower("content"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    return words.join(base_forms.select("word", F.col("base_form").alias("term")), "word").groupBy("term").agg(F.sum("n").alias("n"))
+
+
 def tf(terms: DataFrame) -> DataFrame:
     return terms.withColumn("tf", F.col("n") / F.sum("n").over(Window.partitionBy("id"))).select("id", "term", "tf")
 

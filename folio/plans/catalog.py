@@ -369,8 +369,7 @@ def _word_vectors(spark: SparkSession, sf: str) -> DataFrame:
     """The most frequent base forms, one for each row of embeddings, in order of frequency and vec_id; stored."""
     articles, forms = _both(spark, sf)
     words = spark.read.parquet(f"{sf}/embeddings.parquet")
-    counts = vectors.document_terms(articles, forms, add_missing=False).groupBy("term").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "term").limit(words.count())
+    top = vectors.term_counts(articles, forms).orderBy(F.desc("n"), "term").limit(words.count())
     ranked = numbered(top.withColumn("minus", -F.col("n")), "minus", "term", name="rank")
     places = numbered(words.select("vec_id"), "vec_id", name="rank")  # numbers only; the vectors join them
     found = ranked.join(places, "rank").join(words, "vec_id")
