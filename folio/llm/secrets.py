@@ -5,12 +5,13 @@ characters), ``access`` (AKIA and capitals or digits, 20 or more characters) and
 characters). Matches are leftmost and do not overlap within a kind; a match that is too short is
 dropped after it was consumed.
 
-Further spans, ``random``, come from two character Markov models of first order, one of random
-strings and one of ordinary identifiers, trained from labelled samples (``fit``): random strings made
-by rule, ordinary ones composed of words of the corpus and of programs. Base spans are cut out of
-the runs of ``LEAST_RUN`` or more key characters; in each piece that is left, each segment of at least so many
-characters whose log-likelihood ratio of the two models is over a threshold (in nats; ``fit`` takes the one that
-``FALSE_RATE`` of held-out ordinary strings pass, ``THRESHOLD`` is the default) is one: ordinary characters before or after a key
+Further spans, ``random``, come from two character Markov models of first order, one of
+random strings and one of ordinary strings, trained from labelled samples (``fit``): random ones made
+by rule, ordinary ones composed of words of the corpus and of programs, and numbers, dates, UUIDs, phone numbers,
+versions, codes, alphabets, repeated characters and rules. Base spans become spaces first; in each run of
+``LEAST_RUN`` or more key characters that is left, each segment of at least so many
+characters whose log-likelihood ratio of the two models is over a threshold (in nats; ``fit`` calibrates it on
+held-out strings of both kinds, ``THRESHOLD`` is the default) is one: ordinary characters before or after a key
 don't weigh against it. A segment ends where the ratio has fallen by the threshold from its best, so
 a run can hold several. It is widened to the separators around it, or to the ends of the piece.
 
@@ -25,7 +26,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm.shared import whole_text
+from folio.llm.shared import computed_once, whole_text
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -40,7 +41,7 @@ ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 SAMPLES = 4_000
 #: Words of the corpus, at most, of which ordinary strings are composed, and held-out ordinary strings.
 WORDS, HELD_OUT = 2_000, 4_000
-FALSE_RATE = 0.001
+FALSE_RATE, MISS_RATE, SHORT = 0.0005, 0.02, 18
 THRESHOLD = 15.0
 #: Parts of the identifiers of programs.
 PARTS = """
@@ -69,7 +70,7 @@ def corpus_words(docs: DataFrame, most: int = WORDS) -> list[str]:
 def labelled_samples(spark: SparkSession, n: int = SAMPLES, words: list[str] | None = None, first: int = 0) -> DataFrame:
     """Strings of key characters with label 1 (random) or 0 (ordinary), ``n`` of each, by rule.
 
-    Half of the ordinary ones are composed of ``words``, if there are any; ``first`` is the number of the first string.
+    Half of the words in the ordinary ones are ``words``, if there are any; ``first`` is the number of the first string.
     """
     ids = spark.range(first, first + n).select("id")
     sources = [F.split(F.lit(" ".join(w)), " ") for w in (PARTS, words or PARTS)]
@@ -79,12 +80,32 @@ def labelled_samples(spark: SparkSession, n: int = SAMPLES, words: list[str] | N
     drawn = lambda k, s: F.get(sources[s], F.pmod(F.xxhash64("id", F.lit(k)), F.lit(sizes[s])).cast("int"))
     word = lambda k: F.when(F.pmod(F.floor(F.col("id") / 8), F.lit(2)) == 0, drawn(k, 0)).otherwise(drawn(k, 1))
     words = [word(k) for k in range(5)]
-    random = ids.select(F.when(F.col("id") % 4 == 0, digest).when(F.col("id") % 4 == 1, F.upper(F.conv(F.substring(digest, 1, 15), 16, 36))).when(F.col("id") % 4 == 2, F.regexp_replace(base64, "[+/]", "_")).otherwise(base64).alias("text"), F.lit(1).alias("label"))
+    mixed = F.regexp_replace(base64, "[+/]", "")  # hex strings of a length that counts are a base kind
+    random = ids.select(F.when(F.col("id") % 4 == 0, mixed).when(F.col("id") % 4 == 1, F.upper(F.conv(F.substring(digest, 1, 15), 16, 36))).when(F.col("id") % 4 == 2, F.translate(base64, "+/", "-_")).otherwise(base64).alias("text"), F.lit(1).alias("label"))
     snake, camel = F.concat_ws("_", *words), F.concat(words[0], *[F.initcap(w) for w in words[1:]])
     plain, path = F.concat(*words), F.concat_ws("/", *words[:4])
     kebab, upper = F.concat(F.concat_ws("-", *words[:4]), (F.col("id") % 100).cast("string")), F.upper(F.concat_ws("_", *words[:4]))
-    kind = F.pmod(F.col("id"), F.lit(8))
-    ordinary = ids.select(F.when(kind == 0, snake).when(kind == 1, camel).when(kind == 2, path).when(kind == 3, kebab).when(kind == 4, upper).otherwise(plain).alias("text"), F.lit(0).alias("label"))
+    digits = F.translate(digest, "abcdef", "012345")
+    part = lambda a, n: F.substring(digits, a, n)
+    moment = F.date_add(F.lit("1990-01-01").cast("date"), F.pmod(F.xxhash64("id"), F.lit(16_000)).cast("int"))
+    clock = F.date_format(F.timestamp_seconds(F.pmod(F.xxhash64("id", F.lit(9)), F.lit(86_400))), "HHmmss")
+    date, dated = F.date_format(moment, "yyyy-MM-dd"), F.date_format(moment, "yyyyMMdd")
+    stamp = F.concat(date, F.lit("T"), F.concat_ws("-", F.substring(clock, 1, 2), F.substring(clock, 3, 2), F.substring(clock, 5, 2)))
+    phone = F.concat(F.lit("+"), part(1, 2), F.lit("-"), part(3, 3), F.lit("-"), part(6, 3), F.lit("-"), part(9, 4))
+    uuid = F.concat_ws("-", *[F.substring(digest, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+    turn = F.floor(F.col("id") / 22)  # free of the kind
+    same = F.repeat(F.substring(F.lit(ALPHABET), F.pmod(turn, F.lit(len(ALPHABET))).cast("int") + 1, F.lit(1)), 24)
+    rule = F.repeat(F.substring(F.lit(SEPARATORS), F.pmod(turn, F.lit(len(SEPARATORS))).cast("int") + 1, F.lit(1)), 40)
+    row = F.substring(F.repeat(F.when(turn % 3 == 0, F.lit("abcdefghijklmnopqrstuvwxyz")).when(turn % 3 == 1, F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ")).otherwise(F.lit("0123456789")), 3), F.pmod(turn, F.lit(20)).cast("int") + 1, F.lit(26))
+    image, version = F.concat(F.upper(words[0]), F.lit("_"), dated, F.lit("_"), clock), F.concat(words[0], F.lit("-v"), part(1, 1), F.lit("-"), part(2, 2), F.lit("-"), part(4, 4), F.lit("-"), words[1])
+    code, table = F.concat(F.upper(F.substring(words[0], 1, 3)), F.lit("-"), part(1, 6), F.lit("-"), F.upper(F.substring(words[1], 1, 2)), part(7, 6)), F.repeat(F.concat(F.lit("-"), F.lit("="), F.lit("_"), F.lit("+")), 6)
+    named = F.concat_ws("_", words[0], words[1], part(1, 8), dated)
+    short = F.concat(F.upper(F.substring(words[0], 1, 3)), *[F.initcap(w) for w in words[1:4]])
+    kinds = [snake, camel, path, kebab, upper, plain, plain, short, F.substring(digits, 1, 24), stamp, F.concat(dated, clock, part(1, 4)), phone, uuid, same, row, image, version, code, named, path, table, rule]
+    kind, made = F.pmod(F.col("id"), F.lit(len(kinds))), kinds[-1]
+    for k, text in enumerate(kinds[:-1]):
+        made = F.when(kind == k, text).otherwise(made)
+    ordinary = ids.select(made.alias("text"), F.lit(0).alias("label"))
     return random.union(ordinary)
 
 
@@ -124,12 +145,22 @@ def best_segment(text: str, model: list[float]) -> float:
 
 
 def fit(spark: SparkSession, docs: DataFrame) -> tuple[list[float], float]:
-    """The model and its threshold: ``FALSE_RATE`` of ``HELD_OUT`` ordinary strings that weren't trained on score over it."""
+    """The model and its threshold, from ``HELD_OUT`` strings of each label that weren't trained on.
+
+    The threshold is the ratio that ``FALSE_RATE`` of the ordinary strings pass; if the first ``SHORT`` characters of all random ones
+    but ``MISS_RATE`` pass a higher one, it lies midway. Raises if it isn't positive: the models then tell nothing apart.
+    """
     words = corpus_words(docs)
     model = train(labelled_samples(spark, words=words))
-    held = labelled_samples(spark, HELD_OUT, words, first=SAMPLES).filter("label = 0").select("text").collect()
-    scores = sorted((best_segment(r["text"], model) for r in held), reverse=True)
-    return model, max(1.0, round(scores[int(FALSE_RATE * len(scores))], 4))
+    held = labelled_samples(spark, HELD_OUT, words, first=SAMPLES).collect()
+    ordinary = sorted((best_segment(r["text"], model) for r in held if r["label"] == 0), reverse=True)
+    random = sorted(best_segment(r["text"][:SHORT], model) for r in held if r["label"] == 1 and len(r["text"]) >= SHORT)
+    high = ordinary[int(FALSE_RATE * len(ordinary))]
+    low = random[int(MISS_RATE * len(random))] if random else high
+    threshold = round(max(high, (high + low) / 2), 4)
+    if threshold <= 0:
+        raise ValueError(f"the models tell nothing apart: {FALSE_RATE} of the held-out ordinary strings score over {high}, {MISS_RATE} of the random ones under {low}")
+    return model, threshold
 
 
 def log_ratio(text: Column, model: list[float]) -> Column:
@@ -216,18 +247,22 @@ def _found(pattern: str, groups: tuple[int, ...], prefix: str) -> list[Column]:
 
 def _spans(kind: int, prefix: str, value: str | None = None) -> Column:
     """Structs (start, kind, end, match, ok) of the matches."""
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,kind:int,end:int,k:int>>").alias("out"))
+    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))  # appending to an array would copy it value by value
 
     def step(s: Column, k: Column) -> Column:
         start = s["at"] + F.length(F.get(f"{prefix}1", k))
-        end = start + F.length(F.get(f"{prefix}2", k))
-        span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), k.alias("k"))
-        wide = F.length(F.get(value, k)) >= LEAST_VALUE if value else F.lit(True)
-        return F.struct(end.alias("at"), F.when(wide, F.concat(s["out"], F.array(span))).otherwise(s["out"]).alias("out"))
+        return F.struct((start + F.length(F.get(f"{prefix}2", k))).alias("at"), F.concat(s["out"], start.cast("string"), F.lit(" ")).alias("out"))
 
     size = F.size(f"{prefix}1")
     positions = F.when(size > 0, F.sequence(F.lit(0), size - 1)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(positions, begin, step, lambda s: s["out"])
+    starts = F.split(F.aggregate(positions, begin, step, lambda s: s["out"]), " ")
+
+    def span(starts: Column, k: Column) -> Column:
+        start = F.get(starts, k).cast("int")
+        return F.struct(start.alias("start"), F.lit(kind).alias("kind"), (start + F.length(F.get(f"{prefix}2", k))).alias("end"), k.alias("k"))
+
+    wide = lambda k: F.length(F.get(value, k)) >= LEAST_VALUE if value else F.lit(True)
+    return _bound(starts, lambda x: F.transform(F.filter(positions, wide), lambda k: span(x, k)))
 
 
 def with_spans(docs: DataFrame, model: list[float], threshold: float = THRESHOLD) -> DataFrame:
@@ -237,24 +272,25 @@ def with_spans(docs: DataFrame, model: list[float], threshold: float = THRESHOLD
     """
     own = F.struct(F.lit(0).alias("_none"), *[F.col(f"`{c}`") for c in docs.columns if c not in ("_base", "_spans")]).alias("_own")
     step = docs.select(own, whole_text().alias("_text"))
-    step = step.select("*", *_found(ASSIGN, (2, 3), "_a"), *_found(ACCESS, (2,), "_k"), *_found(HEX, (2,), "_h"), *_found(RUN, (2,), "_r"))
-    step = step.select("_own", "_r2", _spans(0, "_a", "_a3").alias("_sa"), _spans(1, "_k").alias("_sk"), _spans(2, "_h").alias("_sh"), _spans(3, "_r").alias("_sr"))
-    step = step.select("_own", "_r2", "_sr", F.sort_array(F.concat("_sa", "_sk", "_sh")).alias("_base"))
-    pieces = F.flatten(F.transform("_sr", lambda r: _beside(r, F.get("_r2", r["k"]))))
-    random = F.flatten(F.transform(pieces, lambda p: _random(p, model, threshold)))
+    step = step.select("*", *_found(ASSIGN, (2, 3), "_a"), *_found(ACCESS, (2,), "_k"), *_found(HEX, (2,), "_h"))
+    step = step.select("_own", "_text", F.sort_array(F.concat(_spans(0, "_a", "_a3"), _spans(1, "_k"), _spans(2, "_h"))).alias("_base"))
+    step = step.select("_own", "_base", computed_once(_masked()).alias("_text"))
+    step = step.select("_own", "_base", *_found(RUN, (2,), "_r"))
+    step = step.select("_own", "_base", F.zip_with(_spans(3, "_r"), "_r2", lambda r, t: F.struct(r["start"].alias("start"), t.alias("text"), r["k"].alias("k"))).alias("_pieces"))
+    random = F.flatten(F.transform("_pieces", lambda p: _random(p, model, threshold)))
     return step.select("_own", "_base", F.sort_array(F.concat("_base", random)).alias("_spans")).select(*[F.col(f"_own.`{c}`") for c in docs.columns if c not in ("_base", "_spans")], "_base", "_spans")
 
 
-def _beside(run: Column, text: Column) -> Column:
-    """Structs (start, text, k) of what the base spans leave of a run, LEAST_RUN characters at least."""
-    piece = lambda a, b: F.struct(a.alias("start"), F.substring(text, a - run["start"] + 1, b - a).alias("text"), run["k"].alias("k"))
-    whole = F.array(piece(run["start"], run["end"]))
-    begin = F.struct(run["start"].alias("at"), F.filter(whole, lambda p: F.lit(False)).alias("out"))
-    added = lambda out, a, b: F.when(b - a >= LEAST_RUN, F.concat(out, F.array(piece(a, b)))).otherwise(out)
-    step = lambda s, b: F.struct(F.greatest(s["at"], b["end"]).alias("at"), added(s["out"], s["at"], b["start"]).alias("out"))
-    meets = lambda b: (b["start"] < run["end"]) & (run["start"] < b["end"])
-    cut = F.aggregate(F.filter("_base", meets), begin, step, lambda s: added(s["out"], s["at"], run["end"]))
-    return F.when(F.exists("_base", meets), cut).otherwise(whole)
+def _masked() -> Column:
+    """The text with spaces for the characters of base spans."""
+    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(s: Column, x: Column) -> Column:
+        start = F.greatest(s["at"], x["start"])
+        return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.concat(s["out"], F.substring(F.col("_text"), s["at"] + 1, start - s["at"]), F.repeat(F.lit(" "), F.greatest(F.lit(0), x["end"] - start))).alias("out"))
+
+    cut = F.aggregate("_base", begin, step, lambda s: F.concat(s["out"], F.substring(F.col("_text"), s["at"] + 1, F.length("_text"))))
+    return F.when(F.size("_base") > 0, cut).otherwise(F.col("_text"))
 
 
 def _joined(spans: str) -> Column:
@@ -275,14 +311,14 @@ def redact(docs: DataFrame, model: list[float], threshold: float = THRESHOLD, ma
     Documents without spans stay as they are, null texts too.
     """
     rows = with_spans(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), "text"), model, threshold)
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(s: Column, x: Column) -> Column:
         inside = x["end"] <= s["at"]
         between = F.substring("text", s["at"] + 1, F.greatest(F.lit(0), x["start"] - s["at"]))
-        return F.when(inside, s).otherwise(F.struct(x["end"].alias("at"), F.concat(s["out"], F.array(between, F.lit(mask))).alias("out")))
+        return F.when(inside, s).otherwise(F.struct(x["end"].alias("at"), F.concat(s["out"], between, F.lit(mask)).alias("out")))
 
-    cut = F.aggregate("_spans", begin, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(F.col("text"), s["at"] + 1, F.length("text"))))
+    cut = F.aggregate("_spans", begin, step, lambda s: F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, F.length("text"))))
     rows = rows.select("_doc", F.when(F.size("_spans") > 0, cut).otherwise(F.col("text")).alias("_new"), (F.size("_spans") > 0).alias("_cut"))
     new = {"text": F.col("_new"), "n_chars": F.when(F.col("_cut"), F.length("_new").cast("long")).otherwise(F.col("_doc.n_chars")) if "n_chars" in docs.columns else None}
     return rows.select(*[new[c].alias(c) if c in new else F.col(f"_doc.`{c}`") for c in docs.columns])

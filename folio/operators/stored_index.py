@@ -1,9 +1,12 @@
 """The stored index: coded posting lists in blocks, searches and ratings that decode only blocks they need.
 
-``indexed_terms`` has a row for each identifier and range of ``WIDE`` article ids, ``term_positions`` one for each
-identifier and range of ``WIDE`` positions. A row is the skip entry of a block (first, last, n, bytes) and its coded
-list; the list's numbers are 8 * (place in the block + 1) + flags. Skip entries are read without the lists. A
-block holds at most ``WIDE`` places, so the list of a word in every article is many rows.
+``indexed_terms`` has a row for each identifier and range of ``WIDE`` article ids: the skip entry (first, last, n, bytes),
+the coded list of its articles with flags and hits, and the coded list of its positions in them. Skip entries are
+read without the lists, article lists without the positions. A word in every article is many rows.
+
+Texts are inverted where they are: a task writes coded lists of about ``INVERTED`` tokens at a time, and only those
+lists, one for each word and range, meet the dictionary (broadcast up to ``SMALL`` rows, else joined) and are shuffled
+and merged.
 """
 
 from __future__ import annotations
@@ -12,121 +15,154 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.functions import text as T
 from folio.functions.posting_blocks import read_digits, read_lists, write_digits, write_lists
-from folio.operators.retrieval import CONTENT_RUN, CONTENT_WEIGHT, DECAY, RESULTS, TITLE_RUN, TITLE_WEIGHT, article_at, document_positions, query_identifiers, query_parts, query_words, title_size, with_identifiers
+from folio.operators.retrieval import CONTENT_RUN, CONTENT_WEIGHT, DECAY, RESULTS, SMALL, TITLE_RUN, TITLE_WEIGHT, document_positions, query_identifiers, query_parts, query_words, title_size, with_identifiers
 from folio.sources.staging import stage
 
 WIDE = 1 << 14
-#: Flags of a position: the token is one of the searches, of the ratings, and the dictionary knows it.
-SEARCHED, RATED, KNOWN = 1, 2, 4
+#: Flags of a position: the token is one of the searches, of the ratings, the dictionary knows it, it stands in the title.
+SEARCHED, RATED, KNOWN, TITLE = 1, 2, 4, 8
 #: Flags of an article, beside SEARCHED: its title, its content has the identifier by the ratings' tokens.
 IN_TITLE, IN_CONTENT = 2, 4
-AT_ONCE = 1 << 20  # numbers decoded in one batch
+ORD = 31  # bits of a token's place in its article
+AT_ONCE = 1 << 20
+INVERTED = 1 << 22  # tokens inverted at once
+#: The white space at the edge of tokens.
+SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
-def occurrences(articles: DataFrame, base_forms: DataFrame, clusters: DataFrame | None = None) -> DataFrame:
-    """(id, ord, in_title, ident, flags) of every token.
+def _inverted(articles: DataFrame) -> DataFrame:
+    """(tok, block, coded): lists of positions of each token, many for a token and range.
 
-    Searches take stripped tokens, ratings take them as they are; a token with white space at its edge gives
-    rows for both.
-    """
-    words = T.space_tokens(F.lower(F.concat_ws(" ", F.col("title"), F.col("content"))))
-    raw = articles.select("id", title_size().alias("n_title"), F.posexplode(words).alias("ord", "raw")).withColumn("stripped", T.strip(F.col("raw")))
-    plain = F.col("raw") == F.col("stripped")
-    one = F.array(F.struct(F.col("stripped").alias("tok"), F.lit(SEARCHED | RATED).alias("flags")))
-    two = F.array(F.struct(F.col("stripped").alias("tok"), F.lit(SEARCHED).alias("flags")), F.struct(F.col("raw").alias("tok"), F.lit(RATED).alias("flags")))
-    rows = raw.select("id", "ord", (F.col("ord") < F.col("n_title")).alias("in_title"), F.explode(F.when(plain, one).otherwise(two)).alias("t")).select("id", "ord", "in_title", "t.tok", "t.flags")
-    known = base_forms.withColumn("known", F.lit(KNOWN))
-    joined = rows.join(known.select(F.col("word").alias("tok"), "base_form", "known"), "tok", "left")
-    flags = F.col("flags").bitwiseOR(F.when(F.col("flags").bitwiseAND(RATED) > 0, F.coalesce("known", F.lit(0))).otherwise(F.lit(0)))
-    named = joined.select("id", "ord", "in_title", F.coalesce("base_form", "tok").alias("form"), flags.alias("flags"))
-    return with_identifiers(named, clusters).select("id", "ord", "in_title", "ident", "flags")
-
-
-def _merged(values: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Numbers in order within their rows, flags of equal places joined; rows; where each number came first."""
-    order = np.lexsort((values, rows))
-    values, rows = values[order], rows[order]
-    new = np.ones(len(values), bool)
-    new[1:] = (values[1:] >> 3 != values[:-1] >> 3) | (rows[1:] != rows[:-1])
-    first = np.flatnonzero(new)
-    flags = np.bitwise_or.reduceat(values & 7, first) if len(first) else values
-    return (values[first] >> 3 << 3) | flags, rows[first], order[first]
-
-
-SKIPS = "ident string, block long, first long, last long, n int, bytes int"
-
-
-def _coded(rows: DataFrame, *more: str) -> DataFrame:
-    """Skip entries and coded lists of (ident, block, values array<long> and ``more`` arrays of positive numbers beside them).
-
-    Rows are sorted within the partitions of the blocks' hash: a look-up reads a page of each file, and the
-    blocks of a hot identifier are in all files.
+    Searches take stripped tokens, ratings take them as they are; a token with white space at its edge is in
+    the lists of both. Numbers are 16 * (article in the block + 1, place) + flags.
     """
-
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column("values")
-            flat = lists.flatten().to_numpy()
-            values, row, source = _merged(flat, np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy()))
-            counts = np.bincount(row, minlength=len(lists))
-            begin = np.cumsum(counts) - counts
-            places = values // 8 - 1 + batch.column("block").to_numpy()[row] * wide
-            coded = write_lists(values, counts)
-            beside = [write_digits(batch.column(c).flatten().to_numpy()[source], counts) for c in more]
-            skips = [pa.array(places[begin]), pa.array(places[begin + counts - 1]), pa.array(counts, pa.int32()), pa.array(np.diff(np.frombuffer(coded.buffers()[1], np.int32)), pa.int32())]
-            yield pa.RecordBatch.from_arrays([batch.column("ident"), batch.column("block"), *skips, coded, *beside], ["ident", "block", "first", "last", "n", "bytes", "coded", *more])
-
     wide = WIDE
-    return rows.mapInArrow(write, SKIPS + ", coded binary" + "".join(f", {c} binary" for c in more)).sortWithinPartitions("ident", "block")
-
-
-def _value(place: Column, flags: Column) -> Column:
-    return (F.pmod(place, F.lit(WIDE)) + 1) * 8 + flags
 
+    def flush(codes: list[list[int]], ids: list[int], titles: list[int], names: dict[str, int]) -> pa.RecordBatch:
+        sizes = np.array([len(c) for c in codes])
+        code, article = np.concatenate([np.array(c, np.int64) for c in codes]), np.repeat(np.array(ids, np.int64), sizes)
+        place = np.arange(len(code)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        cut = [names.setdefault(t.strip(SPACE), len(names)) for t in list(names)]
+        to = np.array([*cut, *range(len(cut), len(names))])
+        plain = to[code] == code
+        flags = np.where(plain, SEARCHED | RATED, RATED) + np.where(place < np.repeat(np.array(titles), sizes), TITLE, 0)
+        more = np.flatnonzero(~plain)
+        code, article, place = np.concatenate([code, to[code[more]]]), np.concatenate([article, article[more]]), np.concatenate([place, place[more]])
+        flags = np.concatenate([flags, flags[more] - RATED + SEARCHED])
+        block = article // wide
+        value = ((article - block * wide + 1 << ORD | place) << 4) | flags
+        order = np.lexsort((value, block, code))
+        code, block, value = code[order], block[order], value[order]
+        first = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (block[1:] != block[:-1])]))
+        words = pa.array(list(names), pa.string()).take(pa.array(code[first]))
+        return pa.RecordBatch.from_arrays([words, pa.array(block[first]), write_lists(value, np.diff(np.append(first, len(code))))], ["tok", "block", "coded"])
+
+    def invert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, ids, titles, names, held = [], [], [], {}, 0
+        for batch in batches:
+            for id_, n_title, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                codes.append([names.setdefault(t, len(names)) for t in text.split(" ")])
+                ids.append(id_)
+                titles.append(n_title)
+                held += len(codes[-1])
+                if held >= INVERTED:
+                    yield flush(codes, ids, titles, names)
+                    codes, ids, titles, names, held = [], [], [], {}, 0
+        if codes:
+            yield flush(codes, ids, titles, names)
+
+    rows = articles.select("id", title_size().alias("n_title"), F.lower(F.concat_ws(" ", F.col("title"), F.col("content"))).alias("text"))
+    return rows.mapInArrow(invert, "tok string, block long, coded binary")
+
+
+def indexed_terms(articles: DataFrame, base_forms: DataFrame, clusters: DataFrame | None = None) -> DataFrame:
+    """The index: (ident, block, first, last, n, bytes, coded, title_hits, content_hits, n_positions, positions).
+
+    ``coded`` has 8 * (article in the block + 1) + flags; ``title_hits`` and ``content_hits`` have one more than the known tokens
+    of each. Rows are sorted within the partitions of the blocks' hash: a look-up reads a page of each file, and
+    the blocks of a hot identifier are in all files.
+    """
+    wide, names = WIDE, ["first", "last", "n", "bytes", "coded", "title_hits", "content_hits", "n_positions", "positions"]
 
-def term_positions(tokens: DataFrame, starts: DataFrame) -> DataFrame:
-    """The positional index: blocks of the positions of each identifier."""
-    placed = tokens.join(starts.select("id", "start"), "id").withColumn("position", F.col("start") + F.col("ord"))
-    rows = placed.groupBy("ident", F.floor(F.col("position") / WIDE).alias("block")).agg(F.collect_list(_value(F.col("position"), F.col("flags"))).alias("values"))
-    return _coded(rows)
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = np.array([sum(len(p["coded"]) for p in row) for row in batch.column("parts").to_pylist()])
+            group = np.cumsum(sizes) // (4 * AT_ONCE)
+            for g in np.unique(group):
+                some = batch.filter(pa.array(group == g))
+                parts = some.column("parts")
+                flat = parts.flatten()
+                values, counts = read_lists(flat.field("coded"))
+                row = np.repeat(np.repeat(np.arange(len(parts)), parts.value_lengths().to_numpy()), counts)
+                known = np.repeat(flat.field("known").to_numpy(zero_copy_only=False), counts)
+                values = values | np.where(known & (values & RATED > 0), KNOWN, 0)
+                order = np.lexsort((values, row))
+                values, row = values[order], row[order]
+                first = np.flatnonzero(np.concatenate([[True], (values[1:] >> 4 != values[:-1] >> 4) | (row[1:] != row[:-1])]))
+                values, row = values[first] >> 4 << 4 | np.bitwise_or.reduceat(values & 15, first), row[first]  # one token by two ways
+                n_positions = np.bincount(row, minlength=len(parts))
+                article = values >> ORD + 4
+                begin = np.flatnonzero(np.concatenate([[True], (article[1:] != article[:-1]) | (row[1:] != row[:-1])]))
+                has = lambda mask: np.bitwise_or.reduceat(mask.astype(np.int64), begin)  # noqa: B023, E731
+                hits = lambda mask: 1 + np.add.reduceat(mask.astype(np.int64), begin)  # noqa: B023, E731
+                rated, title = values & RATED > 0, values & TITLE > 0
+                flags = has(values & SEARCHED > 0) * SEARCHED + has(rated & title) * IN_TITLE + has(rated & ~title) * IN_CONTENT
+                n = np.bincount(row[begin], minlength=len(parts))
+                last = np.cumsum(n)
+                ids = article[begin] - 1 + some.column("block").to_numpy()[row[begin]] * wide
+                coded = write_lists(article[begin] * 8 + flags, n)
+                known = values & KNOWN > 0
+                columns = [pa.array(ids[last - n]), pa.array(ids[last - 1]), pa.array(n, pa.int32()), pa.array(np.diff(np.frombuffer(coded.buffers()[1], np.int32)), pa.int32()), coded]
+                columns += [write_digits(hits(known & title), n), write_digits(hits(known & ~title), n), pa.array(n_positions, pa.int32()), write_lists(values, n_positions)]
+                yield pa.RecordBatch.from_arrays([some.column("ident"), some.column("block"), *columns], ["ident", "block", *names])
+
+    forms = base_forms.select(F.col("word").alias("tok"), "base_form")
+    lists = _inverted(articles).join(F.broadcast(forms) if forms.limit(SMALL + 1).count() <= SMALL else forms, "tok", "left")
+    named = with_identifiers(lists.select(F.coalesce("base_form", "tok").alias("form"), F.col("base_form").isNotNull().alias("known"), "block", "coded"), clusters)
+    rows = named.groupBy("ident", "block").agg(F.collect_list(F.struct("coded", "known")).alias("parts"))
+    schema = "ident string, block long, first long, last long, n int, bytes int, coded binary, title_hits binary, content_hits binary, n_positions int, positions binary"
+    return rows.mapInArrow(merge, schema).sortWithinPartitions("ident", "block")
+
+
+def _slices(batch: pa.RecordBatch, n: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Parts of a batch of about ``AT_ONCE`` numbers, with the row of each number."""
+    counts = batch.column(n).to_numpy()
+    part = np.cumsum(counts) // AT_ONCE
+    for k in np.unique(part):
+        yield batch.filter(pa.array(part == k)), np.repeat(np.arange(int((part == k).sum())), counts[part == k])
+
+
+def decoded(blocks: DataFrame, hits: bool = False) -> DataFrame:
+    """(ident, id, flags) of the articles of ``blocks``, and title_hits and content_hits if asked."""
+    more, wide = ["title_hits", "content_hits"] if hits else [], WIDE
 
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some, row in _slices(batch, "n"):
+                values, _ = read_lists(some.column("coded"))
+                ids = values // 8 - 1 + some.column("block").to_numpy()[row] * wide
+                beside = [pa.array(read_digits(some.column(c))[0] - 1) for c in more]
+                yield pa.RecordBatch.from_arrays([some.column("ident").take(pa.array(row)), pa.array(ids), pa.array(values % 8, pa.int32()), *beside], ["ident", "id", "flags", *more])
 
-def indexed_terms(tokens: DataFrame) -> DataFrame:
-    """The document index: blocks of the articles of each identifier, beside them one more than its known tokens in the title and in the content."""
-    rated, title = F.col("flags").bitwiseAND(RATED) > 0, F.col("in_title")
-    flag = lambda condition, value: F.max(F.when(condition, F.lit(value)).otherwise(F.lit(0)))
-    known = F.col("flags").bitwiseAND(KNOWN) > 0
-    once = tokens.groupBy("ident", "id").agg(
-        (flag(F.col("flags").bitwiseAND(SEARCHED) > 0, SEARCHED) + flag(rated & title, IN_TITLE) + flag(rated & ~title, IN_CONTENT)).alias("flags"),
-        (1 + F.count_if(known & title)).alias("title_hits"),
-        (1 + F.count_if(known & ~title)).alias("content_hits"),
-    )
-    row = F.struct(_value(F.col("id"), F.col("flags")).alias("value"), "title_hits", "content_hits")
-    rows = once.groupBy("ident", F.floor(F.col("id") / WIDE).alias("block")).agg(F.collect_list(row).alias("rows"))
-    return _coded(rows.select("ident", "block", F.col("rows.value").alias("values"), F.col("rows.title_hits").alias("title_hits"), F.col("rows.content_hits").alias("content_hits")), "title_hits", "content_hits")
+    return blocks.select("ident", "block", "n", "coded", *more).mapInArrow(read, "ident string, id long, flags int" + "".join(f", {c} long" for c in more))
 
 
-def decoded(blocks: DataFrame, *more: str) -> DataFrame:
-    """(ident, place, flags and ``more``) of the coded lists of ``blocks``."""
+def decoded_positions(blocks: DataFrame) -> DataFrame:
+    """(ident, id, ord, flags) of the positions of ``blocks``."""
+    wide = WIDE
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            part = np.cumsum(batch.column("n").to_numpy()) // AT_ONCE
-            for k in np.unique(part):
-                some = batch.filter(pa.array(part == k))
-                values, counts = read_lists(some.column("coded"))
-                source = np.repeat(np.arange(some.num_rows), counts)
-                places = values // 8 - 1 + some.column("block").to_numpy()[source] * wide
-                beside = [pa.array(read_digits(some.column(c))[0]) for c in more]
-                yield pa.RecordBatch.from_arrays([some.column("ident").take(pa.array(source)), pa.array(places), pa.array(values % 8, pa.int32()), *beside], ["ident", "place", "flags", *more])
+            for some, row in _slices(batch, "n_positions"):
+                values, _ = read_lists(some.column("positions"))
+                ids = (values >> ORD + 4) - 1 + some.column("block").to_numpy()[row] * wide
+                yield pa.RecordBatch.from_arrays([some.column("ident").take(pa.array(row)), pa.array(ids), pa.array(values >> 4 & (1 << ORD) - 1), pa.array(values & 15, pa.int32())], ["ident", "id", "ord", "flags"])
 
-    wide = WIDE
-    return blocks.select("ident", "block", "n", "coded", *more).mapInArrow(read, "ident string, place long, flags int" + "".join(f", {c} long" for c in more))
+    return blocks.select("ident", "block", "n_positions", "positions").mapInArrow(read, "ident string, id long, ord long, flags int")
 
 
 def meeting(skips: DataFrame, needed: int) -> DataFrame:
@@ -148,9 +184,7 @@ class TextIndex:
         store.write("wiki_articles", articles.select(F.col("id").alias("wiki_article_id"), "title", "content").sortWithinPartitions("wiki_article_id"))
         store.write("word_base_forms", base_forms.sortWithinPartitions("word"))
         store.write("document_positions", document_positions(articles).sortWithinPartitions("id"))
-        tokens = occurrences(articles, base_forms, clusters)
-        store.write("indexed_terms", indexed_terms(tokens))
-        store.write("term_positions", term_positions(tokens, store.read("document_positions")))
+        store.write("indexed_terms", indexed_terms(articles, base_forms, clusters))
         return cls(store, clusters)
 
     def identifiers(self, words: list[str]) -> list[tuple[int, str]]:
@@ -165,47 +199,45 @@ class TextIndex:
     def _asked(self, rows: list[tuple[int, str]]) -> DataFrame:
         return F.broadcast(self.store.spark.createDataFrame(rows, "k int, ident string"))  # a query's identifiers
 
-    def _blocks(self, table: str, rows: list[tuple[int, str]]) -> DataFrame:
-        return self.store.lookup(table, "ident", sorted({ident for _, ident in rows}))
+    def _blocks(self, rows: list[tuple[int, str]]) -> DataFrame:
+        return self.store.lookup("indexed_terms", "ident", sorted({ident for _, ident in rows}))
 
     def document_blocks(self, words: list[str]) -> DataFrame:
         """(ident, block, low, high): the blocks of the document index in which all words can meet, from skip entries only."""
         rows = self.identifiers(words)
-        skips = self._blocks("indexed_terms", rows).select("ident", "block", "first", "last").join(self._asked(rows), "ident")
+        skips = self._blocks(rows).select("ident", "block", "first", "last").join(self._asked(rows), "ident")
         met = skips.join(meeting(skips, len(words)), "block").filter((F.col("last") >= F.col("low")) & (F.col("first") <= F.col("high")))
         return met.select("ident", "block", "low", "high").distinct()
 
     def boolean(self, words: list[str]) -> DataFrame:
         """ids of the articles that hold all words."""
         rows = self.identifiers(words)
-        blocks = self._blocks("indexed_terms", rows).join(self.document_blocks(words), ["ident", "block"])
+        blocks = self._blocks(rows).join(self.document_blocks(words), ["ident", "block"])
         hits = decoded(blocks).filter(F.col("flags").bitwiseAND(SEARCHED) > 0).join(self._asked(rows), "ident")
-        return hits.groupBy(F.col("place").alias("id")).agg(F.count_distinct("k").alias("words")).filter(F.col("words") == len(words)).select("id")
+        return hits.groupBy("id").agg(F.count_distinct("k").alias("words")).filter(F.col("words") == len(words)).select("id")
 
-    def _positions(self, idents: list[str], within: DataFrame) -> DataFrame:
-        """(ident, position, flags, id, start, n_title) of the identifiers in the articles ``within`` (id, start, n_tokens, n_title).
+    def _positions(self, rows: list[tuple[int, str]], ids: DataFrame) -> DataFrame:
+        """(ident, id, ord, flags) of the identifiers in the articles ``ids``; only blocks with one of them are decoded."""
+        inside = ids.select(F.floor(F.col("id") / WIDE).alias("block")).distinct()
+        return decoded_positions(self._blocks(rows).join(inside, "block", "left_semi")).join(ids, "id", "left_semi")
 
-        Only blocks that an article's positions touch are decoded.
-        """
-        touched = within.select(F.explode(F.sequence(F.floor(F.col("start") / WIDE), F.floor((F.col("start") + F.col("n_tokens")) / WIDE))).alias("block")).distinct()
-        blocks = self.store.lookup("term_positions", "ident", idents).join(touched, "block", "left_semi")
-        hits = stage(decoded(blocks).withColumnRenamed("place", "position"), "hits")
-        located = article_at(hits.select("position"), within.select("start", "id")).join(within, "id")
-        return hits.join(located.filter(F.col("position") < F.col("start") + F.col("n_tokens")), "position")
+    def _phrase_places(self, words: list[str]) -> DataFrame:
+        """(id, ord) of the first words where the words stand one after the other; only articles with all words are looked into."""
+        rows, ids = self.identifiers(words), stage(self.boolean(list(dict.fromkeys(words))), "within")
+        hits = self._positions(rows, ids).filter(F.col("flags").bitwiseAND(SEARCHED) > 0).join(self._asked(rows), "ident")
+        runs = hits.groupBy("id", (F.col("ord") - F.col("k")).alias("ord")).agg(F.count_distinct("k").alias("words"))
+        return runs.filter(F.col("words") == len(words)).select("id", "ord")
 
     def phrase(self, words: list[str]) -> DataFrame:
-        """(id, position) where the words stand one after the other; only articles with all words are looked into."""
-        rows = self.identifiers(words)
-        within = stage(self.store.read("document_positions").join(self.boolean(list(dict.fromkeys(words))), "id", "left_semi"), "within")
-        hits = self._positions(sorted({ident for _, ident in rows}), within).filter(F.col("flags").bitwiseAND(SEARCHED) > 0).join(self._asked(rows), "ident")
-        runs = hits.groupBy("id", (F.col("position") - F.col("k")).alias("position")).agg(F.count_distinct("k").alias("words"))
-        return runs.filter(F.col("words") == len(words)).select("id", "position")
+        """(id, position) where the words stand one after the other, by positions over all articles."""
+        starts = self.store.read("document_positions").select("id", "start")
+        return self._phrase_places(words).join(starts, "id").select("id", (F.col("start") + F.col("ord")).alias("position"))
 
     def matches(self, query: str, mode: str = "mixed", exact_phrase: bool = False) -> DataFrame | None:
         """ids of the articles that match every part of the query; None for a query without words."""
         found = None
         for kind, words in query_parts(query, mode, exact_phrase):
-            ids = self.phrase(words).select("id").distinct() if kind == "phrase" else self.boolean(words)
+            ids = self._phrase_places(words).select("id").distinct() if kind == "phrase" else self.boolean(words)
             found = ids if found is None else found.join(ids, "id", "left_semi")
         return found
 
@@ -214,23 +246,20 @@ class TextIndex:
 
         Both come from the document index; they are equal where there can be no run.
         """
-        idents = sorted({ident for _, ident in self.identifiers([w for w in query_words(query) if w])})
         inside = ids.select(F.floor(F.col("id") / WIDE).alias("block")).distinct()
-        blocks = self.store.lookup("indexed_terms", "ident", idents).join(inside, "block", "left_semi")
-        rows = decoded(blocks, "title_hits", "content_hits").withColumnRenamed("place", "id").join(ids, "id", "left_semi")
+        blocks = self._blocks(self.identifiers([w for w in query_words(query) if w])).join(inside, "block", "left_semi")
+        rows = decoded(blocks, hits=True).join(ids, "id", "left_semi")
         has = lambda flag: F.count_if(F.col("flags").bitwiseAND(flag) > 0)  # noqa: E731  a row for each identifier of an article
-        sums = rows.groupBy("id").agg(has(IN_TITLE).alias("in_title"), has(IN_CONTENT).alias("in_content"), F.sum(F.col("title_hits") - 1).alias("t"), F.sum(F.col("content_hits") - 1).alias("c"))
+        sums = rows.groupBy("id").agg(has(IN_TITLE).alias("in_title"), has(IN_CONTENT).alias("in_content"), F.sum("title_hits").alias("t"), F.sum("content_hits").alias("c"))
         low = TITLE_WEIGHT * F.col("in_title") + CONTENT_WEIGHT * F.col("in_content") + F.exp(-F.col("id") * DECAY)
         run = lambda n, weight: weight * F.col(n) * (F.col(n) - 1) / 2
         return sums.select("id", low.alias("low"), (low + run("t", TITLE_RUN) + run("c", CONTENT_RUN)).alias("high"))
 
     def _runs(self, ids: DataFrame, query: str) -> DataFrame:
         """(id, runs): the rating of neighbouring known tokens, from positions."""
-        idents = sorted({ident for _, ident in self.identifiers([w for w in query_words(query) if w])})
-        within = stage(self.store.read("document_positions").join(ids, "id", "left_semi"), "within")
-        hits = self._positions(idents, within).filter(F.col("flags").bitwiseAND(RATED | KNOWN) == (RATED | KNOWN))
-        places = hits.select("id", "position", (F.col("position") - F.col("start") < F.col("n_title")).alias("title")).distinct()
-        island = F.col("position") - F.row_number().over(Window.partitionBy("id", "title").orderBy("position"))
+        hits = self._positions(self.identifiers([w for w in query_words(query) if w]), ids).filter(F.col("flags").bitwiseAND(RATED | KNOWN) == (RATED | KNOWN))
+        places = hits.select("id", "ord", (F.col("flags").bitwiseAND(TITLE) > 0).alias("title")).distinct()
+        island = F.col("ord") - F.row_number().over(Window.partitionBy("id", "title").orderBy("ord"))
         runs = places.withColumn("island", island).groupBy("id", "title", "island").agg(F.count("*").alias("r"))
         weight = F.when(F.col("title"), TITLE_RUN).otherwise(CONTENT_RUN)
         return runs.groupBy("id").agg(F.sum(weight * F.col("r") * (F.col("r") - 1) / 2).alias("runs"))

@@ -281,8 +281,8 @@ CODED_BLOCKS = rf"""WITH {ART}, {BF}, rt AS (SELECT id, len(string_split(title,
 rw AS (SELECT id, nt, unnest(range(len(ws))) AS ord, unnest(ws) AS raw FROM rt), st AS (SELECT id, ord, ord < nt AS tt, raw, regexp_replace(raw, '^\s+|\s+$', '', 'g') AS cut FROM rw),
 oc AS (SELECT id, ord, tt, cut AS x, 1 AS s, (raw = cut)::INTEGER AS r FROM st UNION ALL SELECT id, ord, tt, raw, 0, 1 FROM st WHERE raw <> cut),
 fl AS (SELECT id, coalesce(base_form, x) AS ident, max(s) + 2 * max(CASE WHEN tt THEN r ELSE 0 END) + 4 * max(CASE WHEN tt THEN 0 ELSE r END) AS flags FROM oc LEFT JOIN bf ON x = word GROUP BY 1, 2),
-np AS (SELECT ident, id // 4096 AS block, count(*)::INTEGER AS n_positions FROM (SELECT DISTINCT id, ord, coalesce(base_form, x) AS ident FROM oc LEFT JOIN bf ON x = word) GROUP BY 1, 2),
-vl AS (SELECT ident, id // 4096 AS block, id, (id % 4096 + 1) * 8 + flags AS value FROM fl),
+np AS (SELECT ident, id // 16384 AS block, count(*)::INTEGER AS n_positions FROM (SELECT DISTINCT id, ord, coalesce(base_form, x) AS ident FROM oc LEFT JOIN bf ON x = word) GROUP BY 1, 2),
+vl AS (SELECT ident, id // 16384 AS block, id, (id % 16384 + 1) * 8 + flags AS value FROM fl),
 gp AS (SELECT *, value - coalesce(lag(value) OVER (PARTITION BY ident, block ORDER BY value), 0) AS gap FROM vl),
 hx AS (SELECT *, CASE WHEN gap < 128 THEN printf('%02X', gap + 128) WHEN gap < 16384 THEN printf('%02X%02X', gap // 128, gap % 128 + 128)
   ELSE printf('%02X%02X%02X', gap // 16384, gap // 128 % 128, gap % 128 + 128) END AS h FROM gp)

@@ -123,6 +123,61 @@ def test_fitted_threshold(spark):
         assert abs(r[0] - sum(model[code(a) * wide + code(b)] for a, b in zip(x, x[1:]))) < 1e-6
 
 
+def segments(steps, threshold):
+    """One scan over a run's transitions, as plain lists: (a, b) of the segments that score over the threshold."""
+    back, out, base = secrets.LEAST_RUN - 1, [], 0
+    while base < len(steps):
+        sums, peak, span, at = [0.0], 0.0, None, base
+        while at < len(steps):
+            sums.append(sums[-1] + steps[at])
+            at += 1
+            if len(sums) > back:
+                low = min(range(len(sums) - back), key=lambda k: (sums[k], k))
+                score = sums[-1] - sums[low]
+                if peak > threshold and peak - score > threshold:
+                    break
+                if score > peak:
+                    peak, span = score, (base + low, at + 1)
+        if peak > threshold:
+            out.append(span)
+        base = at
+    return out
+
+
+def test_segments_equal_a_plain_scan(spark, model):
+    import random
+
+    rng = random.Random(9)
+    key = lambda n: "".join(rng.choices(secrets.ALPHABET, k=n))
+    words = ["configuration", "manager", "user_name", "2024-01-15", "request-", "0000", "----"]
+    runs = ["".join(rng.choice([key(rng.randrange(1, 40)), rng.choice(words)]) for _ in range(rng.randrange(1, 7))) for _ in range(3000)]
+    runs = [r for r in runs if len(r) >= secrets.LEAST_RUN]
+    wide, code = len(secrets.ALPHABET) + 1, lambda c: secrets.ALPHABET.find(c) + 1
+    rows = spark.createDataFrame([(r,) for r in runs], "text string").select("text", secrets._segments(secrets._steps(secrets._codes(secrets.F.col("text")), model), 6.0).alias("s")).collect()
+    for r in rows:
+        steps = [model[code(x) * wide + code(y)] for x, y in zip(r.text, r.text[1:])]
+        assert [(s.a, s.b) for s in r.s] == segments(steps, 6.0), r.text
+
+
+def test_ordinary_strings_of_corpora_are_not_reported(spark):
+    ordinary = ["-" * 16, "_" * 24, "A" * 24, "x" * 20, "0" * 16, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "1705312345678901", "+48-123-456-7890", "550e8400-e29b-41d4-a716-446655440000",
+                "2024-01-15T10-30-00", "/2023/article-20394857-index", "4111111111111111", "=-=-=-=-=-=-=-=-=-=-", "XMLHttpRequestEventTarget", "IMG_20240115_103000_HDR", "2024-01-15_backup_full_v2"]
+    docs = spark.createDataFrame([(0, " ".join(ordinary)), (1, "the words of a text the words of a text"), (2, f"{RANDOM[:18]} and {RANDOM}")], "doc_id long, text string")
+    got = {r.doc_id: r for r in secrets.scan(docs, *secrets.fit(spark, docs)).collect()}
+    assert got[0].spans == "" and got[2].n_random == 2
+
+
+def test_many_spans_in_one_text(spark, model):
+    import time
+
+    text = " ".join(f"token=abcdef{i}" if i % 2 else RANDOM for i in range(4000))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.time()
+    got = secrets.scan(docs, model).first()
+    assert (got.n_assign, got.n_random) == (2000, 2000) and secrets.redact(docs, model).first().text == " ".join(["[secret]"] * 4000)
+    assert time.time() - began < 60
+
+
 def test_clashing_names(spark, model):
     names = ["_text", "_a1", "_r2", "_own", "_base", "_spans", "_sr"]
     docs = spark.createDataFrame([(1, "token=abcdef", *"abcdefg")], ["doc_id", "text", *names])

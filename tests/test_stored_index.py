@@ -25,12 +25,13 @@ def library(spark, n=90, seed=3):
 
 @pytest.fixture(scope="module")
 def built(spark, tmp_path_factory):
-    stored_index.WIDE, wide = 16, stored_index.WIDE  # many blocks
+    stored_index.WIDE, wide = 16, stored_index.WIDE  # many blocks, of lists from many pieces
+    stored_index.AT_ONCE, at_once, stored_index.INVERTED, inverted = 50, stored_index.AT_ONCE, 70, stored_index.INVERTED
     articles, forms = library(spark)
     clusters = spark.createDataFrame([("cat", "7"), ("dog", "7"), ("odd", "3")], "term string, cluster string")
     found = {c: stored_index.TextIndex.build(IndexStore(spark, str(tmp_path_factory.mktemp("index"))), articles, forms, clusters if c else None) for c in (False, True)}
     yield articles, forms, clusters, found
-    stored_index.WIDE = wide
+    stored_index.WIDE, stored_index.AT_ONCE, stored_index.INVERTED = wide, at_once, inverted
 
 
 def test_lists_are_coded_as_single_ones(spark):
@@ -74,16 +75,18 @@ def test_lists_that_cannot_meet_are_not_decoded(spark, built, monkeypatch):
     _, _, _, found = built
     index, read = found[False], []
     decode = stored_index.decoded
-    monkeypatch.setattr(stored_index, "decoded", lambda blocks, *more: read.append(blocks.agg(F.sum("bytes").alias("b")).first().b or 0) or decode(blocks, *more))
+    monkeypatch.setattr(stored_index, "decoded", lambda blocks, hits=False: read.append(blocks.agg(F.sum("bytes").alias("b")).first().b or 0) or decode(blocks, hits))
     sizes = {r.ident: r.b for r in index.store.read("indexed_terms").groupBy("ident").agg(F.sum("bytes").alias("b")).collect()}
     assert [r.id for r in index.boolean(["rare", "cat"]).collect()] == [150]
     assert read == [read[0]] and sizes["rare"] < read[0] < sizes["rare"] + sizes["cat"] / 3  # one block of each
     read.clear()
     assert index.boolean(["rare", "nowhere"]).collect() == [] and read == [0]
-    read.clear()
+    positions = []
+    places = stored_index.decoded_positions
+    monkeypatch.setattr(stored_index, "decoded_positions", lambda blocks: positions.append(blocks.agg(F.sum("n_positions")).first()[0]) or places(blocks))
     index.phrase(["rare", "cat"]).collect()
-    whole = index.store.read("term_positions").filter("ident in ('rare', 'cat')").agg(F.sum("bytes")).first()[0]
-    assert read[-1] < whole / 3
+    whole = index.store.read("indexed_terms").filter("ident in ('rare', 'cat')").agg(F.sum("n_positions")).first()[0]
+    assert positions[-1] < whole / 3
 
 
 def test_only_the_best_articles_are_read_and_bounds_rule_out_others(spark, built, monkeypatch):
