@@ -3,10 +3,12 @@
 Document rules: too few words, too many words in repeated three-word windows (these two reject a
 document by themselves), too many symbols, too many repeated lines. A host's failure rate counts
 the documents that fail any rule. Rates of hosts with few documents say little, so each is shrunk:
-a beta prior is fitted to the rates of all hosts (method of moments), and the posterior mean is the
-host's rate. A host is distrusted if its rate is over ``distrust``, or lies more than ``certainty``
-standard deviations of its posterior over the prior's mean: it fails more often than hosts do. There
-a document that fails any rule goes; a document that fails none stays wherever it comes from.
+a beta prior is fitted to all hosts by weighted moments (mean: failures over documents; variance: that between
+hosts, what sampling alone explains taken out), and the posterior mean is the host's rate. The prior counts as
+one document at least and ``MOST_PRIOR`` at most, so that a host with many speaks for itself. A host is distrusted if its rate is over
+``distrust``, or over ``multiple`` times the prior's mean: however many documents hosts have, those stay trusted whose
+true rate is under it. There a document that fails any rule goes; a document that fails none stays wherever it
+comes from.
 
 Only counts are aggregated (partial sums before the shuffle, whatever the host's share of the
 rows). Distrusted hosts are broadcast if there are at most ``broadcast_hosts``; more are joined by
@@ -29,7 +31,8 @@ MAX_REPEAT_PERCENT = 50
 MAX_SYMBOL_PERCENT = 10  # of word characters
 MAX_DUP_LINE_PERCENT = 30
 DISTRUST = 0.5
-CERTAINTY = 1.0
+MULTIPLE = 1.25
+MOST_PRIOR = 50.0
 
 
 def rule_failures() -> dict:
@@ -51,19 +54,20 @@ def judged(docs: DataFrame, host: str = "source") -> DataFrame:
     return with_counts(docs).withColumn("_judged", flags)
 
 
-def host_verdicts(rows: DataFrame, distrust: float = DISTRUST, certainty: float = CERTAINTY) -> DataFrame:
+def host_verdicts(rows: DataFrame, distrust: float = DISTRUST, multiple: float = MULTIPLE) -> DataFrame:
     """One row for each host: n_docs, n_failed, rate (shrunk) and distrusted."""
     hosts = rows.groupBy(F.col("_judged.host").alias("host")).agg(F.count("*").alias("n_docs"), F.sum(F.col("_judged.any_failed").cast("long")).alias("n_failed"))
     hosts = stage(hosts, "hosts")
-    raw = F.col("n_failed") / F.col("n_docs")
-    prior = hosts.agg(F.avg(raw).alias("m"), F.var_pop(raw).alias("v"))
-    # alpha + beta of the beta distribution with this mean and variance, 1 at least, 1000 at most
-    weight = F.when(F.col("v") > 0, F.least(F.lit(1000.0), F.greatest(F.lit(1.0), F.col("m") * (1 - F.col("m")) / F.col("v") - 1))).otherwise(F.lit(1000.0))
-    prior = prior.select("m", weight.alias("w"))  # one row
-    rate = (F.col("n_failed") + F.col("m") * F.col("w")) / (F.col("n_docs") + F.col("w"))
-    rated = hosts.join(F.broadcast(prior)).withColumn("rate", rate)
-    spread = F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.col("n_docs") + F.col("w") + 1))
-    worse = (F.col("rate") > distrust) | (F.col("rate") - F.col("m") > certainty * spread)
+    n, f, m = F.col("n_docs"), F.col("n_failed"), F.col("m")
+    # one row each: the sums for the mean, and those for the variance around it
+    prior = hosts.agg(F.sum(f).alias("f"), F.sum(n).alias("n"), F.sum(n * n).alias("nn"), F.count("*").alias("k"), F.sum(f * f / n).alias("ff"))
+    prior = prior.select("k", "n", "nn", (F.col("f") / F.col("n")).alias("m"), (F.col("ff") - F.col("f") * F.col("f") / F.col("n")).alias("ss"))
+    total = F.col("n")
+    between = (F.col("ss") - (F.col("k") - 1) * m * (1 - m)) / F.when(F.col("k") > 1, total - F.col("nn") / total)
+    weight = F.least(F.lit(MOST_PRIOR), F.greatest(F.lit(1.0), m * (1 - m) / F.when(F.col("v") > 0, F.col("v")) - 1))  # alpha + beta
+    prior = prior.withColumn("v", between).select("m", F.when(F.col("v") > 0, weight).otherwise(F.lit(MOST_PRIOR)).alias("w"))
+    rated = hosts.join(F.broadcast(prior)).withColumn("rate", (f + m * F.col("w")) / (n + F.col("w")))
+    worse = (F.col("rate") > distrust) | (F.col("rate") > multiple * m)
     return rated.select("host", "n_docs", "n_failed", "rate", worse.alias("distrusted"))
 
 

@@ -14,10 +14,11 @@ c AS (SELECT p.rid, doc_id, host, len(ws) AS n_words, length(regexp_replace(t, '
 r AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
         n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 100 * n_symbols > 10 * word_chars OR 100 * n_dup_lines > 30 * n_lines AS any_failed FROM c),
 h AS (SELECT host, count(*) AS n, count(*) FILTER (any_failed) AS f FROM r GROUP BY host),
-m AS (SELECT avg(f / n) AS m, var_pop(f / n) AS v FROM h),
-b AS (SELECT m, CASE WHEN v > 0 THEN least(1000.0, greatest(1.0, m * (1 - m) / v - 1)) ELSE 1000.0 END AS w FROM m),
-o AS (SELECT host, n, m, w, (f + m * w) / (n + w) AS rate FROM h, b),
-q AS (SELECT host, rate > 0.5 OR rate - m > 1.0 * sqrt(rate * (1 - rate) / (n + w + 1)) AS distrusted FROM o)
+u AS (SELECT sum(f)::DOUBLE AS f, sum(n)::DOUBLE AS n, sum(n * n)::DOUBLE AS nn, count(*) AS k, sum(f * f / n) AS ff FROM h),
+m AS (SELECT f / n AS m, CASE WHEN k > 1 THEN (ff - f * f / n - (k - 1) * (f / n) * (1 - f / n)) / (n - nn / n) END AS v FROM u),
+b AS (SELECT m, CASE WHEN v > 0 THEN least(50.0, greatest(1.0, m * (1 - m) / v - 1)) ELSE 50.0 END AS w FROM m),
+o AS (SELECT host, m, (f + m * w) / (n + w) AS rate FROM h, b),
+q AS (SELECT host, rate > 0.5 OR rate > 1.25 * m AS distrusted FROM o)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
   n_repeat_words::BIGINT AS n_repeat_words, base_failed, NOT (base_failed OR (distrusted AND any_failed)) AS kept
 FROM r JOIN q USING (host)

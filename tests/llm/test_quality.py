@@ -118,3 +118,26 @@ def test_scores(spark):
     empty = qc.train(docs, labels.limit(0))
     assert {r.predicted for r in qc.score_documents(docs, empty).collect()} == {1}
     assert qc.score_documents(docs.limit(0), model).collect() == []
+
+
+def hosts(spark, docs, rates, seed=1):
+    """Rows as of ``judged``: each host has ``docs`` documents and one of the true rates."""
+    rng = np.random.default_rng(seed)
+    rows = [(f"h{h}", bool(x)) for h, rate in enumerate(rates) for x in rng.random(docs) < rate]
+    frame = spark.createDataFrame(rows, "host string, failed boolean")
+    return frame.selectExpr("struct(host, failed AS base_failed, failed AS any_failed) AS _judged")
+
+
+def test_hosts_with_one_document_stay_trusted_after_one_failure(spark):
+    got = qr.host_verdicts(hosts(spark, 1, [0.2] * 2000)).collect()
+    assert {r.n_failed for r in got} == {0, 1} and not any(r.distrusted for r in got)
+
+
+def test_more_documents_do_not_lower_the_bar(spark):
+    """Of 36 hosts at 16 % and 4 at 40 % the four are distrusted, and no others once chance is out."""
+    for docs, others in ((100, 2), (1000, 0), (5000, 0)):
+        got = {r.host for r in qr.host_verdicts(hosts(spark, docs, [0.4] * 4 + [0.16] * 36)).collect() if r.distrusted}
+        assert got >= {"h0", "h1", "h2", "h3"} and len(got) <= 4 + others
+    wide = np.linspace(0.1, 0.3, 40)  # at most those over 1.25 times the mean
+    for docs in (100, 5000):
+        assert sum(r.distrusted for r in qr.host_verdicts(hosts(spark, docs, wide)).collect()) <= (wide > 0.25).sum() + 1
