@@ -29,7 +29,7 @@ SEARCHED, RATED, KNOWN, TITLE = 1, 2, 4, 8
 IN_TITLE, IN_CONTENT = 2, 4
 ORD = 31  # bits of a token's place in its article
 AT_ONCE = 1 << 20
-INVERTED = 1 << 22  # tokens inverted at once
+INVERTED = 1 << 21  # tokens inverted at once
 #: The white space at the edge of tokens.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 

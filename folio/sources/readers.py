@@ -119,7 +119,7 @@ def write_term_clusters(clusters: DataFrame, path: str) -> None:
 class IndexStore:
     """The stored index: one Parquet table for each kind of row, under one folder."""
 
-    TABLES = ("indexed_terms", "term_positions", "wiki_articles", "word_base_forms", "document_positions", "embeddings", "article_weights", "weight_blocks")
+    TABLES = ("indexed_terms", "wiki_articles", "word_base_forms", "document_positions", "embeddings", "article_weights", "weight_blocks")
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
