@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from folio.functions import text as T
 from folio.operators.components import connected_components
 from folio.operators.numbering import numbered
+from folio.sources.readers import hash_order
 from folio.sources.staging import stage
 
 LONGER_THAN, SHARE, OFTEN, DIFFERENCE, RARE, SPLIT_SHARE = 3, 0.5, 20, 0.3, 0.01, 0.4
@@ -59,8 +60,8 @@ def split_words(ones: DataFrame, twos: DataFrame) -> DataFrame:
 
 
 def sample_of_results(rows: DataFrame, n: int = 10, seed: int = 0) -> DataFrame:
-    """``n`` rows drawn without replacement; of a stored table the same ones for a seed."""
-    return rows.orderBy(F.rand(seed)).limit(n)
+    """``n`` rows drawn without replacement, by a hash of the row: the same ones for a seed."""
+    return rows.orderBy(hash_order(*rows.columns, seed=seed + 1), *rows.columns).limit(n)
 
 
 def membership(listed: DataFrame, rows: DataFrame) -> DataFrame:

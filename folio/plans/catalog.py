@@ -139,6 +139,14 @@ def stored_phrase(spark: SparkSession, sf: str) -> DataFrame:
     return _stored(spark, sf).phrase(retrieval.query_words(PHRASE))
 
 
+@query(O.STORED_ARTICLES)
+def stored_articles(spark: SparkSession, sf: str) -> DataFrame:
+    """Title and content of the best matches, and the stored forms of a word by its key."""
+    index = _stored(spark, sf)
+    form = index.store.one("word_base_forms", "word", WORDS.split()[0])
+    return index.show(index.search(MIXED)).withColumn("form", F.lit(form["base_form"]))
+
+
 @query(O.CODED_BLOCKS)
 def stored_blocks(spark: SparkSession, sf: str) -> DataFrame:
     """The blocks of the document index: skip entries and lists."""
@@ -198,12 +206,12 @@ def snippet_clustered(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(O.DOC_FREQUENCY)
 def index_doc_frequency(spark: SparkSession, sf: str) -> DataFrame:
-    return retrieval.traditional_index(*_both(spark, sf)).groupBy("ident").agg(F.count("*").alias("df"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+    return retrieval.build_index("traditional", *_both(spark, sf)).groupBy("ident").agg(F.count("*").alias("df"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
 
 
 @query(O.POSITIONS)
 def index_positions(spark: SparkSession, sf: str) -> DataFrame:
-    index = retrieval.positional_index(*_both(spark, sf))
+    index = retrieval.build_index("positional", *_both(spark, sf))
     return index.groupBy("ident").agg(F.count("*").alias("n"), F.min("position").alias("first_position"), F.sum("position").alias("positions_sum"))
 
 
@@ -234,6 +242,15 @@ def postings_hex(spark: SparkSession, sf: str) -> DataFrame:
     return coded.select("ident", F.hex("coded").alias("coded_hex"), (P.decode(F.col("coded")) == F.col("ids")).alias("round_trip"))
 
 
+@query(O.POSTING_ENDS)
+def postings_ends(spark: SparkSession, sf: str) -> DataFrame:
+    """Of each coded list its last element, whether it is in order, and its members by iteration."""
+    lists = retrieval.traditional_index(*_both(spark, sf)).groupBy("ident").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    coded = lists.select("ident", P.encode(F.col("ids")).alias("coded"))
+    ends = coded.select("ident", P.last_element(F.col("coded")).alias("last"), P.decode(F.col("coded")).alias("ids")).select("ident", "last", P.is_ordered(F.col("ids")).alias("ordered"), F.explode("ids").alias("id"))
+    return ends.groupBy("ident", "last", "ordered").agg(F.count("*").alias("n"), F.sum("id").alias("sum"))
+
+
 @query(O.SIZES)
 def postings_sizes(spark: SparkSession, sf: str) -> DataFrame:
     articles, forms = _both(spark, sf)
@@ -414,6 +431,19 @@ def cosine_near(spark: SparkSession, sf: str) -> DataFrame:
     return near.filter("distance <= 0.75").select("term", F.round("distance", 6).alias("distance"))
 
 
+@query(O.UNIT_VECTORS)
+def corpus_unit_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """Unit vectors of the terms that stand in titles of the articles."""
+    words = V.articles(spark, sf).select(F.explode(T.space_tokens(F.lower("title"))).alias("term"))
+    found = vectors.corpus_unit_vectors(words, _word_vectors(spark, sf))
+    return found.select("term", F.round(F.get("vec", F.lit(0)), 6).alias("first"), F.round(T.norm(F.col("vec")), 6).alias("length"))
+
+
+@query(O.MEMBERS)
+def cluster_members(spark: SparkSession, sf: str) -> DataFrame:
+    return vectors.cluster_members(_clusters(spark, sf), 3)
+
+
 @query(O.ASSIGN)
 def kmeans_assign_step(spark: SparkSession, sf: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", F.col("embedding").cast("array<double>").alias("vec"))
@@ -485,6 +515,14 @@ def merged_expected(spark: SparkSession, sf: str) -> DataFrame:
     return ngrams.membership(listed, merged_words(spark, sf))
 
 
+@query(O.SAMPLED)
+def sampled_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """A hundredth of the distinct pairs of neighbouring words, and ten of those."""
+    some = readers.sample_by_hash(_pairs(spark, sf).distinct(), 0.01, "w1", "w2")
+    ten = ngrams.sample_of_results(some, 10).withColumn("of_ten", F.lit(True))
+    return some.join(ten, ["w1", "w2"], "left").select("w1", "w2", F.coalesce("of_ten", F.lit(False)).alias("of_ten"))
+
+
 @query(O.SPLIT)
 def split_words(spark: SparkSession, sf: str) -> DataFrame:
     long = _pairs(spark, sf).filter((F.length("w1") > ngrams.LONGER_THAN) & (F.length("w2") > ngrams.LONGER_THAN))  # a cleaned word is no longer

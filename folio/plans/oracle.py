@@ -240,9 +240,10 @@ SELECT DISTINCT arg_min(form1, (pos1, pos2)) AS form1, arg_min(form2, (pos1, pos
 CLASSES = r"""WITH c AS (SELECT DISTINCT unnest(string_split(text, '')) AS ch FROM documents)
 SELECT ch, CASE WHEN regexp_matches(ch, '\p{So}') THEN 'symbol' WHEN regexp_matches(ch, '\p{Sm}') THEN 'math' WHEN regexp_matches(ch, '\p{P}') THEN 'punctuation'
   WHEN regexp_matches(ch, '\p{Sc}') THEN 'currency' WHEN regexp_matches(ch, '\p{Sk}') THEN 'modifier' WHEN regexp_matches(ch, '\p{Nd}|\p{No}') THEN 'number'
-  WHEN regexp_matches(ch, '\p{Cf}') THEN 'format' WHEN regexp_matches(ch, '\p{Zs}|\p{Zl}') THEN 'separator' WHEN regexp_matches(ch, '\p{Latin}') THEN 'LATIN'
-  WHEN regexp_matches(ch, '\p{Greek}') THEN 'GREEK' ELSE 'CYRILLIC' END AS class
-FROM c WHERE ch <> '' AND NOT regexp_matches(ch, '\p{Cc}')"""
+  WHEN regexp_matches(ch, '\p{Cf}') THEN 'format' WHEN regexp_matches(ch, '\p{Zs}|\p{Zl}') THEN 'separator' WHEN u BETWEEN 65 AND 591 THEN 'LATIN' WHEN u BETWEEN 880 AND 1023 THEN 'GREEK' WHEN u BETWEEN 1024 AND 1327 THEN 'CYRILLIC' WHEN u BETWEEN 768 AND 879 THEN 'COMBINING'
+  WHEN u BETWEEN 1424 AND 1535 THEN 'HEBREW' WHEN u BETWEEN 1536 AND 1791 THEN 'ARABIC' WHEN u BETWEEN 12352 AND 12447 THEN 'HIRAGANA' WHEN u BETWEEN 12448 AND 12543 THEN 'KATAKANA'
+  WHEN u BETWEEN 19968 AND 40959 THEN 'CJK' WHEN u BETWEEN 44032 AND 55203 THEN 'HANGUL' ELSE 'no range' END AS class
+FROM (SELECT ch, unicode(ch) AS u FROM c) WHERE ch <> '' AND NOT regexp_matches(ch, '\p{Cc}')"""
 DIFFERENCE = r"""WITH t AS (SELECT item_id, list_filter(list_transform(regexp_split_to_array(text, '\s+'), lambda x: regexp_replace(x, '^[[:punct:]]+|[[:punct:]]+$', '', 'g')), lambda x: x <> '') AS ws FROM benchmark)
 SELECT a.item_id AS quote_id, array_to_string(list_filter(a.ws, lambda x: NOT list_contains(b.ws, x)), ' ') AS only_here,
   array_to_string(list_filter(b.ws, lambda x: NOT list_contains(a.ws, x)), ' ') AS only_before
@@ -320,3 +321,12 @@ en AS (SELECT *, following IS NOT NULL AND NOT regexp_matches(following, '^["''(
   OR stop AND NOT (coalesce(word IN (SELECT word FROM ab WHERE score >= 0.3), false) OR length(core) = 2 AND word IS NOT NULL)) AS ends FROM nx),
 nm AS (SELECT *, coalesce(sum(ends::INTEGER) OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS n FROM en)
 SELECT doc_id, n, string_agg(token, ' ' ORDER BY ord) AS sentence FROM nm GROUP BY doc_id, n"""
+POSTING_ENDS = f"{BASE} SELECT form AS ident, max(id) AS last, true AS ordered, count(*) AS n, sum(id)::BIGINT AS sum FROM (SELECT DISTINCT form, id FROM fm) GROUP BY form"
+STORED_ARTICLES = f"""WITH best AS ({STORED_SEARCH}), {ART}, {BF}
+SELECT id, a.title, content, (SELECT min(base_form) FROM bf WHERE word = 'with') AS form FROM a SEMI JOIN best USING (id)"""
+UNIT_VECTORS = f"""WITH {ART}, {BF}, {WV}, u AS (SELECT term, vec, sqrt(list_inner_product(vec, vec)) AS size FROM wv WHERE term IN (SELECT unnest(string_split(lower(title), ' ')) FROM a))
+SELECT term, round(vec[1] / size, 6) AS first, 1.0::DOUBLE AS length FROM u"""
+MEMBERS = f"WITH {ART}, {BF}, {WV} SELECT term FROM wv WHERE cluster = '3'"
+_HASHED = "('0x' || substr(md5('{0}|' || w1 || '|' || w2), 1, 13))::BIGINT / 4503599627370496.0"
+SAMPLED = f"""WITH ws AS (SELECT string_split(text, ' ') AS ws FROM documents), pr AS (SELECT DISTINCT p[1] AS w1, p[2] AS w2 FROM (SELECT unnest(list_zip(ws[:-2], ws[2:])) AS p FROM ws WHERE len(ws) > 1)),
+s AS (SELECT w1, w2 FROM pr WHERE {_HASHED.format(0)} < 0.01) SELECT w1, w2, row_number() OVER (ORDER BY {_HASHED.format(1)}, w1, w2) <= 10 AS of_ten FROM s"""

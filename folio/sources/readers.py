@@ -75,6 +75,17 @@ def sample_rows(df: DataFrame, share: float, seed: int = 0) -> DataFrame:
     return df.sample(False, share, seed)
 
 
+def sample_by_hash(df: DataFrame, share: float, *key: str, seed: int = 0) -> DataFrame:
+    """The rows whose hash of ``key`` falls into ``share``: the same ones on each read; equal keys stay or go together."""
+    return df.filter(hash_order(*key, seed=seed) < F.lit(share))
+
+
+def hash_order(*key: str, seed: int = 0) -> Column:
+    """A number from 0 to below 1 for each key."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in key])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(2.0**52)
+
+
 def read_word_vectors(spark: SparkSession, path: str) -> DataFrame:
     """(term, vec) of a word2vec text file without its header; of equal lower-case terms the last counts."""
     rows = _lines(spark, path).filter("n > 0 and value <> ''")
