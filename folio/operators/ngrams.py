@@ -12,7 +12,7 @@ from folio.sources.readers import hash_order
 from folio.sources.staging import stage
 
 LONGER_THAN, SHARE, OFTEN, DIFFERENCE, RARE, SPLIT_SHARE = 3, 0.5, 20, 0.3, 0.01, 0.4
-NAME_PART, SUBSETS, BLOCK = 1_000, 8, 1_000
+NAME_PART, SUBSETS, BLOCK, SMALL = 1_000, 8, 1_000, 500_000
 
 
 def word_pairs(texts: DataFrame) -> DataFrame:
@@ -21,6 +21,33 @@ def word_pairs(texts: DataFrame) -> DataFrame:
     return words.select(F.explode(F.transform(T.positions(1, F.size("w") - 1), lambda i: F.struct(F.get("w", i - 1).alias("w1"), F.get("w", i).alias("w2")))).alias("p")).select("p.*")
 
 
+def cleaned_pairs(texts: DataFrame, longer_than: int = 0) -> DataFrame:
+    """(w1, w2): neighbouring tokens of ``text``, cleaned, of which both have letters and more than ``longer_than`` of them; each token is cleaned once."""
+    words = texts.select(F.transform(T.space_tokens(F.col("text")), T.clean_word).alias("w"))
+    pair = lambda i: F.struct(F.get("w", i - 1).alias("w1"), F.get("w", i).alias("w2"))
+    long = lambda i: (F.length(F.get("w", i - 1)) > longer_than) & (F.length(F.get("w", i)) > longer_than)  # noqa: E731  null without letters
+    return words.select(F.explode(F.transform(F.filter(T.positions(1, F.size("w") - 1), long), pair)).alias("p")).select("p.*")
+
+
+def dotted_tokens(texts: DataFrame) -> DataFrame:
+    """(w): the cleaned pieces of tokens with full stops that have letters, as has a neighbour of theirs."""
+    tokens = texts.filter(F.contains("text", F.lit("."))).select(T.space_tokens(F.col("text")).alias("t"))
+    some = lambda i: F.coalesce(F.get("t", i).rlike("[a-zA-Z]"), F.lit(False))
+    wanted = lambda i: F.contains(F.get("t", i), F.lit(".")) & some(i) & (some(i - 1) | some(i + 1))
+    found = tokens.select(F.explode(F.transform(F.filter(T.positions(0, F.size("t") - 1), wanted), lambda i: F.get("t", i))).alias("token")).distinct()
+    return found.select(F.explode(T.dotted_words(F.col("token"))).alias("w")).distinct()
+
+
+def only_pairs(pairs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The pairs that are in ``wanted`` (w1, w2), before anything is shuffled if these are at most ``SMALL``."""
+    wanted = wanted.select("w1", "w2").distinct()
+    return pairs.join(F.broadcast(wanted) if wanted.limit(SMALL + 1).count() <= SMALL else wanted, ["w1", "w2"], "left_semi")
+
+
+def pair_counts(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy("w1", "w2").agg(F.count("*").alias("n"))
+
+
 def one_grams(words: DataFrame) -> DataFrame:
     return words.select(T.clean_word(F.col("w")).alias("w")).filter("w is not null").groupBy("w").agg(F.count("*").alias("n"))
 
@@ -36,13 +63,18 @@ def correction_words(pairs: DataFrame) -> DataFrame:
     return both.select(F.explode(F.concat(T.dotted_words(F.col("w1")), T.dotted_words(F.col("w2")))).alias("w")).distinct()
 
 
-def merged_words(ones: DataFrame, twos: DataFrame, corrections: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """(w1, w2) of words that stand as one although they are two."""
+def merge_candidates(ones: DataFrame, corrections: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """(w, w1, w2): the ways to cut words into two long enough ones of the dictionary."""
     words = ones.select("w").union(corrections.select("w")).distinct().filter(F.length("w") > 2 * LONGER_THAN + 1)
     cut = words.select("w", F.explode(T.splits(F.col("w"))).alias("s")).select("w", F.col("s.left").alias("w1"), F.col("s.right").alias("w2"))
     cut = cut.filter((F.length("w1") > LONGER_THAN) & (F.length("w2") > LONGER_THAN))
     known = dictionary.select("word").distinct()
-    cut = cut.join(known.withColumnRenamed("word", "w1"), "w1", "left_semi").join(known.withColumnRenamed("word", "w2"), "w2", "left_semi")
+    return cut.join(known.withColumnRenamed("word", "w1"), "w1", "left_semi").join(known.withColumnRenamed("word", "w2"), "w2", "left_semi").select("w", "w1", "w2")
+
+
+def merged_words(ones: DataFrame, twos: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(w1, w2) of words that stand as one although they are two; ``twos`` needs the counts of the candidates only."""
+    cut = candidates
     count = lambda column, name: ones.select(F.col("w").alias(column), F.col("n").alias(name))
     rows = cut.join(count("w", "c"), "w", "left").join(count("w1", "c1"), "w1", "left").join(count("w2", "c2"), "w2", "left")
     rows = rows.join(twos.withColumnRenamed("n", "c12"), ["w1", "w2"], "left").na.fill(0, ["c", "c1", "c2", "c12"])
@@ -52,6 +84,13 @@ def merged_words(ones: DataFrame, twos: DataFrame, corrections: DataFrame, dicti
     return rows.filter(together | alike).select("w1", "w2")
 
 
+def mergeable(pairs: DataFrame, ones: DataFrame) -> DataFrame:
+    """The pairs that are a word when joined, before anything is shuffled if there are at most ``SMALL`` words."""
+    whole = ones.filter(F.length("w") > 2 * LONGER_THAN + 1).select(F.col("w").alias("merged"))
+    whole = F.broadcast(whole) if whole.limit(SMALL + 1).count() <= SMALL else whole
+    return pairs.withColumn("merged", F.concat("w1", "w2")).join(whole, "merged", "left_semi").select("w1", "w2")
+
+
 def split_words(ones: DataFrame, twos: DataFrame) -> DataFrame:
     """(w1, w2, merged) of pairs that mostly stand as one word; pairs of words too short can go before ``twos`` is counted."""
     pairs = twos.filter((F.length("w1") > LONGER_THAN) & (F.length("w2") > LONGER_THAN)).withColumn("merged", F.concat("w1", "w2"))

@@ -503,10 +503,16 @@ def _ones(spark: SparkSession, sf: str) -> DataFrame:
     return stage(ngrams.one_grams(docs.select(F.explode(T.space_tokens(F.col("text"))).alias("w"))), "one-grams")
 
 
+def _texts(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/documents.parquet").select("text")
+
+
 @query(O.MERGED)
 def merged_words(spark: SparkSession, sf: str) -> DataFrame:
-    pairs = _pairs(spark, sf)
-    return ngrams.merged_words(_ones(spark, sf), ngrams.two_grams(pairs), ngrams.correction_words(pairs), _forms(spark, sf))
+    texts, ones = _texts(spark, sf), _ones(spark, sf)
+    candidates = stage(ngrams.merge_candidates(ones, ngrams.dotted_tokens(texts), _forms(spark, sf)), "candidates")
+    twos = ngrams.pair_counts(ngrams.only_pairs(ngrams.cleaned_pairs(texts, ngrams.LONGER_THAN), candidates))
+    return ngrams.merged_words(ones, twos, candidates)
 
 
 @query(O.EXPECTED)
@@ -525,8 +531,9 @@ def sampled_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(O.SPLIT)
 def split_words(spark: SparkSession, sf: str) -> DataFrame:
-    long = _pairs(spark, sf).filter((F.length("w1") > ngrams.LONGER_THAN) & (F.length("w2") > ngrams.LONGER_THAN))  # a cleaned word is no longer
-    return ngrams.split_words(_ones(spark, sf), ngrams.two_grams(long))
+    ones = _ones(spark, sf)
+    pairs = ngrams.mergeable(ngrams.cleaned_pairs(_texts(spark, sf), ngrams.LONGER_THAN), ones)
+    return ngrams.split_words(ones, ngrams.pair_counts(pairs))
 
 
 @query(O.SUPERBASE)

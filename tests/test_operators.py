@@ -238,7 +238,12 @@ def test_ngrams_and_lemmas(spark):
     ones = frame(spark, [("glasshouse", 2), ("glass", 50), ("house", 40)], "w string, n long")
     known = frame(spark, [("glass",), ("house",)], "word string")
     twos = ngrams.two_grams(pairs)
-    assert [tuple(r) for r in ngrams.merged_words(ones, twos, ngrams.correction_words(pairs), known).collect()] == [("glass", "house")]
+    cut = ngrams.merge_candidates(ones, ngrams.correction_words(pairs), known)
+    assert [tuple(r) for r in ngrams.merged_words(ones, twos, cut).collect()] == [("glass", "house")]
+    texts = frame(spark, [("glass, House! x 9 glass glass house",), ("a.bcd x y.z 7 .q 8",), (None,), ("",)], "text string")
+    got = sorted(map(tuple, ngrams.cleaned_pairs(texts, 3).collect()))
+    assert got == [("glass", "House"), ("glass", "glass"), ("glass", "house")] and sorted(map(tuple, ngrams.pair_counts(ngrams.only_pairs(ngrams.cleaned_pairs(texts), twos)).collect())) == [("a", "x", 1), ("glass", "house", 1)]
+    assert {r.w for r in ngrams.dotted_tokens(texts).collect()} == {r.w for r in ngrams.correction_words(ngrams.word_pairs(texts)).collect()} == {"a", "bcd", "y", "z"}
     assert ngrams.split_words(frame(spark, [("glasshouse", 9)], "w string, n long"), twos).first().merged == "glasshouse"
     forms = frame(spark, [("x", "a", 0), ("x", "b", 1), ("y", "b", 2), ("y", "c", 3), ("z", "d", 4)], "word string, base_form string, pos int")
     superbase = ngrams.superbase_forms(forms)
