@@ -90,7 +90,7 @@ def _search(entries: DataFrame, searches: DataFrame, frontier: DataFrame, seen:
         for before in seen:
             made = made.join(before, ["folded", "variant"], "left_anti")
         made = made.select("folded", "variant", F.col("by.steps").alias("steps"), F.col("by.rank").alias("parent"), F.col("by.place").alias("place"))
-        made = stage(numbered(made, "folded", "parent", "place", name="rank").drop("place"), "made")
+        made = numbered(made, "folded", "parent", "place", name="rank").drop("place")  # staged there
         counts = made.groupBy("folded").agg(F.count("*").alias("new"), F.min("rank").alias("lowest"))
         full = counts.join(now.select("folded", "met"), "folded").filter(F.col("met") + F.col("new") >= most).select("folded", (F.col("lowest") + most - F.col("met") - 1).alias("rank"))
         filled = made.join(full, ["folded", "rank"]).select("folded", "parent")  # whose string fills the limit: the next one popped ends the search
