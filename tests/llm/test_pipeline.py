@@ -40,3 +40,25 @@ def test_stages_on_a_small_corpus(spark, tmp_path, monkeypatch):
     assert {r.doc_id for r in got} == {r.doc_id for r in kept.collect()}
     assert [s for s, _ in cp.STAGES] == ["quality rules", "quality classifier", "MinHash near-dedup", "secret scans", "best-fit packing"]
     assert quality_classifier.MAX_ROWS == 20_000
+
+
+def test_nulls_repeats_clashing_columns_and_empty_tables(spark, tmp_path):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 8)))
+    texts = [" ".join(word() for _ in range(90)) for _ in range(40)]
+    rows = [(i, t, None if i % 5 == 0 else "en", None if i % 4 == 0 else f"s{i % 3}", None if i % 3 == 0 else len(t), "k", "x") for i, t in enumerate(texts)]
+    rows += [rows[7]] * 3 + [(None, texts[8], "en", "s1", 4, "k", "x"), (None, None, None, None, None, None, None), (50, "", "en", "s2", 0, "k", "x")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, kept string, _set string"
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)] + [(None, 1, 0)], "doc_id long, quality int, toxic int")
+    for name, some in (("full", rows), ("empty", [])):
+        spark.createDataFrame(some, schema).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        labels.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    docs = cp.documents(spark, f"{tmp_path}/full")
+    assert cp.keep_by_rules(spark, docs, "").count() == len(rows) - 2  # the null and the empty text go
+    assert cp.keep_by_rules(spark, docs, "").columns == docs.columns
+    once = cp.keep_one_of_each(spark, docs, "")
+    assert once.columns == docs.columns and once.filter("doc_id = 7").count() == 4 and once.filter("doc_id is null").count() == 2  # repeated rows stay together, null ids are nobody's copies
+    assert cp.redact_secrets(spark, docs, "").columns == docs.columns
+    packed = cp.run(spark, f"{tmp_path}/full")
+    assert {"doc_id", "piece", "start", "length", "sequence_id", "offset"} <= set(packed.columns) and packed.count() > 0
+    assert cp.run(spark, f"{tmp_path}/empty").collect() == []
