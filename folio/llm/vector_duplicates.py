@@ -23,7 +23,6 @@ count as links and share the verdict. Empty tables give no rows. Other columns a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
