@@ -9,7 +9,8 @@
    vector they come from and all others within the threshold (by brute force in the shard). The beam doubles until
    a share of ``RECALL`` is found.
 4. Every shard is searched for the nodes of all shards, each pair of shards in one direction. A query whose beam holds
-   nothing but links goes on with a wider one; a beam over an eighth of the shard is the whole shard, in blocks.
+   nothing but links goes on with a wider one; a beam over an eighth of the shard is the whole shard, in blocks of ``BATCH`` queries
+   whose links are added up before the next block: a group that fills the shard never stands in memory as pairs.
 5. Links are verified by cosine in double precision. A task returns sums of links for each node and a star for each of its own
    components, so a large group makes no rows by pairs. ``connected_components`` unites the stars.
 
@@ -186,24 +187,27 @@ def build_graph(x: np.ndarray) -> Graph:
     return Graph(x, links)
 
 
-def find_links(graph: Graph, q: np.ndarray, beam: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """(row, node) of what is found with at least ``least``."""
-    found_rows, found_nodes = [], []
+def beam_links(graph: Graph, q: np.ndarray, beam: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, node) of what is found with at least ``least``, and the rows whose beam would be over an eighth of the shard."""
+    rows, nodes, wide = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     for begin in range(0, len(q), BATCH):
         todo, width = np.arange(begin, min(begin + BATCH, len(q))), beam
-        while len(todo):
-            if 8 * width > len(graph.x) and width > beam:  # the beam is the shard
-                r, ids = np.nonzero(q[todo] @ graph.x.T >= least)
-                full = np.zeros(len(todo), bool)
-            else:
-                held, sims = beam_search(graph.x, graph.links[0], _entries(graph.x, graph.links[1:], q[todo]), q[todo], width)
-                full = (sims >= least).all(1) & (held.shape[1] < len(graph.x))
-                r, c = np.nonzero((sims >= least) & ~full[:, None])
-                ids = held[r, c]
-            found_rows.append(todo[r])
-            found_nodes.append(ids)
+        while len(todo) and (8 * width <= len(graph.x) or width == beam):
+            held, sims = beam_search(graph.x, graph.links[0], _entries(graph.x, graph.links[1:], q[todo]), q[todo], width)
+            full = (sims >= least).all(1) & (held.shape[1] < len(graph.x))
+            r, c = np.nonzero((sims >= least) & ~full[:, None])
+            rows.append(todo[r])
+            nodes.append(held[r, c])
             todo, width = todo[full], 4 * width
-    return np.concatenate(found_rows or [np.empty(0, np.int64)]), np.concatenate(found_nodes or [np.empty(0, np.int64)])
+        wide.append(todo)
+    return np.concatenate(rows), np.concatenate(nodes), np.concatenate(wide)
+
+
+def find_links(graph: Graph, q: np.ndarray, beam: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, node) of what is found with at least ``least``; beams over an eighth of the shard are the shard."""
+    rows, nodes, wide = beam_links(graph, q, beam, least)
+    r, c = np.nonzero(q[wide] @ graph.x.T >= least)
+    return np.concatenate([rows, wide[r]]), np.concatenate([nodes, c])
 
 
 def audited_beam(graph: Graph, cosine: float) -> int:
@@ -231,13 +235,12 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / scale / np.linalg.norm(vectors / scale, axis=1, keepdims=True)
 
 
-def _stars(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    """The smallest node of each node's component, for links (a, b) of n nodes."""
-    low = np.arange(n)
+def _stars(low: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest node of each node's component after links (a, b) join the components ``low``."""
     while True:
         least, new = np.minimum(low[a], low[b]), low.copy()
-        np.minimum.at(new, a, least)
-        np.minimum.at(new, b, least)
+        for ends in (a, b, low[a], low[b]):
+            np.minimum.at(new, ends, least)
         new = new[new]
         if (new == low).all():
             return low
@@ -277,21 +280,37 @@ def _search(key: tuple, graphs: pa.Table, asked: pa.Table) -> pa.Table:
     if own:  # the same nodes, so that a pair can be met from both ends
         place = np.empty(len(q_low), np.int64)
         place[np.lexsort((q_low, q_name))] = np.arange(len(q_low))  # the graph has them in this order
-    a, b = find_links(graph, q.astype(np.float32), held["beam"], COSINE - 1e-4)
-    sure = np.concatenate([np.einsum("ij,ij->i", q[a[k : k + 65_536]], vectors[b[k : k + 65_536]]) for k in range(0, len(a), 65_536)] or [np.empty(0)]) >= COSINE
-    a, b = a[sure], b[sure]
-    if own:
-        pairs = np.unique(np.minimum(place[a], b) * len(low) + np.maximum(place[a], b))
-        a, b = pairs // len(low), pairs % len(low)
-        a, b = a[a != b], b[a != b]
-        all_low, all_name, all_copies = low, name, copies
-    else:
-        a = a + len(low)
-        all_low, all_name, all_copies = np.concatenate([low, q_low]), np.concatenate([name, q_name]), np.concatenate([copies, q_copies])
-    n = np.zeros(len(all_low), np.int64)
-    np.add.at(n, a, all_copies[b])
-    np.add.at(n, b, all_copies[a])
-    star, linked = _stars(a, b, len(n)), np.flatnonzero(n)
+    all_low, all_name, all_copies = (low, name, copies) if own else (np.concatenate([low, q_low]), np.concatenate([name, q_name]), np.concatenate([copies, q_copies]))
+    at = place if own else len(low) + np.arange(len(q))  # the node that each query is
+    n, star = np.zeros(len(all_low), np.int64), np.arange(len(all_low))
+    least, q_small = COSINE - 1e-4, q.astype(np.float32)
+    a, b, wide = beam_links(graph, q_small, held["beam"], least)
+    compared = np.zeros(len(all_low), bool)
+    compared[at[wide]] = True
+
+    def add(a: np.ndarray, b: np.ndarray) -> None:
+        nonlocal star
+        sure = np.concatenate([np.einsum("ij,ij->i", q[a[k : k + 65_536]], vectors[b[k : k + 65_536]]) for k in range(0, len(a), 65_536)] or [np.empty(0)]) >= COSINE
+        a, b = at[a[sure]], b[sure]
+        np.add.at(n, a, all_copies[b])
+        np.add.at(n, b, all_copies[a])
+        star = _stars(star, a, b)
+
+    if own:  # a pair can be met from both ends; those of a compared node are counted when it is compared
+        met = (at[a] != b) & ~compared[at[a]] & ~compared[b]
+        a, b = a[met], b[met]
+        _, first = np.unique(np.minimum(at[a], b) * len(low) + np.maximum(at[a], b), return_index=True)
+        a, b = a[first], b[first]
+    add(a, b)
+    for begin in range(0, len(wide), BATCH):
+        some = wide[begin : begin + BATCH]
+        r, b = np.nonzero(q_small[some] @ graph.x.T >= least)
+        a = some[r]
+        if own:
+            once = ~compared[b] & (at[a] != b) | (at[a] < b)
+            a, b = a[once], b[once]
+        add(a, b)
+    linked = np.flatnonzero(n)
     return pa.table([pa.array(v, pa.int64()) for v in (all_low[linked], all_name[linked], all_low[star[linked]], all_name[star[linked]], n[linked])], names)
 
 
