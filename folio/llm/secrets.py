@@ -72,14 +72,15 @@ def labelled_samples(spark: SparkSession, n: int = SAMPLES, words: list[str] | N
 
     Half of the words in the ordinary ones are ``words``, if there are any; ``first`` is the number of the first string.
     """
-    ids = spark.range(first, first + n).select("id")
     sources = [F.split(F.lit(" ".join(w)), " ") for w in (PARTS, words or PARTS)]
     sizes = [len(PARTS), len(words or PARTS)]
-    digest = F.sha2(F.concat(F.lit("sample-"), F.col("id").cast("string")), 256)
-    base64 = F.regexp_replace(F.base64(F.unhex(digest)), "=", "")
-    drawn = lambda k, s: F.get(sources[s], F.pmod(F.xxhash64("id", F.lit(k)), F.lit(sizes[s])).cast("int"))
+    drawn = lambda k, s: F.get(sources[s], F.pmod(F.xxhash64("id", k), F.lit(sizes[s])).cast("int"))
     word = lambda k: F.when(F.pmod(F.floor(F.col("id") / 8), F.lit(2)) == 0, drawn(k, 0)).otherwise(drawn(k, 1))
-    words = [word(k) for k in range(5)]
+    # drawn in a projection of their own: each use in the kinds below would otherwise hold the whole list of words in the plan
+    five = F.transform(F.sequence(F.lit(0), F.lit(4)), word)
+    ids = spark.range(first, first + n).select("id", computed_once(five).alias("_words"), computed_once(F.sha2(F.concat(F.lit("sample-"), F.col("id").cast("string")), 256)).alias("_digest"))
+    words, digest = [F.get("_words", F.lit(k)) for k in range(5)], F.col("_digest")
+    base64 = F.regexp_replace(F.base64(F.unhex(digest)), "=", "")
     mixed = F.regexp_replace(base64, "[+/]", "")  # hex strings of a length that counts are a base kind
     random = ids.select(F.when(F.col("id") % 4 == 0, mixed).when(F.col("id") % 4 == 1, F.upper(F.conv(F.substring(digest, 1, 15), 16, 36))).when(F.col("id") % 4 == 2, F.translate(base64, "+/", "-_")).otherwise(base64).alias("text"), F.lit(1).alias("label"))
     snake, camel = F.concat_ws("_", *words), F.concat(words[0], *[F.initcap(w) for w in words[1:]])

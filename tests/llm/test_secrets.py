@@ -184,3 +184,9 @@ def test_clashing_names(spark, model):
     got = secrets.redact(docs, model)
     assert got.columns == docs.columns and tuple(got.first()) == (1, "[secret]", *"abcdefg")
     assert secrets.with_spans(docs, model).first()["_sr"] == "g"
+
+
+def test_samples_hold_their_words_once_in_the_plan(spark):
+    words = [f"word{'x' * (k % 9)}{k:05d}" for k in range(2_000)]
+    plan = secrets.labelled_samples(spark, words=words)._jdf.queryExecution().optimizedPlan()
+    assert len(plan.toString()) < 100_000
