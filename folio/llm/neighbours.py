@@ -35,6 +35,8 @@ SAMPLE = 20_000
 BRANCHES = 8
 LEAF_ROWS = 200
 CELL_ROWS = 8_192
+#: Visits that a task holds at once, and queries of a task that lists visits.
+VISITS, ASKING = 1 << 16, 512
 CALIBRATION = 64
 TARGET = 0.97
 FOUND = "query_id long, vec_id long, score double"
@@ -194,6 +196,11 @@ def nearest(table: DataFrame, is_query: Column, k: int = 10, target: float = TAR
     most = needed[min(len(needed) - 1, int(np.ceil(target * len(needed))))] if needed else 1
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["query_id", "leaf", "part", "home", "q"]
+
+        def listed(batch: pa.RecordBatch, out: list[tuple], source: list[int]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*_table(out, names[:4], [pa.int64(), pa.int32(), pa.int32(), pa.bool_()]), batch.column(1).take(pa.array(source, pa.int64()))], names)
+
         for batch in batches:
             out, source = [], []
             for i, (query_id, q) in enumerate(zip(batch.column(0).to_pylist(), _matrix(batch.column(1)))):
@@ -206,10 +213,14 @@ def nearest(table: DataFrame, is_query: Column, k: int = 10, target: float = TAR
                     for part in range(parts.get(leaf, 0)):
                         out.append((query_id, leaf, part, home))
                         source.append(i)
-            names = ["query_id", "leaf", "part", "home", "q"]
-            yield pa.RecordBatch.from_arrays([*_table(out, names[:4], [pa.int64(), pa.int32(), pa.int32(), pa.bool_()]), batch.column(1).take(pa.array(source, pa.int64()))], names)
+                        if len(out) >= VISITS:
+                            yield listed(batch, out, source)
+                            out, source = [], []
+            yield listed(batch, out, source)
 
     queries = placed.filter(is_query).groupBy("vec_id").agg(F.min("vector").alias("vector"))
+    queries = stage(queries, "queries")
+    queries = queries.repartition(-(-queries.count() // ASKING) or 1, "vec_id")  # many visits come of one query
     asked = queries.mapInArrow(visit, "query_id long, leaf int, part int, home boolean, q array<double>")
     split = [(leaf, p) for leaf, p in parts.items() if p > 1]  # leaves over CELL_ROWS rows
     if split:

@@ -66,3 +66,12 @@ def test_many_split_leaves_and_mixed_dimensions(spark, monkeypatch):
     monkeypatch.setattr(nn, "LEAF_ROWS", 3)
     got = nn.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 700 == 0, k=2).collect()
     assert len(got) == 2 * 9 and all(r.score == 0 and r.vec_id // 3 == r.query_id // 3 for r in got)
+
+
+def test_visits_are_listed_in_bounded_batches(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = spark.createDataFrame([(i, rng.normal(size=8).tolist()) for i in range(600)], "vec_id long, embedding array<double>")
+    want = sorted(map(tuple, nn.nearest(rows, F.col("vec_id") % 10 == 0).collect()))
+    monkeypatch.setattr(nn, "VISITS", 7)
+    monkeypatch.setattr(nn, "ASKING", 16)
+    assert sorted(map(tuple, nn.nearest(rows, F.col("vec_id") % 10 == 0).collect())) == want
