@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+
+AT_ONCE = 1 << 20  # numbers
 
 _LIMITS = [1 << 7 * k for k in range(1, 9)]
 
@@ -58,3 +63,40 @@ def read_lists(coded: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     sums = gaps.cumsum()
     before = np.concatenate([[0], sums])[np.cumsum(counts) - counts]
     return sums - np.repeat(before, counts), counts
+
+
+def _parts(batch: pa.RecordBatch, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Runs of rows of about ``AT_ONCE`` by the sum of their sizes."""
+    part = np.cumsum(sizes) // AT_ONCE
+    edges = [0, *(np.flatnonzero(np.diff(part)) + 1), len(part)]
+    for a, b in zip(edges, edges[1:]):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
+def coded_lists(lists: DataFrame) -> DataFrame:
+    """(ident, ids) with ``coded``, the list as digits of its gaps."""
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some in _parts(batch, batch.column(1).value_lengths().to_numpy()):
+                ids = some.column(1)
+                coded = write_lists(ids.flatten().to_numpy(), ids.value_lengths().to_numpy())
+                yield pa.RecordBatch.from_arrays([*some.columns, coded], ["ident", "ids", "coded"])
+
+    return lists.select("ident", "ids").mapInArrow(code, "ident string, ids array<long>, coded binary")
+
+
+def decoded_lists(coded: DataFrame) -> DataFrame:
+    """The rows with ``decoded``, the ids of the column ``coded``."""
+    at, names = coded.columns.index("coded"), [*coded.columns, "decoded"]
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some in _parts(batch, np.diff(np.frombuffer(batch.column(at).cast(pa.binary()).buffers()[1], np.int32)[batch.column(at).offset :][: batch.num_rows + 1])):
+                values, counts = read_lists(some.column(at))
+                ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], counts.cumsum()]), pa.int32()), pa.array(values))
+                yield pa.RecordBatch.from_arrays([*some.columns, ids], names)
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in coded.schema)
+    return coded.mapInArrow(decode, f"{schema}, decoded array<bigint>")

@@ -28,6 +28,19 @@ def token_table(articles: DataFrame) -> DataFrame:
     return articles.select("id", F.posexplode(T.article_tokens(F.col("title"), F.col("content"))).alias("ord", "tok"))
 
 
+def by_article(articles: DataFrame) -> DataFrame:
+    """The articles dealt by id, once: what is counted, sorted or made distinct within an article then moves no token.
+
+    As many partitions as the session sets for shuffles, not fewer: tokens take many times the room of a text.
+    """
+    return articles.repartition(int(articles.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
+
+
+def small(table: DataFrame) -> DataFrame:
+    """The table, to be broadcast if it has at most ``SMALL`` rows."""
+    return F.broadcast(table) if table.limit(SMALL + 1).count() <= SMALL else table
+
+
 def title_size() -> Column:
     """The tokens of an article that come from its title."""
     return F.when(F.col("title").isNull(), F.lit(0)).otherwise(F.size(T.space_tokens(F.col("title"))))
@@ -48,10 +61,21 @@ def with_identifiers(forms: DataFrame, clusters: DataFrame | None = None) -> Dat
     return forms.join(named, "form", "left").withColumn("ident", F.coalesce("ident", F.lit("0")))
 
 
+def with_distinct_identifiers(tokens: DataFrame, base_forms: DataFrame, clusters: DataFrame | None = None) -> DataFrame:
+    """A row for each distinct ``ident`` of a token ``tok``: the dictionary's identifiers are made distinct before tokens meet it."""
+    forms = base_forms.select(F.col("word").alias("tok"), F.coalesce("base_form", "word").alias("form"))
+    joined = tokens.join(small(with_identifiers(forms, clusters).select("tok", "ident").distinct()), "tok", "left")
+    if clusters is None:
+        return joined.withColumn("ident", F.coalesce("ident", "tok"))
+    own = clusters.select(F.col("term").alias("_unknown"), F.coalesce(F.col("cluster").cast("string"), F.lit("0")).alias("_own")).distinct()
+    joined = joined.withColumn("_unknown", F.when(F.col("ident").isNull(), F.col("tok"))).join(small(own), "_unknown", "left")
+    return joined.withColumn("ident", F.coalesce("ident", "_own", F.lit("0"))).drop("_own", "_unknown")
+
+
 def traditional_index(articles: DataFrame, base_forms: DataFrame, clusters: DataFrame | None = None) -> DataFrame:
     """(ident, id): in which article which identifier occurs."""
-    tokens = articles.select("id", F.explode(F.array_distinct(T.article_tokens(F.col("title"), F.col("content")))).alias("tok"))
-    return with_identifiers(with_forms(tokens, base_forms), clusters).select("ident", "id").distinct()
+    tokens = by_article(articles).select("id", F.explode(F.array_distinct(T.article_tokens(F.col("title"), F.col("content")))).alias("tok"))
+    return with_distinct_identifiers(tokens, base_forms, clusters).select("ident", "id").distinct()
 
 
 def document_positions(articles: DataFrame) -> DataFrame:
@@ -69,10 +93,11 @@ def document_positions(articles: DataFrame) -> DataFrame:
 
 
 def positional_index(articles: DataFrame, base_forms: DataFrame, clusters: DataFrame | None = None) -> DataFrame:
-    """(ident, position, id): every token takes a position, all its forms share it."""
-    tokens = with_identifiers(with_forms(token_table(articles), base_forms), clusters)
-    starts = document_positions(articles).select("id", "start")
-    return tokens.join(starts, "id").select("ident", (F.col("start") + F.col("ord")).alias("position"), "id").distinct()
+    """(ident, position, id): every token takes a position, all its forms share it. Starts meet the texts, not their tokens."""
+    placed = articles.join(document_positions(articles).select("id", "start"), "id")
+    tokens = placed.select("id", "start", F.posexplode(T.article_tokens(F.col("title"), F.col("content"))).alias("ord", "tok"))
+    tokens = tokens.select("id", (F.col("start") + F.col("ord")).alias("position"), "tok")
+    return with_distinct_identifiers(tokens, base_forms, clusters).select("ident", "position", "id")
 
 
 def build_index(kind: str, articles: DataFrame, base_forms: DataFrame, clusters: DataFrame | None = None) -> DataFrame:
@@ -239,13 +264,12 @@ def rate(articles: DataFrame, spark: SparkSession, query: str, base_forms: DataF
     """
     words = [w for w in query_words(query) if w]
     identifiers = query_identifiers(spark, words, base_forms, clusters).select("ident").distinct()
-    tokens = articles.select("id", F.explode(F.array(*[F.struct(F.lit(part).alias("part"), T.space_tokens(F.lower(part)).alias("toks")) for part in ("title", "content")])).alias("p"))
+    dealt = articles if clusters is None else by_article(articles)  # "0" matches most tokens
+    tokens = dealt.select("id", F.explode(F.array(*[F.struct(F.lit(part).alias("part"), T.space_tokens(F.lower(part)).alias("toks")) for part in ("title", "content")])).alias("p"))
     tokens = tokens.select("id", "p.part", F.posexplode("p.toks").alias("ord", "tok"))
     hits = tokens.join(matching_tokens(tokens, identifiers, base_forms, clusters), "tok")
-    once = hits.groupBy("id").agg(
-        F.count_distinct(F.when(F.col("part") == "title", F.col("ident"))).alias("in_title"),
-        F.count_distinct(F.when(F.col("part") == "content", F.col("ident"))).alias("in_content"),
-    )
+    held = lambda part: F.max(F.when(F.col("part") == part, F.lit(1)).otherwise(F.lit(0))).alias(f"in_{part}")
+    once = hits.groupBy("id", "ident").agg(held("title"), held("content")).groupBy("id").agg(F.sum("in_title").alias("in_title"), F.sum("in_content").alias("in_content"))
     places = hits.filter("known").select("id", "part", "ord").distinct()
     island = F.col("ord") - F.row_number().over(Window.partitionBy("id", "part").orderBy("ord"))
     runs = places.withColumn("island", island).groupBy("id", "part", "island").agg(F.count("*").alias("r"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from folio.functions import posting_blocks as B
 from folio.functions import postings as P
 from folio.functions import text as T
 from folio.operators import extraction, keyed_kmeans, ngrams, quotes, retrieval, sentences, spelling, stored_index, titles, vectors
@@ -235,20 +236,22 @@ def first_seen_terms(spark: SparkSession, sf: str) -> DataFrame:
 # postings
 
 
+def _lists(spark: SparkSession, sf: str) -> DataFrame:
+    return retrieval.traditional_index(*_both(spark, sf)).groupBy("ident").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+
+
 @query(O.HEX)
 def postings_hex(spark: SparkSession, sf: str) -> DataFrame:
-    lists = retrieval.traditional_index(*_both(spark, sf)).groupBy("ident").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    coded = lists.select("ident", "ids", P.encode(F.col("ids")).alias("coded"))
-    return coded.select("ident", F.hex("coded").alias("coded_hex"), (P.decode(F.col("coded")) == F.col("ids")).alias("round_trip"))
+    coded = B.coded_lists(_lists(spark, sf))
+    return B.decoded_lists(coded).select("ident", F.hex("coded").alias("coded_hex"), (F.col("decoded") == F.col("ids")).alias("round_trip"))
 
 
 @query(O.POSTING_ENDS)
 def postings_ends(spark: SparkSession, sf: str) -> DataFrame:
     """Of each coded list its last element, whether it is in order, and its members by iteration."""
-    lists = retrieval.traditional_index(*_both(spark, sf)).groupBy("ident").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    coded = lists.select("ident", P.encode(F.col("ids")).alias("coded"))
-    ends = coded.select("ident", P.last_element(F.col("coded")).alias("last"), P.decode(F.col("coded")).alias("ids")).select("ident", "last", P.is_ordered(F.col("ids")).alias("ordered"), F.explode("ids").alias("id"))
-    return ends.groupBy("ident", "last", "ordered").agg(F.count("*").alias("n"), F.sum("id").alias("sum"))
+    back = B.decoded_lists(B.coded_lists(_lists(spark, sf)).drop("ids"))
+    members = F.aggregate("decoded", F.lit(0).cast("bigint"), lambda s, x: s + x)
+    return back.select("ident", F.try_element_at("decoded", F.lit(-1)).alias("last"), P.is_ordered(F.col("decoded")).alias("ordered"), F.size("decoded").cast("bigint").alias("n"), members.alias("sum"))
 
 
 @query(O.SIZES)
@@ -418,7 +421,7 @@ def article_vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(O.SHARING)
 def sharing_articles(spark: SparkSession, sf: str) -> DataFrame:
-    prefix = _prefix(spark, sf)[2]
+    prefix = stage(_prefix(spark, sf)[2], "prefix")
     some = prefix.groupBy("id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "id").limit(1).first()
     return vectors.sharing_articles(prefix, some["id"] if some else 0)
 
