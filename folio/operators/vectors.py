@@ -8,18 +8,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.functions import text as T
+from folio.operators.retrieval import by_article, small
 from folio.sources.staging import stage
 
 FLOOR = 1e-3
 BANNED, PREFIX, FADE, SHARED, WIDE = 100, 20, 0.1, 7, 1 << 14
+NUMBERS = 8_000_000  # of vectors that are broadcast
 
 
 def document_terms(articles: DataFrame, base_forms: DataFrame, add_missing: bool = True) -> DataFrame:
     """(id, term, n): base forms of the lower-case words of the content (titles don't count); unknown words of a-z stand for themselves if ``add_missing``."""
-    words = articles.select("id", F.explode(T.space_tokens(F.lower("content"))).alias("word"))
-    joined = words.groupBy("id", "word").agg(F.count("*").alias("n")).join(base_forms.select("word", "base_form"), "word", "left")
+    words = by_article(articles).select("id", F.explode(T.space_tokens(F.lower("content"))).alias("word"))
+    joined = words.join(small(base_forms.select("word", "base_form")), "word", "left")
     own = F.when(F.col("word").rlike(r"^[a-z]+\z"), F.col("word")) if add_missing else F.lit(None)
-    return joined.withColumn("term", F.coalesce("base_form", own)).filter("term is not null").groupBy("id", "term").agg(F.sum("n").alias("n"))
+    return joined.select("id", F.coalesce("base_form", own).alias("term")).filter("term is not null").groupBy("id", "term").agg(F.count("*").alias("n"))
 
 
 def term_counts(articles: DataFrame, base_forms: DataFrame) -> DataFrame:
@@ -33,9 +35,9 @@ def tf(terms: DataFrame) -> DataFrame:
 
 
 def idf(terms: DataFrame, articles: DataFrame) -> DataFrame:
-    """log2(all articles / articles with the term), unsmoothed."""
+    """log2(all articles / articles with the term), unsmoothed; ``terms`` has a row for each term of an article."""
     total = articles.agg(F.count("*").alias("total"))
-    return terms.groupBy("term").agg(F.count_distinct("id").alias("df")).join(F.broadcast(total)).select("term", "df", F.log2(F.col("total") / F.col("df")).alias("idf"))
+    return terms.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(total)).select("term", "df", F.log2(F.col("total") / F.col("df")).alias("idf"))
 
 
 def normalised(weights: DataFrame) -> DataFrame:
@@ -46,7 +48,8 @@ def normalised(weights: DataFrame) -> DataFrame:
 
 def tfidf(articles: DataFrame, base_forms: DataFrame) -> DataFrame:
     terms = document_terms(articles, base_forms)
-    return normalised(tf(terms).join(idf(terms, articles), "term").select("id", "term", (F.col("tf") * F.col("idf")).alias("weight")))
+    weighed = small(stage(idf(terms, articles).select("term", "idf"), "idf"))
+    return normalised(tf(terms).join(weighed, "term").select("id", "term", (F.col("tf") * F.col("idf")).alias("weight")))
 
 
 def stored_tfidf(store, articles: DataFrame, base_forms: DataFrame) -> DataFrame:
@@ -115,21 +118,27 @@ def banned_terms(idfs: DataFrame, n: int = BANNED) -> DataFrame:
 
 def prefix_terms(articles: DataFrame, base_forms: DataFrame, vectors: DataFrame, banned: DataFrame, n: int = PREFIX) -> DataFrame:
     """(id, i, term): the first ``n`` distinct allowed terms of the content, i from 0; the dictionary is looked up case-sensitively."""
-    words = articles.select("id", F.posexplode(T.space_tokens(F.col("content"))).alias("ord", "word"))
-    forms = words.join(base_forms.select("word", F.col("base_form").alias("term"), "pos"), "word")
-    allowed = forms.join(F.broadcast(banned.select("term")), "term", "left_anti").join(vectors.select("term"), "term", "left_semi")
-    first = allowed.groupBy("id", "term").agg(F.min(F.struct("ord", "pos", "term")).alias("at"))
-    order = Window.partitionBy("id").orderBy("at")
-    return first.withColumn("i", F.row_number().over(order) - 1).filter(F.col("i") < n).select("id", "i", "term")
+    words = by_article(articles).select("id", F.posexplode(T.space_tokens(F.col("content"))).alias("ord", "word"))
+    wanted = vectors.select("term").distinct().join(F.broadcast(banned.select("term")), "term", "left_anti")
+    forms = stage(base_forms.select("word", F.col("base_form").alias("term"), "pos").join(wanted, "term", "left_semi"), "wanted-forms")
+    allowed = words.join(small(forms), "word")
+    place = F.col("ord").cast("long") * F.lit(1 << 32) + F.coalesce(F.col("pos").cast("long"), F.lit(-1))  # by place, then by the form's place
+    first = allowed.groupBy("id", "term").agg(F.min(place).alias("at"))
+    order = Window.partitionBy("id").orderBy("at", "term")
+    return first.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= n).select("id", (F.col("r") - 1).alias("i"), "term")
 
 
 def article_vectors(articles: DataFrame, prefix: DataFrame, vectors: DataFrame, n: int = PREFIX) -> DataFrame:
     """(id, vec): mean of the unit vectors of the prefix terms, fading by exp(-0.1 i); zeros for articles with fewer than ``n``."""
-    parts = prefix.join(vectors.select("term", T.unit(F.col("vec")).alias("u")), "term").select("id", "i", F.posexplode("u").alias("d", "x"))
-    sums = parts.groupBy("id", "d").agg(F.sum(F.exp(-FADE * F.col("i")) * F.col("x")).alias("x"), F.count("*").alias("terms"))
-    full = sums.filter(F.col("terms") == n).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("d", (F.col("x") / n).alias("x")))).alias("xs"))
+    wide = vectors.agg(F.max(F.size("vec"))).first()[0] or 0
+    units = vectors.select("term", T.unit(F.col("vec")).alias("u"))
+    parts = prefix.join(F.broadcast(units) if vectors.limit(NUMBERS // max(1, wide) + 1).count() * wide <= NUMBERS else units, "term")
+    fading = F.exp(-FADE * F.col("i"))
+    sums = parts.groupBy("id").agg(F.count("*").alias("terms"), F.min(F.size("u")).alias("least"), *[F.sum(fading * F.get("u", F.lit(d))).alias(f"x{d}") for d in range(wide)])
+    means = F.slice(F.array(*[F.col(f"x{d}") / n for d in range(wide)]), 1, F.col("least"))
+    full = sums.filter((F.col("terms") == n) & (F.col("least") > 0)).select("id", means.alias("xs"))
     zeros = F.array_repeat(F.lit(0.0), F.lit(_wide(vectors)))
-    return articles.select("id").join(full, "id", "left").select("id", F.coalesce(F.transform("xs", lambda s: s["x"]), zeros).alias("vec"))
+    return articles.select("id").join(full, "id", "left").select("id", F.coalesce("xs", zeros).alias("vec"))
 
 
 def _wide(vectors: DataFrame) -> int:

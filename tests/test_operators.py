@@ -350,3 +350,44 @@ def test_readers(spark, tmp_path):
 def test_entry_without_the_subpackage(tmp_path):
     code = "import sys; sys.modules['folio.llm'] = None; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; q = e.queries(); assert 'search_phrase' in q and not any(n.startswith('op') for n in q); assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True)
+
+
+def test_long_posting_lists_are_coded_and_read_in_arrow(spark):
+    from folio.functions import posting_blocks
+
+    lists = spark.range(1).select(F.lit("hot").alias("ident"), F.sequence(F.lit(3).cast("long"), F.lit(900_000).cast("long"), F.lit(3).cast("long")).alias("ids"))
+    lists = lists.union(spark.createDataFrame([("cold", [1, 300, 70_000]), ("one", [5])], "ident string, ids array<long>"))
+    coded = posting_blocks.coded_lists(lists)
+    back = posting_blocks.decoded_lists(coded)
+    got = {r.ident: (r.same, r.n) for r in back.select("ident", (F.col("decoded") == F.col("ids")).alias("same"), F.size("decoded").alias("n")).collect()}
+    assert got == {"hot": (True, 300_000), "cold": (True, 3), "one": (True, 1)}
+    assert back.filter("ident = 'cold'").select(F.hex("coded")).first()[0] == lists.filter("ident = 'cold'").select(F.hex(postings.encode(F.col("ids")))).first()[0]
+
+
+def exchanges(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [line for line in plan.split("\n") if "Exchange hashpartitioning" in line]
+
+
+def test_tokens_are_made_distinct_where_their_article_is(spark):
+    articles = frame(spark, [(1, "a cat", "cats ran cat"), (2, "b", "ran"), (3, None, None)], "id long, title string, content string")
+    forms = frame(spark, [("cats", "cat", 0), ("cats", "cat", 1), ("ran", "run", 0)], "word string, base_form string, pos int")
+    clusters = frame(spark, [("cat", "7"), ("b", "8"), ("b", "8")], "term string, cluster string")
+    index = retrieval.traditional_index(articles, forms)
+    assert sorted(map(tuple, index.collect())) == [("", 3), ("a", 1), ("b", 2), ("cat", 1), ("run", 1), ("run", 2)]
+    assert not any("ident#" in line and " id#" in line for line in exchanges(index))  # the dictionary's own identifiers may move
+    places = retrieval.positional_index(articles, forms, clusters)
+    assert sorted(map(tuple, places.select("id", "position", "ident").collect())) == [(1, 1, "0"), (1, 2, "7"), (1, 3, "7"), (1, 4, "0"), (1, 5, "7"), (2, 7, "8"), (2, 8, "0"), (3, 10, "0")]
+    assert not any("ident#" in line and " id#" in line for line in exchanges(places))
+
+
+def test_weights_move_texts_once(spark):
+    articles = frame(spark, [(1, "t", "cats ran cat"), (2, "t", "ran dog")], "id long, title string, content string")
+    forms = frame(spark, [("cats", "cat", 0), ("ran", "run", 0)], "word string, base_form string, pos int")
+    assert len(exchanges(vectors.tfidf(articles, forms))) == 1
+    words = frame(spark, [("cat", [3.0, 4.0]), ("run", [1.0, 0.0])], "term string, vec array<double>")
+    prefix = vectors.prefix_terms(articles, forms, words, frame(spark, [("dog",)], "term string"))
+    assert len(exchanges(prefix)) == 1
+    assert sorted(map(tuple, prefix.collect())) == [(1, 0, "cat"), (1, 1, "run"), (2, 0, "run")]
+    found = {r.id: r.vec for r in vectors.article_vectors(articles, prefix, words, n=2).collect()}
+    assert found[2] == [0.0, 0.0] and abs(found[1][0] - (0.6 + 2.718281828459045**-0.1) / 2) < 1e-12 and abs(found[1][1] - 0.4) < 1e-12
