@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,6 +80,18 @@ def _inverted(articles: DataFrame) -> DataFrame:
     return rows.mapInArrow(invert, "tok string, block long, coded binary")
 
 
+def merged_at_once(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with about ``AT_ONCE`` coded bytes; the lists are measured in the batch, none becomes a Python object."""
+    parts = batch.column("parts")
+    of_part = pc.fill_null(pc.binary_length(parts.flatten().field("coded")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    sums = np.concatenate([[0], of_part.cumsum()])
+    group = sums[np.cumsum(parts.value_lengths().to_numpy())] // AT_ONCE
+    edges = [0, *(np.flatnonzero(np.diff(group)) + 1), len(group)]
+    for a, b in zip(edges, edges[1:]):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
 def indexed_terms(articles: DataFrame, base_forms: DataFrame, clusters: DataFrame | None = None) -> DataFrame:
     """The index: (ident, block, first, last, n, bytes, coded, title_hits, content_hits, n_positions, positions).
 
@@ -90,10 +103,7 @@ def indexed_terms(articles: DataFrame, base_forms: DataFrame, clusters: DataFram
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = np.array([sum(len(p["coded"]) for p in row) for row in batch.column("parts").to_pylist()])
-            group = np.cumsum(sizes) // (4 * AT_ONCE)
-            for g in np.unique(group):
-                some = batch.filter(pa.array(group == g))
+            for some in merged_at_once(batch):
                 parts = some.column("parts")
                 flat = parts.flatten()
                 values, counts = read_lists(flat.field("coded"))

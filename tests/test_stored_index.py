@@ -100,3 +100,11 @@ def test_only_the_best_articles_are_read_and_bounds_rule_out_others(spark, built
     assert not any(table == "word_base_forms" for table, _ in asked[1:])  # words are looked up once
     ids = index.matches("cat run")
     assert 3 <= index.rated(ids, "cat run", 3).count() < ids.count()
+
+
+def test_lists_are_merged_in_runs_of_bounded_bytes(monkeypatch):
+    monkeypatch.setattr(stored_index, "AT_ONCE", 100)
+    parts = [[{"coded": b"x" * n, "known": True} for n in row] for row in ([30, 30], [], [20], [90], [300], [1], [1])]
+    batch = pa.RecordBatch.from_arrays([pa.array([str(k) for k in range(7)]), pa.array(parts, pa.list_(pa.struct([("coded", pa.binary()), ("known", pa.bool_())])))], ["ident", "parts"])
+    runs = [run.column(0).to_pylist() for run in stored_index.merged_at_once(batch.slice(1))]
+    assert runs == [["1", "2"], ["3"], ["4", "5", "6"]]
