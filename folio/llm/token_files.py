@@ -1,7 +1,8 @@
 """Operator 1: token ids in Arrow stream files with fixed-size lists.
 
 Each shard of the corpus is one file in the Arrow stream format. A row is a sequence of
-``seq_len`` ids with a mask of the same length (a byte each: 1, or 0 for padding, only at a shard's end); every batch
+``seq_len`` ids with a mask of the same length (a byte each: 1, or 0 for padding, only at a shard's end). Masks are
+dictionary-encoded, since all but a shard's last are equal: each is stored once, a sequence holds its number. Every batch
 but the last has ``batch_rows`` rows, so sequence ``i`` is row ``i % batch_rows`` of batch
 ``i // batch_rows`` and position ``p`` of the shard is item ``p % seq_len`` of sequence
 ``p // seq_len``: a memory-mapped file answers without copying. A second stream file lists the
@@ -34,7 +35,7 @@ DOCS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa
 
 
 def sequences_schema(dtype: np.dtype, seq_len: int) -> pa.Schema:
-    return pa.schema([("ids", pa.list_(pa.from_numpy_dtype(dtype), seq_len)), ("mask", pa.list_(pa.uint8(), seq_len))])
+    return pa.schema([("ids", pa.list_(pa.from_numpy_dtype(dtype), seq_len)), ("mask", pa.dictionary(pa.int8(), pa.list_(pa.uint8(), seq_len)))])
 
 
 class ShardWriter:
@@ -70,9 +71,13 @@ class ShardWriter:
         rows = -(-len(ids) // self.seq_len)
         full = np.zeros(rows * self.seq_len, self.dtype)
         full[: len(ids)] = ids
-        mask = (np.arange(len(full)) < len(ids)).astype(np.uint8)
-        columns = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.seq_len) for x in (full, mask)]
-        self.tokens.write_batch(pa.RecordBatch.from_arrays(columns, schema=self.schema))
+        padded = len(ids) % self.seq_len > 0  # the last sequence of the shard
+        masks = np.ones((1 + padded, self.seq_len), np.uint8)
+        masks[1:, len(ids) % self.seq_len :] = 0
+        which = np.zeros(rows, np.int8)
+        which[rows - padded :] = 1
+        ids_, masks_ = (pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), self.seq_len) for x in (full, masks))
+        self.tokens.write_batch(pa.RecordBatch.from_arrays([ids_, pa.DictionaryArray.from_arrays(pa.array(which), masks_)], schema=self.schema))
 
     def _flush_index(self) -> None:
         if self.index:
@@ -96,13 +101,15 @@ class TokenShard:
         first = self.batches[0]
         self.seq_len = first.schema.field("ids").type.list_size
         self.batch_rows = first.num_rows
-        self.flat, self.masks = ([b.column(k).flatten().to_numpy(zero_copy_only=True) for b in self.batches] for k in (0, 1))
+        self.flat = [b.column(0).flatten().to_numpy(zero_copy_only=True) for b in self.batches]
+        self.masks = [b.column(1).dictionary.flatten().to_numpy(zero_copy_only=True) for b in self.batches]
+        self.which = [b.column(1).indices.to_numpy(zero_copy_only=True) for b in self.batches]
 
     def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and mask of sequence ``i``, both views of the file."""
         batch, row = divmod(i, self.batch_rows)
-        own = slice(row * self.seq_len, (row + 1) * self.seq_len)
-        return self.flat[batch][own], self.masks[batch][own]
+        own = lambda i: slice(i * self.seq_len, (i + 1) * self.seq_len)
+        return self.flat[batch][own(row)], self.masks[batch][own(int(self.which[batch][row]))]
 
     def views(self, start: int, n: int) -> Iterator[np.ndarray]:
         """The ids from position ``start`` on as views, one for each batch that they touch."""

@@ -77,6 +77,16 @@ def test_sequences_are_views_of_equal_length(spark, tmp_path):
         assert sum(int(mask.sum()) for _, mask in found) == s.n_tokens
 
 
+def test_masks_take_no_byte_for_each_id(spark, tmp_path):
+    docs = rows(spark, ["word " * 40_000] * 4).coalesce(1)
+    for s in token_files.write_token_files(docs, BYTE, f"file://{tmp_path}", seq_len=2048).collect():
+        size = (tmp_path / s.tokens_file.split("/")[-1]).stat().st_size
+        assert s.n_tokens < 10_000 or size < 2.2 * s.n_tokens  # ids take two bytes
+        shard = token_files.TokenShard(s.tokens_file)
+        masks = [shard.sequence(i)[1] for i in range(-(-s.n_tokens // 2048))]
+        assert np.concatenate(masks).tolist() == [int(i < s.n_tokens) for i in range(2048 * len(masks))]
+
+
 def test_empty_tables(spark):
     none = rows(spark, []).filter("false")
     assert token_files.token_file_index(none, BYTE).collect() == []
