@@ -12,7 +12,7 @@ from folio.sources.readers import hash_order
 from folio.sources.staging import stage
 
 LONGER_THAN, SHARE, OFTEN, DIFFERENCE, RARE, SPLIT_SHARE = 3, 0.5, 20, 0.3, 0.01, 0.4
-NAME_PART, SUBSETS, BLOCK, SMALL = 1_000, 8, 1_000, 500_000
+NAME_PART, SUBSETS, BLOCK, SMALL, SMALL_HASHES = 1_000, 8, 1_000, 500_000, 4_000_000
 
 
 def word_pairs(texts: DataFrame) -> DataFrame:
@@ -131,20 +131,51 @@ def superbase_forms(base_forms: DataFrame) -> DataFrame:
     return members.join(whole, "component").select("base_form", "superbase")
 
 
-def keyed_ngrams(ngrams: DataFrame, base_forms: DataFrame, members: DataFrame) -> DataFrame:
-    """(ngram, key): n-grams (arrays) of known words with the components of their words' first forms."""
-    first = base_forms.groupBy("word").agg(F.min_by("base_form", F.struct("pos", "base_form")).alias("base_form"))
-    named = first.join(members, "base_form").select("word", "component")
-    words = ngrams.select("ngram", F.posexplode("ngram").alias("i", "word")).join(named, "word", "left")
-    rows = words.groupBy("ngram").agg(F.array_sort(F.collect_list(F.struct("i", "component"))).alias("s"), F.count("component").alias("known"))
-    return rows.filter(F.col("known") == F.size("ngram")).select("ngram", F.transform("s", lambda x: x["component"]).alias("key"))
+def known_words(base_forms: DataFrame, members: DataFrame) -> DataFrame:
+    """(word, component, forms, open): each word with the component of its forms; ``open``: no form is shared by all words of the component.
+
+    Words of other components share a form with each other, so that n-grams of one key can't differ by them.
+    """
+    first = base_forms.groupBy("word").agg(F.min_by("base_form", F.struct("pos", "base_form")).alias("base_form"), F.array_sort(F.collect_set("base_form")).alias("forms"))
+    words = first.join(members, "base_form").select("word", "component", "forms")
+    sizes = words.groupBy("component").agg(F.count("*").alias("n"))
+    shared = words.select("component", F.explode("forms").alias("form")).groupBy("component", "form").agg(F.count("*").alias("n")).groupBy("component").agg(F.max("n").alias("shared"))
+    return words.join(sizes.join(shared, "component").select("component", (F.col("shared") < F.col("n")).alias("open")), "component").select("word", "component", "forms", "open")
+
+
+def open_pairs(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """(ngram): the distinct pairs (w1, w2), in lower case, of which a word is open; others are in no class.
+
+    Up to ``SMALL_HASHES`` open words meet the pairs by their hashes before anything is shuffled; ``_classes`` drops what hashes let by.
+    """
+    words = known.filter("open").select(F.xxhash64("word").alias("h")).distinct()
+    lower = pairs.select(F.lower("w1").alias("w1"), F.lower("w2").alias("w2"))
+    if words.limit(SMALL_HASHES + 1).count() <= SMALL_HASHES:
+        for w in ("w1", "w2"):
+            lower = lower.join(F.broadcast(words.select(F.col("h").alias(f"h_{w}"))), F.xxhash64(w) == F.col(f"h_{w}"), "left")
+        lower = lower.filter("h_w1 is not null or h_w2 is not null").select("w1", "w2")
+    return lower.distinct().select(F.array("w1", "w2").alias("ngram"))
 
 
 def form_classes(ngrams: DataFrame, base_forms: DataFrame, members: DataFrame) -> DataFrame:
-    """(ngram, key, at, forms): each distinct n-gram in its class at each place, the base forms of its word there."""
-    keyed = keyed_ngrams(ngrams.distinct(), base_forms, members)
-    forms = base_forms.groupBy("word").agg(F.array_sort(F.collect_set("base_form")).alias("forms"))
-    return keyed.select("ngram", "key", F.posexplode("ngram").alias("at", "word")).join(forms, "word").select("ngram", "key", "at", "forms")
+    """(ngram, key, at, forms): each distinct n-gram (array) of known words in its class at each place with an open word.
+
+    The key are the components of its words, ``forms`` the base forms of its word at the place.
+    """
+    return _classes(ngrams, stage(known_words(base_forms, members), "known"))
+
+
+def pair_classes(pairs: DataFrame, base_forms: DataFrame, members: DataFrame) -> DataFrame:
+    """``form_classes`` of the pairs (w1, w2) in lower case."""
+    known = stage(known_words(base_forms, members), "known")
+    return _classes(open_pairs(pairs, known), known)
+
+
+def _classes(ngrams: DataFrame, known: DataFrame) -> DataFrame:
+    words = ngrams.distinct().select("ngram", F.posexplode("ngram").alias("i", "word")).join(known, "word")
+    rows = words.groupBy("ngram").agg(F.array_sort(F.collect_list(F.struct("i", "component", "forms", "open"))).alias("s"))
+    rows = rows.filter(F.size("s") == F.size("ngram")).select("ngram", F.transform("s", lambda x: x["component"]).alias("key"), F.explode(F.filter("s", lambda x: x["open"])).alias("x"))
+    return rows.select("ngram", "key", F.col("x.i").alias("at"), "x.forms")
 
 
 def class_links(classes: DataFrame) -> DataFrame:
@@ -152,9 +183,11 @@ def class_links(classes: DataFrame) -> DataFrame:
 
     No pairs are made: the n-grams that share a form with a class are counted by inclusion and exclusion over
     the subsets of its forms. Classes of more than ``SUBSETS`` forms meet the classes that share one instead.
+    Classes that are alone with their key at a place link with nothing and are left out.
     """
     sizes = stage(classes.groupBy("key", "at", "forms").agg(F.count("*").alias("n")), "classes")
-    totals = sizes.groupBy("key", "at").agg(F.sum("n").alias("total"))
+    totals = sizes.groupBy("key", "at").agg(F.sum("n").alias("total"), F.count("*").alias("classes")).filter("classes > 1")
+    sizes = stage(sizes.join(totals, ["key", "at"]).select("key", "at", "forms", "n", "total"), "classes")
     few = F.size("forms") <= SUBSETS
     bit = lambda mask, i: F.floor(mask / F.pow(F.lit(2.0), i)) % 2 == 1
     subsets = lambda c: F.transform(F.sequence(F.lit(1), F.pow(F.lit(2.0), F.size(c)).cast("int") - 1), lambda m: F.filter(c, lambda _, i: bit(m, i)))
@@ -169,7 +202,7 @@ def class_links(classes: DataFrame) -> DataFrame:
     held = sizes.select("key", "at", "n", F.col("forms").alias("other"), F.explode("forms").alias("form"))
     met = large.select("key", "at", F.col("held").alias("forms"), "form").join(held, ["key", "at", "form"]).select("key", "at", "forms", "other", "n").distinct()
     sharing = sharing.union(met.groupBy("key", "at", "forms").agg(F.sum("n").alias("sharing")))
-    linked = sizes.join(sharing, ["key", "at", "forms"]).join(totals, ["key", "at"])
+    linked = sizes.join(sharing, ["key", "at", "forms"])
     return linked.select("key", "at", "forms", "n", (F.col("total") - F.col("sharing")).alias("n_links"))
 
 

@@ -552,8 +552,7 @@ def superbase_names(spark: SparkSession, sf: str) -> DataFrame:
 
 def _form_classes(spark: SparkSession, sf: str) -> DataFrame:
     forms = stage(V.base_forms(spark, sf, graph=True), "base-forms")
-    pairs = _pairs(spark, sf).select(F.array(F.lower("w1"), F.lower("w2")).alias("ngram"))
-    return ngrams.form_classes(pairs, forms, ngrams.superbase_members(forms))
+    return ngrams.pair_classes(_pairs(spark, sf), forms, ngrams.superbase_members(forms))
 
 
 @query(O.AMBIGUOUS)

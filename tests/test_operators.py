@@ -256,6 +256,17 @@ def test_ngrams_and_lemmas(spark):
     assert {tuple(r) for r in ngrams.superbase_names(ngrams.superbase_members(forms), size=2).collect()} == {("a", 0, "a|b"), ("a", 1, "c"), ("d", 0, "d")}
 
 
+def test_pairs_that_no_word_can_part_are_in_no_class(spark):
+    forms = frame(spark, [("x", "a", 0), ("y", "a", 0), ("y", "b", 1), ("w", "b", 0), ("z", "d", 0), ("zs", "d", 0)], "word string, base_form string, pos int")
+    pairs = frame(spark, [("X", "z"), ("w", "z"), ("w", "zs"), ("z", "zs"), ("z", "w"), ("q", "w"), ("w", "z")], "w1 string, w2 string")
+    members = ngrams.superbase_members(forms)
+    opened = ngrams.open_pairs(pairs, ngrams.known_words(forms, members))  # d is shared by z and zs
+    assert sorted(tuple(r.ngram) for r in opened.collect()) == [("q", "w"), ("w", "z"), ("w", "zs"), ("x", "z"), ("z", "w")]
+    classes = ngrams.pair_classes(pairs, forms, members).collect()
+    assert sorted((*r.ngram, r.at, *r.forms) for r in classes) == [("w", "z", 0, "b"), ("w", "zs", 0, "b"), ("x", "z", 0, "a"), ("z", "w", 1, "b")]
+    assert {tuple(r) for r in ngrams.ambiguous_links(ngrams.pair_classes(pairs, forms, members)).collect()} == {("w z", 0, 1), ("w zs", 0, 1), ("x z", 0, 2)}
+
+
 def test_links_of_classes_are_counted_without_pairs(spark, monkeypatch):
     monkeypatch.setattr(ngrams, "SUBSETS", 3)  # larger sets of forms meet those they share a form with
     monkeypatch.setattr(ngrams, "BLOCK", 2)
