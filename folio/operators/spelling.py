@@ -18,6 +18,8 @@ NEIGHBOURS = {
 }
 SWAP, SUBSTITUTE, DELETE = 1.0, 1.5, 1.0
 MOST_STEPS, MOST_STATES, DEEP = 5, 2_000_000, 1_000
+MOST_WAYS = 3 + max(map(len, NEIGHBOURS.values()))  # modifications for a character, at most
+SMALL_HASHES = 4_000_000
 
 
 def folded_dictionary(words: DataFrame) -> DataFrame:
@@ -124,6 +126,26 @@ def _search(entries: DataFrame, searches: DataFrame, frontier: DataFrame, seen:
             return settled
 
 
+def _ended_near(asked: DataFrame, entries: DataFrame, most: int) -> DataFrame:
+    """(folded, corrected) of the searches that end before a second modification; no level of strings is staged for them.
+
+    Entries cost 0 or 1. So a search with an entry for the word itself ends there, or at its first modification, which is no cheaper; any
+    other ends at its first modification that has an entry of cost 0, since those of cost 1 leave more than any modification's steps.
+    Words so long that the limit of strings might be met before are left to ``_search``. Up to ``SMALL_HASHES`` entries of cost 0 meet
+    the modifications by their hashes before these are shuffled.
+    """
+    ways = F.length("folded").cast("long") * MOST_WAYS
+    short = asked.filter(ways * (ways + 1) < most).select("folded")
+    own = short.join(entries.select(F.col("variant").alias("folded"), F.col("found").alias("corrected")), "folded")
+    tried = short.join(entries.select(F.col("variant").alias("folded")), "folded", "left_anti").select("folded", F.posexplode(modifications(F.col("folded"))).alias("place", "m")).select("folded", "place", "m.variant")
+    exact = entries.filter("more = 0").select("variant", "found")
+    if exact.limit(SMALL_HASHES + 1).count() <= SMALL_HASHES:
+        hashes = exact.select(F.xxhash64("variant").alias("h")).distinct()
+        tried = tried.join(F.broadcast(hashes), F.xxhash64("variant") == F.col("h"), "left_semi")
+    first = tried.join(exact, "variant").groupBy("folded").agg(F.min_by("found", "place").alias("corrected"))
+    return stage(own.select("folded", "corrected").union(first), "ended-near")
+
+
 def correct(words: DataFrame, deletions: DataFrame, most_states: int = MOST_STATES, deep: int = DEEP) -> DataFrame:
     """(word, corrected): the bounded search, first in first out, of each word for a dictionary word.
 
@@ -135,15 +157,20 @@ def correct(words: DataFrame, deletions: DataFrame, most_states: int = MOST_STAT
     Turns are ranks: a level's strings are numbered by their first parent's rank and the place of the
     modification, over all words together, so that a level is a few joins and no word's strings
     stand in one task. Words that two modifications don't end are searched ``deep`` at a time,
-    since each may queue ``most_states`` strings. Nulls and words without a hit: null.
+    since each may queue ``most_states`` strings. Searches that end before a second modification are found
+    by two joins without any of this (``_ended_near``). Nulls and words without a hit: null.
     """
     rows = words.select("word", T.fold(F.col("word")).alias("folded"))
     entries = stage(deletions.select("variant", F.col("word").alias("found"), F.col("cost").alias("more")), "deletions")
     wide = F.size(modifications(F.col("folded")))  # no string of a search is longer
     asked = stage(rows.filter("folded is not null").select("folded").distinct().withColumn("wide", wide), "asked")
+    ended = _ended_near(asked, entries, most_states)
+    asked = stage(asked.join(ended, "folded", "left_anti"), "asked")
+    if asked.isEmpty():
+        return rows.join(ended, "folded", "left").select("word", "corrected")
     searches = asked.select("folded", "wide", F.lit(None).cast("double").alias("cost"), F.lit(None).cast("string").alias("found"), F.lit(0).cast("long").alias("met"))
     frontier = asked.select("folded", F.col("folded").alias("variant"), F.lit(0.0).alias("steps"), F.lit(0).cast("long").alias("rank"))
-    return rows.join(_search(entries, searches, frontier, [], most_states, deep), "folded", "left").select("word", "corrected")
+    return rows.join(ended.union(_search(entries, searches, frontier, [], most_states, deep)), "folded", "left").select("word", "corrected")
 
 
 def accuracy(corrected: DataFrame) -> DataFrame:

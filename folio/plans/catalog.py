@@ -581,7 +581,10 @@ def deletion_dictionary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _typos(spark: SparkSession, sf: str) -> DataFrame:
-    words = V.base_forms(spark, sf).select("word").distinct()
+    return _typos_of(V.base_forms(spark, sf).select("word").distinct())
+
+
+def _typos_of(words: DataFrame) -> DataFrame:
     swapped = F.concat(F.substring("word", 1, 1), F.substring("word", 3, 1), F.substring("word", 2, 1), F.substring("word", F.lit(4), F.length("word")))
     return words.select(F.col("word").alias("correction"), swapped.alias("word"))
 
@@ -594,8 +597,8 @@ def spell_correct(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(O.ACCURACY)
 def spell_accuracy(spark: SparkSession, sf: str) -> DataFrame:
-    deletions = spelling.deletion_dictionary(spelling.folded_dictionary(V.base_forms(spark, sf).select("word").distinct()))
-    typos = _typos(spark, sf)
+    words = stage(V.base_forms(spark, sf).select("word").distinct(), "words")
+    deletions, typos = spelling.deletion_dictionary(spelling.folded_dictionary(words)), _typos_of(words)
     return spelling.accuracy(typos.join(spelling.correct(typos.select("word").distinct(), deletions), "word"))
 
 

@@ -320,6 +320,24 @@ def test_full_correction(spark):
     assert dict(want)["pjse"] == "pies"
 
 
+def test_near_corrections_stage_no_level_of_strings(spark, monkeypatch):
+    words = frame(spark, [(w,) for w in ("kot", "kto", "pies", "piesek", "żaba", "rower", "a", "torba")], "word string")
+    deletions = spelling.deletion_dictionary(spelling.folded_dictionary(words))
+    typos = frame(spark, [(t,) for t in ("kot", "okt", "pis", "peis", "żaab", "roewr", "", "b", "pisek", "tobra", "toraba")], "word string")
+    far = frame(spark, [("rpwet",)], "word string")
+    with monkeypatch.context() as m:
+        m.setattr(spelling, "MOST_WAYS", 1 << 20)  # every search by levels
+        want = {r.word: r.corrected for r in spelling.correct(typos, deletions, most_states=20_000).collect()}
+        want_far = {r.word: r.corrected for r in spelling.correct(far, deletions, most_states=20_000).collect()}
+    assert {r.word: r.corrected for r in spelling.correct(typos.union(far), deletions, most_states=20_000).collect()} == want | want_far
+    for hashes in (0, spelling.SMALL_HASHES):
+        with monkeypatch.context() as m:
+            m.setattr(spelling, "SMALL_HASHES", hashes)
+            m.setattr(spelling, "_search", None)
+            near = typos.filter("word <> 'b'")  # whose only entry costs more than its modifications
+            assert {r.word: r.corrected for r in spelling.correct(near, deletions).collect()} == {w: c for w, c in want.items() if w != "b"}
+
+
 def test_typos_keep_the_tail_of_long_words(spark, monkeypatch):
     word = "abcd" * 40
     monkeypatch.setattr(catalog.V, "base_forms", lambda spark, sf: frame(spark, [(word,), ("kot",)], "word string"))
