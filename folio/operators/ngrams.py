@@ -85,10 +85,22 @@ def merged_words(ones: DataFrame, twos: DataFrame, candidates: DataFrame) -> Dat
 
 
 def mergeable(pairs: DataFrame, ones: DataFrame) -> DataFrame:
-    """The pairs that are a word when joined, before anything is shuffled if there are at most ``SMALL`` words."""
-    whole = ones.filter(F.length("w") > 2 * LONGER_THAN + 1).select(F.col("w").alias("merged"))
-    whole = F.broadcast(whole) if whole.limit(SMALL + 1).count() <= SMALL else whole
-    return pairs.withColumn("merged", F.concat("w1", "w2")).join(whole, "merged", "left_semi").select("w1", "w2")
+    """The pairs of words of ``ones`` that are one of its words when joined.
+
+    Words are cut in two first, and only the cuts of which both parts are words meet the pairs; up to
+    ``SMALL_HASHES`` do by their hashes before anything is shuffled, which lets by a pair of equal hash, if any.
+    """
+    words = ones.filter(F.length("w") > LONGER_THAN).select("w")
+    ends = T.positions(LONGER_THAN + 1, F.length("w") - LONGER_THAN - 1)
+    parts = F.transform(ends, lambda i: F.struct(F.substring("w", F.lit(1), i).alias("w1"), F.substring("w", i + 1, F.length("w")).alias("w2")))
+    cut = words.filter(F.length("w") > 2 * LONGER_THAN + 1).select(F.explode(parts).alias("p")).select("p.*")
+    for side in ("w1", "w2"):
+        cut = cut.join(words.withColumnRenamed("w", side), side, "left_semi")
+    wanted = stage(cut.select("w1", "w2"), "mergeable")
+    if wanted.limit(SMALL_HASHES + 1).count() > SMALL_HASHES:
+        return pairs.join(wanted, ["w1", "w2"], "left_semi").select("w1", "w2")
+    hashes = wanted.select(F.xxhash64("w1", "w2").alias("h")).distinct()
+    return pairs.join(F.broadcast(hashes), F.xxhash64("w1", "w2") == F.col("h"), "left_semi").select("w1", "w2")
 
 
 def split_words(ones: DataFrame, twos: DataFrame) -> DataFrame:

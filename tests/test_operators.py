@@ -267,6 +267,14 @@ def test_pairs_that_no_word_can_part_are_in_no_class(spark):
     assert {tuple(r) for r in ngrams.ambiguous_links(ngrams.pair_classes(pairs, forms, members)).collect()} == {("w z", 0, 1), ("w zs", 0, 1), ("x z", 0, 2)}
 
 
+def test_only_pairs_of_two_words_meet_their_joined_word(spark, monkeypatch):
+    ones = frame(spark, [("glasshouse", 9), ("glass", 2), ("house", 3), ("hous", 1), ("easel", 1)], "w string, n long")
+    pairs = frame(spark, [("glass", "house"), ("glas", "shouse"), ("hous", "easel"), ("glass", "house")], "w1 string, w2 string")
+    for hashes in (0, ngrams.SMALL_HASHES):
+        monkeypatch.setattr(ngrams, "SMALL_HASHES", hashes)
+        assert [tuple(r) for r in ngrams.mergeable(pairs, ones).collect()] == [("glass", "house")] * 2
+
+
 def test_links_of_classes_are_counted_without_pairs(spark, monkeypatch):
     monkeypatch.setattr(ngrams, "SUBSETS", 3)  # larger sets of forms meet those they share a form with
     monkeypatch.setattr(ngrams, "BLOCK", 2)
