@@ -10,10 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folio.functions import text as T
 from folio.sources.staging import stage
 
 STOP_SHARE, LEAST_SCORE = 0.99, 0.3
-SMALL = 500_000
+SMALL, FEW = 500_000, 1_000
 WHITE = "[ \\t\\n\\x0b\\f\\r]+"
 OPENING, CLOSING = r"^[\"'(\[{„“‘]+", r"[\"')\]}”’]+\z"
 #: What treebank tokens part, in order.
@@ -37,9 +38,12 @@ def _base(core: Column) -> Column:
     return F.when(word.rlike(r"^\p{L}[\p{L}.]*\z"), word)
 
 
+def _words(text: Column) -> Column:
+    return F.filter(F.split(text, WHITE), lambda w: w != "")
+
+
 def _tokens(texts: DataFrame, key: str) -> DataFrame:
-    words = F.filter(F.split(F.col("text"), WHITE), lambda w: w != "")
-    return texts.select(key, F.posexplode(words).alias("ord", "token")).withColumn("core", _core(F.col("token")))
+    return texts.select(key, F.posexplode(_words(F.col("text"))).alias("ord", "token")).withColumn("core", _core(F.col("token")))
 
 
 def abbreviations(texts: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
@@ -49,8 +53,9 @@ def abbreviations(texts: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
     probability 0.99" and "as often as any token", times exp(-letters), the full stops (the final one too),
     and letters to the power of minus the times it came without one.
     """
-    tokens = _tokens(texts.withColumn("_key", F.lit(0)), "_key").select(_base(F.col("core")).alias("word"), F.col("core").endswith(".").alias("stop"))
-    counts = stage(tokens.groupBy("word").agg(F.count("*").alias("n"), F.count_if("stop").alias("with_stop")), "word-counts")
+    tokens = texts.select(F.explode(_words(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))  # each distinct token is taken apart once
+    tokens = tokens.withColumn("core", _core(F.col("token"))).select(_base(F.col("core")).alias("word"), "n", F.col("core").endswith(".").alias("stop"))
+    counts = stage(tokens.groupBy("word").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("stop"), F.col("n")).otherwise(0)).alias("with_stop")), "word-counts")
     share = counts.agg((F.sum("with_stop") / F.sum("n")).alias("share"))
     a, ab, p = F.col("n"), F.col("with_stop"), F.col("share")
     ratio = 2 * (ab * F.log(F.lit(STOP_SHARE)) + (a - ab) * F.log(F.lit(1 - STOP_SHARE)) - ab * F.log(p) - (a - ab) * F.log(1 - p))
@@ -65,8 +70,11 @@ def sentences(texts: DataFrame, known: DataFrame, key: str = "id") -> DataFrame:
 
     A token ending in ``.``, ``?`` or ``!`` ends a sentence unless the next one begins with a lower-case letter; one with a
     full stop neither if its word is ``known`` (word) as an abbreviation or is a single letter. Null and empty
-    texts have none; a text is one task's rows, as a row it came as.
+    texts have none. With up to ``FEW`` known words texts are parted where they are; with more, tokens are dealt by
+    their text, whose key must be its own.
     """
+    if known.limit(FEW + 1).count() <= FEW:
+        return _sentences_in_place(texts, known, key)
     words = known.select("word", F.lit(True).alias("short"))
     words = F.broadcast(words) if words.limit(SMALL + 1).count() <= SMALL else words
     rows = _tokens(texts, key).withColumn("word", F.when(F.col("core").endswith("."), _base(F.col("core")))).join(words, "word", "left")
@@ -80,6 +88,26 @@ def sentences(texts: DataFrame, known: DataFrame, key: str = "id") -> DataFrame:
     return lists.select(key, "n", F.array_join("tokens.token", " ").alias("sentence"))
 
 
+def _sentences_in_place(texts: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    held = F.broadcast(known.agg(F.collect_set("word").alias("_known")))
+    once = lambda value: F.when(F.monotonically_increasing_id() >= 0, value)  # noqa: E731  not copied into the expressions that use it
+    rows = texts.select(key, once(_words(F.col("text"))).alias("_tokens")).crossJoin(held)
+
+    def ends(i: Column) -> Column:
+        token, following = F.get("_tokens", i), F.get("_tokens", i + 1)
+        core = _core(token)
+        marked = F.contains(token, F.lit(".")) | F.contains(token, F.lit("?")) | F.contains(token, F.lit("!"))  # cheaper than the patterns
+        single = (F.length(core) == 2) & _base(core).isNotNull()
+        stop = core.endswith(".") & ~(F.coalesce(F.array_contains("_known", _base(core)), F.lit(False)) | single)
+        return marked & ~F.regexp_like(following, F.lit(r"^[\"'(\[{„“‘]*\p{Ll}")) & (stop | core.rlike(r"[?!]\z"))
+
+    last = F.size("_tokens") - 1
+    found = rows.select(key, "_tokens", once(F.concat(F.filter(T.positions(0, last - 1), ends), F.when(last >= 0, F.array(last)).otherwise(F.array().cast("array<int>")))).alias("_ends"))
+    first = lambda j: F.coalesce(F.get("_ends", j - 1) + 1, F.lit(0))
+    parts = F.transform("_ends", lambda e, j: F.array_join(F.slice("_tokens", first(j) + 1, e - first(j) + 1), " "))
+    return found.select(key, F.posexplode(parts).alias("n", "sentence")).select(key, F.col("n").cast("long").alias("n"), "sentence")
+
+
 def treebank_tokens(sentence: Column) -> Column:
     """The tokens of one sentence by treebank rules: quotes become `` and '', contractions and punctuation are parted, a final full stop too."""
     found = sentence

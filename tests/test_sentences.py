@@ -22,6 +22,17 @@ def test_abbreviations_and_sentences(spark):
     assert len(got[0]) == len(got[2]) == 1 and 4 not in got and 5 not in got
 
 
+def test_sentences_are_parted_where_their_text_is(spark, monkeypatch):
+    said = ["He met dr. Who. \"And then?\" (Yes!) ok. no", "a. b. C. D? x", "one", "", None, " \n", "End. Of it.\tAll", "?! Who... me. Żaba. żaba", "Ask. “Quoted” start. “lower” too."]
+    texts = spark.createDataFrame(list(enumerate(said)), "id int, text string")
+    known = spark.createDataFrame([("dr",), ("ok",)], "word string")
+    plan = S.sentences(texts, known)
+    assert "hashpartitioning(id" not in plan._jdf.queryExecution().executedPlan().toString()
+    got = sorted(map(tuple, plan.collect()))
+    monkeypatch.setattr(S, "FEW", 0)  # by tokens
+    assert got == sorted(map(tuple, S.sentences(texts, known).collect())) and len(got) > 12
+
+
 def test_treebank_tokens(spark):
     cases = {
         'He said "stop," didn\'t he?': ["He", "said", "``", "stop", ",", "''", "did", "n't", "he", "?"],
