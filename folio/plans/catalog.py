@@ -477,9 +477,13 @@ def kmeans_keyed_step(spark: SparkSession, sf: str) -> DataFrame:
     return flat.select("parent", "start", child.alias("child"), F.get("ns", child).cast("long").alias("n"), (F.col("i") % F.col("wide")).alias("d"), F.round("x", 6).alias("x"), F.round("cost", 6).alias("cost"))
 
 
+def _hundred(words: DataFrame) -> DataFrame:
+    return vectors.kmeans(words.select("term", T.unit(F.col("vec")).alias("vec")), k=100, rounds=10, starts=5)
+
+
 @query()
 def kmeans_terms(spark: SparkSession, sf: str) -> DataFrame:
-    return vectors.kmeans(_word_vectors(spark, sf).select("term", T.unit(F.col("vec")).alias("vec")), k=100, rounds=10, starts=5)
+    return _hundred(_word_vectors(spark, sf))
 
 
 @query()
@@ -490,8 +494,8 @@ def kmeans_terms_1000(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def kmeans_hierarchical(spark: SparkSession, sf: str) -> DataFrame:
     """100 children of each of the 100 clusters of ``kmeans_terms``, over raw vectors."""
-    words = _word_vectors(spark, sf)
-    return keyed_kmeans.hierarchical_kmeans(words.select("term", "vec"), kmeans_terms(spark, sf), k=100, rounds=50, starts=10)
+    words = _word_vectors(spark, sf)  # counted and stored once for both levels
+    return keyed_kmeans.hierarchical_kmeans(words.select("term", "vec"), _hundred(words), k=100, rounds=50, starts=10)
 
 
 # n-grams and lemmas

@@ -267,6 +267,15 @@ def test_pairs_that_no_word_can_part_are_in_no_class(spark):
     assert {tuple(r) for r in ngrams.ambiguous_links(ngrams.pair_classes(pairs, forms, members)).collect()} == {("w z", 0, 1), ("w zs", 0, 1), ("x z", 0, 2)}
 
 
+def test_words_are_counted_once_for_both_levels_of_clusters(spark, monkeypatch):
+    made = []
+    rows = frame(spark, [("a", [3.0, 4.0])], "term string, vec array<double>")
+    monkeypatch.setattr(catalog, "_word_vectors", lambda *_: made.append(1) or rows)
+    monkeypatch.setattr(vectors, "kmeans", lambda points, **_: points)
+    monkeypatch.setattr(keyed_kmeans, "hierarchical_kmeans", lambda points, parents, **_: (points.first().vec, parents.first().vec))
+    assert catalog.kmeans_hierarchical(spark, "") == ([3.0, 4.0], [0.6, 0.8]) and len(made) == 1
+
+
 def test_only_pairs_of_two_words_meet_their_joined_word(spark, monkeypatch):
     ones = frame(spark, [("glasshouse", 9), ("glass", 2), ("house", 3), ("hous", 1), ("easel", 1)], "w string, n long")
     pairs = frame(spark, [("glass", "house"), ("glas", "shouse"), ("hous", "easel"), ("glass", "house")], "w1 string, w2 string")
