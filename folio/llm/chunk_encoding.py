@@ -10,6 +10,9 @@ Where the cut is made depends on the tokenizer's own declaration:
   white space starts a new pretoken;
 * a normaliser that folds white space and a pattern that removes it: every space and line feed;
 * anything else: the text is not cut.
+
+Many plain texts at once (``each``) are cut into pretokens where their bytes lie, and each distinct
+pretoken of all of them is looked up once.
 """
 
 from __future__ import annotations
@@ -18,14 +21,19 @@ import json
 import os
 import re
 from array import array
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Entries that each of a worker's memories holds at most.
 REMEMBERED = 700_000
 #: Longer chunks are encoded each time.
 LONGEST_REMEMBERED = 256
+#: Bytes of the texts whose pretokens are made distinct at once.
+AT_ONCE = 1 << 23
 
 #: Chunks of these characters only are cut into pretokens here, and the library's model encodes the
 #: pretokens, which recur far more often than chunks do. The classes of these characters
@@ -45,6 +53,9 @@ PRETOKENS = {
     "leading": re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{LETTERS}]+| ?[0-9]+| ?[^\s0-9{LETTERS}]+|\s+(?!\S)|\s+"),
     "removed": re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[{LETTERS}]+|[0-9]|[^\s0-9{LETTERS}]+"),
 }
+#: The kind of each byte of a text that is ``PLAIN["leading"]``; bytes from 0x80 on are parts of letters.
+LETTER, DIGIT, OTHER, SPACE, LINE_FEED = range(5)
+KINDS = np.array([LETTER if b >= 0x80 or chr(b).isalpha() else DIGIT if chr(b).isdigit() else SPACE if b == 0x20 else LINE_FEED if b == 0x0A else OTHER for b in range(256)], np.uint8)
 BESIDE_SPACE = re.compile(r" \s|\s ")
 LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
@@ -115,6 +126,36 @@ class ChunkEncoder:
         head = self._encode(first) if self.lead else self._ids[first]
         return np.frombuffer(head + b"".join(map(self._ids.__getitem__, rest)), self.dtype)
 
+    def each(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """``ids`` of each text."""
+        if self.cut != "leading":
+            yield from (self.ids(text) for text in texts.to_pylist())
+            return
+        texts = texts.cast(pa.large_string())
+        run = pc.binary_length(texts).to_numpy().cumsum() // AT_ONCE
+        edges = [0, *(np.flatnonzero(np.diff(run)) + 1), len(run)]
+        for a, b in zip(edges, edges[1:]):
+            some = texts.slice(a, b - a)
+            plain = pc.match_substring_regex(some, rf"\A(?:{PLAIN['leading'].pattern})\z")
+            found = self._plain_ids(some.filter(plain))
+            yield from (next(found) if p else self.ids(text.as_py()) for p, text in zip(plain.to_pylist(), some))
+
+    def _plain_ids(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        edges = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[edges[0] : edges[-1]]
+        edges = edges - edges[0]
+        starts = _pretoken_starts(raw, edges)
+        bounds = pa.py_buffer(np.append(starts, len(raw)))
+        pretokens = pa.LargeStringArray.from_buffers(len(starts), bounds, pa.py_buffer(raw)).dictionary_encode()
+        which = pretokens.indices.to_numpy()
+        coded = list(map(self._pretoken.__getitem__, pretokens.dictionary.to_pylist()))
+        sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // self.dtype.itemsize
+        lists = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], sizes.cumsum()])), pa.array(np.frombuffer(b"".join(coded), self.dtype)))
+        ids = lists.take(pretokens.indices).flatten().to_numpy()
+        at = np.concatenate([[0], sizes[which].cumsum()])[np.searchsorted(starts, edges)]
+        for a, b in zip(at, at[1:]):
+            yield ids[a:b]
+
     def spans(self, text: str) -> np.ndarray:
         """int32 rows (id, first code point, end) in the order of the text."""
         first, *rest = self._chunks(text)
@@ -130,6 +171,30 @@ class ChunkEncoder:
         return rows
 
 
+def _pretoken_starts(raw: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Where ``PRETOKENS["leading"]`` cuts the texts between ``edges``, each of them ``PLAIN["leading"]``."""
+    n = len(raw)
+    kind = KINDS[raw]
+    white = kind >= SPACE
+    first = np.zeros(n + 1, bool)  # a text begins, or all texts end
+    first[edges] = True
+    start = first.copy()
+    inner = ~first[1:n]  # between two characters of a text
+    before, after = kind[:-1], kind[1:]
+    # a run of one kind begins; a space goes with what follows it; white space is one kind
+    start[1:n] |= (before != after) & (before != SPACE) & ~(white[:-1] & white[1:])
+    # the last of several white spaces stands alone or with what follows it, unless the text ends there
+    start[1 : n - 1] |= white[: n - 2] & white[1 : n - 1] & ~white[2:] & inner[: n - 2] & ~first[2:n] if n > 2 else False
+    # contractions: the apostrophe begins a pretoken, the cut behind it moves behind the letters
+    for at in (at for at in np.flatnonzero((raw == 0x27) & start[:n]).tolist()):
+        ending = raw[at + 1 : at + 3].tobytes()
+        for letters in (b"s", b"t", b"re", b"ve", b"m", b"ll", b"d"):
+            if ending.startswith(letters) and not first[at + 1 : at + 1 + len(letters)].any():
+                start[at + 1 : at + 1 + len(letters)] = False
+                start[at + 1 + len(letters)] = True
+    return np.flatnonzero(start[:n])
+
+
 def _byte_letters() -> dict[int, str]:
     """Byte → the character that stands for it in byte-level vocabularies: itself if it is printable
     Latin-1 other than the soft hyphen, else the next character from U+0100 on."""

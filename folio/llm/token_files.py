@@ -147,12 +147,11 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, out: str, *, end_id:
         names = [f"{root}/{kind}-{shard:06d}.arrow" for kind in ("tokens", "docs")]
         end = np.array([end_id], encode.dtype)
         for batch in batches:
-            ids_, texts = batch.column(0).to_pylist(), batch.column(1)
-            for doc_id, text in zip(ids_, texts):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encode.each(batch.column(1))):
                 if writer is None:
                     filesystem.create_dir(root, recursive=True)
                     writer = ShardWriter(filesystem, *[f"{n}.{attempt}" for n in names], encode.dtype, seq_len, batch_rows)
-                writer.add(doc_id, np.concatenate([encode.ids(text.as_py()), end]))
+                writer.add(doc_id, np.concatenate([ids, end]))
         if writer is not None:
             writer.close()
             for name in names:

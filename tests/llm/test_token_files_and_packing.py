@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from folio.llm import packing, token_files
+from folio.llm import chunk_encoding, packing, token_files
 from folio.llm.chunk_encoding import PLAIN, ChunkEncoder
 
 tokenizers = pytest.importorskip("tokenizers")
@@ -49,6 +49,37 @@ def test_every_letter_cut_here_is_encoded_as_by_the_library(path):
         assert mine.ids(text).tolist() == t.encode(text, add_special_tokens=False).ids, text
 
 
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_texts_encoded_together_have_their_own_ids(path, monkeypatch):
+    rng = random.Random(5)
+    pieces = ["'s", "'", "re", "'ll", "'ve", "l", "d", " ", "  ", "\n", "\n\n", "word", "Été", "12", "&&", ".", "ß", "m", "t"]
+    texts = ["".join(rng.choices(pieces, k=rng.randint(0, 9))) for _ in range(6000)] + ["".join(TEXTS), *TEXTS, "", "'", "'s", "s", "\n ", " '", ""]
+    wild = [x for c in map(chr, range(0x3001)) if c.isspace() for x in (f"a{c} b", f"a {c}b", f"{c}a", f"a {c}")]
+    t, mine = whole(path), ChunkEncoder(path)
+    for at_once in (64, 1 << 23):
+        monkeypatch.setattr(chunk_encoding, "AT_ONCE", at_once)
+        for some in (texts, wild, texts + wild):
+            got = list(mine.each(pa.array(["cut off", *some]).slice(1)))
+            for text, ids in zip(some, got, strict=True):
+                assert ids.tolist() == t.encode(text, add_special_tokens=False).ids, repr(text[:50])
+    assert list(mine.each(pa.array([], pa.string()))) == []
+
+
+def test_a_pretoken_of_many_texts_is_looked_up_once():
+    class Asked(dict):
+        n = 0
+
+        def __getitem__(self, pretoken):
+            Asked.n += 1
+            return memory[pretoken]
+
+    mine = ChunkEncoder(BYTE)
+    memory, mine._pretoken = mine._pretoken, Asked()
+    mine._ids = None  # and no chunk
+    got = list(mine.each(pa.array(["Some word.\nSome word", "a word"] * 500)))
+    assert len(got) == 1000 and Asked.n == 5  # "Some", " word", ".", "\n", "a"
+
+
 def rows(spark, texts):
     return spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)] + [(None, None, "y"), (3, "dup", None), (3, "dup", None)], "doc_id long, text string, shard string")
 
