@@ -27,6 +27,11 @@ def space_tokens(c: Column) -> Column:
     return F.split(c, " ")
 
 
+def n_space_tokens(c: Column) -> Column:
+    """How many ``space_tokens`` there are; none of them is made."""
+    return F.octet_length(c) - F.octet_length(F.replace(c, F.lit(" "), F.lit(""))) + 1
+
+
 def article_tokens(title: Column, content: Column) -> Column:
     """The lower-case token stream of an article, each token stripped."""
     return F.transform(space_tokens(F.lower(F.concat_ws(" ", title, content))), strip)

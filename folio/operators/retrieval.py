@@ -43,7 +43,7 @@ def small(table: DataFrame) -> DataFrame:
 
 def title_size() -> Column:
     """The tokens of an article that come from its title."""
-    return F.when(F.col("title").isNull(), F.lit(0)).otherwise(F.size(T.space_tokens(F.col("title"))))
+    return F.when(F.col("title").isNull(), F.lit(0)).otherwise(T.n_space_tokens(F.col("title")))
 
 
 def with_forms(tokens: DataFrame, base_forms: DataFrame, default: bool = True, column: str = "tok") -> DataFrame:
@@ -83,7 +83,7 @@ def document_positions(articles: DataFrame) -> DataFrame:
 
     The running sum goes over one row for each block of ids and within blocks, not over one task.
     """
-    sizes = articles.select("id", F.size(T.space_tokens(F.concat_ws(" ", F.col("title"), F.col("content")))).alias("n_tokens"), title_size().alias("n_title"))
+    sizes = articles.select("id", T.n_space_tokens(F.concat_ws(" ", F.col("title"), F.col("content"))).alias("n_tokens"), title_size().alias("n_title"))
     sizes = sizes.withColumn("block", F.floor(F.col("id") / 4096))
     inside = Window.partitionBy("block").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
     sums = sizes.groupBy("block").agg(F.sum(F.col("n_tokens") + 1).alias("sum"))

@@ -5,8 +5,8 @@ the coded list of its articles with flags and hits, and the coded list of its po
 read without the lists, article lists without the positions. A word in every article is many rows.
 
 Texts are inverted where they are: a task writes coded lists of about ``INVERTED`` tokens at a time, and only those
-lists, one for each word and range, meet the dictionary (broadcast up to ``SMALL`` rows, else joined) and are shuffled
-and merged.
+lists, one for each word and range, meet the dictionary (broadcast up to ``SMALL`` rows, else joined), are shuffled,
+sorted and merged as they come.
 """
 
 from __future__ import annotations
@@ -41,45 +41,88 @@ def _inverted(articles: DataFrame) -> DataFrame:
     Searches take stripped tokens, ratings take them as they are; a token with white space at its edge is in
     the lists of both. Numbers are 16 * (article in the block + 1, place) + flags.
     """
-    wide = WIDE
-
-    def flush(codes: list[list[int]], ids: list[int], titles: list[int], names: dict[str, int]) -> pa.RecordBatch:
-        sizes = np.array([len(c) for c in codes])
-        code, article = np.concatenate([np.array(c, np.int64) for c in codes]), np.repeat(np.array(ids, np.int64), sizes)
-        place = np.arange(len(code)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        cut = [names.setdefault(t.strip(SPACE), len(names)) for t in list(names)]
-        to = np.array([*cut, *range(len(cut), len(names))])
+    wide, inverted = WIDE, INVERTED
+
+    def flush(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        ids, titles = (np.concatenate([batch.column(k).to_numpy() for batch in held]) for k in range(2))
+        texts = pa.concat_arrays([batch.column(2).cast(pa.large_string()) for batch in held])
+        if (np.diff(ids) < 0).any():
+            order = np.argsort(ids, kind="stable")
+            ids, titles, texts = ids[order], titles[order], texts.take(pa.array(order))
+        lists = pc.split_pattern(texts, " ")
+        sizes, tokens = lists.value_lengths().to_numpy().astype(np.int64), lists.flatten().dictionary_encode()
+        code, names = tokens.indices.to_numpy().astype(np.int64), tokens.dictionary
+        cut = pc.utf8_trim(names, SPACE)
+        edged = np.flatnonzero(pc.not_equal(cut, names).to_numpy(zero_copy_only=False))
+        both = pa.concat_arrays([names, cut.take(pa.array(edged))]).dictionary_encode()
+        to, words = np.arange(len(names)), both.dictionary
+        to[edged] = both.indices.to_numpy()[len(names) :]
         plain = to[code] == code
-        flags = np.where(plain, SEARCHED | RATED, RATED) + np.where(place < np.repeat(np.array(titles), sizes), TITLE, 0)
         more = np.flatnonzero(~plain)
-        code, article, place = np.concatenate([code, to[code[more]]]), np.concatenate([article, article[more]]), np.concatenate([place, place[more]])
-        flags = np.concatenate([flags, flags[more] - RATED + SEARCHED])
+        # tokens stand in the order of their articles and places: a token's number in front of its place in the batch sorts by code, block and value
+        shift = len(code).bit_length()
+        key = np.sort(np.concatenate([code << shift | np.arange(len(code)), to[code[more]] << shift | more]))
+        at = key & (1 << shift) - 1
+        key >>= shift
+        flags = np.where(plain[at], SEARCHED | RATED, np.where(code[at] == key, RATED, SEARCHED))
+        article, place = np.repeat(ids, sizes)[at], (np.arange(len(code)) - np.repeat(np.cumsum(sizes) - sizes, sizes))[at]
+        flags += np.where(place < np.repeat(titles, sizes)[at], TITLE, 0)
         block = article // wide
         value = ((article - block * wide + 1 << ORD | place) << 4) | flags
-        order = np.lexsort((value, block, code))
-        code, block, value = code[order], block[order], value[order]
-        first = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (block[1:] != block[:-1])]))
-        words = pa.array(list(names), pa.string()).take(pa.array(code[first]))
-        return pa.RecordBatch.from_arrays([words, pa.array(block[first]), write_lists(value, np.diff(np.append(first, len(code))))], ["tok", "block", "coded"])
+        first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (block[1:] != block[:-1])]))
+        coded = write_lists(value, np.diff(np.append(first, len(key))))
+        return pa.RecordBatch.from_arrays([words.take(pa.array(key[first])).cast(pa.string()), pa.array(block[first]), coded], ["tok", "block", "coded"])
 
     def invert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, ids, titles, names, held = [], [], [], {}, 0
+        held, n = [], 0
         for batch in batches:
-            for id_, n_title, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                codes.append([names.setdefault(t, len(names)) for t in text.split(" ")])
-                ids.append(id_)
-                titles.append(n_title)
-                held += len(codes[-1])
-                if held >= INVERTED:
-                    yield flush(codes, ids, titles, names)
-                    codes, ids, titles, names, held = [], [], [], {}, 0
-        if codes:
-            yield flush(codes, ids, titles, names)
+            sums, a = np.concatenate([[0], (pc.count_substring(batch.column(2), " ").to_numpy().astype(np.int64) + 1).cumsum()]), 0
+            while a < batch.num_rows:
+                b = min(int(np.searchsorted(sums, sums[a] + inverted - n)), batch.num_rows)
+                held.append(batch.slice(a, b - a))
+                n += sums[b] - sums[a]
+                a = b
+                if n >= inverted:
+                    yield flush(held)
+                    held, n = [], 0
+        if held:
+            yield flush(held)
 
     rows = articles.select("id", title_size().alias("n_title"), F.lower(F.concat_ws(" ", F.col("title"), F.col("content"))).alias("text"))
     return rows.mapInArrow(invert, "tok string, block long, coded binary")
 
 
+def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(ident, block, parts) from rows (ident, block, coded, known) that are sorted by ident and block, over the edges of batches."""
+    held: list[pa.RecordBatch] = []
+    key = lambda batch, row: (batch.column(0)[row], batch.column(1)[row])
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held and key(held[0], 0) == key(batch, -1):
+            held.append(batch)  # all of it belongs to the row that is open
+            continue
+        rows = pa.concat_batches([*held, batch])
+        begin = _begins(rows)
+        yield _with_parts(rows.slice(0, begin[-1]), begin)
+        held = [rows.slice(begin[-1])]
+    if held:
+        rows = pa.concat_batches(held)
+        yield _with_parts(rows, np.array([0, len(rows)]))
+
+
+def _begins(rows: pa.RecordBatch) -> np.ndarray:
+    ident, block = rows.column(0), rows.column(1).to_numpy()
+    other = pc.not_equal(ident.slice(1), ident.slice(0, len(ident) - 1)).to_numpy(zero_copy_only=False)
+    return np.concatenate([[0], np.flatnonzero(other | (block[1:] != block[:-1])) + 1])
+
+
+def _with_parts(rows: pa.RecordBatch, edges: np.ndarray) -> pa.RecordBatch:
+    parts = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.StructArray.from_arrays(rows.columns[2:], ["coded", "known"]))
+    first = pa.array(edges[:-1])
+    return pa.RecordBatch.from_arrays([rows.column(0).take(first), rows.column(1).take(first), parts], ["ident", "block", "parts"])
+
+
 def merged_at_once(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """Runs of rows with about ``AT_ONCE`` coded bytes; the lists are measured in the batch, none becomes a Python object."""
     parts = batch.column("parts")
@@ -102,7 +145,7 @@ def indexed_terms(articles: DataFrame, base_forms: DataFrame, clusters: DataFram
     wide, names = WIDE, ["first", "last", "n", "bytes", "coded", "title_hits", "content_hits", "n_positions", "positions"]
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in grouped(batches):
             for some in merged_at_once(batch):
                 parts = some.column("parts")
                 flat = parts.flatten()
@@ -110,8 +153,8 @@ def indexed_terms(articles: DataFrame, base_forms: DataFrame, clusters: DataFram
                 row = np.repeat(np.repeat(np.arange(len(parts)), parts.value_lengths().to_numpy()), counts)
                 known = np.repeat(flat.field("known").to_numpy(zero_copy_only=False), counts)
                 values = values | np.where(known & (values & RATED > 0), KNOWN, 0)
-                order = np.lexsort((values, row))
-                values, row = values[order], row[order]
+                several = np.flatnonzero((parts.value_lengths().to_numpy() > 1)[row])  # a list of one part is sorted
+                values[several] = values[several][np.lexsort((values[several], row[several]))]
                 first = np.flatnonzero(np.concatenate([[True], (values[1:] >> 4 != values[:-1] >> 4) | (row[1:] != row[:-1])]))
                 values, row = values[first] >> 4 << 4 | np.bitwise_or.reduceat(values & 15, first), row[first]  # one token by two ways
                 n_positions = np.bincount(row, minlength=len(parts))
@@ -133,9 +176,9 @@ def indexed_terms(articles: DataFrame, base_forms: DataFrame, clusters: DataFram
     forms = base_forms.select(F.col("word").alias("tok"), "base_form")
     lists = _inverted(articles).join(F.broadcast(forms) if forms.limit(SMALL + 1).count() <= SMALL else forms, "tok", "left")
     named = with_identifiers(lists.select(F.coalesce("base_form", "tok").alias("form"), F.col("base_form").isNotNull().alias("known"), "block", "coded"), clusters)
-    rows = named.groupBy("ident", "block").agg(F.collect_list(F.struct("coded", "known")).alias("parts"))
+    rows = named.select("ident", "block", "coded", "known").repartition("ident", "block").sortWithinPartitions("ident", "block")
     schema = "ident string, block long, first long, last long, n int, bytes int, coded binary, title_hits binary, content_hits binary, n_positions int, positions binary"
-    return rows.mapInArrow(merge, schema).sortWithinPartitions("ident", "block")
+    return rows.mapInArrow(merge, schema)
 
 
 def _slices(batch: pa.RecordBatch, n: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:

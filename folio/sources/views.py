@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    content = F.when(F.instr("text", "\n") > 0, F.substring(F.col("text"), F.instr("text", "\n") + 1, F.length("text"))).otherwise("")
-    return docs.select((F.col("doc_id") + 1).alias("id"), F.substring_index("text", "\n", 1).alias("title"), content.alias("content"))
+    title = F.substring_index("text", "\n", 1)
+    content = F.substring(F.col("text").cast("binary"), F.octet_length(title) + 2, F.octet_length("text")).cast("string")  # by bytes: characters would be counted from the start
+    return docs.select((F.col("doc_id") + 1).alias("id"), title.alias("title"), content.alias("content"))
 
 
 def titles(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -108,3 +108,55 @@ def test_lists_are_merged_in_runs_of_bounded_bytes(monkeypatch):
     batch = pa.RecordBatch.from_arrays([pa.array([str(k) for k in range(7)]), pa.array(parts, pa.list_(pa.struct([("coded", pa.binary()), ("known", pa.bool_())])))], ["ident", "parts"])
     runs = [run.column(0).to_pylist() for run in stored_index.merged_at_once(batch.slice(1))]
     assert runs == [["1", "2"], ["3"], ["4", "5", "6"]]
+
+
+def test_rows_over_the_edges_of_batches_are_grouped_once():
+    rng = random.Random(4)
+    rows = sorted((rng.choice("abcdefg"), rng.randrange(3)) for _ in range(90)) + [("z", 1)] * 40
+    rows = [(*key, bytes([k]), k % 3 == 0) for k, key in enumerate(rows)]
+    want = {}
+    for ident, block, coded, known in rows:
+        want.setdefault((ident, block), []).append({"coded": coded, "known": known})
+    columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.binary(), pa.bool_()))]
+    whole = pa.RecordBatch.from_arrays(columns, ["ident", "block", "coded", "known"])
+    for wide in (1, 7, 1000):
+        batches = [whole.slice(a, wide) for a in range(0, len(rows), wide)]
+        got = [r for batch in stored_index.grouped(iter([whole.slice(0, 0), *batches])) for r in batch.to_pylist()]
+        assert [(r["ident"], r["block"]) for r in got] == list(want) and [r["parts"] for r in got] == list(want.values())
+    assert list(stored_index.grouped(iter([]))) == []
+
+
+def test_lists_are_not_collected_before_they_are_merged(spark):
+    plan = stored_index.indexed_terms(*library(spark))._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan
+
+
+def test_inverted_lists_hold_each_token_as_it_is_and_stripped(spark, monkeypatch):
+    rng = random.Random(9)
+    words = ["cat", "cat\n", "\u3000cat", "", "\n", "dog", "\x85dog\t", "été", "\u200bcat"]
+    rows = [(i, " ".join(rng.choices(words, k=rng.randrange(3))), " ".join(rng.choices(words, k=rng.randrange(12)))) for i in rng.sample(range(1, 300), 120)]
+    S = stored_index
+    want = {}
+    for i, title, content in rows:
+        for place, tok in enumerate(f"{title} {content}".split(" ")):
+            flags = S.TITLE * (place < len(title.split(" ")))
+            cut = tok.strip(S.SPACE)
+            for t, f in [(tok, S.SEARCHED | S.RATED)] if cut == tok else [(tok, S.RATED), (cut, S.SEARCHED)]:
+                want.setdefault((t, i // 64), []).append((i % 64 + 1 << S.ORD | place) << 4 | f | flags)
+    articles = spark.createDataFrame(rows, "id long, title string, content string")
+    for inverted in (20, 1 << 21):
+        monkeypatch.setattr(S, "WIDE", 64)
+        monkeypatch.setattr(S, "INVERTED", inverted)
+        got = {}
+        for r in S._inverted(articles).collect():
+            got.setdefault((r.tok, r.block), []).extend(posting_blocks.read_lists(pa.array([bytes(r.coded)]))[0].tolist())
+        assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+
+
+def test_articles_part_at_their_first_line_feed(spark, tmp_path):
+    from folio.sources import views
+
+    texts = ["Tïtle\ncöntent\nmore", "no line", "", None, "\n", "\nx", "a\n", "日本\n語 é\n"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.id: (r.title, r.content) for r in views.articles(spark, str(tmp_path)).collect()}
+    assert got == {i + 1: ((t or "").partition("\n")[0], (t or "").partition("\n")[2]) for i, t in enumerate(texts)}
