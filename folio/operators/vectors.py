@@ -7,6 +7,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from folio.functions import term_lists
 from folio.functions import text as T
 from folio.operators.retrieval import by_article, small
 from folio.sources.staging import stage
@@ -14,6 +15,7 @@ from folio.sources.staging import stage
 FLOOR = 1e-3
 BANNED, PREFIX, FADE, SHARED, WIDE = 100, 20, 0.1, 7, 1 << 14
 NUMBERS = 8_000_000  # of vectors that are broadcast
+FORMS, TERMS = 1_000_000, 5_000_000  # rows of a dictionary, and terms of several articles, that go to all workers: some 25 bytes each
 
 
 def document_terms(articles: DataFrame, base_forms: DataFrame, add_missing: bool = True) -> DataFrame:
@@ -46,7 +48,46 @@ def normalised(weights: DataFrame) -> DataFrame:
     return weights.withColumn("weight", F.col("weight") / F.greatest(length, F.lit(FLOOR)))
 
 
+def telling_forms(base_forms: DataFrame) -> DataFrame:
+    """(word, terms): the words that don't just stand for themselves as unknown words do."""
+    own = F.when(F.col("word").rlike(r"^[a-z]+\z"), F.col("word"))
+    rows = base_forms.filter("word is not null").select("word", F.coalesce("base_form", own).alias("term")).filter("term is not null")
+    words = rows.groupBy("word").agg(F.collect_list("term").alias("terms"))  # the forms of a word
+    itself = (F.size("terms") == 1) & (F.get("terms", F.lit(0)) == F.col("word")) & F.col("word").rlike(r"^[a-z]+\z")
+    return words.filter(~itself)
+
+
+def weighing(articles: DataFrame, base_forms: DataFrame, deal: bool = False):
+    """What weighs articles where they are: (texts, forms, rarity), the last two broadcast; None if a dictionary is too large for that.
+
+    ``texts`` are rows (id, content), as they come if no id comes twice, else (or if ``deal``) dealt and sorted by it. Only how often a
+    term stands in a part of the articles is shuffled, and of the terms only those of several articles are kept: any other stands in one.
+    """
+    context, schema = articles.sparkSession.sparkContext, "term string, df long"
+    known = stage(telling_forms(base_forms), "telling-forms")
+    if (known.agg(F.sum(F.size("terms"))).first()[0] or 0) > FORMS:
+        return None
+    forms = context.broadcast(term_lists.Forms(known.toArrow()))
+    texts = articles.select(F.col("id").cast("long").alias("id"), F.lower("content").alias("content"))
+    again = not articles.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
+    together = by_article(texts).sortWithinPartitions("id")
+    counts = (together if again else texts).mapInArrow(lambda batches: term_lists.frequencies(batches, forms.value), schema).groupBy("term").agg(F.sum("df").alias("df"))
+    several = stage(counts.filter("df > 1"), "terms")
+    if several.count() > TERMS:
+        return None
+    return together if again or deal else texts, forms, context.broadcast(term_lists.Rarity(several.toArrow(), articles.count()))
+
+
 def tfidf(articles: DataFrame, base_forms: DataFrame) -> DataFrame:
+    ready = weighing(articles, base_forms, deal=True)
+    if ready is None:
+        return joined_tfidf(articles, base_forms)
+    texts, forms, rarity = ready
+    return texts.mapInArrow(lambda batches: term_lists.weight_rows(batches, forms.value, rarity.value, FLOOR), "id long, term string, weight double")
+
+
+def joined_tfidf(articles: DataFrame, base_forms: DataFrame) -> DataFrame:
+    """As ``tfidf``, for dictionaries and vocabularies of any size: tokens and terms are shuffled to meet them."""
     terms = document_terms(articles, base_forms)
     weighed = small(stage(idf(terms, articles).select("term", "idf"), "idf"))
     return normalised(tf(terms).join(weighed, "term").select("id", "term", (F.col("tf") * F.col("idf")).alias("weight")))
@@ -67,37 +108,46 @@ def similar(weights: DataFrame, articles: DataFrame, article_id: int, k: int = 1
     return rows.orderBy(F.desc(F.round("similarity", 6)), "id").limit(k)
 
 
-def weight_blocks(weights: DataFrame) -> DataFrame:
-    """(term, block, n, top, ids, weights): the weights laid out by term and range of ``WIDE`` ids; ``top`` is a block's greatest weight."""
-    lists = weights.groupBy("term", F.floor(F.col("id") / WIDE).alias("block")).agg(F.array_sort(F.collect_list(F.struct("id", "weight"))).alias("rows"))
-    blocks = lists.select("term", "block", F.size("rows").alias("n"), F.array_max("rows.weight").alias("top"), F.col("rows.id").alias("ids"), F.col("rows.weight").alias("weights"))
-    return blocks.sortWithinPartitions("term", "block")
-
-
 def store_weights(store, articles: DataFrame, base_forms: DataFrame) -> None:
-    """Saves TF-IDF weights twice: by article, and in blocks by term."""
-    store.write("article_weights", tfidf(articles, base_forms).sortWithinPartitions("id"))
-    store.write("weight_blocks", weight_blocks(store.read("article_weights")))
+    """Saves TF-IDF weights twice: a row for each article, and by term in blocks of up to ``WIDE`` articles that follow each other there.
+
+    A weight is kept as count (``parts``), idf of the term and factor of the article, whose product it is: small numbers take little room.
+    Blocks are made where the articles' rows are, so no weight is shuffled.
+    """
+    floor, wide, ready = FLOOR, WIDE, weighing(articles, base_forms)
+    if ready:
+        texts, forms, rarity = ready
+        rows = texts.mapInArrow(lambda batches: term_lists.weight_lists(batches, forms.value, rarity.value, floor), "id long, terms array<string>, parts array<double>, factor double")
+    else:
+        rarity, pairs = None, F.sort_array(F.collect_list(F.struct("term", "weight")))
+        rows = joined_tfidf(articles, base_forms).groupBy("id").agg(pairs.alias("p")).select("id", F.col("p.term").alias("terms"), F.col("p.weight").alias("parts"), F.lit(1.0).alias("factor")).sortWithinPartitions("id")
+    store.write("article_weights", rows.filter("id is not null"))
+    saved = store.read("article_weights").select("id", "terms", "parts", "factor")
+    schema = "term string, block long, idf double, n int, top float, ids array<bigint>, parts array<double>"
+    store.write("weight_blocks", saved.mapInArrow(lambda batches: term_lists.blocks(batches, rarity and rarity.value, wide), schema))
 
 
 def similar_stored(store, article_id: int, ids: DataFrame, k: int = 10, first: int = 64) -> DataFrame:
     """(id, similarity) as ``similar``, from stored blocks: only the article's own terms are read, and of their blocks only ids that can be among the best.
 
-    A range of ids can give no more than the sum of its blocks' tops times the article's weights. The ``first``
+    A range of articles can give no more than the sum of its blocks' tops times the article's weights. The ``first``
     ranges by that bound are summed up, then those that reach the k-th similarity of these. ``ids`` (id) fills up
     with articles that share no term.
     """
-    own = store.lookup("article_weights", "id", [article_id]).select("term", F.col("weight").alias("w"))
-    own = stage(own, "own-weights")  # the terms of an article
+    own = store.lookup("article_weights", "id", [article_id]).select("factor", F.explode(F.arrays_zip("terms", "parts")).alias("p"))
+    own = stage(own.select(F.col("p.terms").alias("term"), (F.col("p.parts") * F.col("factor")).alias("w")), "own-weights")  # the terms of an article
     terms = [r["term"] for r in own.select("term").collect()]
     blocks = store.lookup("weight_blocks", "term", terms)
+    own = stage(own.join(blocks.select("term", "idf").distinct(), "term").select("term", (F.col("w") * F.col("idf")).alias("w")), "own-weights")
+    factors = store.read("article_weights").select("id", "factor")
     bounds = blocks.select("term", "block", "top").join(F.broadcast(own), "term").groupBy("block").agg(F.sum(F.col("top") * F.col("w")).alias("bound"))
     bounds = stage(bounds, "bounds")
 
     def sums(wanted: DataFrame) -> DataFrame:
         rows = blocks.join(wanted.select("block"), "block", "left_semi").join(F.broadcast(own), "term")
-        pairs = rows.select("w", F.explode(F.arrays_zip("ids", "weights")).alias("p")).filter(F.col("p.ids") != article_id)
-        return pairs.groupBy(F.col("p.ids").alias("id")).agg(F.sum(F.col("p.weights") * F.col("w")).alias("similarity"))
+        pairs = rows.select((F.col("w") * F.col("idf")).alias("w"), F.explode(F.arrays_zip("ids", "parts")).alias("p")).filter(F.col("p.ids") != article_id)
+        dots = pairs.groupBy(F.col("p.ids").alias("id")).agg(F.sum(F.col("p.parts") * F.col("w")).alias("dot"))
+        return dots.join(factors, "id").select("id", (F.col("dot") * F.col("factor")).alias("similarity"))
 
     order = [F.desc("bound"), F.asc("block")]
     began = stage(bounds.orderBy(*order).limit(first), "first-ranges")

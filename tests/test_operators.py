@@ -5,10 +5,11 @@ import subprocess
 import sys
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from folio.functions import postings
+from folio.functions import postings, term_lists
 from folio.operators import keyed_kmeans, ngrams, quotes, retrieval, spelling, stored_index, titles, vectors
 from folio.plans import catalog
 from folio.sources import readers
@@ -437,3 +438,41 @@ def test_weights_move_texts_once(spark):
     assert sorted(map(tuple, prefix.collect())) == [(1, 0, "cat"), (1, 1, "run"), (2, 0, "run")]
     found = {r.id: r.vec for r in vectors.article_vectors(articles, prefix, words, n=2).collect()}
     assert found[2] == [0.0, 0.0] and abs(found[1][0] - (0.6 + 2.718281828459045**-0.1) / 2) < 1e-12 and abs(found[1][1] - 0.4) < 1e-12
+
+
+def test_weights_are_made_where_the_articles_are(spark, tmp_path, monkeypatch):
+    """Neither tokens nor weights are shuffled, however large the dictionary; rows of one id are one article."""
+    rng = np.random.default_rng(9)
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60)] + ["Cats", "cats", "ran", "", "odd1", "odd", "nul"]
+    rows = [(None if i > 117 else 7 if i > 112 else i, "t", None if i == 5 else " ".join(rng.choice(words, size=rng.integers(1, 30)))) for i in range(120)]
+    articles = frame(spark, rows, "id long, title string, content string").repartition(3)
+    known = [("cats", "cat", 0), ("cats", "cats", 1), ("ran", "run", 0), ("wab", "wab", 0), ("wbb", "wba", 0), ("odd1", "odd1", 0), ("nul", None, 0), (None, "x", 0)]
+    forms = frame(spark, known, "word string, base_form string, pos int")
+    shape = lambda df: sorted(((-1 if r.id is None else r.id, r.term), round(r.weight, 9)) for r in df.collect())
+    whole = vectors.joined_tfidf(articles, forms)
+    want = shape(whole)
+    monkeypatch.setattr(retrieval, "SMALL", 3)  # the dictionary is too large to be joined by a broadcast
+    monkeypatch.setattr(term_lists, "BYTES", 300)
+    assert shape(vectors.tfidf(articles, forms)) == want and len(exchanges(vectors.tfidf(articles, forms))) == 1
+    assert {r.word for r in vectors.telling_forms(forms).collect()} == {"cats", "ran", "wbb", "odd1"}
+    single = frame(spark, rows[:113], "id long, title string, content string").repartition(3)
+    for k, rows in enumerate((articles, single)):
+        store = readers.IndexStore(spark, f"{tmp_path}/{k}")
+        monkeypatch.setattr(vectors, "WIDE", 8)
+        vectors.store_weights(store, rows, forms)
+        near = lambda df: [(r.id, round(r.similarity, 6)) for r in df.collect()]
+        ids = rows.select("id").distinct().filter("id is not null")
+        assert near(vectors.similar_stored(store, 7, ids, first=2)) == near(vectors.similar(vectors.joined_tfidf(rows, forms), ids, 7))
+    assert not exchanges(store.read("weight_blocks")) and store.read("weight_blocks").select("block").distinct().count() > 5
+    monkeypatch.setattr(vectors, "TERMS", 1)  # the way for vocabularies of any size
+    assert shape(vectors.tfidf(articles, forms)) == want
+    store = readers.IndexStore(spark, f"{tmp_path}/any")
+    vectors.store_weights(store, single, forms)
+    assert near(vectors.similar_stored(store, 7, single, first=2)) == near(vectors.similar(vectors.joined_tfidf(single, forms), single, 7))
+
+
+def test_places_of_strings_with_one_hash(monkeypatch):
+    monkeypatch.setattr(term_lists, "_hashes", lambda strings: np.array([len(s) for s in strings.to_pylist()], np.uint64))
+    places = term_lists.Places(pa.array(["aa", "b", "cc", "dd"]))
+    assert places.of(pa.array(["dd", "b", "c", "aa", "eeee"])).tolist() == [3, 1, -1, 0, -1]
+    assert term_lists.Places(pa.array([], pa.string())).of(pa.array(["x"])).tolist() == [-1]
