@@ -1,4 +1,7 @@
+import os
 import random
+import subprocess
+import sys
 
 import corpus_pipeline as cp
 from folio.llm import quality_classifier
@@ -62,3 +65,20 @@ def test_nulls_repeats_clashing_columns_and_empty_tables(spark, tmp_path):
     packed = cp.run(spark, f"{tmp_path}/full")
     assert {"doc_id", "piece", "start", "length", "sequence_id", "offset"} <= set(packed.columns) and packed.count() > 0
     assert cp.run(spark, f"{tmp_path}/empty").collect() == []
+
+
+def test_a_stage_by_itself_takes_the_package_along(tmp_path):
+    """Python workers that don't share the driver's path: the second stage is the first that needs them."""
+    code = f"""
+import sys
+sys.path.insert(0, {os.path.dirname(cp.__file__)!r})
+from pyspark.sql import SparkSession
+import corpus_pipeline
+spark = SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false").config("spark.driver.host", "127.0.0.1").getOrCreate()
+docs = spark.createDataFrame([(i, "word " * 60 + str(i), "en", "s", 1) for i in range(20)], "doc_id long, text string, lang string, source string, n_chars long")
+docs.write.parquet("documents.parquet")
+spark.createDataFrame([(i, 1) for i in range(20)], "doc_id long, quality int").write.parquet("labels.parquet")
+assert dict(corpus_pipeline.STAGES)["quality classifier"](spark, docs, ".").count() == 20
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, env=env | {"PYSPARK_PYTHON": sys.executable}, check=True)
